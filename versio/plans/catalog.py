@@ -17,13 +17,143 @@ from ..sources.corpus import fixture_corpus, table
 PROMPT_COLS = ["pair", "src_lang", "tgt_lang", "direction", "k", "ordinal", "prompt"]
 
 
+REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def register(name: str):
+    def deco(fn):
+        REGISTRY[name] = fn
+        return fn
+    return deco
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(REGISTRY)
+
+
+@register("fewshot_prompt")
 def q_fewshot_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: the 1-shot prompt for every test document in every direction."""
     corpus = fixture_corpus(spark, sf_dir)
     return fewshot.build_prompts(corpus, [1]).select(*PROMPT_COLS)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "fewshot_prompt": q_fewshot_prompt,
-    }
+# --- sources, text and directions ---------------------------------------------------
+
+from ..functions import prompts as P  # noqa: E402
+from ..functions.text import in_word_band, is_blank, split_lines, strip_ws, word_count  # noqa: E402
+from ..operators.directions import expand_directions, pair_langs, with_labels  # noqa: E402
+from ..sources import readers  # noqa: E402
+from ..sources.sinks import jsonl_line  # noqa: E402
+
+DEMO_MODEL = "example-org/Demo-Model:v1"
+
+
+@register("corpus_scan_counts")
+def q_corpus_scan_counts(spark, sf_dir):
+    """Documents per split and pair, with the pair's languages."""
+    c = fixture_corpus(spark, sf_dir)
+    a, b = pair_langs("pair")
+    return (c.groupBy("subset", "pair")
+             .agg(F.count(F.lit(1)).alias("n_docs"),
+                  F.sum(F.length("src_txt")).alias("src_chars"),
+                  F.sum(F.length("tgt_txt")).alias("tgt_chars"))
+             .select("subset", "pair", a.alias("src_lang"), b.alias("tgt_lang"), "n_docs", "src_chars", "tgt_chars"))
+
+
+@register("jsonl_encode_decode")
+def q_jsonl_encode_decode(spark, sf_dir):
+    """S2 -> S3/S4/S5: every document through the JSONL encoding and the three readers."""
+    d = table(spark, sf_dir, "documents").select("doc_id", jsonl_line(F.col("text")).alias("value"))
+    d = readers.drop_blank(d)
+    return d.select("doc_id",
+                    readers.parse_strict(F.col("value"))["text"].alias("strict_text"),
+                    readers.parse_prompt(F.col("value")).alias("prompt_text"),
+                    readers.parse_score(F.col("value")).alias("score_text"))
+
+
+def _dialect_lines(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark")
+    arr = jsonl_line(F.col("text"))
+    form = F.pmod(F.col("item_id"), F.lit(4))
+    line = (F.when(form == 0, arr)
+             .when(form == 1, F.to_json(F.struct(F.col("text").alias("prompt"), F.col("text").alias("translation"))))
+             .when(form == 2, F.expr("substring(to_json(array(text)), 2, length(to_json(array(text))) - 2)"))
+             .otherwise(F.col("text")))
+    return b.select("item_id", form.alias("form"), line.alias("value"))
+
+
+@register("reader_dialects")
+def q_reader_dialects(spark, sf_dir):
+    """S3/S4/S5 on the four line shapes (array, object, JSON string, raw text)."""
+    d = readers.drop_blank(_dialect_lines(spark, sf_dir))
+    s = readers.parse_strict(F.col("value"))
+    return d.select("item_id", "form", s["text"].alias("strict_text"), s["error"].isNull().alias("strict_ok"),
+                    readers.parse_prompt(F.col("value")).alias("prompt_text"),
+                    readers.parse_score(F.col("value")).alias("score_text"))
+
+
+@register("strip_and_blank_filter")
+def q_strip_and_blank_filter(spark, sf_dir):
+    """P8 on raw web pages: split lines, drop blank lines, strip the rest."""
+    pg = table(spark, sf_dir, "pages")
+    lines = split_lines("html")
+    kept = F.filter(F.transform(lines, lambda x: strip_ws(x)), lambda x: x != F.lit(""))
+    return pg.select("page_id", F.size(lines).alias("n_lines"), F.size(kept).alias("n_kept"),
+                     F.aggregate(kept, F.lit(0).cast("bigint"), lambda acc, x: acc + F.length(x)).alias("kept_chars"),
+                     F.md5(F.array_join(kept, "\n")).alias("kept_md5"))
+
+
+@register("word_band_filter")
+def q_word_band_filter(spark, sf_dir):
+    """Documents whose stripped text has 101..200 words."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", word_count(strip_ws("text")).alias("n_words"))
+    return d.where(in_word_band(F.col("n_words")))
+
+
+@register("directions_with_labels")
+def q_directions_with_labels(spark, sf_dir):
+    """Directions present in the corpus, labels, names, layout."""
+    c = fixture_corpus(spark, sf_dir).where(F.col("subset") == "test")
+    per = c.groupBy("pair").agg(F.count(F.lit(1)).alias("n_docs"))
+    d = with_labels(expand_directions(per.withColumn("src_txt", F.lit(None).cast("string"))
+                                      .withColumn("tgt_txt", F.lit(None).cast("string"))))
+    k = F.lit(1)
+    pf = P.prompt_file_name(F.col("src_lang"), F.col("tgt_lang"), k)
+    hf = P.prompt_file_name(F.col("src_lang"), F.col("tgt_lang"), k, pred=True)
+    parsed = P.parse_file_name(hf)
+    return d.select(
+        "pair", "direction", "src_lang", "tgt_lang", "src_label", "tgt_label", "n_docs",
+        F.when(F.col("src_lang") == "eng", F.lit("src")).when(F.col("tgt_lang") == "eng", F.lit("tgt")).alias("eng_side"),
+        pf.alias("prompt_file"), hf.alias("pred_file"),
+        parsed["src_lang"].alias("parsed_src"), parsed["tgt_lang"].alias("parsed_tgt"), parsed["k"].alias("parsed_k"),
+        F.concat_ws("/", F.col("pair"), P.model_dir_name(F.lit(DEMO_MODEL)), F.lit("shot1"), F.col("direction"),
+                    hf).alias("run_path"))
+
+
+# --- scoring --------------------------------------------------------------------------
+
+from ..operators import chrf as chrf_op  # noqa: E402
+
+SCORE_COLS = ["pair", "direction", "n_ref", "n_hyp", "status", "n_segments", "chrf"]
+
+
+def copy_source_directions(spark, sf_dir):
+    """Test documents in both directions; the copy-source baseline is the hypothesis."""
+    c = fixture_corpus(spark, sf_dir).where(F.col("subset") == "test")
+    return expand_directions(c)
+
+
+def score_directions(hyps, refs, keys=("pair", "direction", "ordinal"), groups=("pair", "direction")):
+    aligned, check = chrf_op.align(hyps, refs, list(keys), list(groups))
+    scores = chrf_op.chrf_by(aligned, "pred", "ref", list(groups), list(keys))
+    return check.join(scores.select(*groups, "n_segments", "chrf"), list(groups), "left")
+
+
+@register("chrf_by_direction")
+def q_chrf_by_direction(spark, sf_dir):
+    """Corpus chrF per direction over whole test documents."""
+    d = copy_source_directions(spark, sf_dir)
+    hyps = d.select("pair", "direction", "ordinal", F.col("src").alias("pred"))
+    refs = d.select("pair", "direction", "ordinal", F.col("tgt").alias("ref"))
+    return score_directions(hyps, refs).select(*SCORE_COLS)

@@ -109,7 +109,159 @@ WHERE t.subset = 'test'
 """
 
 
+ORACLE: dict[str, str] = {"fewshot_prompt": fewshot_prompt_sql(1)}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {
-        "fewshot_prompt": fewshot_prompt_sql(1),
-    }
+    return dict(ORACLE)
+
+
+DEMO_MODEL_DIR = "Demo-Model_v1"
+
+CORPUS_SCAN_COUNTS = f"""
+WITH {CORPUS_CTE}
+SELECT subset, pair, split_part(pair, '_', 1) AS src_lang, split_part(pair, '_', 2) AS tgt_lang,
+       count(*) AS n_docs, sum(length(src_txt)) AS src_chars, sum(length(tgt_txt)) AS tgt_chars
+FROM parallel GROUP BY subset, pair
+"""
+
+JSONL_ENCODE_DECODE = f"""
+SELECT doc_id, {strip('json_extract_string(to_json([text]), ' + q('$[0]') + ')')} AS strict_text,
+       json_extract_string(to_json([text]), '$[0]') AS prompt_text,
+       {strip('json_extract_string(to_json([text]), ' + q('$[0]') + ')')} AS score_text
+FROM documents
+"""
+
+READER_DIALECTS = f"""
+SELECT item_id, item_id % 4 AS form,
+       CASE WHEN item_id % 4 IN (0, 2) THEN {strip('text')} END AS strict_text,
+       item_id % 4 IN (0, 2) AS strict_ok,
+       CASE item_id % 4 WHEN 0 THEN text WHEN 1 THEN text WHEN 2 THEN to_json(text)::VARCHAR
+            ELSE {strip('text')} END AS prompt_text,
+       {strip('text')} AS score_text
+FROM benchmark
+WHERE regexp_matches(CASE item_id % 4 WHEN 3 THEN text ELSE 'x' END, {q(NON_WS)})
+"""
+
+STRIP_AND_BLANK = f"""
+WITH l AS (
+  SELECT page_id, regexp_split_to_array(html, '\\r\\n|\\r|\\n') AS lines FROM pages
+), k AS (
+  SELECT page_id, lines,
+         list_filter(list_transform(lines, lambda x: {strip('x')}), lambda x: x <> '') AS kept FROM l
+)
+SELECT page_id, len(lines) AS n_lines, len(kept) AS n_kept,
+       CAST(coalesce(list_sum(list_transform(kept, lambda x: length(x))), 0) AS BIGINT) AS kept_chars,
+       md5(array_to_string(kept, chr(10))) AS kept_md5
+FROM k
+"""
+
+WORD_BAND = f"""
+SELECT doc_id, lang, n_words FROM (
+  SELECT doc_id, lang, {nwords(strip('text'))} AS n_words FROM documents
+) WHERE n_words > 100 AND n_words <= 200
+"""
+
+DIRECTIONS_WITH_LABELS = f"""
+WITH {CORPUS_CTE},
+per AS (SELECT pair, count(*) AS n_docs FROM parallel WHERE subset = 'test' GROUP BY pair),
+d AS (
+  SELECT pair, n_docs, 'eng' AS src_lang, split_part(pair, '_', 2) AS tgt_lang FROM per
+  UNION ALL
+  SELECT pair, n_docs, split_part(pair, '_', 2), 'eng' FROM per
+)
+SELECT pair, src_lang || '_2_' || tgt_lang AS direction, src_lang, tgt_lang,
+       {label('src_lang')} AS src_label, {label('tgt_lang')} AS tgt_label, n_docs,
+       CASE WHEN src_lang = 'eng' THEN 'src' WHEN tgt_lang = 'eng' THEN 'tgt' END AS eng_side,
+       'doc.' || src_lang || '_2_' || tgt_lang || '.1.jsonl' AS prompt_file,
+       'doc.' || src_lang || '_2_' || tgt_lang || '.1.pred.jsonl' AS pred_file,
+       src_lang AS parsed_src, tgt_lang AS parsed_tgt, 1 AS parsed_k,
+       pair || '/{DEMO_MODEL_DIR}/shot1/' || src_lang || '_2_' || tgt_lang || '/doc.' || src_lang || '_2_'
+         || tgt_lang || '.1.pred.jsonl' AS run_path
+FROM d
+"""
+
+ORACLE.update({
+    "corpus_scan_counts": CORPUS_SCAN_COUNTS,
+    "jsonl_encode_decode": JSONL_ENCODE_DECODE,
+    "reader_dialects": READER_DIALECTS,
+    "strip_and_blank_filter": STRIP_AND_BLANK,
+    "word_band_filter": WORD_BAND,
+    "directions_with_labels": DIRECTIONS_WITH_LABELS,
+})
+
+
+def _grams_sql(texts_cte: str) -> str:
+    """n-gram counts per (pair, ordinal, n, gram) for two sides ``a``/``b`` of ``texts_cte``
+    (columns pair, ordinal, a, b; whitespace already removed)."""
+    leads = ["c"]
+    for j in range(1, 6):
+        leads.append(f"lead(c, {j}) OVER w")
+    gcols = ",\n         ".join(" || ".join(leads[:n]) + f" AS g{n}" for n in range(1, 7))
+    return f"""
+ch AS (
+  SELECT pair, ordinal, 'a' AS side, unnest(string_split(a, '')) AS c,
+         generate_subscripts(string_split(a, ''), 1) AS i FROM {texts_cte} WHERE length(a) > 0
+  UNION ALL
+  SELECT pair, ordinal, 'b' AS side, unnest(string_split(b, '')) AS c,
+         generate_subscripts(string_split(b, ''), 1) AS i FROM {texts_cte} WHERE length(b) > 0
+),
+g AS (
+  SELECT pair, ordinal, side,
+         {gcols}
+  FROM ch WINDOW w AS (PARTITION BY pair, ordinal, side ORDER BY i)
+),
+u AS (UNPIVOT g ON g1, g2, g3, g4, g5, g6 INTO NAME nn VALUE gram),
+cnt AS (
+  SELECT pair, ordinal, CAST(substr(nn, 2) AS INTEGER) AS n, gram,
+         count(*) FILTER (WHERE side = 'a') AS ca, count(*) FILTER (WHERE side = 'b') AS cb
+  FROM u GROUP BY ALL
+),
+per AS (
+  SELECT pair, ordinal, n, sum(ca) AS na, sum(cb) AS nb, sum(least(ca, cb)) AS nm FROM cnt GROUP BY ALL
+)"""
+
+
+def _score_sql(tot: str, group: str) -> str:
+    """chrF from per-(group, n) sums h, r, m in ``tot``; orders added in sequence."""
+    piv = ",\n  ".join(
+        f"coalesce(max(CASE WHEN n = {n} THEN h END), 0) AS h{n}, coalesce(max(CASE WHEN n = {n} THEN r END), 0) AS r{n}, "
+        f"coalesce(max(CASE WHEN n = {n} THEN m END), 0) AS m{n}" for n in range(1, 7))
+    p = " + ".join(f"(CASE WHEN h{n} > 0 AND r{n} > 0 THEN m{n}::DOUBLE / h{n} ELSE 0.0 END)" for n in range(1, 7))
+    r = " + ".join(f"(CASE WHEN h{n} > 0 AND r{n} > 0 THEN m{n}::DOUBLE / r{n} ELSE 0.0 END)" for n in range(1, 7))
+    e = " + ".join(f"(CASE WHEN h{n} > 0 AND r{n} > 0 THEN 1 ELSE 0 END)" for n in range(1, 7))
+    return f"""
+wide AS (SELECT {group}, {piv} FROM {tot} GROUP BY {group}),
+pre AS (SELECT {group}, ({p}) AS sp, ({r}) AS sr, ({e}) AS eff FROM wide),
+fin AS (
+  SELECT {group}, CASE WHEN eff = 0 THEN 0.0
+                       WHEN sp / eff + sr / eff = 0 THEN 0.0
+                       ELSE round(100.0 * 5.0 * (sp / eff) * (sr / eff) / (4.0 * (sp / eff) + (sr / eff)), 4) END AS chrf
+  FROM pre
+)"""
+
+
+CHRF_BY_DIRECTION = f"""
+WITH {CORPUS_CTE},
+seg AS (SELECT pair, ordinal, {nows('src_txt')} AS a, {nows('tgt_txt')} AS b FROM parallel WHERE subset = 'test'),
+{_grams_sql('seg')},
+dir AS (
+  SELECT pair, 'eng_2_' || split_part(pair, '_', 2) AS direction, n,
+         CASE WHEN nb > 0 THEN na ELSE 0 END AS h, nb AS r, nm AS m FROM per
+  UNION ALL
+  SELECT pair, split_part(pair, '_', 2) || '_2_eng' AS direction, n,
+         CASE WHEN na > 0 THEN nb ELSE 0 END AS h, na AS r, nm AS m FROM per
+),
+tot AS (SELECT pair, direction, n, sum(h) AS h, sum(r) AS r, sum(m) AS m FROM dir GROUP BY ALL),
+{_score_sql('tot', 'pair, direction')},
+cnt_seg AS (SELECT pair, count(*) AS n_segments FROM seg GROUP BY pair),
+dirs2 AS (
+  SELECT pair, 'eng_2_' || split_part(pair, '_', 2) AS direction, n_segments FROM cnt_seg
+  UNION ALL SELECT pair, split_part(pair, '_', 2) || '_2_eng', n_segments FROM cnt_seg
+)
+SELECT d.pair, d.direction, d.n_segments AS n_ref, d.n_segments AS n_hyp, 'ok' AS status,
+       d.n_segments, coalesce(f.chrf, 0.0) AS chrf
+FROM dirs2 d LEFT JOIN fin f ON f.pair = d.pair AND f.direction = d.direction
+"""
+
+ORACLE["chrf_by_direction"] = CHRF_BY_DIRECTION
