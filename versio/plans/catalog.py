@@ -157,3 +157,175 @@ def q_chrf_by_direction(spark, sf_dir):
     hyps = d.select("pair", "direction", "ordinal", F.col("src").alias("pred"))
     refs = d.select("pair", "direction", "ordinal", F.col("tgt").alias("ref"))
     return score_directions(hyps, refs).select(*SCORE_COLS)
+
+
+# --- few-shot selection, dialects, quick start ---------------------------------------
+
+from ..functions.text import scrub  # noqa: E402
+from ..operators import align as align_op  # noqa: E402
+from ..operators import infer, report, sft  # noqa: E402
+from ..operators.directions import resolve_sampling, shot_sweep  # noqa: E402
+from ..sources.corpus import ranked_documents  # noqa: E402
+
+SWEEP_KS = [0, 1, 3, 8]
+QUICKSTART_N = 50
+SFT_LENGTH = 64
+CHAT_USER = P.DEFAULT_CHAT_MARKUP["open"].replace("{role}", "user")
+CHAT_END = P.DEFAULT_CHAT_MARKUP["close"]
+COPY_USER = infer.CopyBetween(CHAT_USER, CHAT_END)
+COPY_QUICKSTART = infer.CopyBetween(P.QUICKSTART_MARKUP[1], P.QUICKSTART_MARKUP[2])
+
+
+@register("fewshot_select_first_k")
+def q_fewshot_select_first_k(spark, sf_dir):
+    """The first k in-band dev examples per direction for k in 0, 1, 3, 8."""
+    corpus = fixture_corpus(spark, sf_dir)
+    sel = fewshot.select_examples(corpus.where(F.col("subset") == "dev"), max(SWEEP_KS))
+    d = expand_directions(sel).select("pair", "direction", "rank", "ordinal")
+    return shot_sweep(d, SWEEP_KS).where(F.col("rank") <= F.col("k")).select(
+        "pair", "direction", "k", "rank", "ordinal")
+
+
+@register("fewshot_shortfall")
+def q_fewshot_shortfall(spark, sf_dir):
+    """Examples found vs needed per direction and k."""
+    return fewshot.shortfall_report(fixture_corpus(spark, sf_dir), SWEEP_KS)
+
+
+@register("fewshot_prompt_dialect2")
+def q_fewshot_prompt_dialect2(spark, sf_dir):
+    """example blocks with a trailing newline."""
+    return fewshot.build_prompts(fixture_corpus(spark, sf_dir), [1], dialect="fewshot_nl").select(*PROMPT_COLS)
+
+
+@register("bare_prompt")
+def q_bare_prompt(spark, sf_dir):
+    """zero-shot bare prompt (the document alone)."""
+    return fewshot.build_prompts(fixture_corpus(spark, sf_dir), [0], dialect="bare").select(*PROMPT_COLS)
+
+
+@register("fewshot_prompt_k3")
+def q_fewshot_prompt_k3(spark, sf_dir):
+    """F5 with up to three examples (k sweep reuses one selection)."""
+    return fewshot.build_prompts(fixture_corpus(spark, sf_dir), [3]).select(*PROMPT_COLS)
+
+
+def _first_n(corpus, n):
+    from pyspark.sql import Window
+    w = Window.partitionBy("subset", "pair").orderBy("ordinal")
+    return corpus.withColumn("row", F.row_number().over(w)).where(F.col("row") <= n)
+
+
+@register("first_n_slice")
+def q_first_n_slice(spark, sf_dir):
+    """The first N documents of every split and pair, in key order."""
+    return _first_n(fixture_corpus(spark, sf_dir), QUICKSTART_N).select(
+        "subset", "pair", "ordinal", "row", F.length("src_txt").alias("src_chars"))
+
+
+@register("quickstart_prompt")
+def q_quickstart_prompt(spark, sf_dir):
+    """First N dev documents of each pair -> F7 chat markup -> X1 -> table with pred_txt."""
+    c = _first_n(fixture_corpus(spark, sf_dir).where(F.col("subset") == "dev"), QUICKSTART_N)
+    a, b = pair_langs("pair")
+    c = c.withColumn("prompt", P.quickstart_prompt(F.col("src_txt"), a, b))
+    g = infer.generate(c, "prompt", COPY_QUICKSTART, ["subset", "pair", "ordinal"], batch_size=10)
+    out = g.select("subset", "pair", "ordinal", "prompt", strip_ws("output").alias("pred_txt"))
+    return out
+
+
+@register("chat_messages_render")
+def q_chat_messages_render(spark, sf_dir):
+    """Single-user and system+user message lists rendered with chat markup."""
+    pr = fewshot.build_prompts(fixture_corpus(spark, sf_dir), [1])
+    pr = with_labels(pr)
+    return pr.select(
+        "pair", "direction", "ordinal",
+        P.render_chat(P.user_messages(F.col("prompt"))).alias("user_chat"),
+        P.render_chat(P.system_user_messages(F.col("src"), F.col("tgt_label"))).alias("system_chat"))
+
+
+@register("sampling_params")
+def q_sampling_params(spark, sf_dir):
+    """P10: effective decoding parameters per direction and run configuration."""
+    d = q_directions_with_labels(spark, sf_dir).select("pair", "direction")
+    runs = F.array(
+        F.struct(F.lit("greedy").alias("run"), F.lit(False).alias("sampling"), F.lit(0.7).alias("temperature"),
+                 F.lit(0.9).alias("top_p"), F.lit(8000).alias("max_new_tokens"), F.lit(10).alias("batch_size")),
+        F.struct(F.lit("sampled").alias("run"), F.lit(True).alias("sampling"), F.lit(0.7).alias("temperature"),
+                 F.lit(0.9).alias("top_p"), F.lit(5000).alias("max_new_tokens"), F.lit(16).alias("batch_size")))
+    cfg = d.select("pair", "direction", F.explode(runs).alias("r")).select("pair", "direction", "r.*")
+    return resolve_sampling(cfg).select("pair", "direction", "run", "sampling", "eff_temperature", "eff_top_p",
+                                        "max_new_tokens", "batch_size")
+
+
+@register("stop_and_clean")
+def q_stop_and_clean(spark, sf_dir):
+    """first line as prompt, the rest as model output cut at a blank line, echo removed."""
+    d = table(spark, sf_dir, "documents").select("doc_id", strip_ws("text").alias("gen"))
+    prompt = F.split_part(F.col("gen"), F.lit("\n"), F.lit(1))
+    output = F.substring(F.col("gen"), F.length(prompt) + 1, 1 << 30)
+    from ..functions.text import clean_generation, stop_cut
+    return d.select("doc_id", clean_generation(F.concat(prompt, stop_cut(output, "\n\n")), prompt).alias("pred"))
+
+
+@register("batch_infer")
+def q_batch_infer(spark, sf_dir):
+    """1-shot prompts rendered as chat, through a stand-in model in Arrow batches."""
+    pr = fewshot.build_prompts(fixture_corpus(spark, sf_dir), [1])
+    pr = pr.withColumn("chat", P.render_chat(P.user_messages(F.col("prompt"))))
+    g = infer.predictions(pr, "chat", COPY_USER, ["pair", "direction", "ordinal"], batch_size=10)
+    return g.select("pair", "direction", "ordinal", "pred")
+
+
+@register("scrub_text")
+def q_scrub_text(spark, sf_dir):
+    """invalid UTF-8 replaced; reports documents that changed."""
+    d = table(spark, sf_dir, "documents")
+    s = scrub("text")
+    return d.select("doc_id", F.length(s).alias("n_chars"), F.is_valid_utf8("text").alias("was_valid"),
+                    (s == F.col("text")).alias("unchanged"))
+
+
+@register("sft_dataset")
+def q_sft_dataset(spark, sf_dir):
+    """F6 prompt, whitespace tokens, truncate/pad to 64, both directions."""
+    t = sft.training_table(fixture_corpus(spark, sf_dir), max_length=SFT_LENGTH)
+    return t.select("pair", "direction", "ordinal",
+                    F.size("input_ids").alias("input_len"),
+                    F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_real"),
+                    F.size(F.filter("labels", lambda x: x != F.lit(sft.PAD))).alias("n_label_real"),
+                    F.md5(F.array_join("input_ids", " ")).alias("input_md5"),
+                    F.md5(F.array_join("labels", " ")).alias("labels_md5"))
+
+
+def _side_counts(spark, sf_dir, by_subset):
+    """Documents per (subset,) language, with the English count beside every other language.
+
+    Counts are a partial aggregate; the window runs over that tiny table only.
+    """
+    from pyspark.sql import Window
+    r = ranked_documents(table(spark, sf_dir, "documents"))
+    keys = []
+    if by_subset:
+        r = r.withColumn("subset", F.when(F.pmod(F.col("ordinal"), F.lit(5)) == 0, F.lit("dev")).otherwise(F.lit("test")))
+        keys = ["subset"]
+    c = r.groupBy(*keys, "lang").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    c = c.withColumn("n_src", F.coalesce(F.max(F.when(F.col("lang") == "en", F.col("n"))).over(w), F.lit(0)))
+    return c.where(F.col("lang") != "en").select(
+        *keys, F.concat(F.lit("eng_"), F.col("lang")).alias("pair"), "n_src", F.col("n").alias("n_tgt"))
+
+
+@register("pair_strict_mismatch")
+def q_pair_strict_mismatch(spark, sf_dir):
+    """Per split and pair, English vs other-side document counts and the strict status."""
+    return align_op.strict_check(_side_counts(spark, sf_dir, True))
+
+
+@register("pair_truncating_zip")
+def q_pair_truncating_zip(spark, sf_dir):
+    """Pairs kept by the truncating zip and rows left over on each side, per pair."""
+    counts = _side_counts(spark, sf_dir, False)
+    pairs = fixture_corpus(spark, sf_dir).groupBy("pair").agg(F.count(F.lit(1)).alias("n_pairs"))
+    return align_op.truncating_counts(counts, pairs, ["pair"])

@@ -265,3 +265,178 @@ FROM dirs2 d LEFT JOIN fin f ON f.pair = d.pair AND f.direction = d.direction
 """
 
 ORACLE["chrf_by_direction"] = CHRF_BY_DIRECTION
+
+
+def _sweep_sel(k_max: int) -> str:
+    return f"""
+sel AS (
+  SELECT * FROM (
+    SELECT pair, ordinal, row_number() OVER (PARTITION BY pair ORDER BY ordinal) AS rank
+    FROM parallel
+    WHERE subset = 'dev' AND {nwords('src_txt')} > 100 AND {nwords('src_txt')} <= 200
+  ) WHERE rank <= {k_max}
+),
+pdirs AS (
+  SELECT DISTINCT pair, 'eng_2_' || split_part(pair, '_', 2) AS direction FROM parallel
+  UNION
+  SELECT DISTINCT pair, split_part(pair, '_', 2) || '_2_eng' AS direction FROM parallel
+),
+ks(k) AS (VALUES (0), (1), (3), (8))"""
+
+
+FEWSHOT_SELECT = f"""
+WITH {CORPUS_CTE},
+{_sweep_sel(8)}
+SELECT d.pair, d.direction, ks.k, s.rank, s.ordinal
+FROM pdirs d JOIN sel s ON s.pair = d.pair JOIN ks ON s.rank <= ks.k
+"""
+
+FEWSHOT_SHORTFALL = f"""
+WITH {CORPUS_CTE},
+{_sweep_sel(8)},
+avail AS (SELECT pair, count(*) AS a FROM sel GROUP BY pair)
+SELECT d.pair, d.direction, ks.k, least(coalesce(a.a, 0), ks.k) AS n_found,
+       least(coalesce(a.a, 0), ks.k) < ks.k AS shortfall
+FROM pdirs d CROSS JOIN ks LEFT JOIN avail a ON a.pair = d.pair
+"""
+
+BARE_PROMPT = f"""
+WITH {CORPUS_CTE}
+SELECT pair, src_lang, tgt_lang, direction, 0 AS k, ordinal, src AS prompt FROM ldirs WHERE subset = 'test'
+"""
+
+FIRST_N = f"""
+WITH {CORPUS_CTE}
+SELECT subset, pair, ordinal, row, length(src_txt) AS src_chars FROM (
+  SELECT *, row_number() OVER (PARTITION BY subset, pair ORDER BY ordinal) AS row FROM parallel
+) WHERE row <= 50
+"""
+
+_QS_HEAD, _QS_TAIL = QUICKSTART_SYSTEM.split("{src}")
+_QS_MID, _QS_END = _QS_TAIL.split("{tgt}")
+
+QUICKSTART = f"""
+WITH {CORPUS_CTE}
+SELECT subset, pair, ordinal,
+       {q(QUICKSTART_MARKUP[0] + _QS_HEAD)} || split_part(pair, '_', 1) || {q(_QS_MID)} || split_part(pair, '_', 2)
+         || {q(_QS_END + QUICKSTART_MARKUP[1])} || src_txt || {q(QUICKSTART_MARKUP[2])} AS prompt,
+       {strip('src_txt')} AS pred_txt
+FROM (SELECT *, row_number() OVER (PARTITION BY subset, pair ORDER BY ordinal) AS row FROM parallel WHERE subset = 'dev')
+WHERE row <= 50
+"""
+
+_U_OPEN = DEFAULT_CHAT_MARKUP["open"].split("{role}")
+_CLOSE = DEFAULT_CHAT_MARKUP["close"]
+_CUE = DEFAULT_CHAT_MARKUP["generation_cue"]
+_SYS_HEAD, _SYS_TAIL = CHAT_SYSTEM_TEMPLATE.split("{label}")
+
+
+def _msg(role: str, content: str) -> str:
+    return f"{q(_U_OPEN[0] + role + _U_OPEN[1])} || {content} || {q(_CLOSE)}"
+
+
+CHAT_RENDER = f"""
+WITH fp AS ({fewshot_prompt_sql(1)}),
+lab AS (SELECT code, lbl FROM (VALUES {LABELS_VALUES}) t(code, lbl)),
+t AS (SELECT fp.*, coalesce(lab.lbl, fp.tgt_lang) AS tgt_label FROM fp LEFT JOIN lab ON lab.code = fp.tgt_lang),
+src AS (
+  WITH {CORPUS_CTE} SELECT pair, direction, ordinal, src FROM ldirs WHERE subset = 'test'
+)
+SELECT t.pair, t.direction, t.ordinal,
+       {_msg('user', 't.prompt')} || {q(_CUE)} AS user_chat,
+       {_msg('system', q(_SYS_HEAD) + ' || t.tgt_label || ' + q(_SYS_TAIL))} || {_msg('user', 's.src')} || {q(_CUE)} AS system_chat
+FROM t JOIN src s ON s.pair = t.pair AND s.direction = t.direction AND s.ordinal = t.ordinal
+"""
+
+SAMPLING = f"""
+WITH {CORPUS_CTE},
+per AS (SELECT DISTINCT pair FROM parallel WHERE subset = 'test'),
+d AS (
+  SELECT pair, 'eng_2_' || split_part(pair, '_', 2) AS direction FROM per
+  UNION ALL SELECT pair, split_part(pair, '_', 2) || '_2_eng' FROM per
+),
+runs(run, sampling, temperature, top_p, max_new_tokens, batch_size) AS (
+  VALUES ('greedy', false, 0.7, 0.9, 8000, 10), ('sampled', true, 0.7, 0.9, 5000, 16)
+)
+SELECT pair, direction, run, sampling,
+       CASE WHEN sampling THEN temperature::DOUBLE ELSE 0.0 END AS eff_temperature,
+       CASE WHEN sampling THEN top_p::DOUBLE ELSE 1.0 END AS eff_top_p, max_new_tokens, batch_size
+FROM d, runs
+"""
+
+STOP_AND_CLEAN = f"""
+WITH d AS (SELECT doc_id, {strip('text')} AS gen FROM documents),
+p AS (SELECT doc_id, gen, split_part(gen, chr(10), 1) AS prompt FROM d),
+o AS (SELECT doc_id, prompt, prompt || split_part(substr(gen, length(prompt) + 1), chr(10) || chr(10), 1) AS g FROM p)
+SELECT doc_id, {strip("CASE WHEN prompt = '' THEN g ELSE replace(g, prompt, '') END")} AS pred FROM o
+"""
+
+BATCH_INFER = f"""
+WITH fp AS ({fewshot_prompt_sql(1)})
+SELECT pair, direction, ordinal, {strip('prompt')} AS pred FROM fp
+"""
+
+SCRUB = """
+SELECT doc_id, length(text) AS n_chars, true AS was_valid, true AS unchanged FROM documents
+"""
+
+_SFT = SFT_TEMPLATE
+
+
+def _pad(e: str, n: int) -> str:
+    return f"list_resize(list_slice({e}, 1, {n}), {n}, '<pad>')"
+
+
+SFT_DATASET = f"""
+WITH {CORPUS_CTE},
+t AS (
+  SELECT pair, direction, ordinal,
+         regexp_extract_all({q(_SFT[0])} || src_lang || {q(_SFT[1])} || tgt_lang || {q(_SFT[2])} || src || {q(_SFT[3])},
+                            {q(NON_WS + '+')}) AS pt,
+         regexp_extract_all(tgt, {q(NON_WS + '+')}) AS tt
+  FROM ldirs
+)
+SELECT pair, direction, ordinal, 64 AS input_len, least(len(pt), 64) AS n_real,
+       least(len(tt), 64) AS n_label_real,
+       md5(array_to_string({_pad('pt', 64)}, ' ')) AS input_md5,
+       md5(array_to_string({_pad('tt', 64)}, ' ')) AS labels_md5
+FROM t
+"""
+
+PAIR_STRICT = f"""
+WITH {CORPUS_CTE},
+c AS (SELECT CASE WHEN ordinal % 5 = 0 THEN 'dev' ELSE 'test' END AS subset, lang, count(*) AS n FROM ranked GROUP BY ALL),
+e AS (SELECT subset, n FROM c WHERE lang = 'en')
+SELECT c.subset, 'eng_' || c.lang AS pair, coalesce(e.n, 0) AS n_src, c.n AS n_tgt,
+       CASE WHEN coalesce(e.n, 0) = c.n THEN 'ok' ELSE 'length mismatch' END AS status
+FROM c LEFT JOIN e ON e.subset = c.subset WHERE c.lang <> 'en'
+"""
+
+PAIR_TRUNC = f"""
+WITH {CORPUS_CTE},
+c AS (SELECT lang, count(*) AS n FROM ranked GROUP BY lang),
+p AS (SELECT pair, count(*) AS n_pairs FROM parallel GROUP BY pair)
+SELECT 'eng_' || c.lang AS pair, (SELECT coalesce(max(n), 0) FROM c WHERE lang = 'en') AS n_src, c.n AS n_tgt,
+       coalesce(p.n_pairs, 0) AS n_pairs,
+       (SELECT coalesce(max(n), 0) FROM c WHERE lang = 'en') - coalesce(p.n_pairs, 0) AS unmatched_src,
+       c.n - coalesce(p.n_pairs, 0) AS unmatched_tgt
+FROM c LEFT JOIN p ON p.pair = 'eng_' || c.lang WHERE c.lang <> 'en'
+"""
+
+ORACLE.update({
+    "fewshot_select_first_k": FEWSHOT_SELECT,
+    "fewshot_shortfall": FEWSHOT_SHORTFALL,
+    "fewshot_prompt_dialect2": fewshot_prompt_sql(1, trailing_nl=True),
+    "bare_prompt": BARE_PROMPT,
+    "fewshot_prompt_k3": fewshot_prompt_sql(3),
+    "first_n_slice": FIRST_N,
+    "quickstart_prompt": QUICKSTART,
+    "chat_messages_render": CHAT_RENDER,
+    "sampling_params": SAMPLING,
+    "stop_and_clean": STOP_AND_CLEAN,
+    "batch_infer": BATCH_INFER,
+    "scrub_text": SCRUB,
+    "sft_dataset": SFT_DATASET,
+    "pair_strict_mismatch": PAIR_STRICT,
+    "pair_truncating_zip": PAIR_TRUNC,
+})
