@@ -329,3 +329,50 @@ def q_pair_truncating_zip(spark, sf_dir):
     counts = _side_counts(spark, sf_dir, False)
     pairs = fixture_corpus(spark, sf_dir).groupBy("pair").agg(F.count(F.lit(1)).alias("n_pairs"))
     return align_op.truncating_counts(counts, pairs, ["pair"])
+
+
+# --- evaluation reports and the end-to-end pipeline -------------------------------
+
+from ..plans import jobs  # noqa: E402
+
+E2E = jobs.PipelineConfig(ks=[1], dialect="bare", chat="system_user", model=DEMO_MODEL,
+                          expected_pairs=P.TASK_PAIRS)
+
+
+def _e2e(spark, sf_dir):
+    corpus = fixture_corpus(spark, sf_dir)
+    return jobs.run_pipeline(spark, corpus, COPY_USER, E2E)
+
+
+@register("pipeline_end_to_end")
+def q_pipeline_end_to_end(spark, sf_dir):
+    """Bare prompts -> system+user chat -> model (stand-in) -> clean -> align -> chrF -> rank."""
+    out = _e2e(spark, sf_dir)
+    return out["ranked"].select("pair", "direction", "k", "n_ref", "n_hyp", "status", "n_segments", "chrf", "rank")
+
+
+@register("eval_coverage")
+def q_eval_coverage(spark, sf_dir):
+    """Every expected direction (task pairs and corpus pairs) with its reference/hypothesis status."""
+    corpus = fixture_corpus(spark, sf_dir)
+    refs = jobs.references(corpus, [1])
+    hyps = corpus.where(F.col("subset") == "test").select("pair").distinct()
+    hyps = expand_directions(hyps.withColumn("src_txt", F.lit("")).withColumn("tgt_txt", F.lit("")))
+    hyps = hyps.where(F.col("src_lang") == "eng").select("direction")
+    exp = jobs.expected_directions(spark, corpus, P.TASK_PAIRS)
+    return align_op.coverage(exp, refs, hyps)
+
+
+@register("eval_tally")
+def q_eval_tally(spark, sf_dir):
+    """A3: successful and failed evaluations over the coverage table."""
+    return report.tally(q_eval_coverage(spark, sf_dir))
+
+
+@register("score_ranking_top5")
+def q_score_ranking_top5(spark, sf_dir):
+    """Directions ranked by chrF, top 5, with the score-table line."""
+    d = copy_source_directions(spark, sf_dir)
+    scores = chrf_op.chrf_by(d, "src", "tgt", ["pair", "src_lang", "tgt_lang", "direction"], ["ordinal"])
+    top = report.rank_scores(scores.select("pair", "src_lang", "tgt_lang", "direction", "chrf"), 5)
+    return report.score_lines(top, 1).select("rank", "pair", "direction", "chrf", "hyp_file", "line")

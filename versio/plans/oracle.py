@@ -440,3 +440,53 @@ ORACLE.update({
     "pair_strict_mismatch": PAIR_STRICT,
     "pair_truncating_zip": PAIR_TRUNC,
 })
+
+
+PIPELINE_E2E = f"""
+WITH s AS ({CHRF_BY_DIRECTION})
+SELECT pair, direction, 1 AS k, n_ref, n_hyp, status, n_segments, chrf,
+       row_number() OVER (ORDER BY chrf DESC, direction ASC) AS rank
+FROM s
+"""
+
+_TASK_VALUES = ", ".join(f"({q(p)})" for p in TASK_PAIRS)
+
+EVAL_COVERAGE = f"""
+WITH {CORPUS_CTE},
+pairs AS (SELECT DISTINCT pair FROM parallel UNION SELECT pair FROM (VALUES {_TASK_VALUES}) t(pair)),
+e AS (
+  SELECT split_part(pair, '_', 1) AS src_lang, split_part(pair, '_', 2) AS tgt_lang FROM pairs
+  UNION ALL SELECT split_part(pair, '_', 2), split_part(pair, '_', 1) FROM pairs
+),
+r AS (SELECT DISTINCT direction FROM ldirs WHERE subset = 'test'),
+h AS (SELECT DISTINCT direction FROM ldirs WHERE subset = 'test' AND src_lang = 'eng')
+SELECT e.src_lang || '_2_' || e.tgt_lang AS direction, e.src_lang, e.tgt_lang,
+       'eng_' || CASE WHEN e.src_lang = 'eng' THEN e.tgt_lang ELSE e.src_lang END AS pair,
+       CASE WHEN r.direction IS NOT NULL AND h.direction IS NOT NULL THEN 'ok'
+            WHEN r.direction IS NOT NULL THEN 'missing_hyp'
+            WHEN h.direction IS NOT NULL THEN 'missing_ref'
+            ELSE 'missing_ref_and_hyp' END AS status
+FROM e LEFT JOIN r ON r.direction = e.src_lang || '_2_' || e.tgt_lang
+       LEFT JOIN h ON h.direction = e.src_lang || '_2_' || e.tgt_lang
+"""
+
+EVAL_TALLY = f"""
+WITH c AS ({EVAL_COVERAGE})
+SELECT count(*) FILTER (WHERE status = 'ok') AS n_ok, count(*) FILTER (WHERE status <> 'ok') AS n_failed,
+       count(*) AS n_expected FROM c
+"""
+
+SCORE_TOP5 = f"""
+WITH s AS ({CHRF_BY_DIRECTION}),
+r AS (SELECT *, row_number() OVER (ORDER BY chrf DESC, direction ASC) AS rank FROM s)
+SELECT rank, pair, direction, chrf, 'doc.' || direction || '.1.pred.jsonl' AS hyp_file,
+       'doc.' || direction || '.1.pred.jsonl' || chr(9) || printf('%.4f', chrf) AS line
+FROM r WHERE rank <= 5
+"""
+
+ORACLE.update({
+    "pipeline_end_to_end": PIPELINE_E2E,
+    "eval_coverage": EVAL_COVERAGE,
+    "eval_tally": EVAL_TALLY,
+    "score_ranking_top5": SCORE_TOP5,
+})
