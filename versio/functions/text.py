@@ -34,6 +34,7 @@ def _class_body(ranges: list[tuple[int, int]]) -> str:
 
 
 WS_RANGES = _whitespace_ranges()
+WS_CHARS = "".join(chr(c) for lo, hi in WS_RANGES for c in range(lo, hi + 1))
 WS_BODY = _class_body(WS_RANGES)
 WS = "[" + WS_BODY + "]"          # one whitespace code point
 NON_WS = "[^" + WS_BODY + "]"     # one non-whitespace code point
@@ -43,8 +44,12 @@ LINE_SPLIT_RE = "\\r\\n|\\r|\\n"
 
 
 def strip_ws(c: Column | str) -> Column:
-    """Python ``str.strip()`` on a string column."""
-    return F.regexp_replace(_col(c), STRIP_RE, "")
+    """Python ``str.strip()`` on a string column.
+
+    ``btrim`` with the whitespace set walks code points from both ends only,
+    so it costs the trimmed length, not the text length.
+    """
+    return F.btrim(_col(c), F.lit(WS_CHARS))
 
 
 def remove_ws(c: Column | str) -> Column:
@@ -54,12 +59,17 @@ def remove_ws(c: Column | str) -> Column:
 
 def is_blank(c: Column | str) -> Column:
     """``not s.strip()``; null counts as blank."""
-    return F.coalesce(~F.regexp_like(_col(c), F.lit(NON_WS)), F.lit(True))
+    return F.coalesce(F.length(strip_ws(c)) == 0, F.lit(True))
 
 
 def word_count(c: Column | str) -> Column:
-    """``len(s.split())`` (P6): maximal runs of non-whitespace code points."""
-    return F.regexp_count(_col(c), F.lit(NON_WS + "+"))
+    """``len(s.split())`` (P6): maximal runs of non-whitespace code points.
+
+    Splits the stripped text on whitespace runs (no empty pieces can occur
+    except for the empty text, which counts 0).
+    """
+    t = strip_ws(c)
+    return F.when(F.length(t) == 0, F.lit(0)).otherwise(F.size(F.split(t, WS + "+", -1)))
 
 
 def in_word_band(n_words: Column | str, low_exclusive: int = 100, high_inclusive: int = 200) -> Column:
