@@ -66,10 +66,10 @@ def test_same_result_at_1_and_8_partitions(spark):
 def test_alignment_check(spark):
     h = spark.createDataFrame([("d", 0, "a"), ("d", 1, "b")], "direction string, ordinal long, pred string")
     r = spark.createDataFrame([("d", 0, "a"), ("d", 1, "b"), ("d", 2, "c")], "direction string, ordinal long, ref string")
-    aligned, check = C.align(h, r, ["direction", "ordinal"], ["direction"])
-    c = check.first()
-    assert (c.n_ref, c.n_hyp, c.n_aligned, c.status) == (3, 2, 2, "length mismatch")
+    aligned, counts = C.align(h, r, ["direction", "ordinal"], ["direction"])
     assert aligned.count() == 2
+    c = C.score_aligned(h, r, ["direction", "ordinal"], ["direction"]).first()
+    assert (c.n_ref, c.n_hyp, c.n_segments, c.status, c.chrf) == (3, 2, 2, "length mismatch", 100.0)
 
 
 def test_partial_aggregate_in_plan(spark):

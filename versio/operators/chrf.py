@@ -76,22 +76,36 @@ def corpus_chrf(stats: DataFrame, group_cols: list[str], digits: int | None = 4)
 
 def align(hyps: DataFrame, refs: DataFrame, keys: list[str], group_cols: list[str],
           hyp_col: str = "pred", ref_col: str = "ref") -> tuple[DataFrame, DataFrame]:
-    """Join hypotheses and references on keys; count unmatched per group.
+    """Join hypotheses and references on keys.
 
-    Returns (aligned rows, check rows ``group_cols, n_ref, n_hyp, n_aligned, status``).
-    A group is ``ok`` when every reference has a hypothesis and vice versa.
+    Returns (aligned rows, side counts ``group_cols, n_ref, n_hyp``). Side
+    counts are partial aggregates over keys only (no text moves); the aligned
+    rows come from one inner equi-join. Pair with ``with_status`` once the
+    aligned rows have been counted (``n_segments`` of the score table).
     """
-    h = hyps.select(*keys, F.col(hyp_col).alias("_hyp"), F.lit(1).alias("_hs"))
-    r = refs.select(*keys, F.col(ref_col).alias("_ref"), F.lit(1).alias("_rs"))
-    full = h.join(r, keys, "full_outer")
-    check = (full.groupBy(*group_cols)
-                 .agg(F.count("_rs").alias("n_ref"), F.count("_hs").alias("n_hyp"),
-                      F.count(F.when(F.col("_hs").isNotNull() & F.col("_rs").isNotNull(), 1)).alias("n_aligned"))
-                 .withColumn("status", F.when((F.col("n_ref") == F.col("n_hyp")) & (F.col("n_ref") == F.col("n_aligned")),
-                                              F.lit("ok")).otherwise(F.lit("length mismatch"))))
-    aligned = full.where(F.col("_hs").isNotNull() & F.col("_rs").isNotNull()).select(
-        *keys, F.col("_hyp").alias(hyp_col), F.col("_ref").alias(ref_col))
-    return aligned, check
+    h = hyps.select(*keys, F.col(hyp_col).alias(hyp_col))
+    r = refs.select(*keys, F.col(ref_col).alias(ref_col))
+    aligned = h.join(r, keys)
+    n_h = hyps.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n_hyp"))
+    n_r = refs.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n_ref"))
+    counts = (n_r.join(n_h, group_cols, "full_outer")
+              .select(*group_cols, *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("n_ref", "n_hyp")]))
+    return aligned, counts
+
+
+def with_status(counts: DataFrame, scores: DataFrame, group_cols: list[str]) -> DataFrame:
+    """Join side counts with scores; ``status`` is ``ok`` when every row on both sides aligned."""
+    j = counts.join(scores, group_cols, "left").withColumn("n_segments", F.coalesce("n_segments", F.lit(0)))
+    ok = (F.col("n_ref") == F.col("n_hyp")) & (F.col("n_ref") == F.col("n_segments"))
+    return j.withColumn("status", F.when(ok, F.lit("ok")).otherwise(F.lit("length mismatch")))
+
+
+def score_aligned(hyps: DataFrame, refs: DataFrame, keys: list[str], group_cols: list[str],
+                  hyp_col: str = "pred", ref_col: str = "ref") -> DataFrame:
+    """J3 + A1: ``group_cols, n_ref, n_hyp, n_segments, chrf, status``."""
+    aligned, counts = align(hyps, refs, keys, group_cols, hyp_col, ref_col)
+    scores = chrf_by(aligned, hyp_col, ref_col, group_cols, keys)
+    return with_status(counts, scores.select(*group_cols, "n_segments", "chrf"), group_cols)
 
 
 def chrf_by(df: DataFrame, hyp_col: str, ref_col: str, group_cols: list[str],

@@ -145,9 +145,7 @@ def copy_source_directions(spark, sf_dir):
 
 
 def score_directions(hyps, refs, keys=("pair", "direction", "ordinal"), groups=("pair", "direction")):
-    aligned, check = chrf_op.align(hyps, refs, list(keys), list(groups))
-    scores = chrf_op.chrf_by(aligned, "pred", "ref", list(groups), list(keys))
-    return check.join(scores.select(*groups, "n_segments", "chrf"), list(groups), "left")
+    return chrf_op.score_aligned(hyps, refs, list(keys), list(groups))
 
 
 @register("chrf_by_direction")

@@ -66,9 +66,7 @@ def references(corpus: DataFrame, ks: list[int]) -> DataFrame:
 def score(preds: DataFrame, refs: DataFrame) -> DataFrame:
     """J3 + A1 per (pair, direction, k): alignment check and corpus chrF."""
     groups = ["pair", "src_lang", "tgt_lang", "direction", "k"]
-    aligned, check = chrf_op.align(preds, refs, KEYS, groups)
-    scores = chrf_op.chrf_by(aligned, "pred", "ref", groups, ["ordinal"])
-    return check.join(scores.select(*groups, "n_segments", "chrf"), groups, "left")
+    return chrf_op.score_aligned(preds, refs, KEYS, groups)
 
 
 def expected_directions(spark: SparkSession, corpus: DataFrame, extra_pairs: list[str] | None) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 MAX_BROADCAST_ROWS = 2_000_000
+MAX_BROADCAST_KEYS = 1_000_000
 
 
 def rank_within(df: DataFrame, group_cols: list[str], order_cols: list[str],
@@ -57,6 +58,12 @@ def rank_within(df: DataFrame, group_cols: list[str], order_cols: list[str],
         ranged.join(stats, ["_pid"] + group_cols)
         .select(*keys, (F.col("_offset") + F.col("_seq") - F.col("_first")).alias(out_col))
     )
+    # The rank table has one row per input row (keys only). Broadcast it when
+    # its counted size is small, so the wide rows are not shuffled; beyond
+    # the bound it is an ordinary shuffle join.
+    n_rows = ranged.count()
+    if n_rows <= MAX_BROADCAST_KEYS:
+        ranks = F.broadcast(ranks)
     return df.join(ranks, keys)
 
 
