@@ -58,10 +58,13 @@ def segment_stats(hyp: str | None, ref: str | None, order: int = CHAR_ORDER) ->
         if nh == 0:
             out += [0, nr, 0]
             continue
-        hu, hc = np.unique(_gram_keys(hi, n, alphabet), return_counts=True)
-        ru, rc = np.unique(_gram_keys(ri, n, alphabet), return_counts=True)
-        _, ia, ib = np.intersect1d(hu, ru, assume_unique=True, return_indices=True)
-        out += [nh, nr, int(np.minimum(hc[ia], rc[ib]).sum())]
+        # One sort over both sides' grams; per-side counts by bincount.
+        uniq, inv = np.unique(np.concatenate([_gram_keys(hi, n, alphabet), _gram_keys(ri, n, alphabet)]),
+                              return_inverse=True)
+        inv = inv.ravel()
+        hc = np.bincount(inv[:nh], minlength=len(uniq))
+        rc = np.bincount(inv[nh:], minlength=len(uniq))
+        out += [nh, nr, int(np.minimum(hc, rc).sum())]
     return out
 
 

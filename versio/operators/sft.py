@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.prompts import sft_prompt
-from ..functions.text import NON_WS
+from ..functions.text import WS, strip_ws
 from .directions import expand_directions
 
 PAD = "<pad>"
@@ -24,7 +24,8 @@ PAD = "<pad>"
 
 def whitespace_tokens(c: Column) -> Column:
     """Default tokenizer: ``str.split()`` tokens."""
-    return F.regexp_extract_all(c, F.lit("(" + NON_WS + "+)"), 1)
+    t = strip_ws(c)
+    return F.when(F.length(t) == 0, F.array().cast("array<string>")).otherwise(F.split(t, WS + "+", -1))
 
 
 def user_tokenizer(factory: Callable[[], Callable[[str], list]], element: str = "string") -> Callable:

@@ -95,7 +95,9 @@ def ingest_fixture_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     derived from ``documents`` once per session and directory.
     """
     from ..session import materialize
-    return materialize(pair_documents(table(spark, sf_dir, "documents")))
+    n = 2 * spark.sparkContext.defaultParallelism
+    corpus = pair_documents(table(spark, sf_dir, "documents"))
+    return materialize(corpus.repartition(n, "pair", "ordinal"))
 
 
 def fixture_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
