@@ -84,3 +84,25 @@ def test_jsonl_sink_round_trip(spark, tmp):
     enc = df.select(jsonl_line(F.col("text")).alias("j")).collect()
     for r, t in zip(enc, texts):
         assert json.loads(r.j) == [t]
+
+
+def test_ingest_jsonl_layout(spark, tmp):
+    import os
+    import pytest
+    from versio.sources.corpus import ingest_jsonl
+    for subset in ("dev", "test"):
+        os.makedirs(f"{tmp}/{subset}/eng_hin")
+    write_lines(f"{tmp}/dev/eng_hin/doc.eng.jsonl", ['["e0"]', "  ", '["e2"]', '["e3"]'])
+    write_lines(f"{tmp}/dev/eng_hin/doc.hin.jsonl", ['["h0"]', '["h1"]', '{"x": 1}', '["h3"]', '["h4"]'])
+    write_lines(f"{tmp}/test/eng_hin/doc.eng.jsonl", ['[" a "]', '["b"]'])
+    write_lines(f"{tmp}/test/eng_hin/doc.hin.jsonl", ['["A"]', '["B"]'])
+    par, rej, check = ingest_jsonl(spark, tmp)
+    got = sorted((r.subset, r.ordinal, r.src_txt, r.tgt_txt) for r in par.collect())
+    assert got == [("dev", 0, "e0", "h0"), ("dev", 3, "e3", "h3"), ("test", 0, "a", "A"), ("test", 1, "b", "B")]
+    reasons = {(r.subset, r.ordinal): r.reason for r in rej.collect()}
+    assert reasons == {("dev", 1): "source: blank line", ("dev", 2): "target: line must be a string or a single-element list",
+                       ("dev", 4): "no source line"}
+    status = {r.subset: (r.n_src, r.n_tgt, r.status) for r in check.collect()}
+    assert status == {"dev": (4, 5, "length mismatch"), "test": (2, 2, "ok")}
+    with pytest.raises(ValueError, match="dev/eng_hin"):
+        ingest_jsonl(spark, tmp, strict=True)

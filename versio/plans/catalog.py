@@ -163,7 +163,7 @@ from ..functions.text import scrub  # noqa: E402
 from ..operators import align as align_op  # noqa: E402
 from ..operators import infer, report, sft  # noqa: E402
 from ..operators.directions import resolve_sampling, shot_sweep  # noqa: E402
-from ..sources.corpus import ranked_documents  # noqa: E402
+from ..sources.corpus import fixture_ranked_documents  # noqa: E402
 
 SWEEP_KS = [0, 1, 3, 8]
 QUICKSTART_N = 50
@@ -303,7 +303,7 @@ def _side_counts(spark, sf_dir, by_subset):
     Counts are a partial aggregate; the window runs over that tiny table only.
     """
     from pyspark.sql import Window
-    r = ranked_documents(table(spark, sf_dir, "documents"))
+    r = fixture_ranked_documents(spark, sf_dir)
     keys = []
     if by_subset:
         r = r.withColumn("subset", F.when(F.pmod(F.col("ordinal"), F.lit(5)) == 0, F.lit("dev")).otherwise(F.lit("test")))
@@ -374,3 +374,25 @@ def q_score_ranking_top5(spark, sf_dir):
     scores = chrf_op.chrf_by(d, "src", "tgt", ["pair", "src_lang", "tgt_lang", "direction"], ["ordinal"])
     top = report.rank_scores(scores.select("pair", "src_lang", "tgt_lang", "direction", "chrf"), 5)
     return report.score_lines(top, 1).select("rank", "pair", "direction", "chrf", "hyp_file", "line")
+
+
+@register("jsonl_ingest_zip")
+def q_jsonl_ingest_zip(spark, sf_dir):
+    """S2 -> S3 -> J1/D9: every document as a JSONL line of its language file, zipped back into pairs.
+
+    Lines carry their keys (split, pair, language, line position) as the file
+    layout would; blank lines would reject their pair without shifting it.
+    """
+    from ..sources.corpus import zip_sides
+    r = fixture_ranked_documents(spark, sf_dir)
+    subset = F.when(F.pmod(F.col("ordinal"), F.lit(5)) == 0, F.lit("dev")).otherwise(F.lit("test"))
+    langs = [x.lang for x in r.where(F.col("lang") != "en").select("lang").distinct().collect()]
+    # English lines appear once per pair file set (one copy per partner language).
+    eng = r.where(F.col("lang") == "en").select(
+        subset.alias("subset"), F.explode(F.array(*[F.lit("eng_" + x) for x in sorted(langs)])).alias("pair"),
+        F.lit("eng").alias("lang"), "ordinal", jsonl_line(F.col("text")).alias("value"))
+    oth = r.where(F.col("lang") != "en").select(
+        subset.alias("subset"), F.concat(F.lit("eng_"), F.col("lang")).alias("pair"), "lang", "ordinal",
+        jsonl_line(F.col("text")).alias("value"))
+    parallel, rejects, check = zip_sides(eng.unionByName(oth))
+    return parallel

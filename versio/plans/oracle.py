@@ -490,3 +490,11 @@ ORACLE.update({
     "eval_tally": EVAL_TALLY,
     "score_ranking_top5": SCORE_TOP5,
 })
+
+
+JSONL_INGEST_ZIP = f"""
+WITH {CORPUS_CTE}
+SELECT subset, pair, ordinal, src_txt, tgt_txt FROM parallel
+"""
+
+ORACLE["jsonl_ingest_zip"] = JSONL_INGEST_ZIP

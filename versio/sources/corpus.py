@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_ws
-from .ordinals import rank_within
+from .ordinals import join_ranks, rank_table, rank_within
 
 PARALLEL_SCHEMA = "subset string, pair string, ordinal bigint, src_txt string, tgt_txt string"
 
@@ -61,16 +61,34 @@ def write_parallel(df: DataFrame, root: str, mode: str = "overwrite") -> None:
        .write.mode(mode).partitionBy("subset", "pair").parquet(root))
 
 
-def ranked_documents(documents: DataFrame) -> DataFrame:
+def ranked_documents(documents: DataFrame, ranks: DataFrame | None = None) -> DataFrame:
     """documents + ``ordinal`` = rank by ``doc_id`` inside ``lang`` (0-based)."""
     docs = documents.select("doc_id", "lang", "text")
-    return rank_within(docs, ["lang"], ["doc_id"])
+    if ranks is None:
+        return rank_within(docs, ["lang"], ["doc_id"])
+    return join_ranks(docs, ranks, ["lang", "doc_id"])
+
+
+_RANKS: dict[tuple[str, str], DataFrame] = {}
+
+
+def fixture_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Materialized ``lang, doc_id, ordinal`` of the fixture documents (once per session)."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _RANKS:
+        docs = table(spark, sf_dir, "documents").select("lang", "doc_id")
+        _RANKS[key] = rank_table(docs, ["lang"], ["doc_id"])
+    return _RANKS[key]
+
+
+def fixture_ranked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_documents(table(spark, sf_dir, "documents"), fixture_ranks(spark, sf_dir))
 
 
 def pair_documents(documents: DataFrame, english: str = "en", eng_code: str = "eng",
-                   dev_every: int = 5) -> DataFrame:
+                   dev_every: int = 5, ranks: DataFrame | None = None) -> DataFrame:
     """Fixture pairing -> ``parallel`` rows. Texts are stripped as the JSONL readers do."""
-    ranked = ranked_documents(documents).select(
+    ranked = ranked_documents(documents, ranks).select(
         "lang", "ordinal", strip_ws("text").alias("text"))
     en = ranked.where(F.col("lang") == english).select("ordinal", F.col("text").alias("src_txt"))
     other = ranked.where(F.col("lang") != english).select(
@@ -96,7 +114,7 @@ def ingest_fixture_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     from ..session import materialize
     n = 2 * spark.sparkContext.defaultParallelism
-    corpus = pair_documents(table(spark, sf_dir, "documents"))
+    corpus = pair_documents(table(spark, sf_dir, "documents"), ranks=fixture_ranks(spark, sf_dir))
     return materialize(corpus.repartition(n, "pair", "ordinal"))
 
 
@@ -106,3 +124,73 @@ def fixture_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     if key not in _INGESTED:
         _INGESTED[key] = ingest_fixture_corpus(spark, sf_dir)
     return _INGESTED[key]
+
+
+# --- JSONL corpus ingest (the per-language document-file layout) -------------------
+
+LAYOUT_RE = r"/([^/]+)/([^/]+)/doc\.([^/.]+)\.jsonl$"
+
+
+def jsonl_lines(spark: SparkSession, root: str) -> DataFrame:
+    """Lines of ``<root>/<subset>/<pair>/doc.<lang>.jsonl`` with keys from the path.
+
+    Output: ``subset, pair, lang, ordinal, value`` (ordinal = 0-based line
+    position in its file, blank lines included so positions never shift).
+    """
+    from .readers import numbered_lines
+    lines = numbered_lines(spark, f"{root.rstrip('/')}/*/*/doc.*.jsonl")
+    f = F.col("_file")
+    return lines.select(F.regexp_extract(f, LAYOUT_RE, 1).alias("subset"),
+                        F.regexp_extract(f, LAYOUT_RE, 2).alias("pair"),
+                        F.regexp_extract(f, LAYOUT_RE, 3).alias("lang"),
+                        "ordinal", "value")
+
+
+def zip_sides(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """S3 + J1 + D9 over keyed document lines.
+
+    ``lines``: ``subset, pair, lang, ordinal, value``; the pair ``a_b`` has
+    source language ``a`` and target ``b``. Returns ``(parallel, rejects,
+    check)``: aligned rows where both lines parse; rejected keys with a
+    reason (blank or unreadable line on a side, or no line on a side); and the
+    per-(subset, pair) line counts with the strict status.
+    """
+    from ..operators.align import strict_check
+    from ..operators.directions import pair_langs
+    from ..functions.text import is_blank
+    from .readers import parse_strict
+    a, b = pair_langs("pair")
+    p = lines.withColumn("_p", parse_strict(F.col("value"))).withColumn("_blank", is_blank("value"))
+    err = F.when(F.col("_blank"), F.lit("blank line")).otherwise(F.col("_p.error"))
+
+    def side(lang_col, name):
+        return p.where(F.col("lang") == lang_col).select(
+            "subset", "pair", "ordinal", F.col("_p.text").alias(name), err.alias(name + "_err"),
+            F.lit(True).alias(name + "_seen"))
+
+    z = side(a, "src_txt").join(side(b, "tgt_txt"), ["subset", "pair", "ordinal"], "full_outer")
+    good = F.col("src_txt_err").isNull() & F.col("tgt_txt_err").isNull() & \
+        F.col("src_txt_seen").isNotNull() & F.col("tgt_txt_seen").isNotNull()
+    parallel = z.where(good).select("subset", "pair", "ordinal", "src_txt", "tgt_txt")
+    reason = (F.when(F.col("src_txt_seen").isNull(), F.lit("no source line"))
+               .when(F.col("tgt_txt_seen").isNull(), F.lit("no target line"))
+               .when(F.col("src_txt_err").isNotNull(), F.concat(F.lit("source: "), F.col("src_txt_err")))
+               .otherwise(F.concat(F.lit("target: "), F.col("tgt_txt_err"))))
+    rejects = z.where(~good).select("subset", "pair", "ordinal", reason.alias("reason"))
+    counts = (p.groupBy("subset", "pair")
+               .agg(F.count_if(F.col("lang") == a).alias("n_src"), F.count_if(F.col("lang") == b).alias("n_tgt")))
+    return parallel, rejects, strict_check(counts)
+
+
+def ingest_jsonl(spark: SparkSession, root: str, strict: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Read a JSONL corpus tree into ``(parallel, rejects, check)``.
+
+    With ``strict`` a (subset, pair) whose two files differ in line count
+    raises, naming the groups (J1).
+    """
+    parallel, rejects, check = zip_sides(jsonl_lines(spark, root))
+    if strict:
+        bad = [f"{r.subset}/{r.pair}" for r in check.where(F.col("status") != "ok").limit(20).collect()]
+        if bad:
+            raise ValueError("source / target length mismatch: " + ", ".join(bad))
+    return parallel, rejects, check

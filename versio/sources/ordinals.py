@@ -27,12 +27,12 @@ MAX_BROADCAST_ROWS = 2_000_000
 MAX_BROADCAST_KEYS = 1_000_000
 
 
-def rank_within(df: DataFrame, group_cols: list[str], order_cols: list[str],
-                out_col: str = "ordinal", num_partitions: int | None = None) -> DataFrame:
-    """Return ``df`` with ``out_col`` = 0-based rank of the row inside its group.
+def rank_table(df: DataFrame, group_cols: list[str], order_cols: list[str],
+               out_col: str = "ordinal", num_partitions: int | None = None) -> DataFrame:
+    """Key columns + ``out_col`` = 0-based rank of the key inside its group.
 
     Order keys must be unique inside a group for the result to be deterministic
-    (as with ``row_number``).
+    (as with ``row_number``). The result is materialized (keys only).
     """
     spark = df.sparkSession
     n = num_partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -54,19 +54,26 @@ def rank_within(df: DataFrame, group_cols: list[str], order_cols: list[str],
     # Broadcast only under a checked bound (partitions x groups rows).
     if stats.count() <= MAX_BROADCAST_ROWS:
         stats = F.broadcast(stats)
-    ranks = (
-        ranged.join(stats, ["_pid"] + group_cols)
-        .select(*keys, (F.col("_offset") + F.col("_seq") - F.col("_first")).alias(out_col))
-    )
-    # The rank table has one row per input row (keys only). Broadcast it when
-    # its counted size is small, so the wide rows are not shuffled; beyond
-    # the bound it is an ordinary shuffle join.
-    n_rows = ranged.count()
-    if n_rows <= MAX_BROADCAST_KEYS:
+    return (ranged.join(stats, ["_pid"] + group_cols)
+            .select(*keys, (F.col("_offset") + F.col("_seq") - F.col("_first")).alias(out_col)))
+
+
+def join_ranks(df: DataFrame, ranks: DataFrame, keys: list[str]) -> DataFrame:
+    """Attach a rank table to its rows. The rank table has one row per input
+    row (keys only): broadcast when its counted size is small, so the wide
+    rows are not shuffled; beyond the bound it is an ordinary shuffle join."""
+    if ranks.count() <= MAX_BROADCAST_KEYS:
         ranks = F.broadcast(ranks)
     return df.join(ranks, keys)
 
 
+def rank_within(df: DataFrame, group_cols: list[str], order_cols: list[str],
+                out_col: str = "ordinal", num_partitions: int | None = None) -> DataFrame:
+    """``df`` with ``out_col`` = ``row_number() over (partition by g order by o) - 1``."""
+    ranks = rank_table(df, group_cols, order_cols, out_col, num_partitions)
+    return join_ranks(df, ranks, group_cols + order_cols)
+
+
 def line_ordinals(lines: DataFrame, out_col: str = "ordinal") -> DataFrame:
     """Number lines of each file 0.. in file order (lines from ``spark.read.text``).
 
