@@ -12,8 +12,10 @@ n-grams, no epsilon smoothing.
   both sums are > 0; ``score = 100 (1+b^2) P R / (b^2 P + R)``; 0 if undefined.
 
 ``segment_stats`` counts n-grams exactly with numpy: code points are mapped to
-a dense alphabet of the segment pair and each n-gram packed into one int64
-(or compared as raw bytes when the alphabet is too large to pack).
+a dense alphabet of the segment pair; every position's 6-gram is packed into
+one int64 and the two sides are sorted together once -- shorter orders are
+prefixes, contiguous in that order. Alphabets too large to pack fall back to
+one sort per order (raw-byte comparison when even one gram cannot be packed).
 """
 
 from __future__ import annotations
@@ -39,26 +41,83 @@ def _gram_keys(idx: np.ndarray, n: int, alphabet: int) -> np.ndarray:
     return np.ascontiguousarray(win).view(np.dtype((np.void, 4 * n))).ravel()
 
 
+def _packed_keys(digits: np.ndarray, bits: int, order: int) -> np.ndarray:
+    """Per position, the next ``order`` digits packed ``bits`` bits each (0-padded at the end)."""
+    n = len(digits)
+    padded = np.concatenate([digits, np.zeros(order - 1, dtype=np.int64)])
+    key = padded[:n].copy()
+    for j in range(1, order):
+        key = (key << bits) | padded[j:j + n]
+    return key
+
+
 def segment_stats(hyp: str | None, ref: str | None, order: int = CHAR_ORDER) -> list[int]:
     """``[n_hyp, n_ref, n_match] * order`` for one segment; inputs have no whitespace."""
     h = _codepoints(hyp or "")
     r = _codepoints(ref or "")
+    if not (len(h) and len(r)):
+        out: list[int] = []
+        for n in range(1, order + 1):
+            nr = max(len(r) - n + 1, 0)
+            out += [0, nr, 0]
+        return out
+    both = np.concatenate([h, r])
+    uniq = np.unique(both)
+    inv = np.searchsorted(uniq, both).astype(np.int64)
+    bits = len(uniq).bit_length()          # digits 1..V fit in ``bits`` bits
+    if bits * order <= 62:
+        return _stats_one_sort(inv[:len(h)] + 1, inv[len(h):] + 1, bits, order)
+    return _stats_per_order(inv[:len(h)], inv[len(h):], len(uniq), order)
+
+
+def _stats_one_sort(hd: np.ndarray, rd: np.ndarray, bits: int, order: int) -> list[int]:
+    """One sort of every position's ``order``-gram (side in the low bit).
+
+    Lexicographic order keeps every shorter prefix contiguous, so each order's
+    gram counts are a linear pass over the same sorted keys. Digits are 1..V;
+    the 0 padding marks grams that run past the end of their side.
+    """
+    keys = np.concatenate([_packed_keys(hd, bits, order) << 1, (_packed_keys(rd, bits, order) << 1) | 1])
+    keys.sort()
+    side = keys & 1
+    full = keys >> 1
+    mask = (1 << bits) - 1
+    out: list[int] = []
+    for n in range(1, order + 1):
+        nh = max(len(hd) - n + 1, 0)
+        nr = max(len(rd) - n + 1, 0)
+        if nr == 0:
+            out += [0, 0, 0]
+            continue
+        if nh == 0:
+            out += [0, nr, 0]
+            continue
+        prefix = full >> (bits * (order - n))
+        valid = (prefix & mask) != 0
+        p = prefix[valid]
+        sv = side[valid]
+        change = np.empty(len(p), dtype=bool)
+        change[0] = True
+        np.not_equal(p[1:], p[:-1], out=change[1:])
+        starts = np.flatnonzero(change)
+        ref_cnt = np.add.reduceat(sv, starts)
+        tot = np.diff(np.append(starts, len(p)))
+        out += [nh, nr, int(np.minimum(tot - ref_cnt, ref_cnt).sum())]
+    return out
+
+
+def _stats_per_order(hi: np.ndarray, ri: np.ndarray, alphabet: int, order: int) -> list[int]:
+    """Large alphabets: one sort per order over packed or byte-compared grams."""
     out: list[int] = []
-    if len(h) and len(r):
-        _, inv = np.unique(np.concatenate([h, r]), return_inverse=True)
-        inv = inv.astype(np.int64)
-        alphabet = int(inv.max()) + 1
-        hi, ri = inv[:len(h)], inv[len(h):]
     for n in range(1, order + 1):
-        nh = max(len(h) - n + 1, 0)
-        nr = max(len(r) - n + 1, 0)
+        nh = max(len(hi) - n + 1, 0)
+        nr = max(len(ri) - n + 1, 0)
         if nr == 0:
             out += [0, 0, 0]
             continue
         if nh == 0:
             out += [0, nr, 0]
             continue
-        # One sort over both sides' grams; per-side counts by bincount.
         uniq, inv = np.unique(np.concatenate([_gram_keys(hi, n, alphabet), _gram_keys(ri, n, alphabet)]),
                               return_inverse=True)
         inv = inv.ravel()
