@@ -46,3 +46,12 @@ def test_coverage_statuses(spark):
     hyps = spark.createDataFrame([("eng_2_hin",), ("eng_2_tam",)], "direction string")
     got = {r.direction: r.status for r in align.coverage(exp, refs, hyps).collect()}
     assert got == {"eng_2_hin": "ok", "hin_2_eng": "missing_hyp", "eng_2_tam": "missing_ref", "tam_2_eng": "missing_hyp"}
+
+
+def test_rank_without_checkpoint_dir_falls_back_to_persist(spark, monkeypatch):
+    import versio.session as S
+    monkeypatch.setattr(S, "checkpoint_dir", lambda s: None)
+    d = spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "lang")
+    got = rank_within(d, ["lang"], ["doc_id"], num_partitions=16)
+    want = d.withColumn("ordinal", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")) - 1)
+    assert got.select("doc_id", "lang", "ordinal").exceptAll(want.select("doc_id", "lang", "ordinal")).count() == 0

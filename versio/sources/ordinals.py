@@ -89,8 +89,12 @@ def line_ordinals(lines: DataFrame, out_col: str = "ordinal") -> DataFrame:
         F.min("_seq").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    stats = stats.select("_file", "_block", "_first", "_offset")
+    # One row per file split: broadcast under a counted bound.
+    if stats.count() <= MAX_BROADCAST_ROWS:
+        stats = F.broadcast(stats)
     return (
-        tagged.join(F.broadcast(stats.select("_file", "_block", "_first", "_offset")), ["_file", "_block"])
+        tagged.join(stats, ["_file", "_block"])
         .withColumn(out_col, F.col("_offset") + F.col("_seq") - F.col("_first"))
         .drop("_seq", "_first", "_offset")
     )
