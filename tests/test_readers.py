@@ -106,3 +106,19 @@ def test_ingest_jsonl_layout(spark, tmp):
     assert status == {"dev": (4, 5, "length mismatch"), "test": (2, 2, "ok")}
     with pytest.raises(ValueError, match="dev/eng_hin"):
         ingest_jsonl(spark, tmp, strict=True)
+
+
+def test_random_texts_round_trip_through_all_readers(spark):
+    import random
+    from versio.sources.readers import parse_prompt, parse_score, parse_strict
+    rnd = random.Random(11)
+    pool = list("ab é\"\\/\n\r\t\x0b\x0c\x1c\x85   　​﻿") + ["\U0001F600", "हि", "{", "["]
+    texts = ["".join(rnd.choice(pool) for _ in range(rnd.randint(0, 30))) for _ in range(400)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    line = jsonl_line(F.col("t"))
+    rows = df.select("i", line.alias("line"), parse_strict(line)["text"].alias("s"),
+                     parse_prompt(line).alias("p"), parse_score(line).alias("c")).collect()
+    for r in rows:
+        t = texts[r.i]
+        assert json.loads(r.line) == [t]
+        assert r.s == t.strip() and r.c == t.strip() and r.p == t
