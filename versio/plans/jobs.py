@@ -142,7 +142,7 @@ def build_training_set(pairs: DataFrame, max_length: int = 512, tokenize=None,
     """Both directions of every pair -> F6 -> tokens -> fixed length; written by pair."""
     t = sft.training_table(pairs, max_length, tokenize)
     if out_path:
-        (t.repartition("pair", F.pmod(F.xxhash64("ordinal"), F.lit(16)))
+        (t.hint("rebalance", "pair")
           .write.mode("overwrite").partitionBy("pair").parquet(out_path))
     return t
 

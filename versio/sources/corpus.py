@@ -57,7 +57,7 @@ def scan_parallel(spark: SparkSession, root: str, subset: str | None = None,
 def write_parallel(df: DataFrame, root: str, mode: str = "overwrite") -> None:
     """Store a corpus partitioned by split and pair (one directory per S1 unit)."""
     (df.select("subset", "pair", "ordinal", "src_txt", "tgt_txt")
-       .repartition("subset", "pair", F.pmod(F.col("ordinal"), F.lit(64)))
+       .hint("rebalance", "subset", "pair")
        .write.mode(mode).partitionBy("subset", "pair").parquet(root))
 
 

@@ -1,7 +1,9 @@
 """Sinks: JSONL documents (S2), predictions (S7), scores (S8), CSV (S9), run layout.
 
-Writers repartition by their partition columns plus a hash of the document
-key, so one direction is written by many tasks (many files), never one.
+Partitioned writers use the ``REBALANCE`` hint on their partition columns:
+rows of one directory are gathered together, and AQE splits any partition
+above the advisory size, so a direction holding a third of the data is
+written by many tasks (many files) instead of one.
 """
 
 from __future__ import annotations
@@ -18,10 +20,9 @@ def jsonl_line(text: Column) -> Column:
 
 
 def write_documents(df: DataFrame, path: str, partition_cols: list[str], text_col: str = "text",
-                    order_col: str = "ordinal", files_per_partition: int = 16, mode: str = "overwrite") -> None:
+                    order_col: str = "ordinal", mode: str = "overwrite") -> None:
     """One JSONL line per document, partitioned directories, ordered by key inside files."""
-    (df.repartition(*[F.col(c) for c in partition_cols],
-                    F.pmod(F.xxhash64(F.col(order_col)), F.lit(files_per_partition)))
+    (df.hint("rebalance", *partition_cols)
        .sortWithinPartitions(*partition_cols, order_col)
        .select(*partition_cols, jsonl_line(F.col(text_col)).alias("value"))
        .write.mode(mode).partitionBy(*partition_cols).text(path))
@@ -33,11 +34,10 @@ def run_layout(df: DataFrame, model: str, k_col: str = "k") -> DataFrame:
               .withColumn("shot", F.concat(F.lit("shot"), F.col(k_col).cast("string"))))
 
 
-def write_predictions(df: DataFrame, path: str, files_per_direction: int = 16, mode: str = "append") -> None:
+def write_predictions(df: DataFrame, path: str, mode: str = "append") -> None:
     """Predictions keyed by ``(pair, model, shot, direction, ordinal)``."""
     parts = ["pair", "model", "shot", "direction"]
-    (df.repartition(*[F.col(c) for c in parts], F.pmod(F.xxhash64("ordinal"), F.lit(files_per_direction)))
-       .select(*parts, "ordinal", "pred")
+    (df.select(*parts, "ordinal", "pred").hint("rebalance", *parts)
        .write.mode(mode).partitionBy(*parts).parquet(path))
 
 
