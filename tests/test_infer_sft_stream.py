@@ -97,3 +97,25 @@ def test_entry_and_registry(spark):
     assert df.count() > 0
     assert set(E.oracle_sql()) <= set(E.queries())
     assert "prompt" in df.columns
+
+
+class CountingFactory:
+    """Stand-in model that records every build in a folder (one file per build)."""
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def __call__(self):
+        import os
+        import uuid
+        open(os.path.join(self.folder, f"{os.getpid()}-{uuid.uuid4().hex}"), "w").close()
+        return lambda ps: ps
+
+
+def test_engine_built_once_per_worker(spark, tmp):
+    import os
+    df = spark.range(0, 400, 1, 32).select(F.col("id").alias("ordinal"), F.col("id").cast("string").alias("prompt"))
+    infer.generate(df, "prompt", CountingFactory(tmp), ["ordinal"]).write.format("noop").mode("overwrite").save()
+    builds = os.listdir(tmp)
+    pids = {b.split("-")[0] for b in builds}
+    assert len(builds) == len(pids) <= 8   # one build per Python worker, not one per task (32)

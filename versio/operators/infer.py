@@ -22,16 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_generation, stop_cut
-
-_ENGINES: dict[int, Callable[[list[str]], list[str]]] = {}
-
-
-def _engine(factory: Callable[[], Callable[[list[str]], list[str]]]):
-    key = id(factory)
-    if key not in _ENGINES:
-        _ENGINES[key] = factory()
-    return _ENGINES[key]
-
+from ..functions.worker import resource, resource_key
 
 def generate(df: DataFrame, prompt_col: str, engine_factory, keys: list[str],
              batch_size: int = 10, out_col: str = "output") -> DataFrame:
@@ -39,9 +30,10 @@ def generate(df: DataFrame, prompt_col: str, engine_factory, keys: list[str],
     base = df.select(*keys, prompt_col)
     fields = [f for f in base.schema.fields]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{out_col}` string"
+    key = resource_key(engine_factory)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gen = _engine(engine_factory)
+        gen = resource(engine_factory, key)
         for pdf in batches:
             prompts = pdf[prompt_col].fillna("").tolist()
             outs: list[str] = []

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.prompts import sft_prompt
 from ..functions.text import WS, strip_ws
+from ..functions.worker import resource, resource_key
 from .directions import expand_directions
 
 PAD = "<pad>"
@@ -31,10 +32,11 @@ def whitespace_tokens(c: Column) -> Column:
 def user_tokenizer(factory: Callable[[], Callable[[str], list]], element: str = "string") -> Callable:
     """Wrap ``factory() -> tokenize(str) -> list`` as an Iterator pandas UDF."""
     rtype = T.ArrayType(T.StringType() if element == "string" else T.LongType())
+    key = resource_key(factory)
 
     @F.pandas_udf(rtype)
     def tok(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        fn = factory()
+        fn = resource(factory, key)      # loaded once per Python worker
         for s in batches:
             yield s.map(lambda x: list(fn(x)) if x is not None else None)
 
