@@ -19,6 +19,12 @@ LANG_LABELS = {
     "mar": "Marathi", "ori": "Odia", "pan": "Punjabi",
     "tam": "Tamil", "tel": "Telugu", "urd": "Urdu",
 }
+# Target-language spelling used by the system+user chat dialect.
+CHAT_LABELS = {
+    "ben": "Bengali", "guj": "Gujarati", "hin": "Hindi", "kan": "Kannada",
+    "mal": "Malayalam", "mar": "Marathi", "ori": "Odiya", "pan": "Punjabi",
+    "tam": "Tamil", "tel": "Telugu", "urd": "Urdu",
+}
 # The eleven language pairs of the task, English on the left.
 TASK_PAIRS = [
     "eng_ben", "eng_guj", "eng_hin", "eng_kan", "eng_mal",
@@ -45,6 +51,15 @@ def labels_frame(spark: SparkSession, labels: dict[str, str] | None = None) -> D
     return spark.createDataFrame(sorted(labels.items()), "code string, label string")
 
 
+def chat_labels(parity: bool = False) -> dict[str, str]:
+    """F9 label table. Default: the chat spelling plus English. ``parity`` keeps
+    the reference's gaps (D7): no English entry, and ``tel`` unmatched, so both
+    fall back to the code."""
+    if parity:
+        return {k: v for k, v in CHAT_LABELS.items() if k != "tel"}
+    return {**CHAT_LABELS, "eng": LANG_LABELS["eng"]}
+
+
 def label_map(labels: dict[str, str] | None = None) -> Column:
     labels = labels or LANG_LABELS
     items = []

@@ -44,7 +44,8 @@ def model_input(prompts: DataFrame, cfg: PipelineConfig) -> DataFrame:
     if cfg.chat == "none":
         return prompts.withColumn("model_input", F.col("prompt"))
     if cfg.chat == "system_user":
-        msgs = P.system_user_messages(F.col("prompt"), P.label_of(F.col("tgt_lang")))
+        msgs = P.system_user_messages(F.col("prompt"),
+                                      P.label_of(F.col("tgt_lang"), labels=P.chat_labels(cfg.parity)))
     else:
         msgs = P.user_messages(F.col("prompt"))
     return prompts.withColumn("model_input", P.render_chat(msgs, cfg.chat_markup))
@@ -125,8 +126,9 @@ def quickstart(corpus: DataFrame, engine_factory, n: int = 50, subset: str = "de
     c = corpus.where(F.col("subset") == subset)
     if pair:
         c = c.where(F.col("pair") == pair)
-    c = c.withColumn("_row", F.row_number().over(Window.partitionBy("subset", "pair").orderBy("ordinal")))
-    c = c.where(F.col("_row") <= n).drop("_row")
+    if n:                                   # falsy n = every document (P9)
+        c = c.withColumn("_row", F.row_number().over(Window.partitionBy("subset", "pair").orderBy("ordinal")))
+        c = c.where(F.col("_row") <= n).drop("_row")
     a, b = pair_langs("pair")
     c = c.withColumn("prompt", P.quickstart_prompt(F.col("src_txt"), a, b))
     g = infer.generate(c, "prompt", engine_factory, ["subset", "pair", "ordinal", "src_txt", "tgt_txt"], batch_size)
