@@ -121,7 +121,7 @@ DEMO_MODEL_DIR = "Demo-Model_v1"
 CORPUS_SCAN_COUNTS = f"""
 WITH {CORPUS_CTE}
 SELECT subset, pair, split_part(pair, '_', 1) AS src_lang, split_part(pair, '_', 2) AS tgt_lang,
-       count(*) AS n_docs, sum(length(src_txt)) AS src_chars, sum(length(tgt_txt)) AS tgt_chars
+       count(*) AS n_docs, CAST(sum(length(src_txt)) AS BIGINT) AS src_chars, CAST(sum(length(tgt_txt)) AS BIGINT) AS tgt_chars
 FROM parallel GROUP BY subset, pair
 """
 
@@ -150,7 +150,7 @@ WITH l AS (
   SELECT page_id, lines,
          list_filter(list_transform(lines, lambda x: {strip('x')}), lambda x: x <> '') AS kept FROM l
 )
-SELECT page_id, len(lines) AS n_lines, len(kept) AS n_kept,
+SELECT page_id, CAST(len(lines) AS INTEGER) AS n_lines, CAST(len(kept) AS INTEGER) AS n_kept,
        CAST(coalesce(list_sum(list_transform(kept, lambda x: length(x))), 0) AS BIGINT) AS kept_chars,
        md5(array_to_string(kept, chr(10))) AS kept_md5
 FROM k
@@ -158,7 +158,7 @@ FROM k
 
 WORD_BAND = f"""
 SELECT doc_id, lang, n_words FROM (
-  SELECT doc_id, lang, {nwords(strip('text'))} AS n_words FROM documents
+  SELECT doc_id, lang, CAST({nwords(strip('text'))} AS INTEGER) AS n_words FROM documents
 ) WHERE n_words > 100 AND n_words <= 200
 """
 
@@ -287,7 +287,7 @@ ks(k) AS (VALUES (0), (1), (3), (8))"""
 FEWSHOT_SELECT = f"""
 WITH {CORPUS_CTE},
 {_sweep_sel(8)}
-SELECT d.pair, d.direction, ks.k, s.rank, s.ordinal
+SELECT d.pair, d.direction, ks.k, CAST(s.rank AS INTEGER) AS rank, s.ordinal
 FROM pdirs d JOIN sel s ON s.pair = d.pair JOIN ks ON s.rank <= ks.k
 """
 
@@ -307,7 +307,7 @@ SELECT pair, src_lang, tgt_lang, direction, 0 AS k, ordinal, src AS prompt FROM
 
 FIRST_N = f"""
 WITH {CORPUS_CTE}
-SELECT subset, pair, ordinal, row, length(src_txt) AS src_chars FROM (
+SELECT subset, pair, ordinal, CAST(row AS INTEGER) AS row, CAST(length(src_txt) AS INTEGER) AS src_chars FROM (
   SELECT *, row_number() OVER (PARTITION BY subset, pair ORDER BY ordinal) AS row FROM parallel
 ) WHERE row <= 50
 """
@@ -377,7 +377,7 @@ SELECT pair, direction, ordinal, {strip('prompt')} AS pred FROM fp
 """
 
 SCRUB = """
-SELECT doc_id, length(text) AS n_chars, true AS was_valid, true AS unchanged FROM documents
+SELECT doc_id, CAST(length(text) AS INTEGER) AS n_chars, true AS was_valid, true AS unchanged FROM documents
 """
 
 _SFT = SFT_TEMPLATE
@@ -396,8 +396,8 @@ t AS (
          regexp_extract_all(tgt, {q(NON_WS + '+')}) AS tt
   FROM ldirs
 )
-SELECT pair, direction, ordinal, 64 AS input_len, least(len(pt), 64) AS n_real,
-       least(len(tt), 64) AS n_label_real,
+SELECT pair, direction, ordinal, 64 AS input_len, CAST(least(len(pt), 64) AS INTEGER) AS n_real,
+       CAST(least(len(tt), 64) AS INTEGER) AS n_label_real,
        md5(array_to_string({_pad('pt', 64)}, ' ')) AS input_md5,
        md5(array_to_string({_pad('tt', 64)}, ' ')) AS labels_md5
 FROM t
@@ -445,7 +445,7 @@ ORACLE.update({
 PIPELINE_E2E = f"""
 WITH s AS ({CHRF_BY_DIRECTION})
 SELECT pair, direction, 1 AS k, n_ref, n_hyp, status, n_segments, chrf,
-       row_number() OVER (ORDER BY chrf DESC, direction ASC) AS rank
+       CAST(row_number() OVER (ORDER BY chrf DESC, direction ASC) AS INTEGER) AS rank
 FROM s
 """
 
@@ -478,7 +478,7 @@ SELECT count(*) FILTER (WHERE status = 'ok') AS n_ok, count(*) FILTER (WHERE sta
 
 SCORE_TOP5 = f"""
 WITH s AS ({CHRF_BY_DIRECTION}),
-r AS (SELECT *, row_number() OVER (ORDER BY chrf DESC, direction ASC) AS rank FROM s)
+r AS (SELECT *, CAST(row_number() OVER (ORDER BY chrf DESC, direction ASC) AS INTEGER) AS rank FROM s)
 SELECT rank, pair, direction, chrf, 'doc.' || direction || '.1.pred.jsonl' AS hyp_file,
        'doc.' || direction || '.1.pred.jsonl' || chr(9) || printf('%.4f', chrf) AS line
 FROM r WHERE rank <= 5
