@@ -119,3 +119,22 @@ def test_engine_built_once_per_worker(spark, tmp):
     builds = os.listdir(tmp)
     pids = {b.split("-")[0] for b in builds}
     assert len(builds) == len(pids) <= 8   # one build per Python worker, not one per task (32)
+
+
+def test_integer_tokens_with_ignore_index(spark):
+    df = spark.createDataFrame([("eng_hin", 0, "a b", "x y z")],
+                               "pair string, ordinal long, src_txt string, tgt_txt string")
+    tok = sft.user_tokenizer(lambda: (lambda s: [len(w) for w in s.split()]), element="long")
+    t = {r.direction: r for r in sft.training_table(df, max_length=10, tokenize=tok, pad=0, label_pad=-100).collect()}
+    e = t["eng_2_hin"]
+    assert e.input_ids == [9, 4, 3, 2, 4, 1, 1, 12, 0, 0]
+    assert e.labels == [1, 1, 1] + [-100] * 7
+    assert e.attention_mask == [1] * 8 + [0, 0]
+
+
+def test_predictions_export_view(spark):
+    import json
+    from versio.sources.sinks import predictions_jsonl_view
+    df = spark.createDataFrame([("eng_2_hin", 0, 'say "hi"\n')], "direction string, ordinal long, pred string")
+    r = predictions_jsonl_view(df).first()
+    assert (r.direction, r.ordinal) == ("eng_2_hin", 0) and json.loads(r.value) == ['say "hi"\n']

@@ -56,11 +56,13 @@ def attention_mask(tokens: Column, length: int) -> Column:
 
 
 def training_table(pairs: DataFrame, max_length: int = 512, tokenize: Callable[[Column], Column] | None = None,
-                   pad: str = PAD) -> DataFrame:
+                   pad: str | int = PAD, label_pad: str | int | None = None) -> DataFrame:
     """Both directions of every pair row -> one training row each (U1 by explode).
 
     Input: ``pair, ordinal, src_txt, tgt_txt`` (+ any key columns).
     Output adds ``src_lang, tgt_lang, direction, prompt, input_ids, attention_mask, labels``.
+    Labels are padded with ``pad`` as in the reference (D12) unless
+    ``label_pad`` is given (e.g. an ignore index such as -100 for integer ids).
     """
     tok = tokenize or whitespace_tokens
     d = expand_directions(pairs)
@@ -68,5 +70,5 @@ def training_table(pairs: DataFrame, max_length: int = 512, tokenize: Callable[[
     d = d.withColumn("_pt", tok(F.col("prompt"))).withColumn("_tt", tok(F.col("tgt")))
     return (d.withColumn("input_ids", pad_to(F.col("_pt"), max_length, F.lit(pad)))
              .withColumn("attention_mask", attention_mask(F.col("_pt"), max_length))
-             .withColumn("labels", pad_to(F.col("_tt"), max_length, F.lit(pad)))
+             .withColumn("labels", pad_to(F.col("_tt"), max_length, F.lit(pad if label_pad is None else label_pad)))
              .drop("_pt", "_tt"))

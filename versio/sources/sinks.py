@@ -41,6 +41,12 @@ def write_predictions(df: DataFrame, path: str, mode: str = "append") -> None:
        .write.mode(mode).partitionBy(*parts).parquet(path))
 
 
+def predictions_jsonl_view(df: DataFrame, pred_col: str = "pred") -> DataFrame:
+    """S7 export view: keys plus the prediction as a one-element JSON array line."""
+    keys = [c for c in df.columns if c != pred_col]
+    return df.select(*keys, jsonl_line(F.col(pred_col)).alias("value"))
+
+
 def write_scores(scores: DataFrame, path: str, mode: str = "overwrite") -> None:
     """The score table as TSV with a header (scores are a handful of rows)."""
     (scores.coalesce(1).write.mode(mode).option("sep", "\t").option("header", True).csv(path))
