@@ -162,6 +162,13 @@ def render_chat(messages: Column, markup: dict | None = None) -> Column:
     return F.concat(F.array_join(F.transform(messages, one), ""), F.lit(m["generation_cue"]))
 
 
+def render_message(role: Column, content: Column, markup: dict | None = None) -> Column:
+    """F10 for one message (no generation cue)."""
+    m = markup or DEFAULT_CHAT_MARKUP
+    o_head, o_tail = m["open"].split("{role}")
+    return F.concat(F.lit(o_head), role, F.lit(o_tail), content, F.lit(m["close"]))
+
+
 def direction_name(src_lang: Column, tgt_lang: Column) -> Column:
     """``{src}_2_{tgt}``."""
     return F.concat(src_lang, F.lit("_2_"), tgt_lang)

@@ -396,3 +396,20 @@ def q_jsonl_ingest_zip(spark, sf_dir):
         jsonl_line(F.col("text")).alias("value"))
     parallel, rejects, check = zip_sides(eng.unionByName(oth))
     return parallel
+
+
+@register("conversation_turns_render")
+def q_conversation_turns_render(spark, sf_dir):
+    """F10 per turn of every conversation; the generation cue follows each conversation's last turn.
+
+    Turns are rendered where they are (no grouping of text); the last turn per
+    conversation is a partial aggregate joined back on ``conv_id``.
+    """
+    c = table(spark, sf_dir, "conversations")
+    last = c.groupBy("conv_id").agg(F.max("turn").alias("_last"))
+    cue = P.DEFAULT_CHAT_MARKUP["generation_cue"]
+    msg = P.render_message(F.col("role"), F.coalesce(F.col("text"), F.lit("")))
+    return (c.join(last, "conv_id")
+             .select("conv_id", "turn", "role",
+                     F.when(F.col("turn") == F.col("_last"), F.concat(msg, F.lit(cue))).otherwise(msg)
+                      .alias("rendered")))

@@ -498,3 +498,14 @@ SELECT subset, pair, ordinal, src_txt, tgt_txt FROM parallel
 """
 
 ORACLE["jsonl_ingest_zip"] = JSONL_INGEST_ZIP
+
+
+CONVERSATION_TURNS = f"""
+WITH c AS (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations)
+SELECT conv_id, turn, role,
+       {q(_U_OPEN[0])} || role || {q(_U_OPEN[1])} || coalesce(text, '') || {q(_CLOSE)}
+         || CASE WHEN turn = last THEN {q(_CUE)} ELSE '' END AS rendered
+FROM c
+"""
+
+ORACLE["conversation_turns_render"] = CONVERSATION_TURNS
