@@ -41,7 +41,7 @@ def test_pipeline_writes_and_scores(spark, tmp):
 
 def test_quickstart_csv(spark, tmp):
     corpus = fixture_corpus(spark, SF001)
-    qs = infer.CopyBetween(P.QUICKSTART_MARKUP[1], P.QUICKSTART_MARKUP[2])
+    qs = infer.CopyBetween(P.between(P.QUICKSTART_TEMPLATE, "system", "text"), P.between(P.QUICKSTART_TEMPLATE, "text", None))
     out = jobs.quickstart(corpus, qs, n=3, pair="eng_de", out_csv=tmp + "/qs")
     rows = out.collect()
     assert len(rows) == 3 and all(r.pred_txt == r.src_txt for r in rows)

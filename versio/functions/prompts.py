@@ -6,6 +6,8 @@ whole-stage codegen, never in Python.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,19 +32,53 @@ TASK_PAIRS = [
     "eng_ben", "eng_guj", "eng_hin", "eng_kan", "eng_mal",
     "eng_mar", "eng_ori", "eng_pan", "eng_tam", "eng_tel", "eng_urd",
 ]
-# Few-shot instruction; "{tgt_lbl}" is the placeholder for the target label.
+# Few-shot prompt: instruction, example blocks and final block joined by BLOCK_SEP.
 FEWSHOT_INSTRUCTION = ("Translate the given input document to {tgt_lbl} language. "
                        "Generate only the translation. Do not generate any other tokens.")
+EXAMPLE_BLOCK = "{src_lbl}: {src}\n\n{tgt_lbl}: {tgt}"
+FINAL_BLOCK = "{src_lbl}: {src}\n\n{tgt_lbl}:"
+BLOCK_SEP = "\n\n"
 # System instruction of the system+user chat dialect.
 CHAT_SYSTEM_TEMPLATE = "Translate the text below to {label}."
-# Quick-start literal chat markup and system sentence ({src}/{tgt} are codes).
+# Quick-start system sentence ({src}/{tgt} are codes) and literal chat markup.
 QUICKSTART_SYSTEM = ("You are a professional translator. Translate the user message precisely "
                      "from {src} to {tgt}, preserving meaning, tone, and any markup.")
-QUICKSTART_MARKUP = ("<|begin_of_text|><|system|>\n", "\n<|user|>\n", "\n<|assistant|>")
-# Fine-tuning prompt ({s}/{t} are codes).
-SFT_TEMPLATE = ("Translate from ", " to ", ":\n\n", "\n\nTranslation:")
-# Joiner between prompt parts and inside an example block.
-BLOCK_SEP = "\n\n"
+QUICKSTART_TEMPLATE = "<|begin_of_text|><|system|>\n{system}\n<|user|>\n{text}\n<|assistant|>"
+# Fine-tuning prompt ({src_lang}/{tgt_lang} are codes).
+SFT_TEMPLATE = "Translate from {src_lang} to {tgt_lang}:\n\n{src}\n\nTranslation:"
+
+_PLACEHOLDER = re.compile(r"\{(\w+)\}")
+
+
+def template_pieces(template: str) -> list[tuple[str, str | None]]:
+    """Split a template into (literal, placeholder-or-None) pieces, in order."""
+    out: list[tuple[str, str | None]] = []
+    pos = 0
+    for m in _PLACEHOLDER.finditer(template):
+        out.append((template[pos:m.start()], m.group(1)))
+        pos = m.end()
+    out.append((template[pos:], None))
+    return out
+
+
+def fill(template: str, **values: Column) -> Column:
+    """A template as a Column: literals and named Column values concatenated."""
+    parts: list[Column] = []
+    for literal, name in template_pieces(template):
+        if literal:
+            parts.append(F.lit(literal))
+        if name is not None:
+            parts.append(values[name])
+    return F.concat(*parts)
+
+
+def between(template: str, before: str, after: str | None) -> str:
+    """The literal text between two placeholders of a template (``None``: to the end)."""
+    pieces = template_pieces(template)
+    names = [n for _, n in pieces]
+    i = names.index(before)
+    j = len(pieces) - 1 if after is None else names.index(after)
+    return "".join(lit for lit, _ in pieces[i + 1:j + 1])
 
 
 def labels_frame(spark: SparkSession, labels: dict[str, str] | None = None) -> DataFrame:
@@ -81,26 +117,23 @@ def label_of(code: Column | str, override: Column | str | None = None,
 
 def example_block(src: Column, tgt: Column, src_lbl: Column, tgt_lbl: Column,
                   trailing_newline: bool = False) -> Column:
-    """F1 (and F2 with ``trailing_newline``): ``"{src_lbl}: {src}\\n\\n{tgt_lbl}: {tgt}"``."""
-    parts = [src_lbl, F.lit(": "), src, F.lit(BLOCK_SEP), tgt_lbl, F.lit(": "), tgt]
-    if trailing_newline:
-        parts.append(F.lit("\n"))
-    return F.concat(*parts)
+    """F1 (and F2 with ``trailing_newline``): ``EXAMPLE_BLOCK``."""
+    block = fill(EXAMPLE_BLOCK, src_lbl=src_lbl, src=src, tgt_lbl=tgt_lbl, tgt=tgt)
+    return F.concat(block, F.lit("\n")) if trailing_newline else block
 
 
 def final_block(src: Column, src_lbl: Column, tgt_lbl: Column, bare: bool = False) -> Column:
-    """F3 ``"{src_lbl}: {src}\\n\\n{tgt_lbl}:"``; F4 (``bare``) the document alone."""
+    """F3 ``FINAL_BLOCK``; F4 (``bare``) the document alone."""
     if bare:
         return src
-    return F.concat(src_lbl, F.lit(": "), src, F.lit(BLOCK_SEP), tgt_lbl, F.lit(":"))
+    return fill(FINAL_BLOCK, src_lbl=src_lbl, src=src, tgt_lbl=tgt_lbl)
 
 
 def instruction(tgt_lbl: Column, parity: bool = False) -> Column:
     """The few-shot instruction. ``parity`` keeps the literal ``{tgt_lbl}``."""
     if parity:
         return F.lit(FEWSHOT_INSTRUCTION)
-    head, tail = FEWSHOT_INSTRUCTION.split("{tgt_lbl}")
-    return F.concat(F.lit(head), tgt_lbl, F.lit(tail))
+    return fill(FEWSHOT_INSTRUCTION, tgt_lbl=tgt_lbl)
 
 
 def fewshot_prompt(blocks: Column, final: Column, instr: Column) -> Column:
@@ -113,18 +146,14 @@ def fewshot_prompt(blocks: Column, final: Column, instr: Column) -> Column:
 
 
 def sft_prompt(src: Column, src_lang: Column, tgt_lang: Column) -> Column:
-    """``"Translate from {s} to {t}:\\n\\n{src}\\n\\nTranslation:"`` (codes, not labels)."""
-    a, b, c, d = SFT_TEMPLATE
-    return F.concat(F.lit(a), src_lang, F.lit(b), tgt_lang, F.lit(c), src, F.lit(d))
+    """``SFT_TEMPLATE`` (codes, not labels)."""
+    return fill(SFT_TEMPLATE, src_lang=src_lang, tgt_lang=tgt_lang, src=src)
 
 
 def quickstart_prompt(src: Column, src_lang: Column, tgt_lang: Column) -> Column:
     """literal chat markup around a system sentence and the user text."""
-    head, tail = QUICKSTART_SYSTEM.split("{src}")
-    mid, end = tail.split("{tgt}")
-    system = F.concat(F.lit(head), src_lang, F.lit(mid), tgt_lang, F.lit(end))
-    m0, m1, m2 = QUICKSTART_MARKUP
-    return F.concat(F.lit(m0), system, F.lit(m1), src, F.lit(m2))
+    system = fill(QUICKSTART_SYSTEM, src=src_lang, tgt=tgt_lang)
+    return fill(QUICKSTART_TEMPLATE, system=system, text=src)
 
 
 def user_messages(prompt: Column) -> Column:
@@ -133,9 +162,8 @@ def user_messages(prompt: Column) -> Column:
 
 
 def system_user_messages(text: Column, tgt_label: Column) -> Column:
-    """system ``Translate the text below to {label}.`` + user text."""
-    head, tail = CHAT_SYSTEM_TEMPLATE.split("{label}")
-    system = F.concat(F.lit(head), tgt_label, F.lit(tail))
+    """system ``CHAT_SYSTEM_TEMPLATE`` + user text."""
+    system = fill(CHAT_SYSTEM_TEMPLATE, label=tgt_label)
     return F.array(
         F.struct(F.lit("system").alias("role"), system.alias("content")),
         F.struct(F.lit("user").alias("role"), text.alias("content")),
@@ -154,19 +182,14 @@ DEFAULT_CHAT_MARKUP = {
 def render_chat(messages: Column, markup: dict | None = None) -> Column:
     """render a message list to one string and add the generation cue."""
     m = markup or DEFAULT_CHAT_MARKUP
-    o_head, o_tail = m["open"].split("{role}")
-
-    def one(msg: Column) -> Column:
-        return F.concat(F.lit(o_head), msg["role"], F.lit(o_tail), msg["content"], F.lit(m["close"]))
-
+    one = lambda msg: render_message(msg["role"], msg["content"], m)
     return F.concat(F.array_join(F.transform(messages, one), ""), F.lit(m["generation_cue"]))
 
 
 def render_message(role: Column, content: Column, markup: dict | None = None) -> Column:
     """F10 for one message (no generation cue)."""
     m = markup or DEFAULT_CHAT_MARKUP
-    o_head, o_tail = m["open"].split("{role}")
-    return F.concat(F.lit(o_head), role, F.lit(o_tail), content, F.lit(m["close"]))
+    return F.concat(fill(m["open"], role=role), content, F.lit(m["close"]))
 
 
 def direction_name(src_lang: Column, tgt_lang: Column) -> Column:

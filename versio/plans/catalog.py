@@ -171,7 +171,8 @@ SFT_LENGTH = 64
 CHAT_USER = P.DEFAULT_CHAT_MARKUP["open"].replace("{role}", "user")
 CHAT_END = P.DEFAULT_CHAT_MARKUP["close"]
 COPY_USER = infer.CopyBetween(CHAT_USER, CHAT_END)
-COPY_QUICKSTART = infer.CopyBetween(P.QUICKSTART_MARKUP[1], P.QUICKSTART_MARKUP[2])
+COPY_QUICKSTART = infer.CopyBetween(P.between(P.QUICKSTART_TEMPLATE, "system", "text"),
+                                     P.between(P.QUICKSTART_TEMPLATE, "text", None))
 
 
 @register("fewshot_select_first_k")

@@ -8,9 +8,9 @@ Java regex both accept the ``\\x{..}`` form).
 
 from __future__ import annotations
 
-from ..functions.prompts import (CHAT_SYSTEM_TEMPLATE, DEFAULT_CHAT_MARKUP, FEWSHOT_INSTRUCTION,
-                                 LANG_LABELS, QUICKSTART_MARKUP, QUICKSTART_SYSTEM, SFT_TEMPLATE,
-                                 TASK_PAIRS)
+from ..functions.prompts import (BLOCK_SEP, CHAT_SYSTEM_TEMPLATE, DEFAULT_CHAT_MARKUP, EXAMPLE_BLOCK,
+                                 FEWSHOT_INSTRUCTION, FINAL_BLOCK, LANG_LABELS, QUICKSTART_SYSTEM,
+                                 QUICKSTART_TEMPLATE, SFT_TEMPLATE, TASK_PAIRS, template_pieces)
 from ..functions.text import NON_WS, STRIP_RE, WS
 
 
@@ -19,6 +19,20 @@ def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def fill(template: str, **exprs: str) -> str:
+    """A template as a SQL concatenation of literals and expressions."""
+    parts = []
+    for literal, name in template_pieces(template):
+        if literal:
+            parts.append(q(literal))
+        if name is not None:
+            parts.append(f"({exprs[name]})")
+    return " || ".join(parts)
+
+
+SEP = q(BLOCK_SEP)
+
+
 def strip(e: str) -> str:
     return f"regexp_replace({e}, {q(STRIP_RE)}, '', 'g')"
 
@@ -64,11 +78,8 @@ ldirs AS (
   FROM dirs d LEFT JOIN lang_labels ls ON ls.code = d.src_lang LEFT JOIN lang_labels lt ON lt.code = d.tgt_lang
 )"""
 
-_INSTR_HEAD, _INSTR_TAIL = FEWSHOT_INSTRUCTION.split("{tgt_lbl}")
-
-
 def instruction(lbl: str = "tgt_label") -> str:
-    return f"{q(_INSTR_HEAD)} || {lbl} || {q(_INSTR_TAIL)}"
+    return fill(FEWSHOT_INSTRUCTION, tgt_lbl=lbl)
 
 
 def examples_cte(k_max: int, trailing_nl: bool = False) -> str:
@@ -84,26 +95,27 @@ sel AS (
 ),
 blocks AS (
   SELECT l.pair, l.direction, s.rank,
-         l.src_label || ': ' || (CASE WHEN l.src_lang = 'eng' THEN s.src_txt ELSE s.tgt_txt END)
-           || chr(10) || chr(10) || l.tgt_label || ': '
-           || (CASE WHEN l.src_lang = 'eng' THEN s.tgt_txt ELSE s.src_txt END){nl} AS block
+         {fill(EXAMPLE_BLOCK, src_lbl="l.src_label",
+               src="CASE WHEN l.src_lang = 'eng' THEN s.src_txt ELSE s.tgt_txt END",
+               tgt_lbl="l.tgt_label",
+               tgt="CASE WHEN l.src_lang = 'eng' THEN s.tgt_txt ELSE s.src_txt END")}{nl} AS block
   FROM sel s JOIN (SELECT DISTINCT pair, direction, src_lang, src_label, tgt_label FROM ldirs) l
     ON l.pair = s.pair
 )"""
 
 
 def fewshot_prompt_sql(k: int, trailing_nl: bool = False) -> str:
-    final = "t.src_label || ': ' || t.src || chr(10) || chr(10) || t.tgt_label || ':'"
+    final = fill(FINAL_BLOCK, src_lbl="t.src_label", src="t.src", tgt_lbl="t.tgt_label")
     return f"""
 WITH {CORPUS_CTE},
 {examples_cte(k, trailing_nl)},
 agg AS (
-  SELECT pair, direction, string_agg(block, chr(10) || chr(10) ORDER BY rank) AS ex
+  SELECT pair, direction, string_agg(block, {SEP} ORDER BY rank) AS ex
   FROM blocks WHERE rank <= {k} GROUP BY pair, direction
 )
 SELECT t.pair, t.src_lang, t.tgt_lang, t.direction, {k} AS k, t.ordinal,
-       {instruction('t.tgt_label')} || chr(10) || chr(10)
-         || coalesce(a.ex || chr(10) || chr(10), '') || {final} AS prompt
+       {instruction('t.tgt_label')} || {SEP}
+         || coalesce(a.ex || {SEP}, '') || {final} AS prompt
 FROM ldirs t LEFT JOIN agg a ON a.pair = t.pair AND a.direction = t.direction
 WHERE t.subset = 'test'
 """
@@ -312,14 +324,13 @@ SELECT subset, pair, ordinal, CAST(row AS INTEGER) AS row, CAST(length(src_txt)
 ) WHERE row <= 50
 """
 
-_QS_HEAD, _QS_TAIL = QUICKSTART_SYSTEM.split("{src}")
-_QS_MID, _QS_END = _QS_TAIL.split("{tgt}")
 
 QUICKSTART = f"""
 WITH {CORPUS_CTE}
 SELECT subset, pair, ordinal,
-       {q(QUICKSTART_MARKUP[0] + _QS_HEAD)} || split_part(pair, '_', 1) || {q(_QS_MID)} || split_part(pair, '_', 2)
-         || {q(_QS_END + QUICKSTART_MARKUP[1])} || src_txt || {q(QUICKSTART_MARKUP[2])} AS prompt,
+       {fill(QUICKSTART_TEMPLATE,
+             system=fill(QUICKSTART_SYSTEM, src="split_part(pair, '_', 1)", tgt="split_part(pair, '_', 2)"),
+             text="src_txt")} AS prompt,
        {strip('src_txt')} AS pred_txt
 FROM (SELECT *, row_number() OVER (PARTITION BY subset, pair ORDER BY ordinal) AS row FROM parallel WHERE subset = 'dev')
 WHERE row <= 50
@@ -328,7 +339,6 @@ WHERE row <= 50
 _U_OPEN = DEFAULT_CHAT_MARKUP["open"].split("{role}")
 _CLOSE = DEFAULT_CHAT_MARKUP["close"]
 _CUE = DEFAULT_CHAT_MARKUP["generation_cue"]
-_SYS_HEAD, _SYS_TAIL = CHAT_SYSTEM_TEMPLATE.split("{label}")
 
 
 def _msg(role: str, content: str) -> str:
@@ -344,7 +354,7 @@ src AS (
 )
 SELECT t.pair, t.direction, t.ordinal,
        {_msg('user', 't.prompt')} || {q(_CUE)} AS user_chat,
-       {_msg('system', q(_SYS_HEAD) + ' || t.tgt_label || ' + q(_SYS_TAIL))} || {_msg('user', 's.src')} || {q(_CUE)} AS system_chat
+       {_msg('system', fill(CHAT_SYSTEM_TEMPLATE, label='t.tgt_label'))} || {_msg('user', 's.src')} || {q(_CUE)} AS system_chat
 FROM t JOIN src s ON s.pair = t.pair AND s.direction = t.direction AND s.ordinal = t.ordinal
 """
 
@@ -380,8 +390,6 @@ SCRUB = """
 SELECT doc_id, CAST(length(text) AS INTEGER) AS n_chars, true AS was_valid, true AS unchanged FROM documents
 """
 
-_SFT = SFT_TEMPLATE
-
 
 def _pad(e: str, n: int) -> str:
     return f"list_resize(list_slice({e}, 1, {n}), {n}, '<pad>')"
@@ -391,7 +399,7 @@ SFT_DATASET = f"""
 WITH {CORPUS_CTE},
 t AS (
   SELECT pair, direction, ordinal,
-         regexp_extract_all({q(_SFT[0])} || src_lang || {q(_SFT[1])} || tgt_lang || {q(_SFT[2])} || src || {q(_SFT[3])},
+         regexp_extract_all({fill(SFT_TEMPLATE, src_lang='src_lang', tgt_lang='tgt_lang', src='src')},
                             {q(NON_WS + '+')}) AS pt,
          regexp_extract_all(tgt, {q(NON_WS + '+')}) AS tt
   FROM ldirs
