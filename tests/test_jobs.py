@@ -17,11 +17,11 @@ USER = P.DEFAULT_CHAT_MARKUP["open"].replace("{role}", "user")
 COPY = infer.CopyBetween(USER, P.DEFAULT_CHAT_MARKUP["close"])
 
 
-def test_pipeline_writes_and_scores(spark, tmp):
+def test_translation_job_writes_and_scores(spark, tmp):
     corpus = fixture_corpus(spark, SF001)
-    cfg = jobs.PipelineConfig(ks=[1], dialect="bare", chat="system_user", model="org/Some-Model:v1",
+    cfg = jobs.JobConfig(ks=[1], dialect="bare", chat="system_user", model="org/Some-Model:v1",
                               expected_pairs=["eng_hin"])
-    out = jobs.run_pipeline(spark, corpus, COPY, cfg, out_root=tmp)
+    out = jobs.run_translation_job(spark, corpus, COPY, cfg, out_root=tmp)
     scores = {r.direction: r for r in out["scores"].collect()}
     assert set(scores) == {"eng_2_fr", "fr_2_eng", "eng_2_de", "de_2_eng", "eng_2_es", "es_2_eng"}
     assert all(r.status == "ok" and r.n_segments == r.n_ref > 0 for r in scores.values())

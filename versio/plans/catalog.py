@@ -330,21 +330,21 @@ def q_pair_truncating_zip(spark, sf_dir):
     return align_op.truncating_counts(counts, pairs, ["pair"])
 
 
-# --- evaluation reports and the end-to-end pipeline -------------------------------
+# --- evaluation reports and the end-to-end job -------------------------------------
 
 from ..plans import jobs  # noqa: E402
 
-E2E = jobs.PipelineConfig(ks=[1], dialect="bare", chat="system_user", model=DEMO_MODEL,
+E2E = jobs.JobConfig(ks=[1], dialect="bare", chat="system_user", model=DEMO_MODEL,
                           expected_pairs=P.TASK_PAIRS)
 
 
 def _e2e(spark, sf_dir):
     corpus = fixture_corpus(spark, sf_dir)
-    return jobs.run_pipeline(spark, corpus, COPY_USER, E2E)
+    return jobs.run_translation_job(spark, corpus, COPY_USER, E2E)
 
 
-@register("pipeline_end_to_end")
-def q_pipeline_end_to_end(spark, sf_dir):
+@register("end_to_end_scores")
+def q_end_to_end_scores(spark, sf_dir):
     """Bare prompts -> system+user chat -> model (stand-in) -> clean -> align -> chrF -> rank."""
     out = _e2e(spark, sf_dir)
     return out["ranked"].select("pair", "direction", "k", "n_ref", "n_hyp", "status", "n_segments", "chrf", "rank")

@@ -26,7 +26,7 @@ KEYS = ["pair", "src_lang", "tgt_lang", "direction", "k", "ordinal"]
 
 
 @dataclass
-class PipelineConfig:
+class JobConfig:
     ks: list[int] = field(default_factory=lambda: [1])
     dialect: str = "fewshot"           # fewshot | fewshot_nl | bare
     chat: str = "user"                 # user (F8) | system_user (F9) | none
@@ -39,7 +39,7 @@ class PipelineConfig:
     top: int = 5
 
 
-def model_input(prompts: DataFrame, cfg: PipelineConfig) -> DataFrame:
+def model_input(prompts: DataFrame, cfg: JobConfig) -> DataFrame:
     """F8/F9 + F10: the text the model receives."""
     if cfg.chat == "none":
         return prompts.withColumn("model_input", F.col("prompt"))
@@ -51,7 +51,7 @@ def model_input(prompts: DataFrame, cfg: PipelineConfig) -> DataFrame:
     return prompts.withColumn("model_input", P.render_chat(msgs, cfg.chat_markup))
 
 
-def run_predictions(corpus: DataFrame, engine_factory, cfg: PipelineConfig) -> DataFrame:
+def run_predictions(corpus: DataFrame, engine_factory, cfg: JobConfig) -> DataFrame:
     """Prompts -> model -> cleaned predictions keyed by ``KEYS``."""
     prompts = fewshot.build_prompts(corpus, cfg.ks, cfg.dialect, cfg.parity)
     mi = model_input(prompts, cfg)
@@ -79,7 +79,7 @@ def expected_directions(spark: SparkSession, corpus: DataFrame, extra_pairs: lis
                                           F.struct(b.alias("src_lang"), a.alias("tgt_lang")))).alias("d")).select("d.*")
 
 
-def run_pipeline(spark: SparkSession, corpus: DataFrame, engine_factory, cfg: PipelineConfig,
+def run_translation_job(spark: SparkSession, corpus: DataFrame, engine_factory, cfg: JobConfig,
                  out_root: str | None = None) -> dict[str, DataFrame]:
     """Corpus -> prompts -> predictions -> scores -> coverage, ranking, top-k.
 
@@ -149,4 +149,4 @@ def build_training_set(pairs: DataFrame, max_length: int = 512, tokenize=None,
     return t
 
 
-__all__ = ["PipelineConfig", "run_pipeline", "quickstart", "build_training_set", "with_labels"]
+__all__ = ["JobConfig", "run_translation_job", "quickstart", "build_training_set", "with_labels"]

@@ -493,7 +493,7 @@ FROM r WHERE rank <= 5
 """
 
 ORACLE.update({
-    "pipeline_end_to_end": PIPELINE_E2E,
+    "end_to_end_scores": PIPELINE_E2E,
     "eval_coverage": EVAL_COVERAGE,
     "eval_tally": EVAL_TALLY,
     "score_ranking_top5": SCORE_TOP5,
