@@ -450,7 +450,7 @@ ORACLE.update({
 })
 
 
-PIPELINE_E2E = f"""
+END_TO_END_SQL = f"""
 WITH s AS ({CHRF_BY_DIRECTION})
 SELECT pair, direction, 1 AS k, n_ref, n_hyp, status, n_segments, chrf,
        CAST(row_number() OVER (ORDER BY chrf DESC, direction ASC) AS INTEGER) AS rank
@@ -493,7 +493,7 @@ FROM r WHERE rank <= 5
 """
 
 ORACLE.update({
-    "end_to_end_scores": PIPELINE_E2E,
+    "end_to_end_scores": END_TO_END_SQL,
     "eval_coverage": EVAL_COVERAGE,
     "eval_tally": EVAL_TALLY,
     "score_ranking_top5": SCORE_TOP5,
