@@ -64,3 +64,31 @@ def test_scan_parallel_prunes_partitions(spark, tmp):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(subset" in plan and "pair" in plan
     assert df.count() == corpus.where("subset = 'dev' AND pair = 'eng_fr'").count()
+
+
+def test_jsonl_tree_to_scores(spark, tmp):
+    """The user path: JSONL tree -> ingest -> stored table -> job -> same scores as the direct computation."""
+    import json
+    import os
+    from versio.operators import chrf as C
+    from versio.operators.directions import expand_directions
+    from versio.sources.corpus import ingest_jsonl
+    corpus = fixture_corpus(spark, SF001)
+    rows = corpus.orderBy("subset", "pair", "ordinal").collect()   # small fixture only
+    for r in rows:
+        a, b = r.pair.split("_")
+        d = f"{tmp}/data/{r.subset}/{r.pair}"
+        os.makedirs(d, exist_ok=True)
+        for lang, text in ((a, r.src_txt), (b, r.tgt_txt)):
+            with open(f"{d}/doc.{lang}.jsonl", "a", encoding="utf-8") as f:
+                f.write(json.dumps([text], ensure_ascii=False) + "\n")
+    parallel, rejects, check = ingest_jsonl(spark, f"{tmp}/data", strict=True)
+    assert rejects.count() == 0 and parallel.count() == len(rows)
+    write_parallel(parallel, f"{tmp}/parallel")
+    stored = scan_parallel(spark, f"{tmp}/parallel")
+    cfg = jobs.JobConfig(ks=[1], dialect="bare", chat="system_user")
+    out = jobs.run_translation_job(spark, stored, COPY, cfg)
+    got = {r.direction: r.chrf for r in out["scores"].collect()}
+    d = expand_directions(corpus.where("subset = 'test'"))
+    want = {r.direction: r.chrf for r in C.chrf_by(d, "src", "tgt", ["direction"], ["ordinal"]).collect()}
+    assert got == want
