@@ -1,6 +1,5 @@
 """Few-shot selection (T1/T2), prompt assembly (F1-F5), plan shape."""
 import pytest
-from pyspark.sql import functions as F
 
 from versio.functions.prompts import FEWSHOT_INSTRUCTION
 from versio.operators import fewshot

@@ -5,7 +5,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from conftest import SF001
+
 from versio.operators import infer, sft
 from versio.streaming.predictions import prompt_stream, stream_predictions
 

@@ -4,7 +4,6 @@ from collections import Counter
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from conftest import SF001
 from versio.functions.chrf import corpus_score, py_chrf, segment_stats

@@ -8,11 +8,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import fewshot
-from ..sources.corpus import fixture_corpus, table
+from ..functions import prompts as P
+from ..functions.text import clean_generation, in_word_band, scrub, split_lines, stop_cut, strip_ws, word_count
+from ..operators import align as align_op
+from ..operators import chrf as chrf_op
+from ..operators import fewshot, infer, report, sft
+from ..operators.directions import expand_directions, pair_langs, resolve_sampling, shot_sweep, with_labels
+from ..plans import jobs
+from ..sources import readers
+from ..sources.corpus import fixture_corpus, fixture_ranked_documents, table, zip_sides
+from ..sources.sinks import jsonl_line
 
 PROMPT_COLS = ["pair", "src_lang", "tgt_lang", "direction", "k", "ordinal", "prompt"]
 
@@ -40,11 +48,6 @@ def q_fewshot_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- sources, text and directions ---------------------------------------------------
 
-from ..functions import prompts as P  # noqa: E402
-from ..functions.text import in_word_band, is_blank, split_lines, strip_ws, word_count  # noqa: E402
-from ..operators.directions import expand_directions, pair_langs, with_labels  # noqa: E402
-from ..sources import readers  # noqa: E402
-from ..sources.sinks import jsonl_line  # noqa: E402
 
 DEMO_MODEL = "example-org/Demo-Model:v1"
 
@@ -133,7 +136,6 @@ def q_directions_with_labels(spark, sf_dir):
 
 # --- scoring --------------------------------------------------------------------------
 
-from ..operators import chrf as chrf_op  # noqa: E402
 
 SCORE_COLS = ["pair", "direction", "n_ref", "n_hyp", "status", "n_segments", "chrf"]
 
@@ -159,11 +161,6 @@ def q_chrf_by_direction(spark, sf_dir):
 
 # --- few-shot selection, dialects, quick start ---------------------------------------
 
-from ..functions.text import scrub  # noqa: E402
-from ..operators import align as align_op  # noqa: E402
-from ..operators import infer, report, sft  # noqa: E402
-from ..operators.directions import resolve_sampling, shot_sweep  # noqa: E402
-from ..sources.corpus import fixture_ranked_documents  # noqa: E402
 
 SWEEP_KS = [0, 1, 3, 8]
 QUICKSTART_N = 50
@@ -210,7 +207,6 @@ def q_fewshot_prompt_k3(spark, sf_dir):
 
 
 def _first_n(corpus, n):
-    from pyspark.sql import Window
     w = Window.partitionBy("subset", "pair").orderBy("ordinal")
     return corpus.withColumn("row", F.row_number().over(w)).where(F.col("row") <= n)
 
@@ -264,7 +260,6 @@ def q_stop_and_clean(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", strip_ws("text").alias("gen"))
     prompt = F.split_part(F.col("gen"), F.lit("\n"), F.lit(1))
     output = F.substring(F.col("gen"), F.length(prompt) + 1, 1 << 30)
-    from ..functions.text import clean_generation, stop_cut
     return d.select("doc_id", clean_generation(F.concat(prompt, stop_cut(output, "\n\n")), prompt).alias("pred"))
 
 
@@ -303,7 +298,6 @@ def _side_counts(spark, sf_dir, by_subset):
 
     Counts are a partial aggregate; the window runs over that tiny table only.
     """
-    from pyspark.sql import Window
     r = fixture_ranked_documents(spark, sf_dir)
     keys = []
     if by_subset:
@@ -332,7 +326,6 @@ def q_pair_truncating_zip(spark, sf_dir):
 
 # --- evaluation reports and the end-to-end job -------------------------------------
 
-from ..plans import jobs  # noqa: E402
 
 E2E = jobs.JobConfig(ks=[1], dialect="bare", chat="system_user", model=DEMO_MODEL,
                           expected_pairs=P.TASK_PAIRS)
@@ -384,7 +377,6 @@ def q_jsonl_ingest_zip(spark, sf_dir):
     Lines carry their keys (split, pair, language, line position) as the file
     layout would; blank lines would reject their pair without shifting it.
     """
-    from ..sources.corpus import zip_sides
     r = fixture_ranked_documents(spark, sf_dir)
     subset = F.when(F.pmod(F.col("ordinal"), F.lit(5)) == 0, F.lit("dev")).otherwise(F.lit("test"))
     langs = [x.lang for x in r.where(F.col("lang") != "en").select("lang").distinct().collect()]

@@ -18,7 +18,7 @@ from ..functions.text import strip_ws
 from ..operators import align as align_op
 from ..operators import chrf as chrf_op
 from ..operators import fewshot, infer, report, sft
-from ..operators.directions import expand_directions, pair_langs, with_labels
+from ..operators.directions import expand_directions, pair_langs
 from ..session import materialize
 from ..sources import sinks
 
@@ -149,4 +149,4 @@ def build_training_set(pairs: DataFrame, max_length: int = 512, tokenize=None,
     return t
 
 
-__all__ = ["JobConfig", "run_translation_job", "quickstart", "build_training_set", "with_labels"]
+__all__ = ["JobConfig", "run_translation_job", "quickstart", "build_training_set"]
