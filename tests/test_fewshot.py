@@ -71,3 +71,37 @@ def test_plan_has_group_limit_and_broadcast(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
     assert "BroadcastHashJoin" in plan
+
+
+def _nodes(plan):
+    """All physical nodes, looking through adaptive wrappers and query stages."""
+    out, stack = [], [plan]
+    while stack:
+        p = stack.pop()
+        name = p.nodeName()
+        if name == "AdaptiveSparkPlan":
+            stack.append(p.executedPlan())
+            continue
+        if "QueryStage" in name:
+            stack.append(p.plan())
+            continue
+        out.append(p)
+        ch = p.children()
+        stack.extend(ch.apply(i) for i in range(ch.size()))
+    return out
+
+
+def test_hot_pair_ships_at_most_k_rows_per_task(spark):
+    """One pair holds ~98% of the dev rows; the selection exchange still moves <= k rows per pair per task."""
+    rows = [("dev", "eng_hin", i, EN + f" {i}", f"t{i}") for i in range(4000)]
+    rows += [("dev", "eng_tam", i, EN + f" {i}", f"t{i}") for i in range(40)]
+    rows += [("test", p, 10_000 + i, f"doc {i}", f"ref {i}") for p in ("eng_hin", "eng_tam") for i in range(20)]
+    c = corpus(spark, rows).repartition(8)
+    df = fewshot.build_prompts(c, [2])
+    qe = df._jdf.queryExecution()
+    assert qe.toRdd().count() == 80
+    ex = [n for n in _nodes(qe.executedPlan())
+          if n.nodeName() == "Exchange" and n.children().apply(0).nodeName() == "WindowGroupLimit"]
+    assert ex, "partial WindowGroupLimit must feed the exchange"
+    written = ex[0].metrics().apply("shuffleRecordsWritten").value()
+    assert 0 < written <= 8 * 2 * 2  # tasks x pairs x k (vs 4040 candidate rows)
