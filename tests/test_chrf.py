@@ -76,3 +76,17 @@ def test_partial_aggregate_in_plan(spark):
     d = _docs(spark)
     plan = C.chrf_by(d, "hyp", "ref", ["lang"], ["doc_id"])._jdf.queryExecution().executedPlan().toString()
     assert "MapInPandas" in plan and "partial_sum" in plan
+
+
+def test_hot_direction_moves_only_partial_sums(spark):
+    """One direction holds ~99% of the segments; its aggregate exchange moves one row per task."""
+    from test_fewshot import _nodes
+    rows = [("eng_2_hin" if i % 100 else "hin_2_eng", i, f"text number {i}", f"text {i} number") for i in range(3000)]
+    d = spark.createDataFrame(rows, "direction string, ordinal long, hyp string, ref string").repartition(8)
+    df = C.chrf_by(d, "hyp", "ref", ["direction"], ["ordinal"])
+    qe = df._jdf.queryExecution()
+    assert qe.toRdd().count() == 2
+    ex = [n for n in _nodes(qe.executedPlan())
+          if n.nodeName() == "Exchange" and n.children().apply(0).nodeName() == "HashAggregate"]
+    written = ex[0].metrics().apply("shuffleRecordsWritten").value()
+    assert 0 < written <= 8 * 2      # tasks x directions, not 3000 segments
