@@ -92,3 +92,15 @@ def test_jsonl_tree_to_scores(spark, tmp):
     d = expand_directions(corpus.where("subset = 'test'"))
     want = {r.direction: r.chrf for r in C.chrf_by(d, "src", "tgt", ["direction"], ["ordinal"]).collect()}
     assert got == want
+
+
+def test_prediction_overwrite_keeps_other_runs(spark, tmp):
+    from versio.sources.sinks import write_predictions
+    schema = "pair string, model string, shot string, direction string, ordinal long, pred string"
+    a = spark.createDataFrame([("eng_hin", "m1", "shot1", "eng_2_hin", 0, "a")], schema)
+    b = spark.createDataFrame([("eng_hin", "m2", "shot1", "eng_2_hin", 0, "b")], schema)
+    write_predictions(a, tmp + "/p", mode="overwrite")
+    write_predictions(b, tmp + "/p", mode="overwrite")
+    write_predictions(b.withColumn("pred", F.lit("b2")), tmp + "/p", mode="overwrite")
+    got = sorted((r.model, r.pred) for r in spark.read.parquet(tmp + "/p").collect())
+    assert got == [("m1", "a"), ("m2", "b2")]

@@ -35,10 +35,15 @@ def run_layout(df: DataFrame, model: str, k_col: str = "k") -> DataFrame:
 
 
 def write_predictions(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Predictions keyed by ``(pair, model, shot, direction, ordinal)``."""
+    """Predictions keyed by ``(pair, model, shot, direction, ordinal)``.
+
+    ``overwrite`` replaces only the (pair, model, shot, direction) directories
+    being written (dynamic partition overwrite); other runs stay.
+    """
     parts = ["pair", "model", "shot", "direction"]
     (df.select(*parts, "ordinal", "pred").hint("rebalance", *parts)
-       .write.mode(mode).partitionBy(*parts).parquet(path))
+       .write.mode(mode).option("partitionOverwriteMode", "dynamic")
+       .partitionBy(*parts).parquet(path))
 
 
 def predictions_jsonl_view(df: DataFrame, pred_col: str = "pred") -> DataFrame:
