@@ -122,3 +122,15 @@ def test_random_texts_round_trip_through_all_readers(spark):
         t = texts[r.i]
         assert json.loads(r.line) == [t]
         assert r.s == t.strip() and r.c == t.strip() and r.p == t
+
+
+def test_lone_surrogate_escapes_dropped_like_python(spark, tmp):
+    from versio.sources.readers import read_text_pairs
+    lines = ['{"text": "a\\ud800b"}', '{"text": "x\\udc00\\ud83d\\ude00y"}', '{"text": "keep \\\\ud800 literal"}']
+    s, t = tmp + "/s.jsonl", tmp + "/t.jsonl"
+    write_lines(s, lines)
+    write_lines(t, ['{"text": "ok"}'] * 3)
+    good, _ = read_text_pairs(spark, s, t, "eng", "hin")
+    got = [r.src for r in good.orderBy("ordinal").collect()]
+    want = [json.loads(x)["text"].encode("utf-8", "ignore").decode("utf-8", "ignore") for x in lines]
+    assert got == want == ["ab", "x\U0001F600y", "keep \\ud800 literal"]

@@ -111,6 +111,21 @@ def scrub(c: Column | str) -> Column:
     return F.make_valid_utf8(_col(c))
 
 
+# An escaped backslash, a valid surrogate-pair escape, or a lone surrogate escape.
+_SURROGATE_ESCAPES = (r"(\\\\)|(\\u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2})"
+                      r"|\\u[dD][89a-fA-F][0-9a-fA-F]{2}")
+
+
+def drop_lone_surrogate_escapes(line: Column | str) -> Column:
+    """F13 for JSON text: remove ``\\uD800``-``\\uDFFF`` escapes that do not form a pair.
+
+    Python decodes such escapes to lone surrogates, which the training reader
+    then drops (UTF-8 encode/decode with ``ignore``); Spark's JSON parser
+    would turn them into ``?``. Escaped backslashes and valid pairs are kept.
+    """
+    return F.regexp_replace(_col(line), _SURROGATE_ESCAPES, "$1$2")
+
+
 def split_lines(c: Column | str) -> Column:
     """Split a text into lines on \\n, \\r and \\r\\n only."""
     return F.split(_col(c), LINE_SPLIT_RE, -1)

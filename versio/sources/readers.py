@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import is_blank, scrub, strip_ws
+from ..functions.text import drop_lone_surrogate_escapes, is_blank, scrub, strip_ws
 from .ordinals import line_ordinals
 
 
@@ -134,8 +134,10 @@ def read_text_pairs(spark: SparkSession, src_path: str, tgt_path: str,
     where either side fails to parse is dropped and reported.
     pairs: ``ordinal, src, tgt, src_lang, tgt_lang``; rejects: ``line, reason``.
     """
-    s = numbered_lines(spark, src_path, make_valid=True).select("ordinal", F.col("value").alias("s"))
-    t = numbered_lines(spark, tgt_path, make_valid=True).select("ordinal", F.col("value").alias("t"))
+    s = numbered_lines(spark, src_path, make_valid=True).select(
+        "ordinal", drop_lone_surrogate_escapes("value").alias("s"))
+    t = numbered_lines(spark, tgt_path, make_valid=True).select(
+        "ordinal", drop_lone_surrogate_escapes("value").alias("t"))
     z = s.join(t, "ordinal").select("ordinal", parse_text_object(F.col("s")).alias("src"),
                                     parse_text_object(F.col("t")).alias("tgt"))
     good = z.where(F.col("src").isNotNull() & F.col("tgt").isNotNull()).select(
