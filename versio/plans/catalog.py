@@ -406,3 +406,22 @@ def q_conversation_turns_render(spark, sf_dir):
              .select("conv_id", "turn", "role",
                      F.when(F.col("turn") == F.col("_last"), F.concat(msg, F.lit(cue))).otherwise(msg)
                       .alias("rendered")))
+
+
+@register("sft_text_pairs")
+def q_sft_text_pairs(spark, sf_dir):
+    """Every document as a ``{"text": ...}`` line of its language file, zipped per pair.
+
+    English lines appear once per pair (its own file); texts are taken as the
+    training reader sees them (not stripped).
+    """
+    r = fixture_ranked_documents(spark, sf_dir)
+    langs = sorted(x.lang for x in r.where(F.col("lang") != "en").select("lang").distinct().collect())
+    obj = F.to_json(F.struct(F.col("text").alias("text")))
+    src = r.where(F.col("lang") == "en").select(
+        F.explode(F.array(*[F.lit("eng_" + x) for x in langs])).alias("pair"), "ordinal", obj.alias("value"))
+    tgt = r.where(F.col("lang") != "en").select(
+        F.concat(F.lit("eng_"), F.col("lang")).alias("pair"), "ordinal", obj.alias("value"))
+    good, rejects = readers.zip_text_objects(src, tgt, ["pair", "ordinal"])
+    return good.select("pair", "ordinal", F.md5("src").alias("src_md5"), F.md5("tgt").alias("tgt_md5"),
+                       F.length("src").alias("src_chars"), F.length("tgt").alias("tgt_chars"))

@@ -517,3 +517,15 @@ FROM c
 """
 
 ORACLE["conversation_turns_render"] = CONVERSATION_TURNS
+
+
+SFT_TEXT_PAIRS = """
+WITH ranked AS (
+  SELECT lang, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS ordinal FROM documents
+)
+SELECT 'eng_' || x.lang AS pair, x.ordinal, md5(e.text) AS src_md5, md5(x.text) AS tgt_md5,
+       CAST(length(e.text) AS INTEGER) AS src_chars, CAST(length(x.text) AS INTEGER) AS tgt_chars
+FROM ranked e JOIN ranked x ON e.ordinal = x.ordinal AND e.lang = 'en' AND x.lang <> 'en'
+"""
+
+ORACLE["sft_text_pairs"] = SFT_TEXT_PAIRS

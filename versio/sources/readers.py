@@ -126,23 +126,33 @@ def read_scored(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("_file", "ordinal", parse_score(F.col("value")).alias("text"))
 
 
-def read_text_pairs(spark: SparkSession, src_path: str, tgt_path: str,
-                    src_lang: str, tgt_lang: str) -> tuple[DataFrame, DataFrame]:
-    """S6 + J2 + F13: ``(pairs, rejects)`` from two ``{"text"}`` files.
+def zip_text_objects(src: DataFrame, tgt: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """S6 + J2 on keyed lines: both sides ``keys + [value]`` of ``{"text": ...}`` lines.
 
-    Lines are zipped by position (truncating at the shorter file); a position
-    where either side fails to parse is dropped and reported.
-    pairs: ``ordinal, src, tgt, src_lang, tgt_lang``; rejects: ``line, reason``.
+    Lines meet on ``keys`` (truncating: a key on one side only is not a pair);
+    a key where either side fails to parse is rejected, as the reference skips
+    the whole pair. Lone surrogate escapes are dropped before parsing (F13).
+    Returns ``(pairs: keys + src, tgt; rejects: keys + reason)``.
     """
-    s = numbered_lines(spark, src_path, make_valid=True).select(
-        "ordinal", drop_lone_surrogate_escapes("value").alias("s"))
-    t = numbered_lines(spark, tgt_path, make_valid=True).select(
-        "ordinal", drop_lone_surrogate_escapes("value").alias("t"))
-    z = s.join(t, "ordinal").select("ordinal", parse_text_object(F.col("s")).alias("src"),
-                                    parse_text_object(F.col("t")).alias("tgt"))
-    good = z.where(F.col("src").isNotNull() & F.col("tgt").isNotNull()).select(
-        "ordinal", "src", "tgt", F.lit(src_lang).alias("src_lang"), F.lit(tgt_lang).alias("tgt_lang"))
+    s = src.select(*keys, parse_text_object(drop_lone_surrogate_escapes("value")).alias("src"))
+    t = tgt.select(*keys, parse_text_object(drop_lone_surrogate_escapes("value")).alias("tgt"))
+    z = s.join(t, keys)
+    good = z.where(F.col("src").isNotNull() & F.col("tgt").isNotNull())
     rejects = z.where(F.col("src").isNull() | F.col("tgt").isNull()).select(
-        (F.col("ordinal") + 1).alias("line"),
-        F.when(F.col("src").isNull(), F.lit("source not a {text} object")).otherwise(F.lit("target not a {text} object")).alias("reason"))
+        *keys, F.when(F.col("src").isNull(), F.lit("source not a {text} object"))
+                .otherwise(F.lit("target not a {text} object")).alias("reason"))
     return good, rejects
+
+
+def read_text_pairs(spark: SparkSession, src_path: str, tgt_path: str,
+                    src_lang: str, tgt_lang: str) -> tuple[DataFrame, DataFrame]:
+    """S6 + J2 + F13 over two ``{"text"}`` files: ``(pairs, rejects)``.
+
+    pairs: ``ordinal, src, tgt, src_lang, tgt_lang``; rejects: ``line`` (1-based), ``reason``.
+    Undecodable bytes become U+FFFD on read.
+    """
+    s = numbered_lines(spark, src_path, make_valid=True).select("ordinal", "value")
+    t = numbered_lines(spark, tgt_path, make_valid=True).select("ordinal", "value")
+    good, rejects = zip_text_objects(s, t, ["ordinal"])
+    return (good.select("ordinal", "src", "tgt", F.lit(src_lang).alias("src_lang"), F.lit(tgt_lang).alias("tgt_lang")),
+            rejects.select((F.col("ordinal") + 1).alias("line"), "reason"))
