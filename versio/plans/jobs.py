@@ -92,7 +92,8 @@ def run_translation_job(spark: SparkSession, corpus: DataFrame, engine_factory,
         laid = sinks.run_layout(preds, cfg.model)
         sinks.write_predictions(laid, f"{out_root}/predictions", mode="overwrite")
         preds = (spark.read.parquet(f"{out_root}/predictions")
-                 .where(F.col("model") == P.model_dir_name(F.lit(cfg.model)))
+                 .where((F.col("model") == P.model_dir_name(F.lit(cfg.model)))
+                        & F.col("shot").isin([f"shot{k}" for k in cfg.ks]))
                  .withColumn("k", F.regexp_extract("shot", r"^shot(\d+)$", 1).cast("int"))
                  .withColumn("src_lang", F.split_part("direction", F.lit("_2_"), F.lit(1)))
                  .withColumn("tgt_lang", F.split_part("direction", F.lit("_2_"), F.lit(2)))
