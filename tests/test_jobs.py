@@ -104,3 +104,39 @@ def test_prediction_overwrite_keeps_other_runs(spark, tmp):
     write_predictions(b.withColumn("pred", F.lit("b2")), tmp + "/p", mode="overwrite")
     got = sorted((r.model, r.pred) for r in spark.read.parquet(tmp + "/p").collect())
     assert got == [("m1", "a"), ("m2", "b2")]
+
+
+class RecordingCopy:
+    """CopyBetween stand-in that records how many prompts each model call saw."""
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def __call__(self):
+        import os
+        import uuid
+        inner = COPY()
+
+        def gen(prompts):
+            with open(os.path.join(self.folder, uuid.uuid4().hex), "w") as f:
+                f.write(str(len(prompts)))
+            return inner(prompts)
+        return gen
+
+
+def test_resume_runs_only_pending_prompts(spark, tmp):
+    import os
+    corpus = fixture_corpus(spark, SF001)
+    calls1, calls2 = tmp + "/calls1", tmp + "/calls2"
+    os.makedirs(calls1)
+    os.makedirs(calls2)
+    cfg = jobs.JobConfig(ks=[1], dialect="bare", chat="system_user", model="m", resume=True)
+    first = corpus.where("pair = 'eng_fr'")
+    jobs.run_translation_job(spark, first, RecordingCopy(calls1), cfg, out_root=tmp + "/run")
+    out = jobs.run_translation_job(spark, corpus, RecordingCopy(calls2), cfg, out_root=tmp + "/run")
+    seen = [sum(int(open(os.path.join(d, f)).read()) for f in os.listdir(d)) for d in (calls1, calls2)]
+    n_test = corpus.where("subset = 'test'").count()
+    n_fr = first.where("subset = 'test'").count()
+    assert seen == [2 * n_fr, 2 * (n_test - n_fr)]
+    scores = out["scores"].collect()
+    assert len(scores) == 6 and all(r.status == "ok" for r in scores)

@@ -37,6 +37,7 @@ class JobConfig:
     parity: bool = False
     expected_pairs: list[str] | None = None
     top: int = 5
+    resume: bool = False               # skip prompts already predicted under out_root
 
 
 def model_input(prompts: DataFrame, cfg: JobConfig) -> DataFrame:
@@ -51,13 +52,36 @@ def model_input(prompts: DataFrame, cfg: JobConfig) -> DataFrame:
     return prompts.withColumn("model_input", P.render_chat(msgs, cfg.chat_markup))
 
 
-def run_predictions(corpus: DataFrame, engine_factory, cfg: JobConfig) -> DataFrame:
-    """Prompts -> model -> cleaned predictions keyed by ``KEYS``."""
+def run_predictions(corpus: DataFrame, engine_factory, cfg: JobConfig, done: DataFrame | None = None) -> DataFrame:
+    """Prompts -> model -> cleaned predictions keyed by ``KEYS``.
+
+    ``done`` (keys of predictions already written) is anti-joined away first,
+    so a resumed run sends only the remaining prompts to the model.
+    """
     prompts = fewshot.build_prompts(corpus, cfg.ks, cfg.dialect, cfg.parity)
+    if done is not None:
+        prompts = infer.pending(prompts, done, KEYS)
     mi = model_input(prompts, cfg)
     return infer.predictions(mi, "model_input", engine_factory, KEYS, cfg.batch_size, cfg.stop)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def read_predictions(spark: SparkSession, root: str, cfg: JobConfig) -> DataFrame:
+    """Predictions of this model and these shots from the run layout, keyed by ``KEYS``."""
+    return (spark.read.parquet(root)
+            .where((F.col("model") == P.model_dir_name(F.lit(cfg.model)))
+                   & F.col("shot").isin([f"shot{k}" for k in cfg.ks]))
+            .withColumn("k", F.regexp_extract("shot", r"^shot(\d+)$", 1).cast("int"))
+            .withColumn("src_lang", F.split_part("direction", F.lit("_2_"), F.lit(1)))
+            .withColumn("tgt_lang", F.split_part("direction", F.lit("_2_"), F.lit(2)))
+            .select(*KEYS, "pred"))
+
+
 def references(corpus: DataFrame, ks: list[int]) -> DataFrame:
     d = expand_directions(corpus.where(F.col("subset") == "test"))
     d = d.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
@@ -80,26 +104,26 @@ def expected_directions(spark: SparkSession, corpus: DataFrame, extra_pairs: lis
 
 
 def run_translation_job(spark: SparkSession, corpus: DataFrame, engine_factory, cfg: JobConfig,
-                 out_root: str | None = None) -> dict[str, DataFrame]:
+                        out_root: str | None = None) -> dict[str, DataFrame]:
     """Corpus -> prompts -> predictions -> scores -> coverage, ranking, top-k.
 
     With ``out_root`` predictions and the score table are written
     (``predictions/`` partitioned by pair, model, shot, direction; ``scores/``
-    TSV); otherwise predictions are checkpointed.
+    TSV); otherwise predictions are checkpointed. With ``cfg.resume`` a run
+    over an existing ``out_root`` sends only prompts without a prediction to
+    the model and appends their predictions.
     """
-    preds = run_predictions(corpus, engine_factory, cfg)
     if out_root:
-        laid = sinks.run_layout(preds, cfg.model)
-        sinks.write_predictions(laid, f"{out_root}/predictions", mode="overwrite")
-        preds = (spark.read.parquet(f"{out_root}/predictions")
-                 .where((F.col("model") == P.model_dir_name(F.lit(cfg.model)))
-                        & F.col("shot").isin([f"shot{k}" for k in cfg.ks]))
-                 .withColumn("k", F.regexp_extract("shot", r"^shot(\d+)$", 1).cast("int"))
-                 .withColumn("src_lang", F.split_part("direction", F.lit("_2_"), F.lit(1)))
-                 .withColumn("tgt_lang", F.split_part("direction", F.lit("_2_"), F.lit(2)))
-                 .select(*KEYS, "pred"))
+        root = f"{out_root}/predictions"
+        resuming = cfg.resume and _exists(spark, root)
+        # Keys already written, fixed before this run appends to the same folder.
+        done = materialize(read_predictions(spark, root, cfg).select(*KEYS)) if resuming else None
+        preds = run_predictions(corpus, engine_factory, cfg, done)
+        sinks.write_predictions(sinks.run_layout(preds, cfg.model), root,
+                                mode="append" if resuming else "overwrite")
+        preds = read_predictions(spark, root, cfg)
     else:
-        preds = materialize(preds)
+        preds = materialize(run_predictions(corpus, engine_factory, cfg))
     refs = references(corpus, cfg.ks)
     scores = score(preds, refs)
     if out_root:
