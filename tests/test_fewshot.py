@@ -105,3 +105,12 @@ def test_hot_pair_ships_at_most_k_rows_per_task(spark):
     assert ex, "partial WindowGroupLimit must feed the exchange"
     written = ex[0].metrics().apply("shuffleRecordsWritten").value()
     assert 0 < written <= 8 * 2 * 2  # tasks x pairs x k (vs 4040 candidate rows)
+
+
+def test_prompts_same_at_1_and_8_partitions(spark):
+    from versio.sources.corpus import fixture_corpus
+    from conftest import SF001
+    c = fixture_corpus(spark, SF001)
+    one = fewshot.build_prompts(c.coalesce(1), [0, 1, 3]).select("direction", "k", "ordinal", "prompt")
+    many = fewshot.build_prompts(c.repartition(8), [0, 1, 3]).select("direction", "k", "ordinal", "prompt")
+    assert one.exceptAll(many).count() == 0 and many.exceptAll(one).count() == 0
