@@ -123,7 +123,10 @@ def drop_lone_surrogate_escapes(line: Column | str) -> Column:
     then drops (UTF-8 encode/decode with ``ignore``); Spark's JSON parser
     would turn them into ``?``. Escaped backslashes and valid pairs are kept.
     """
-    return F.regexp_replace(_col(line), _SURROGATE_ESCAPES, "$1$2")
+    c = _col(line)
+    # Fast path: only lines holding a \\uD.. escape can need the regex.
+    maybe = c.contains("\\ud") | c.contains("\\uD")
+    return F.when(maybe, F.regexp_replace(c, _SURROGATE_ESCAPES, "$1$2")).otherwise(c)
 
 
 def split_lines(c: Column | str) -> Column:
