@@ -29,18 +29,21 @@ def expand_directions(df: DataFrame, src_col: str = "src_txt", tgt_col: str = "t
     """Each pair row becomes an ``eng->x`` and an ``x->eng`` row.
 
     Output adds ``src_lang, tgt_lang, direction, src, tgt`` and drops the two
-    text columns.
+    text columns. Only a side index is exploded; languages and texts are
+    chosen in the projection after it, so a consumer that does not read the
+    texts lets Catalyst prune them from the scan, and no text is copied into
+    intermediate structs.
     """
     a, b = pair_langs(pair_col)
-    sides = F.array(
-        F.struct(a.alias("src_lang"), b.alias("tgt_lang"), F.col(src_col).alias("src"), F.col(tgt_col).alias("tgt")),
-        F.struct(b.alias("src_lang"), a.alias("tgt_lang"), F.col(tgt_col).alias("src"), F.col(src_col).alias("tgt")),
-    )
     rest = [c for c in df.columns if c not in (src_col, tgt_col)]
-    return (df.select(*rest, F.explode(sides).alias("_d"))
-              .select(*rest, "_d.src_lang", "_d.tgt_lang",
-                      direction_name(F.col("_d.src_lang"), F.col("_d.tgt_lang")).alias("direction"),
-                      "_d.src", "_d.tgt"))
+    d = df.select(*rest, src_col, tgt_col, F.explode(F.array(F.lit(0), F.lit(1))).alias("_side"))
+    fwd = F.col("_side") == 0
+    src_lang = F.when(fwd, a).otherwise(b)
+    tgt_lang = F.when(fwd, b).otherwise(a)
+    return d.select(*rest, src_lang.alias("src_lang"), tgt_lang.alias("tgt_lang"),
+                    direction_name(src_lang, tgt_lang).alias("direction"),
+                    F.when(fwd, F.col(src_col)).otherwise(F.col(tgt_col)).alias("src"),
+                    F.when(fwd, F.col(tgt_col)).otherwise(F.col(src_col)).alias("tgt"))
 
 
 def english_side(src_lang: Column, tgt_lang: Column, src: Column, tgt: Column,
