@@ -425,3 +425,9 @@ def q_sft_text_pairs(spark, sf_dir):
     good, rejects = readers.zip_text_objects(src, tgt, ["pair", "ordinal"])
     return good.select("pair", "ordinal", F.md5("src").alias("src_md5"), F.md5("tgt").alias("tgt_md5"),
                        F.length("src").alias("src_chars"), F.length("tgt").alias("tgt_chars"))
+
+
+@register("fewshot_prompt_parity")
+def q_fewshot_prompt_parity(spark, sf_dir):
+    """D1 parity: the instruction keeps its literal ``{tgt_lbl}`` placeholder, as the reference wrote it."""
+    return fewshot.build_prompts(fixture_corpus(spark, sf_dir), [1], parity=True).select(*PROMPT_COLS)

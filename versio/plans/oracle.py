@@ -104,7 +104,7 @@ blocks AS (
 )"""
 
 
-def fewshot_prompt_sql(k: int, trailing_nl: bool = False) -> str:
+def fewshot_prompt_sql(k: int, trailing_nl: bool = False, parity: bool = False) -> str:
     final = fill(FINAL_BLOCK, src_lbl="t.src_label", src="t.src", tgt_lbl="t.tgt_label")
     return f"""
 WITH {CORPUS_CTE},
@@ -114,7 +114,7 @@ agg AS (
   FROM blocks WHERE rank <= {k} GROUP BY pair, direction
 )
 SELECT t.pair, t.src_lang, t.tgt_lang, t.direction, {k} AS k, t.ordinal,
-       {instruction('t.tgt_label')} || {SEP}
+       {q(FEWSHOT_INSTRUCTION) if parity else instruction('t.tgt_label')} || {SEP}
          || coalesce(a.ex || {SEP}, '') || {final} AS prompt
 FROM ldirs t LEFT JOIN agg a ON a.pair = t.pair AND a.direction = t.direction
 WHERE t.subset = 'test'
@@ -529,3 +529,6 @@ FROM ranked e JOIN ranked x ON e.ordinal = x.ordinal AND e.lang = 'en' AND x.lan
 """
 
 ORACLE["sft_text_pairs"] = SFT_TEXT_PAIRS
+
+
+ORACLE["fewshot_prompt_parity"] = fewshot_prompt_sql(1, parity=True)
