@@ -1,5 +1,7 @@
 """End-to-end jobs with written outputs: E1 (predictions + scores), E2 (CSV), E3, S1 pruning."""
 import glob
+
+import pytest
 import sys
 
 from pyspark import cloudpickle
@@ -140,3 +142,47 @@ def test_resume_runs_only_pending_prompts(spark, tmp):
     assert seen == [2 * n_fr, 2 * (n_test - n_fr)]
     scores = out["scores"].collect()
     assert len(scores) == 6 and all(r.status == "ok" for r in scores)
+
+
+def test_score_run_files_matches_python_reader_and_chrf(spark, tmp):
+    """Files in the evaluation layout -> scores equal to Python loading + Counter chrF."""
+    import json
+    import os
+    from versio.functions.chrf import py_chrf
+    refs = {"hin": ['["ref one"]', "   ", '["second reference text"]', '["third"]'],
+            "eng": ['{"translation": "an english line"}', '"quoted"', '["last one"]']}
+    hyps = {"eng_2_hin": ['["ref  one"]', '["second text"]', "raw third line"],
+            "hin_2_eng": ['["english line"]', "", '{"other": 1}', '["last"]']}
+    os.makedirs(f"{tmp}/data/test/eng_hin")
+    for lang, lines in refs.items():
+        write_lines_(f"{tmp}/data/test/eng_hin/doc.{lang}.jsonl", lines)
+    for d, lines in hyps.items():
+        folder = f"{tmp}/res/eng_hin/my-model/shot1/{d}"
+        os.makedirs(folder)
+        write_lines_(f"{folder}/doc.{d}.1.pred.jsonl", lines)
+
+    def load(lines):   # the score reader's semantics, written out in Python
+        out = []
+        for ln in lines:
+            if not ln.strip():
+                continue
+            obj = json.loads(ln) if ln.strip().startswith(("[", "{", '"')) else [ln]
+            out.append((obj[0] if isinstance(obj, list) else obj.get("translation", "") if isinstance(obj, dict) else obj).strip())
+        return out
+
+    out = jobs.score_run_files(spark, f"{tmp}/data", f"{tmp}/res", "my-model", k=1, expected_pairs=["eng_tam"])
+    got = {r.direction: r for r in out["scores"].collect()}
+    want_e = round(py_chrf(load(hyps["eng_2_hin"]), load(refs["hin"])), 4)
+    want_h = round(py_chrf(load(hyps["hin_2_eng"]), load(refs["eng"])), 4)
+    assert got["eng_2_hin"].chrf == pytest.approx(want_e, abs=1e-4) and got["eng_2_hin"].status == "ok"
+    assert got["hin_2_eng"].chrf == pytest.approx(want_h, abs=1e-4) and got["hin_2_eng"].status == "ok"
+    assert got["eng_2_hin"].line == f"doc.eng_2_hin.1.pred.jsonl\t{want_e:.4f}"
+    cov = {r.direction: r.status for r in out["coverage"].collect()}
+    assert cov == {"eng_2_hin": "ok", "hin_2_eng": "ok", "eng_2_tam": "missing_ref_and_hyp",
+                   "tam_2_eng": "missing_ref_and_hyp"}
+
+
+def write_lines_(path, lines):
+    with open(path, "w", encoding="utf-8") as f:
+        for ln in lines:
+            f.write(ln + "\n")

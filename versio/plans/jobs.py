@@ -18,9 +18,11 @@ from ..functions.text import strip_ws
 from ..operators import align as align_op
 from ..operators import chrf as chrf_op
 from ..operators import fewshot, infer, report, sft
-from ..operators.directions import expand_directions, pair_langs
+from ..operators.directions import expand_directions, pair_langs, pair_of
 from ..session import materialize
 from ..sources import sinks
+from ..sources.ordinals import join_ranks, rank_table
+from ..sources.readers import read_scored
 
 KEYS = ["pair", "src_lang", "tgt_lang", "direction", "k", "ordinal"]
 
@@ -95,6 +97,7 @@ def score(preds: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def expected_directions(spark: SparkSession, corpus: DataFrame, extra_pairs: list[str] | None) -> DataFrame:
+    """Both directions of every pair present in ``corpus`` (any frame with ``pair``) and of ``extra_pairs``."""
     pairs = corpus.select("pair").distinct()
     if extra_pairs:
         pairs = pairs.unionByName(spark.createDataFrame([(p,) for p in extra_pairs], "pair string")).distinct()
@@ -174,4 +177,46 @@ def build_training_set(pairs: DataFrame, max_length: int = 512, tokenize=None,
     return t
 
 
-__all__ = ["JobConfig", "run_translation_job", "quickstart", "build_training_set"]
+
+
+def _scored_positions(spark: SparkSession, pattern: str) -> DataFrame:
+    """S5 over files: ``_file, pos, text`` with ``pos`` the 0-based position among
+    the file's non-blank lines (the reader drops blank lines before zipping)."""
+    lines = read_scored(spark, pattern)
+    ranks = rank_table(lines.select("_file", "ordinal"), ["_file"], ["ordinal"], out_col="pos")
+    return join_ranks(lines, ranks, ["_file", "ordinal"]).select("_file", "pos", "text")
+
+
+def score_run_files(spark: SparkSession, data_root: str, result_root: str, model: str, k: int = 1,
+                    split: str = "test", expected_pairs: list[str] | None = None) -> dict[str, DataFrame]:
+    """Score an existing run laid out as files (the evaluation script's layout).
+
+    References: ``<data_root>/<split>/<pair>/doc.<lang>.jsonl``; hypotheses:
+    ``<result_root>/<pair>/<model>/shot<k>/<src>_2_<tgt>/doc.<src>_2_<tgt>.<k>.pred.jsonl``.
+    Lines are read with the score dialect (S5) and aligned by position among
+    non-blank lines, per direction (J3). Returns ``scores`` (with the TSV
+    ``line``), ``coverage`` (J6) and ``tally`` (A3).
+    """
+    base = F.element_at(F.split(F.col("_file"), "/"), -1)
+    h = _scored_positions(spark, f"{result_root.rstrip('/')}/*/{model}/shot{k}/*/doc.*.{k}.pred.jsonl")
+    meta = P.parse_file_name(base)
+    hyps = h.select(meta["src_lang"].alias("src_lang"), meta["tgt_lang"].alias("tgt_lang"), "pos",
+                    F.col("text").alias("pred"))
+    hyps = hyps.withColumn("pair", pair_of(F.col("src_lang"), F.col("tgt_lang")))
+    r = _scored_positions(spark, f"{data_root.rstrip('/')}/{split}/*/doc.*.jsonl")
+    pair = F.element_at(F.split(F.col("_file"), "/"), -2)
+    lang = F.regexp_extract(base, r"^doc\.([^.]+)\.jsonl$", 1)
+    a, b = pair_langs(pair)
+    refs = r.select(pair.alias("pair"), F.when(lang == b, a).otherwise(b).alias("src_lang"),
+                    lang.alias("tgt_lang"), "pos", F.col("text").alias("ref"))
+    hyps = hyps.withColumn("direction", P.direction_name(F.col("src_lang"), F.col("tgt_lang")))
+    refs = refs.withColumn("direction", P.direction_name(F.col("src_lang"), F.col("tgt_lang")))
+    groups = ["pair", "src_lang", "tgt_lang", "direction"]
+    scores = chrf_op.score_aligned(hyps, refs, groups + ["pos"], groups)
+    scores = report.score_lines(scores, k)
+    present = refs.select("pair").unionByName(hyps.select("pair"))
+    cov = align_op.coverage(expected_directions(spark, present, expected_pairs), refs, hyps)
+    return {"scores": scores, "coverage": cov, "tally": report.tally(cov)}
+
+
+__all__ = ["JobConfig", "run_translation_job", "quickstart", "build_training_set", "score_run_files"]
