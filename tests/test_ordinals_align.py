@@ -55,3 +55,14 @@ def test_rank_without_checkpoint_dir_falls_back_to_persist(spark, monkeypatch):
     got = rank_within(d, ["lang"], ["doc_id"], num_partitions=16)
     want = d.withColumn("ordinal", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")) - 1)
     assert got.select("doc_id", "lang", "ordinal").exceptAll(want.select("doc_id", "lang", "ordinal")).count() == 0
+
+
+def test_rank_default_partitioning_under_aqe(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        d = spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "lang")
+        got = rank_within(d, ["lang"], ["doc_id"])
+        want = d.withColumn("ordinal", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")) - 1)
+        assert got.select("doc_id", "lang", "ordinal").exceptAll(want.select("doc_id", "lang", "ordinal")).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")

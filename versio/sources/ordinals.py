@@ -34,12 +34,14 @@ def rank_table(df: DataFrame, group_cols: list[str], order_cols: list[str],
     Order keys must be unique inside a group for the result to be deterministic
     (as with ``row_number``). The result is materialized (keys only).
     """
-    spark = df.sparkSession
-    n = num_partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     keys = group_cols + order_cols
+    order = [F.col(k).asc_nulls_first() for k in keys]
+    # Without an explicit count the range shuffle is coalescible by AQE, which
+    # only merges adjacent ranges: order (and so the offsets) is preserved.
+    spread = (df.select(*keys).repartitionByRange(num_partitions, *order) if num_partitions
+              else df.select(*keys).repartitionByRange(*order))
     ranged = (
-        df.select(*keys)
-        .repartitionByRange(n, *[F.col(k).asc_nulls_first() for k in keys])
+        spread
         .sortWithinPartitions(*keys)
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_seq", F.monotonically_increasing_id())
