@@ -134,3 +134,15 @@ def test_lone_surrogate_escapes_dropped_like_python(spark, tmp):
     got = [r.src for r in good.orderBy("ordinal").collect()]
     want = [json.loads(x)["text"].encode("utf-8", "ignore").decode("utf-8", "ignore") for x in lines]
     assert got == want == ["ab", "x\U0001F600y", "keep \\ud800 literal"]
+
+
+def test_narrow_input_is_laid_out_for_the_cluster(spark, monkeypatch):
+    from conftest import SF001
+    from versio.sources import corpus as C
+    monkeypatch.setattr(C, "RELAYOUT_MIN_BYTES", 0)
+    raw = spark.read.parquet(f"{SF001}/documents.parquet")
+    laid = C.table(spark, SF001, "documents")
+    assert laid.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism > raw.rdd.getNumPartitions()
+    assert laid.exceptAll(raw).count() == 0 and raw.exceptAll(laid).count() == 0
+    plan = laid.where("lang = 'en'").select("doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,en)]" in plan and "ReadSchema: struct<doc_id:bigint,lang:string>" in plan

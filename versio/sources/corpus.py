@@ -22,23 +22,52 @@ from .ordinals import join_ranks, rank_table, rank_within
 PARALLEL_SCHEMA = "subset string, pair string, ordinal bigint, src_txt string, tgt_txt string"
 
 
+_RELAID: dict[tuple[str, str], str] = {}
+RELAYOUT_MIN_BYTES = 4 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table, spread over the cluster when its scan is narrower than it."""
+    """One driver table, laid out for the cluster when its scan is narrower than it."""
     return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin a frame whose scan has fewer partitions than the cluster's cores.
+    """Give a narrow input as many scan tasks as the cluster has cores.
 
     A table stored as one unsplittable file (one row group) is read by one
-    task; the text work that follows would then run on one core. Large inputs
-    already scan as many splits, so this adds no shuffle at scale. A
-    repartition with an explicit count is never coalesced by AQE.
+    task, and everything up to the first shuffle -- including filters, which
+    Catalyst pushes into the scan -- would run on one core. Such an input
+    (above a few MB) is re-laid out once per session as multi-file parquet in
+    the session's checkpoint folder and scanned from there, with pruning and
+    pushdown intact. Large inputs already scan as many splits and are left
+    alone; without a checkpoint folder the rows are round-robined instead.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    import uuid
+
+    from ..session import checkpoint_dir
+    spark = df.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target or df.inputFiles() == []:
+        return df
+    files = df.inputFiles()
+    size = sum(_file_size(spark, f) for f in files)
+    if size < RELAYOUT_MIN_BYTES:
+        return df
+    base = checkpoint_dir(spark)
+    if base is None:
         return df.repartition(target)
-    return df
+    key = (spark.sparkContext.applicationId, "|".join(sorted(files)))
+    if key not in _RELAID:
+        out = f"{base.rstrip('/')}/versio-input-{uuid.uuid4().hex}"
+        df.repartition(target).write.parquet(out)
+        _RELAID[key] = out
+    return spark.read.parquet(_RELAID[key])
+
+
+def _file_size(spark: SparkSession, path: str) -> int:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).getLen()
 
 
 def scan_parallel(spark: SparkSession, root: str, subset: str | None = None,
