@@ -146,3 +146,14 @@ def test_narrow_input_is_laid_out_for_the_cluster(spark, monkeypatch):
     assert laid.exceptAll(raw).count() == 0 and raw.exceptAll(laid).count() == 0
     plan = laid.where("lang = 'en'").select("doc_id")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,en)]" in plan and "ReadSchema: struct<doc_id:bigint,lang:string>" in plan
+
+
+def test_narrow_input_without_checkpoint_folder_is_round_robined(spark, monkeypatch):
+    from conftest import SF001
+    import versio.session as S
+    from versio.sources import corpus as C
+    monkeypatch.setattr(C, "RELAYOUT_MIN_BYTES", 0)
+    monkeypatch.setattr(S, "checkpoint_dir", lambda s: None)
+    df = C.spread(spark.read.parquet(f"{SF001}/pages.parquet"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning" in plan and df.count() == spark.read.parquet(f"{SF001}/pages.parquet").count()
