@@ -23,14 +23,15 @@ def tally(coverage: DataFrame) -> DataFrame:
 def rank_scores(scores: DataFrame, top: int | None = None) -> DataFrame:
     """T3 (and T4 with ``top``): rank by chrF descending, ties by direction.
 
-    Score tables have one row per direction, so the ranking window is tiny;
-    ``top`` plans as a bounded top-k.
+    With ``top`` the rows are first cut by ``orderBy(...).limit(top)``, which
+    plans as a per-task top-k merged once (``TakeOrderedAndProject``); the rank
+    window then sees at most ``top`` rows. Score tables have one row per
+    direction, so the full ranking window is tiny as well.
     """
-    w = Window.orderBy(F.desc("chrf"), F.asc("direction"))
-    ranked = scores.withColumn("rank", F.row_number().over(w))
+    order = [F.desc("chrf"), F.asc("direction")]
     if top is not None:
-        ranked = ranked.where(F.col("rank") <= top)
-    return ranked
+        scores = scores.orderBy(*order).limit(top)
+    return scores.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
 def score_lines(scores: DataFrame, k: int) -> DataFrame:
