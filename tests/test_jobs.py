@@ -186,3 +186,12 @@ def write_lines_(path, lines):
     with open(path, "w", encoding="utf-8") as f:
         for ln in lines:
             f.write(ln + "\n")
+
+
+def test_quickstart_falsy_n_means_every_document(spark):
+    corpus = fixture_corpus(spark, SF001)
+    qs = infer.CopyBetween(P.between(P.QUICKSTART_TEMPLATE, "system", "text"), P.between(P.QUICKSTART_TEMPLATE, "text", None))
+    n_dev = corpus.where("subset = 'dev' AND pair = 'eng_es'").count()
+    assert jobs.quickstart(corpus, qs, n=0, pair="eng_es").count() == n_dev
+    assert jobs.quickstart(corpus, qs, n=None, pair="eng_es").count() == n_dev
+    assert jobs.quickstart(corpus, qs, n=2, pair="eng_es").count() == min(2, n_dev)
