@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from versio.llm import decontaminate as dc
+from versio.llm import toxicity as tox
 from versio.llm.common import table
 
 
@@ -15,6 +17,15 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return dc.digest(dc.decontaminate(docs, table(spark, sf_dir, "benchmark")))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = tox.toxicity(docs, table(spark, sf_dir, "labels"))
+    return scored.select(
+        "doc_id", tox.held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= tox.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 OP1_SQL = r"""
 WITH low AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -44,6 +55,7 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_benchmark_decontamination": op1_benchmark_decontamination,
+        "op6_toxicity": op6_toxicity,
     }
 
 
