@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from versio.llm import decontaminate as dc
+from versio.llm import line_dedup as ld
 from versio.llm import toxicity as tox
 from versio.llm.common import table
 
@@ -26,6 +27,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ld.digest(ld.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 OP1_SQL = r"""
 WITH low AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -51,15 +56,39 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
+OP8_SQL = r"""
+WITH src AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS l, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents),
+ln AS (SELECT *, array_to_string(w, ' ') AS s, len(w) AS n FROM (SELECT *, regexp_extract_all(l, '[^ 	-]+') AS w FROM src)),
+d AS (SELECT s, any_value(w) AS w, any_value(n) AS n, min({'d': doc_id, 'i': i}) AS f FROM ln WHERE n > 0 GROUP BY s),
+v AS (
+  SELECT s, f, k, array_to_string(w[1:k - 1] || w[k + 1:], ' ') AS v
+  FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM d WHERE n >= 11)),
+near AS (
+  SELECT s FROM (SELECT s, f, min(f) OVER (PARTITION BY v, k) AS m FROM v) WHERE m < f
+  UNION SELECT v.s FROM v JOIN d ON v.v = d.s AND d.n >= 11 WHERE d.f < v.f
+  UNION SELECT d.s FROM v JOIN d ON v.v = d.s AND d.n >= 11 WHERE v.f < d.f),
+flag AS (
+  SELECT ln.doc_id, ln.l, ln.i, ln.n, ln.n > 0 AND (near.s IS NOT NULL OR {'d': ln.doc_id, 'i': ln.i} > d.f) AS gone
+  FROM ln LEFT JOIN d ON ln.s = d.s LEFT JOIN near ON near.s = ln.s),
+per AS (
+  SELECT doc_id, count(*) FILTER (n > 0) AS n_lines, count(*) FILTER (gone) AS n_removed,
+    sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM flag GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  coalesce(kept_sha256, sha256('')) AS kept_sha256
+FROM (SELECT doc_id FROM documents) LEFT JOIN per USING (doc_id)
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_benchmark_decontamination": op1_benchmark_decontamination,
         "op6_toxicity": op6_toxicity,
+        "op8_line_dedup": op8_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_benchmark_decontamination": OP1_SQL,
+        "op8_line_dedup": OP8_SQL,
     }
