@@ -151,10 +151,11 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     def share(most: int, of: int) -> Column:
         return F.pmod(F.xxhash64("doc_id", F.lit(SALT)), F.lit(1 << 30)) < int(min(1.0, most / of) * (1 << 30))
 
-    chosen = known.where((F.col("toxic") == 1) & share(positives, toxic)).select("doc_id", F.lit(True).alias("positive"))
+    # At most ``positives`` ids, so they go to every task and no text is shuffled.
+    chosen = known.where("toxic = 1").orderBy(F.xxhash64("doc_id", F.lit(SALT)), "doc_id").limit(positives).select("doc_id", F.lit(True).alias("positive"))
     text = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     sample = (
-        text.join(chosen, "doc_id", "left").where(F.col("positive") | share(unlabelled, total))
+        text.join(F.broadcast(chosen), "doc_id", "left").where(F.col("positive") | share(unlabelled, total))
         .select(F.coalesce("positive", F.lit(False)).alias("positive"), "text")
     )
     rows = stored(_features_of(sample), "toxicity-sample")
