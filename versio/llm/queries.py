@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from versio.llm import decontaminate as dc
 from versio.llm import line_dedup as ld
+from versio.llm import simhash as sh
 from versio.llm import toxicity as tox
 from versio.llm.common import table
 
@@ -31,6 +32,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ld.digest(ld.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sh.digest(sh.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 OP1_SQL = r"""
 WITH low AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -58,7 +63,8 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 
 OP8_SQL = r"""
 WITH src AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS l, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents),
-ln AS (SELECT *, array_to_string(w, ' ') AS s, len(w) AS n FROM (SELECT *, regexp_extract_all(l, '[^ 	-]+') AS w FROM src)),
+ln AS (SELECT *, array_to_string(w, ' ') AS s, len(w) AS n FROM (SELECT *, regexp_extract_all(l, '[^ 	-
+]+') AS w FROM src)),
 d AS (SELECT s, any_value(w) AS w, any_value(n) AS n, min({'d': doc_id, 'i': i}) AS f FROM ln WHERE n > 0 GROUP BY s),
 v AS (
   SELECT s, f, k, array_to_string(w[1:k - 1] || w[k + 1:], ' ') AS v
@@ -84,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_benchmark_decontamination": op1_benchmark_decontamination,
         "op6_toxicity": op6_toxicity,
         "op8_line_dedup": op8_line_dedup,
+        "op10_simhash_near_dedup": op10_simhash_near_dedup,
     }
 
 
