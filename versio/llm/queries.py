@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from versio.llm import decontaminate as dc
 from versio.llm import line_dedup as ld
+from versio.llm import pieces as sp
 from versio.llm import simhash as sh
 from versio.llm import toxicity as tox
 from versio.llm.common import table
@@ -36,6 +38,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sh.digest(sh.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp.digest(sp.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 OP1_SQL = r"""
 WITH low AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -89,8 +95,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_benchmark_decontamination": op1_benchmark_decontamination,
         "op6_toxicity": op6_toxicity,
+        "op7_sentencepiece": op7_sentencepiece,
         "op8_line_dedup": op8_line_dedup,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -278,10 +278,10 @@ def one_each(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingle:
     """``docs`` with one document of each component left: the one with the smallest doc_id. Of rows that
     share that doc_id one stays; rows with a null doc_id stay only if their component has no other."""
     found = near_duplicates(docs, doc, text, shingle, distance)
-    kept = found.where(F.col("doc").eqNullSafe(F.col("component"))).groupBy("doc").agg(F.count("*").alias("_rows"))
-    joined_ = docs.join(kept.withColumnRenamed("doc", "_doc"), F.col(doc).eqNullSafe(F.col("_doc")))
-    alone = joined_.where("_rows = 1").select(*docs.columns)
-    return alone.unionByName(joined_.where("_rows > 1").dropDuplicates([doc]).select(*docs.columns))
+    kept = found.where(F.col("doc").eqNullSafe(F.col("component"))).groupBy("doc").agg(F.count("*").alias("__sh_rows"))
+    joined_ = docs.join(kept.withColumnRenamed("doc", "__sh_doc"), F.col(doc).eqNullSafe(F.col("__sh_doc")))
+    alone = joined_.where("__sh_rows = 1").select(*docs.columns)
+    return alone.unionByName(joined_.where("__sh_rows > 1").dropDuplicates([doc]).select(*docs.columns))
 
 
 def digest(found: DataFrame) -> DataFrame:
