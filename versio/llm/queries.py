@@ -12,6 +12,7 @@ from versio.llm import decontaminate as dc
 from versio.llm import line_dedup as ld
 from versio.llm import pieces as sp
 from versio.llm import simhash as sh
+from versio.llm import topk
 from versio.llm import toxicity as tox
 from versio.llm.common import table
 
@@ -21,6 +22,10 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return dc.digest(dc.decontaminate(docs, table(spark, sf_dir, "benchmark")))
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = tox.toxicity(docs, table(spark, sf_dir, "labels"))
@@ -67,6 +72,16 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
+OP5_SQL = r"""
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM e q JOIN e c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
 OP8_SQL = r"""
 WITH src AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS l, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents),
 ln AS (SELECT *, array_to_string(w, ' ') AS s, len(w) AS n FROM (SELECT *, regexp_extract_all(l, '[^ 	-
@@ -94,6 +109,7 @@ FROM (SELECT doc_id FROM documents) LEFT JOIN per USING (doc_id)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_benchmark_decontamination": op1_benchmark_decontamination,
+        "op5_exact_top_k": op5_exact_top_k,
         "op6_toxicity": op6_toxicity,
         "op7_sentencepiece": op7_sentencepiece,
         "op8_line_dedup": op8_line_dedup,
@@ -105,5 +121,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_benchmark_decontamination": OP1_SQL,
+        "op5_exact_top_k": OP5_SQL,
         "op8_line_dedup": OP8_SQL,
     }
