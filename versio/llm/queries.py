@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from versio.llm import decontaminate as dc
+from versio.llm import licenses as lic
 from versio.llm import line_dedup as ld
 from versio.llm import pieces as sp
 from versio.llm import simhash as sh
@@ -39,6 +40,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ld.digest(ld.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lic.digest(lic.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sh.digest(sh.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -105,6 +110,37 @@ SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_
 FROM (SELECT doc_id FROM documents) LEFT JOIN per USING (doc_id)
 """
 
+#: The templates as rows: a name, and its text quoted for SQL.
+NOTICES = ", ".join("({}, '{}', '{}')".format(k, name, text.replace("'", "''")) for k, (name, text) in enumerate(lic.TEMPLATES))
+
+OP9_SQL = r"""
+WITH t AS (
+  SELECT k, name, regexp_extract_all(translate(txt, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM (VALUES NOTICES) v(k, name, txt)),
+tb AS (SELECT k, name, b, count(*) AS c, any_value(n) AS n FROM (
+  SELECT k, name, len(w) - 1 AS n, w[i] || ' ' || w[i + 1] AS b FROM (SELECT *, unnest(range(1, len(w))) AS i FROM t)) GROUP BY k, name, b),
+ln AS (
+  SELECT doc_id, i, regexp_extract_all(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents)),
+ok AS (SELECT doc_id, i, w, sum(len(w)) OVER (PARTITION BY doc_id ORDER BY i) AS z FROM ln WHERE len(w) > 0),
+win AS (
+  SELECT a.doc_id, a.i AS f, b.i AS l, flatten(list(c.w ORDER BY c.i)) AS w
+  FROM ok a JOIN ok b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.z - a.z + len(a.w) <= 1 + (SELECT 1.5001 * max(n) FROM tb) + 1
+  JOIN ok c ON c.doc_id = a.doc_id AND c.i BETWEEN a.i AND b.i GROUP BY a.doc_id, a.i, b.i),
+wb AS (SELECT doc_id, f, l, b, count(*) AS c, any_value(n) AS n FROM (
+  SELECT doc_id, f, l, len(w) - 1 AS n, w[i] || ' ' || w[i + 1] AS b FROM (SELECT *, unnest(range(1, len(w))) AS i FROM win)) GROUP BY doc_id, f, l, b),
+dice AS (
+  SELECT doc_id, name, f, l, CAST(2 * sum(least(wb.c, tb.c)) AS DOUBLE) / (any_value(wb.n) + any_value(tb.n)) AS dice
+  FROM wb JOIN tb USING (b) GROUP BY doc_id, name, k, f, l),
+best AS (SELECT * FROM dice WHERE dice >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id, name ORDER BY dice DESC, f, l) = 1),
+per AS (
+  SELECT doc_id, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names,
+    first({'a': name, 'b': dice, 'c': f, 'd': l} ORDER BY dice DESC, name) AS x FROM best GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_licenses, coalesce(names, '') AS licenses, x.a AS best_license, x.b AS best_dice,
+  CAST(x.c AS INTEGER) AS best_first, CAST(x.d AS INTEGER) AS best_last
+FROM (SELECT doc_id FROM documents) LEFT JOIN per USING (doc_id)
+""".replace("NOTICES", NOTICES)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -113,6 +149,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_toxicity": op6_toxicity,
         "op7_sentencepiece": op7_sentencepiece,
         "op8_line_dedup": op8_line_dedup,
+        "op9_license_scan": op9_license_scan,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
         "pipeline": corpus_pipeline.run,
     }
@@ -123,4 +160,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_benchmark_decontamination": OP1_SQL,
         "op5_exact_top_k": OP5_SQL,
         "op8_line_dedup": OP8_SQL,
+        "op9_license_scan": OP9_SQL,
     }
