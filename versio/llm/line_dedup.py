@@ -7,7 +7,7 @@ and line number; lines are judged on the input, not on what is left. Lines witho
 
 1. Lines become 128-bit names; equal names are grouped to a distinct line with its first place
    (partial sums, so a line that fills a third of the corpus sends one row a task).
-2. An edit leaves the first or the last ``EDGE`` words alone, so only lines that share either with
+2. An edit leaves the first or the last half of the words alone, so only lines that share either with
    another distinct line can match one; the others are left out here (nothing else is).
 3. Each of these lines emits all variants within the edit bound, itself and the line without each
    one of its words, as hashed keys. Equal variants are grouped with the earliest line for each
@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from versio.llm.common import bytes_of, mix64, stored
 
-LEAST_WORDS, EDGE = 11, 5
+LEAST_WORDS = 11
 MASK = (1 << 64) - 1
 BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 
@@ -43,15 +43,25 @@ def _name(words: list[bytes]) -> tuple[int, int]:
     return _signed(d >> 64), _signed(d & MASK)
 
 
+def halves(words: list[bytes]) -> list[int]:
+    """Keys of the first and last h words, for h of n // 2 and (n - 1) // 2: lines of n and of n or n + 1
+    words that one edit parts have the first or the last n // 2 words in common."""
+    n, out = len(words), []
+    for h in {n // 2, (n - 1) // 2}:
+        out.append(_signed(xxhash.xxh3_64_intdigest(b" ".join(words[:h]), 1)))
+        out.append(_signed(xxhash.xxh3_64_intdigest(b" ".join(words[n - h :]), 2)))
+    return out
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc, line, a, b, head, tail): every line that has words, with its name; head and tail are keys
-    of its first and last words, null where it may match equal lines only."""
+    """(doc, line, a, b, halves): every line that has words, with its name and the keys of its halves, null
+    where it may match equal lines only."""
     kind = docs.schema["doc"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, at = bytes_of(batch.column("text"))
-            data, own, line, a, b, head, tail = raw.tobytes(), [], [], [], [], [], []
+            data, own, line, a, b, half = raw.tobytes(), [], [], [], [], []
             for k in range(batch.num_rows):
                 for i, x in enumerate(data[at[k] : at[k + 1]].split(b"\n")):
                     w = x.split()
@@ -61,14 +71,12 @@ def _lines(docs: DataFrame) -> DataFrame:
                         p, q = _name(w)
                         a.append(p)
                         b.append(q)
-                        long = len(w) >= LEAST_WORDS
-                        head.append(_signed(xxhash.xxh3_64_intdigest(b" ".join(w[:EDGE]), 1)) if long else None)
-                        tail.append(_signed(xxhash.xxh3_64_intdigest(b" ".join(w[-EDGE:]), 2)) if long else None)
+                        half.append(halves(w) if len(w) >= LEAST_WORDS else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc").take(pa.array(own, pa.int64())), pa.array(line, pa.int32()), *(pa.array(x, pa.int64()) for x in (a, b, head, tail))],
-                ["doc", "line", "a", "b", "head", "tail"])
+                [batch.column("doc").take(pa.array(own, pa.int64())), pa.array(line, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(half, pa.list_(pa.int64()))],
+                ["doc", "line", "a", "b", "halves"])
 
-    schema = T.StructType([T.StructField("doc", kind), T.StructField("line", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("a", "b", "head", "tail"))])
+    schema = T.StructType([T.StructField("doc", kind), T.StructField("line", T.IntegerType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("halves", T.ArrayType(T.LongType()))])
     return docs.select("doc", "text").mapInArrow(run, schema)
 
 
@@ -154,33 +162,35 @@ def _verified(pairs: DataFrame) -> DataFrame:
 
 def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """(doc, line): first places of distinct lines that match an earlier, different line."""
-    edges = distinct.where(F.col("head").isNotNull()).select("a", "b", "first", F.explode(F.array("head", "tail")).alias("edge"))
-    shared = edges.groupBy("edge").agg(F.count("*").alias("n")).where("n > 1").select("edge")
-    chosen = edges.join(shared, "edge", "left_semi").groupBy("a", "b").agg(F.min("first").alias("first")).select("first.doc", "first.line", "a", "b")
+    half = distinct.select("doc", "line", "a", "b", F.explode("halves").alias("half"))
+    shared = half.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
+    chosen = half.join(shared, "half", "left_semi").select("doc", "line", "a", "b").distinct()
     lines = stored(_texts(docs, chosen), "lines")
-    keys = _variants(lines)
+    every = _variants(lines)
+    shared = every.groupBy("u", "v").agg(F.count("*").alias("n")).where("n > 1").select("u", "v")
+    keys = stored(every.join(shared, ["u", "v"], "left_semi"), "variants")
     place = F.struct("doc", "line")
-    earliest = keys.groupBy("u", "v", "cut").agg(F.min(place).alias("place"), F.count("*").alias("n"))
     # For each key: the earliest line for each deleted word, as many as a line has words at most.
-    groups = earliest.groupBy("u", "v").agg(F.collect_list(F.struct("cut", "place")).alias("by"), F.sum("n").alias("n")).where("n > 1")
-    joined = keys.join(groups.select("u", "v", "by"), ["u", "v"])
+    groups = keys.groupBy("u", "v", "cut").agg(F.min(place).alias("place")).groupBy("u", "v").agg(F.collect_list(F.struct("cut", "place")).alias("by"))
     same = F.filter("by", lambda x: F.when(F.col("cut") < 0, x["cut"] >= 0).otherwise((x["cut"] < 0) | (x["cut"] == F.col("cut"))))
     partner = F.array_min(F.transform(same, lambda x: x["place"]))
-    pairs = joined.select("doc", "line", partner.alias("p")).where(F.col("p") < place).groupBy("doc", "line").agg(F.min("p").alias("p"))
+    pairs = keys.join(groups, ["u", "v"]).select("doc", "line", partner.alias("p")).where(F.col("p") < place).groupBy("doc", "line").agg(F.min("p").alias("p"))
     x = pairs.join(lines.withColumnsRenamed({"doc": "d", "line": "l"}), F.col("doc").eqNullSafe(F.col("d")) & (F.col("line") == F.col("l"))).select("doc", "line", "p", "words")
     y = lines.select(F.col("doc").alias("d"), F.col("line").alias("l"), F.col("words").alias("other"))
     x = x.join(y, F.col("p.doc").eqNullSafe(F.col("d")) & (F.col("p.line") == F.col("l"))).select("doc", "line", "words", "other")
     return _verified(x).select("doc", "line").distinct()
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
-    """(doc, line): every line of (doc, text) that goes."""
+def line_verdicts(docs: DataFrame) -> DataFrame:
+    """(doc, line, gone): every line of (doc, text) that has words."""
     lines = stored(_lines(docs), "line-names")
-    distinct = lines.groupBy("a", "b").agg(F.min(F.struct("doc", "line")).alias("first"), F.min("head").alias("head"), F.min("tail").alias("tail"), F.count("*").alias("n"))
-    near = near_lines(docs, distinct)
-    verdict = distinct.join(near.withColumnsRenamed({"doc": "d", "line": "l"}).withColumn("near", F.lit(True)), F.col("first.doc").eqNullSafe(F.col("d")) & (F.col("first.line") == F.col("l")), "left")
-    verdict = verdict.where((F.col("n") > 1) | F.col("near")).select("a", "b", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    return lines.join(verdict, ["a", "b"]).where(F.col("near") | (F.struct("doc", "line") > F.col("first"))).select("doc", "line")
+    grouped = lines.groupBy("a", "b").agg(F.min(F.struct("doc", "line")).alias("first"), F.any_value("halves").alias("halves"), F.count("*").alias("n"))
+    distinct = stored(grouped.select("first.*", "a", "b", "halves", "n"), "distinct-lines")
+    near = near_lines(docs, distinct).withColumnsRenamed({"doc": "d", "line": "l"}).withColumn("near", F.lit(True))
+    verdict = distinct.join(near, F.col("doc").eqNullSafe(F.col("d")) & (F.col("line") == F.col("l")), "left")
+    verdict = verdict.where((F.col("n") > 1) | F.col("near")).select("a", "b", F.struct("doc", "line").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
+    later = F.struct("doc", "line") > F.col("first")
+    return lines.join(verdict, ["a", "b"], "left").select("doc", "line", F.coalesce(F.col("near") | later, F.lit(False)).alias("gone"))
 
 
 def _kept(docs: DataFrame, text: str) -> DataFrame:
@@ -215,11 +225,19 @@ def dedup_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Dat
     names ``ld_*`` and ``_gone`` are replaced; all others stay.
     """
     docs = docs.drop("ld_lines", "ld_removed", "_gone")
-    gone = removed_lines(docs.select(F.col(doc).alias("doc"), F.col(text).cast("string").alias("text")))
+    gone = line_verdicts(docs.select(F.col(doc).alias("doc"), F.col(text).cast("string").alias("text"))).where("gone")
     per_doc = gone.groupBy("doc").agg(F.collect_set("line").alias("_gone")).withColumnRenamed("doc", "_doc")
     on: Column = F.col(doc).eqNullSafe(F.col("_doc"))
     return _kept(docs.join(per_doc, on, "left").drop("_doc"), text)
 
 
-def digest(done: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    return done.select(F.col(doc).alias("doc_id"), F.col("ld_lines").alias("n_lines"), F.col("ld_removed").alias("n_removed"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("kept_sha256"))
+def decisions(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_lines, n_removed, removed): the numbers, from 0, of the lines that ``dedup_lines`` takes
+    out, ascending and comma-joined; rows that share a doc_id are one row. Texts need not move for this."""
+    source = docs.select(F.col(doc).alias("doc"), F.col(text).cast("string").alias("text"))
+    per = line_verdicts(source).distinct().groupBy("doc").agg(
+        F.count("*").alias("n_lines"), F.count_if("gone").alias("n_removed"),
+        F.array_join(F.array_sort(F.collect_set(F.when(F.col("gone"), F.col("line")))), ",").alias("removed"))
+    named = source.select("doc").distinct().withColumnRenamed("doc", "doc_id")
+    return named.join(per, F.col("doc_id").eqNullSafe(F.col("doc")), "left").select(
+        "doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("removed", F.lit("")).alias("removed"))

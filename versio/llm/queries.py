@@ -12,6 +12,7 @@ from versio.llm import decontaminate as dc
 from versio.llm import licenses as lic
 from versio.llm import line_dedup as ld
 from versio.llm import pieces as sp
+from versio.llm import pii
 from versio.llm import simhash as sh
 from versio.llm import topk
 from versio.llm import toxicity as tox
@@ -23,6 +24,10 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return dc.digest(dc.decontaminate(docs, table(spark, sf_dir, "benchmark")))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -37,7 +42,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ld.digest(ld.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return ld.decisions(table(spark, sf_dir, "documents"))
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,9 +109,9 @@ flag AS (
   FROM ln LEFT JOIN d ON ln.s = d.s LEFT JOIN near ON near.s = ln.s),
 per AS (
   SELECT doc_id, count(*) FILTER (n > 0) AS n_lines, count(*) FILTER (gone) AS n_removed,
-    sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM flag GROUP BY doc_id)
+    string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) FILTER (gone) AS removed FROM flag GROUP BY doc_id)
 SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
-  coalesce(kept_sha256, sha256('')) AS kept_sha256
+  coalesce(removed, '') AS removed
 FROM (SELECT doc_id FROM documents) LEFT JOIN per USING (doc_id)
 """
 
@@ -145,6 +150,7 @@ FROM (SELECT doc_id FROM documents) LEFT JOIN per USING (doc_id)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_benchmark_decontamination": op1_benchmark_decontamination,
+        "op3_pii": op3_pii,
         "op5_exact_top_k": op5_exact_top_k,
         "op6_toxicity": op6_toxicity,
         "op7_sentencepiece": op7_sentencepiece,
