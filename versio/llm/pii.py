@@ -129,7 +129,7 @@ def candidates(base: DataFrame) -> DataFrame:
             next_ = F.substring(t, x["e"] + 1, F.lit(1))
             last = F.substring(t, F.greatest(x["s"], F.lit(1)), F.when(x["s"] > 0, 1).otherwise(0))
             gazetteer = {
-                "email": F.lower(F.regexp_extract(m, r"([A-Za-z0-9-]+)$", 1)).isin(*DOMAINS),
+                "email": F.lower(F.substring_index(m, ".", -1)).isin(*DOMAINS),
                 "ip": ~m.rlike(r"^(?:0|255|22[4-9]|23[0-9])\."),
                 "card": d.rlike("^(?:4|5[1-5]|2[2-7]|3[47]|6)"),
                 "phone": d.rlike(f"^(?:00)?(?:{'|'.join(CALLING)})") if strict else d.rlike("^0[1-9]|^[2-9][0-9]{2}"),
@@ -178,6 +178,10 @@ def _reestimate(patterns: DataFrame, posterior: Column, names: tuple[str, ...],
     return out
 
 
+def _pair(x: float | tuple[float, float]) -> tuple[float, float]:
+    return x if isinstance(x, tuple) else (x, x)
+
+
 def fit(found: DataFrame, rounds: int = ROUNDS) -> dict:
     """EM over the vote patterns, then the span classifier; both see every candidate."""
     keys = ("kind", *VOTES, *FORMS)
@@ -186,7 +190,9 @@ def fit(found: DataFrame, rounds: int = ROUNDS) -> dict:
     belief |= {(k, c): {"regex": (0.9, 0.1), "gazetteer": (0.8, 0.3), "context": (0.8, 0.2), "form": (0.9, 0.4)}[c] for k in range(len(KINDS)) for c in VOTES}
     weights = belief
     for _ in range(rounds):
-        weights = _reestimate(patterns, 1 / (1 + F.exp(-_log_odds(weights, VOTES))), VOTES, belief)
+        before, weights = weights, _reestimate(patterns, 1 / (1 + F.exp(-_log_odds(weights, VOTES))), VOTES, belief)
+        if max(abs(a - b) for k in before for a, b in zip(_pair(before[k]), _pair(weights[k]), strict=True)) < 1e-3:
+            break
     posterior = 1 / (1 + F.exp(-_log_odds(weights, VOTES)))
     features = VOTES + FORMS
     return _reestimate(patterns, posterior, features, belief | {(k, c): (0.5, 0.5) for k in range(len(KINDS)) for c in FORMS})
