@@ -13,6 +13,7 @@ from versio.llm import licenses as lic
 from versio.llm import line_dedup as ld
 from versio.llm import pieces as sp
 from versio.llm import pii
+from versio.llm import secret_scan
 from versio.llm import simhash as sh
 from versio.llm import topk
 from versio.llm import toxicity as tox
@@ -28,6 +29,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.secrets(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -151,6 +156,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_benchmark_decontamination": op1_benchmark_decontamination,
         "op3_pii": op3_pii,
+        "op4_secret_scan": op4_secret_scan,
         "op5_exact_top_k": op5_exact_top_k,
         "op6_toxicity": op6_toxicity,
         "op7_sentencepiece": op7_sentencepiece,
