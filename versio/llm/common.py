@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Text bytes that a numpy pass works on at once (one longer text is a chunk of its own).
 CHUNK_BYTES = 4 << 20
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Byte -> lower-cased byte for A-Z, 0-9, a-z and all bytes of non-ASCII characters; else a space.
 WORD_BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20
@@ -33,9 +35,16 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as a table in the shared folder and read back: later readers, and readers
     after a lost executor, take the stored rows instead of computing them again."""
-    path = f"{shared_dir(df.sparkSession)}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
+    # Once the rows are stored, the shuffle files behind them are of no use: they go when the write ends.
+    before = spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

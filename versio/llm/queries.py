@@ -15,6 +15,7 @@ from versio.llm import pieces as sp
 from versio.llm import pii
 from versio.llm import secret_scan
 from versio.llm import simhash as sh
+from versio.llm import substring_dedup as sd
 from versio.llm import topk
 from versio.llm import toxicity as tox
 from versio.llm.common import table
@@ -25,6 +26,10 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return dc.digest(dc.decontaminate(docs, table(spark, sf_dir, "benchmark")))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sd.digest(sd.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -155,6 +160,7 @@ FROM (SELECT doc_id FROM documents) LEFT JOIN per USING (doc_id)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_benchmark_decontamination": op1_benchmark_decontamination,
+        "op2_suffix_array_dedup": op2_suffix_array_dedup,
         "op3_pii": op3_pii,
         "op4_secret_scan": op4_secret_scan,
         "op5_exact_top_k": op5_exact_top_k,
