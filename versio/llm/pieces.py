@@ -258,6 +258,7 @@ def decode(tokens: DataFrame, ids: str = "sp_ids", out: str = "decoded", model:
     """``tokens`` with the text that the ids spell; null for null ids."""
     shared = tokens.sparkSession.sparkContext.broadcast(Pieces(model, 1.0))
     tokens = tokens.drop(out)
+    names = [*tokens.columns, out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = shared.value
@@ -268,7 +269,7 @@ def decode(tokens: DataFrame, ids: str = "sp_ids", out: str = "decoded", model:
             raw, at = pieces.spell(np.concatenate([np.zeros(0, np.int64), *values]), cuts)
             data = raw.tobytes()
             texts = [data[a:z].decode("utf-8", "replace") if v else None for a, z, v in zip(at[:-1], at[1:], lists.is_valid().to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*tokens.columns, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names)
 
     return tokens.mapInArrow(run, T.StructType([*tokens.schema.fields, T.StructField(out, T.StringType())]))
 

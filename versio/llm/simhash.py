@@ -260,7 +260,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """(doc, fp, component): fingerprint and component of each row.
+    """(doc, fp, component, root): fingerprint and component of each row; root is the smallest fingerprint
+    of the component.
 
     The component is the smallest doc_id that links reach. Null and empty texts have fingerprint zero
     and link like any other; a null doc_id is never a component's name unless it has no other.
@@ -271,17 +272,33 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", sh
     root = components(links(first.select("fp"), distance))
     named = first.join(root.withColumnsRenamed({"u": "fp", "v": "root"}), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("doc").alias("component"))
-    return rows.join(named.join(least, "root").select("fp", "component"), "fp").select("doc", "fp", "component")
+    return rows.join(named.join(least, "root").select("fp", "component", "root"), "fp").select("doc", "fp", "component", "root")
 
 
 def one_each(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """``docs`` with one document of each component left: the one with the smallest doc_id. Of rows that
-    share that doc_id one stays; rows with a null doc_id stay only if their component has no other."""
+    share that doc_id one stays; of a component whose rows all have a null doc_id one stays, too."""
     found = near_duplicates(docs, doc, text, shingle, distance)
-    kept = found.where(F.col("doc").eqNullSafe(F.col("component"))).groupBy("doc").agg(F.count("*").alias("__sh_rows"))
-    joined_ = docs.join(kept.withColumnRenamed("doc", "__sh_doc"), F.col(doc).eqNullSafe(F.col("__sh_doc")))
-    alone = joined_.where("__sh_rows = 1").select(*docs.columns)
-    return alone.unionByName(joined_.where("__sh_rows > 1").dropDuplicates([doc]).select(*docs.columns))
+    kept = found.where(F.col("doc") == F.col("component")).groupBy("doc").agg(F.count("*").alias("__sh_rows"))
+    both = docs.join(kept.withColumnRenamed("doc", "__sh_doc"), F.col(doc) == F.col("__sh_doc"))
+    alone = both.where("__sh_rows = 1").select(*docs.columns)
+    shared = both.where("__sh_rows > 1").dropDuplicates([doc]).select(*docs.columns)
+    # Rows without an id are told apart by their fingerprints.
+    unnamed = found.where("component is null").groupBy("root").agg(F.min("fp").alias("__sh_fp")).select("__sh_fp")
+    other = _fingerprinted(docs.where(F.col(doc).isNull()), text, shingle).join(unnamed, "__sh_fp").dropDuplicates(["__sh_fp"]).select(*docs.columns)
+    return alone.unionByName(shared).unionByName(other)
+
+
+def _fingerprinted(docs: DataFrame, text: str, shingle: int) -> DataFrame:
+    """``docs`` with ``__sh_fp``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, at = bytes_of(batch.column(text))
+            fp = np.array([fingerprint(raw[at[k] : at[k + 1]].tobytes(), shingle) for k in range(batch.num_rows)], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp.view(np.int64))], [*batch.schema.names, "__sh_fp"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__sh_fp", T.LongType())]))
 
 
 def digest(found: DataFrame) -> DataFrame:
