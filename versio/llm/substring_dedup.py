@@ -123,13 +123,28 @@ def anchors(raw: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = G
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else _segment(raw, at, length, gram)
 
 
+def _chunk_anchors(rows: pa.RecordBatch, raw: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple:
+    """The anchors of a chunk of rows, and which of them repeat the gram and cover of an earlier one of the
+    chunk; a repeated input row's anchors repeat nothing but drop out (None of both)."""
+    text, place, first, last, g, e = anchors(raw, at, length, gram)
+    rank = pc.rank(rows.column("doc"), sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy()[text]
+    order = np.lexsort((place, rank, e, g))
+    a, b = order[1:], order[:-1]
+    again, twice = np.zeros(len(g), bool), np.zeros(len(g), bool)
+    again[a] = (g[a] == g[b]) & (e[a] == e[b])
+    twice[a] = again[a] & (rank[a] == rank[b]) & (place[a] == place[b])
+    return text, place, first, last, g, e, ~again, again & ~twice
+
+
 def _anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(g, e, doc, place, ahead, more): every anchor; its windows begin at place - ahead, and ``more`` follow."""
+    """(g, e, doc, place, ahead, more): the anchors; windows begin at place - ahead, and ``more`` follow. Of
+    equal ones in a chunk of rows only the first is sent on; see ``_repeated_at_once``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, raw, at in chunks(batch, "text"):
-                text, place, first, last, g, e = anchors(raw, at, length, gram)
+                *arrays, new, _ = _chunk_anchors(rows, raw, at, length, gram)
+                text, place, first, last, g, e = (x[new] for x in arrays)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(g.view(np.int64)), pa.array(e.view(np.int64)), rows.column("doc").take(pa.array(text)), *(pa.array(x.astype(np.int32)) for x in (place, place - first, last - first))],
                     ["g", "e", "doc", "place", "ahead", "more"])
@@ -138,6 +153,23 @@ def _anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([T.StructField("g", T.LongType()), T.StructField("e", T.LongType()), T.StructField("doc", kind), *(T.StructField(c, T.IntegerType()) for c in ("place", "ahead", "more"))]))
 
 
+def _repeated_at_once(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """(doc, a, z): what anchors cover that come earlier in their own chunk of rows; a group of copies sends
+    one row a chunk to the shuffles that way."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, raw, at in chunks(batch, "text"):
+                *arrays, _, old = _chunk_anchors(rows, raw, at, length, gram)
+                text, _, first, last, *_ = (x[old] for x in arrays)
+                apart = at + np.arange(len(at))  # a place between texts, so that theirs never touch
+                a, z = _union(apart[text] + first, apart[text] + last + length)
+                own = np.searchsorted(apart, a, "right") - 1
+                yield pa.RecordBatch.from_arrays([rows.column("doc").take(pa.array(own)), *(pa.array((x - apart[own]).astype(np.int32)) for x in (a, z))], ["doc", "a", "z"])
+
+    return docs.mapInArrow(run, T.StructType([T.StructField("doc", docs.schema["doc"].dataType), T.StructField("a", T.IntegerType()), T.StructField("z", T.IntegerType())]))
+
+
 def _contexts(docs: DataFrame) -> DataFrame:
     """(g, hot, doc, place, begin, bytes): what the windows of the anchors listed in ``parts`` cover."""
 
@@ -252,11 +284,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     start = F.struct("doc", "start")
     early = windows.groupBy("u", "v").agg(F.min(start).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     single = windows.join(early, ["u", "v"]).where(start > F.col("first")).select("doc", F.col("start").alias("a"), (F.col("start") + length).alias("z"))
-    return stored(whole.unionByName(within).unionByName(single), "repeats")
+    return stored(whole.unionByName(within).unionByName(single).unionByName(_repeated_at_once(docs, length, gram)), "repeats")
 
 
 def _union(a: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Overlapping and touching stretches as one."""
+    """Overlapping and touching stretches as one, in order."""
     if not len(a):
         return a, z
     order = np.argsort(a, kind="stable")
