@@ -10,9 +10,9 @@ SF01 = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from versio.session import build_session
-    s = build_session(master="local[4]", shuffle_partitions=8, app="versio-tests")
+    s = build_session(master="local[4]", shuffle_partitions=8, app="versio-tests", shared=str(tmp_path_factory.mktemp("shared")))
     yield s
     s.stop()
 

@@ -48,11 +48,11 @@ def test_coverage_statuses(spark):
     assert got == {"eng_2_hin": "ok", "hin_2_eng": "missing_hyp", "eng_2_tam": "missing_ref", "tam_2_eng": "missing_hyp"}
 
 
-def test_rank_without_checkpoint_dir_falls_back_to_persist(spark, monkeypatch):
-    import versio.session as S
-    monkeypatch.setattr(S, "checkpoint_dir", lambda s: None)
+def test_rank_integers_equals_row_number(spark, monkeypatch):
+    from versio.sources import ordinals
+    monkeypatch.setattr(ordinals, "BUCKET", 64)
     d = spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "lang")
-    got = rank_within(d, ["lang"], ["doc_id"], num_partitions=16)
+    got = ordinals.rank_integers(d, "lang", "doc_id")
     want = d.withColumn("ordinal", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")) - 1)
     assert got.select("doc_id", "lang", "ordinal").exceptAll(want.select("doc_id", "lang", "ordinal")).count() == 0
 

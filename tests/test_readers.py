@@ -136,24 +136,20 @@ def test_lone_surrogate_escapes_dropped_like_python(spark, tmp):
     assert got == want == ["ab", "x\U0001F600y", "keep \\ud800 literal"]
 
 
-def test_narrow_input_is_laid_out_for_the_cluster(spark, monkeypatch):
-    from conftest import SF001
-    from versio.sources import corpus as C
-    monkeypatch.setattr(C, "RELAYOUT_MIN_BYTES", 0)
-    raw = spark.read.parquet(f"{SF001}/documents.parquet")
-    laid = C.table(spark, SF001, "documents")
-    assert laid.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism > raw.rdd.getNumPartitions()
-    assert laid.exceptAll(raw).count() == 0 and raw.exceptAll(laid).count() == 0
-    plan = laid.where("lang = 'en'").select("doc_id")._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,en)]" in plan and "ReadSchema: struct<doc_id:bigint,lang:string>" in plan
+def test_a_replaced_table_changes_the_answer(spark, tmp):
+    from versio.sources.corpus import fixture_corpus
+    rows = [(0, "a", "en"), (1, "b", "de"), (2, "c", "en"), (3, "d", "de")]
+    for n in (4, 2):
+        spark.createDataFrame(rows[:n], "doc_id long, text string, lang string").coalesce(1).write.mode("overwrite").parquet(f"{tmp}/documents.parquet")
+        assert fixture_corpus(spark, tmp).count() == n // 2
 
 
-def test_narrow_input_without_checkpoint_folder_is_round_robined(spark, monkeypatch):
+def test_building_queries_stores_nothing(spark):
+    import os
+    from versio.plans.catalog import queries
     from conftest import SF001
-    import versio.session as S
-    from versio.sources import corpus as C
-    monkeypatch.setattr(C, "RELAYOUT_MIN_BYTES", 0)
-    monkeypatch.setattr(S, "checkpoint_dir", lambda s: None)
-    df = C.spread(spark.read.parquet(f"{SF001}/pages.parquet"))
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "RoundRobinPartitioning" in plan and df.count() == spark.read.parquet(f"{SF001}/pages.parquet").count()
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(shared))
+    for name in ("fewshot_prompt", "chrf_by_direction", "jsonl_ingest_zip", "sft_text_pairs", "corpus_scan_counts", "stop_and_clean"):
+        queries()[name](spark, SF001)
+    assert set(os.listdir(shared)) == before

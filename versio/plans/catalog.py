@@ -370,6 +370,12 @@ def q_score_ranking_top5(spark, sf_dir):
     return report.score_lines(top, 1).select("rank", "pair", "direction", "chrf", "hyp_file", "line")
 
 
+def _partners(spark, sf_dir):
+    """The pairs of English with every other language, as a scalar subquery (one short array)."""
+    other = table(spark, sf_dir, "documents").where(F.col("lang") != "en")
+    return other.agg(F.collect_set(F.concat(F.lit("eng_"), F.col("lang")))).scalar()
+
+
 @register("jsonl_ingest_zip")
 def q_jsonl_ingest_zip(spark, sf_dir):
     """S2 -> S3 -> J1/D9: every document as a JSONL line of its language file, zipped back into pairs.
@@ -379,10 +385,9 @@ def q_jsonl_ingest_zip(spark, sf_dir):
     """
     r = fixture_ranked_documents(spark, sf_dir)
     subset = F.when(F.pmod(F.col("ordinal"), F.lit(5)) == 0, F.lit("dev")).otherwise(F.lit("test"))
-    langs = [x.lang for x in r.where(F.col("lang") != "en").select("lang").distinct().collect()]
     # English lines appear once per pair file set (one copy per partner language).
     eng = r.where(F.col("lang") == "en").select(
-        subset.alias("subset"), F.explode(F.array(*[F.lit("eng_" + x) for x in sorted(langs)])).alias("pair"),
+        subset.alias("subset"), F.explode(_partners(spark, sf_dir)).alias("pair"),
         F.lit("eng").alias("lang"), "ordinal", jsonl_line(F.col("text")).alias("value"))
     oth = r.where(F.col("lang") != "en").select(
         subset.alias("subset"), F.concat(F.lit("eng_"), F.col("lang")).alias("pair"), "lang", "ordinal",
@@ -416,10 +421,9 @@ def q_sft_text_pairs(spark, sf_dir):
     training reader sees them (not stripped).
     """
     r = fixture_ranked_documents(spark, sf_dir)
-    langs = sorted(x.lang for x in r.where(F.col("lang") != "en").select("lang").distinct().collect())
     obj = F.to_json(F.struct(F.col("text").alias("text")))
     src = r.where(F.col("lang") == "en").select(
-        F.explode(F.array(*[F.lit("eng_" + x) for x in langs])).alias("pair"), "ordinal", obj.alias("value"))
+        F.explode(_partners(spark, sf_dir)).alias("pair"), "ordinal", obj.alias("value"))
     tgt = r.where(F.col("lang") != "en").select(
         F.concat(F.lit("eng_"), F.col("lang")).alias("pair"), "ordinal", obj.alias("value"))
     good, rejects = readers.zip_text_objects(src, tgt, ["pair", "ordinal"])

@@ -8,14 +8,14 @@ Library functions never create a session; they take and return DataFrames.
 from __future__ import annotations
 
 import os
-import tempfile
+import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, shuffle_partitions: int = 8,
-                  app: str = "versio", extra: dict | None = None) -> SparkSession:
+                  app: str = "versio", extra: dict | None = None, shared: str | None = None) -> SparkSession:
+    """``shared``: the folder for stored intermediates, seen by the driver and all executors."""
     master = master or "local[%s]" % os.environ.get("BENCH_CPUS", "8")
     builder = (
         SparkSession.builder.master(master).appName(app)
@@ -30,46 +30,29 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.python.worker.reuse", "true")
     )
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     for k, v in (extra or {}).items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str | None:
-    """The shared folder the cluster names for checkpoints, if any."""
-    d = spark.sparkContext.getCheckpointDir()
-    if d:
-        return d
-    return spark.conf.get("spark.checkpoint.dir", None) or None
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Set a checkpoint folder only where the session has none (tests, local runs)."""
-    d = checkpoint_dir(spark)
-    if d is None:
-        d = tempfile.mkdtemp(prefix="versio-ckpt-")
-        spark.sparkContext.setCheckpointDir(d)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(d)
-    return d
+def shared_dir(spark: SparkSession) -> str:
+    """Where intermediates are stored: the folder the cluster names in ``spark.checkpoint.dir``; where a
+    session names none, a folder of the warehouse, which Spark shares by definition."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/versio-shared"
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage of a DataFrame whose values must not be recomputed differently.
+    """Store a DataFrame whose values must not be computed twice, and read it back.
 
-    Uses a reliable checkpoint in the session's checkpoint folder; where none is
-    configured the frame is persisted (memory and disk) and counted once, which
-    keeps a single physical plan (and a single range partitioner) behind it.
+    A parquet table in the shared folder: a later reader takes the columns it
+    needs, and a lost executor does not run the stage (or the model) again.
     """
     spark = df.sparkSession
-    d = checkpoint_dir(spark)
-    if d:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(d)
-        return df.checkpoint(eager=True)
-    out = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out.count()
-    return out
+    path = f"{shared_dir(spark)}/versio-stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

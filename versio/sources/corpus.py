@@ -17,57 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_ws
-from .ordinals import join_ranks, rank_table, rank_within
+from .ordinals import rank_integers
 
 PARALLEL_SCHEMA = "subset string, pair string, ordinal bigint, src_txt string, tgt_txt string"
 
 
-_RELAID: dict[tuple[str, str], str] = {}
-RELAYOUT_MIN_BYTES = 4 << 20
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table, laid out for the cluster when its scan is narrower than it."""
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
-
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Give a narrow input as many scan tasks as the cluster has cores.
-
-    A table stored as one unsplittable file (one row group) is read by one
-    task, and everything up to the first shuffle -- including filters, which
-    Catalyst pushes into the scan -- would run on one core. Such an input
-    (above a few MB) is re-laid out once per session as multi-file parquet in
-    the session's checkpoint folder and scanned from there, with pruning and
-    pushdown intact. Large inputs already scan as many splits and are left
-    alone; without a checkpoint folder the rows are round-robined instead.
-    """
-    import uuid
-
-    from ..session import checkpoint_dir
-    spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target or df.inputFiles() == []:
-        return df
-    files = df.inputFiles()
-    size = sum(_file_size(spark, f) for f in files)
-    if size < RELAYOUT_MIN_BYTES:
-        return df
-    base = checkpoint_dir(spark)
-    if base is None:
-        return df.repartition(target)
-    key = (spark.sparkContext.applicationId, "|".join(sorted(files)))
-    if key not in _RELAID:
-        out = f"{base.rstrip('/')}/versio-input-{uuid.uuid4().hex}"
-        df.repartition(target).write.parquet(out)
-        _RELAID[key] = out
-    return spark.read.parquet(_RELAID[key])
-
-
-def _file_size(spark: SparkSession, path: str) -> int:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).getLen()
+    """One driver table, read as it is stored."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def scan_parallel(spark: SparkSession, root: str, subset: str | None = None,
@@ -90,34 +47,19 @@ def write_parallel(df: DataFrame, root: str, mode: str = "overwrite") -> None:
        .write.mode(mode).partitionBy("subset", "pair").parquet(root))
 
 
-def ranked_documents(documents: DataFrame, ranks: DataFrame | None = None) -> DataFrame:
-    """documents + ``ordinal`` = rank by ``doc_id`` inside ``lang`` (0-based)."""
-    docs = documents.select("doc_id", "lang", "text")
-    if ranks is None:
-        return rank_within(docs, ["lang"], ["doc_id"])
-    return join_ranks(docs, ranks, ["lang", "doc_id"])
-
-
-_RANKS: dict[tuple[str, str], DataFrame] = {}
-
-
-def fixture_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Materialized ``lang, doc_id, ordinal`` of the fixture documents (once per session)."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-    if key not in _RANKS:
-        docs = table(spark, sf_dir, "documents").select("lang", "doc_id")
-        _RANKS[key] = rank_table(docs, ["lang"], ["doc_id"])
-    return _RANKS[key]
+def ranked_documents(documents: DataFrame) -> DataFrame:
+    """``lang, doc_id, text`` + ``ordinal`` = rank by ``doc_id`` inside ``lang`` (0-based)."""
+    return rank_integers(documents.select("lang", "doc_id", "text"), "lang", "doc_id")
 
 
 def fixture_ranked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranked_documents(table(spark, sf_dir, "documents"), fixture_ranks(spark, sf_dir))
+    return ranked_documents(table(spark, sf_dir, "documents"))
 
 
 def pair_documents(documents: DataFrame, english: str = "en", eng_code: str = "eng",
-                   dev_every: int = 5, ranks: DataFrame | None = None) -> DataFrame:
+                   dev_every: int = 5) -> DataFrame:
     """Fixture pairing -> ``parallel`` rows. Texts are stripped as the JSONL readers do."""
-    ranked = ranked_documents(documents, ranks).select(
+    ranked = ranked_documents(documents).select(
         "lang", "ordinal", strip_ws("text").alias("text"))
     en = ranked.where(F.col("lang") == english).select("ordinal", F.col("text").alias("src_txt"))
     other = ranked.where(F.col("lang") != english).select(
@@ -131,40 +73,16 @@ def pair_documents(documents: DataFrame, english: str = "en", eng_code: str = "e
     )
 
 
-_INGESTED: dict[tuple[str, str], DataFrame] = {}
-
-
-def ingest_fixture_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Build the fixture ``parallel`` table and store it (the ingest step).
-
-    In a deployment the corpus is a stored table partitioned by split and
-    pair, and every query scans it (S1: partition pruning, column pruning).
-    Here it is derived from ``documents`` once per session and directory and
-    written the same way under the session's checkpoint folder; where none is
-    configured it is checkpointed in memory and disk instead.
-    """
-    import uuid
-
-    from ..session import checkpoint_dir, materialize
-    n = 2 * spark.sparkContext.defaultParallelism
-    corpus = pair_documents(table(spark, sf_dir, "documents"), ranks=fixture_ranks(spark, sf_dir))
-    base = checkpoint_dir(spark)
-    if base is None:
-        return materialize(corpus.repartition(n, "pair", "ordinal"))
-    path = f"{base.rstrip('/')}/versio-parallel-{uuid.uuid4().hex}"
-    # Hash on (pair, ordinal): every split/pair directory gets several files,
-    # so its scan keeps the cluster busy.
-    (corpus.repartition(n // 2, "pair", "ordinal")
-           .write.partitionBy("subset", "pair").parquet(path))
-    return scan_parallel(spark, path)
+def fixture_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixture ``parallel`` rows, derived from ``documents`` whenever they are read."""
+    return pair_documents(table(spark, sf_dir, "documents"))
 
 
-def fixture_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ingested fixture corpus (built on first use in this session)."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-    if key not in _INGESTED:
-        _INGESTED[key] = ingest_fixture_corpus(spark, sf_dir)
-    return _INGESTED[key]
+def ingest_fixture_corpus(spark: SparkSession, sf_dir: str, path: str) -> str:
+    """Ingest, called explicitly: store the fixture corpus under ``path`` as a deployment stores its own
+    (S1: partition and column pruning), and return the path for ``scan_parallel``."""
+    write_parallel(fixture_corpus(spark, sf_dir), path)
+    return path
 
 
 # --- JSONL corpus ingest (the per-language document-file layout) -------------------

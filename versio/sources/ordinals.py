@@ -6,11 +6,15 @@ spread over many range partitions. Plan:
 
 1. range-partition only the key columns on ``(g, o)`` and sort inside each
    partition; tag each row with its partition id and a per-partition sequence;
-2. materialize that key table once (checkpoint, or a persist) so the range
-   bounds are computed a single time;
+2. store that key table once, so the range bounds are computed a single time;
 3. aggregate ``count``/``min(seq)`` per (partition, group) -- at most
    partitions x groups rows -- and prefix-sum counts in partition order;
-4. broadcast that small table back; ``ordinal = offset + seq - first``.
+4. join that small table back; ``ordinal = offset + seq - first``.
+
+``rank_integers`` ranks unique integer keys without storing anything: ranks
+inside buckets of neighbouring integers plus the counts of the buckets before.
+
+Joins carry no hints: adaptive execution broadcasts what is small.
 
 ``line_ordinals`` numbers the lines of text files (ingest): the order is file
 order, blocks of one file are ordered by their start offset.
@@ -23,8 +27,8 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-MAX_BROADCAST_ROWS = 2_000_000
-MAX_BROADCAST_KEYS = 1_000_000
+#: Neighbouring integers that one window ranks.
+BUCKET = 1 << 14
 
 
 def rank_table(df: DataFrame, group_cols: list[str], order_cols: list[str],
@@ -53,19 +57,12 @@ def rank_table(df: DataFrame, group_cols: list[str], order_cols: list[str],
     before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     stats = stats.select("_pid", *group_cols, "_first", "_offset")
-    # Broadcast only under a checked bound (partitions x groups rows).
-    if stats.count() <= MAX_BROADCAST_ROWS:
-        stats = F.broadcast(stats)
     return (ranged.join(stats, ["_pid"] + group_cols)
             .select(*keys, (F.col("_offset") + F.col("_seq") - F.col("_first")).alias(out_col)))
 
 
 def join_ranks(df: DataFrame, ranks: DataFrame, keys: list[str]) -> DataFrame:
-    """Attach a rank table to its rows. The rank table has one row per input
-    row (keys only): broadcast when its counted size is small, so the wide
-    rows are not shuffled; beyond the bound it is an ordinary shuffle join."""
-    if ranks.count() <= MAX_BROADCAST_KEYS:
-        ranks = F.broadcast(ranks)
+    """Attach a rank table (one row per input row, keys only) to its rows."""
     return df.join(ranks, keys)
 
 
@@ -76,6 +73,23 @@ def rank_within(df: DataFrame, group_cols: list[str], order_cols: list[str],
     return join_ranks(df, ranks, group_cols + order_cols)
 
 
+def rank_integers(df: DataFrame, group: str, key: str, out_col: str = "ordinal") -> DataFrame:
+    """``df`` with ``out_col`` = ``row_number() over (partition by group order by key) - 1``.
+
+    For unique integer keys. A bucket holds ``BUCKET`` neighbouring integers at
+    most, so no window grows with the group; the counts of all buckets before
+    are a running sum over one row per bucket. Nothing is stored or collected.
+    """
+    bucket = F.floor(F.col(key) / BUCKET).cast("long")
+    rows = df.withColumn("_bucket", bucket)
+    inside = Window.partitionBy(group, "_bucket").orderBy(key)
+    before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.select(group, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    ranked = rows.withColumn("_inside", F.row_number().over(inside) - 1).join(counts, [group, "_bucket"])
+    return ranked.withColumn(out_col, F.col("_before") + F.col("_inside")).drop("_bucket", "_inside", "_before")
+
+
 def line_ordinals(lines: DataFrame, out_col: str = "ordinal") -> DataFrame:
     """Number lines of each file 0.. in file order (lines from ``spark.read.text``).
 
@@ -91,12 +105,10 @@ def line_ordinals(lines: DataFrame, out_col: str = "ordinal") -> DataFrame:
         F.min("_seq").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    stats = stats.select("_file", "_block", "_first", "_offset")
-    # One row per file split: broadcast under a counted bound.
-    if stats.count() <= MAX_BROADCAST_ROWS:
-        stats = F.broadcast(stats)
-    return (
-        tagged.join(stats, ["_file", "_block"])
-        .withColumn(out_col, F.col("_offset") + F.col("_seq") - F.col("_first"))
-        .drop("_seq", "_first", "_offset")
-    )
+    stats = stats.select("_file", "_block", "_first", "_offset", "_n")
+    # Ids of a split are contiguous and both scans give it the same ones; a line outside its split's
+    # range would mean that the two scans saw different splits.
+    within = F.col("_seq") - F.col("_first")
+    checked = F.when((within >= 0) & (within < F.col("_n")), F.col("_offset") + within).otherwise(
+        F.raise_error(F.concat(F.lit("line numbering: scans disagree on "), F.col("_file"))).cast("long"))
+    return tagged.join(stats, ["_file", "_block"]).withColumn(out_col, checked).drop("_seq", "_first", "_offset", "_n")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import infer
-from ..session import checkpoint_dir
+from ..session import shared_dir
 
 
 def prompt_stream(spark: SparkSession, path: str, schema: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -31,10 +31,7 @@ def stream_predictions(prompts: DataFrame, engine_factory, keys: list[str], out_
     """Start the stream; ``available_now`` processes what exists, then stops."""
     spark = prompts.sparkSession
     if checkpoint_location is None:
-        base = checkpoint_dir(spark)
-        if base is None:
-            raise ValueError("no checkpoint_location and no spark.checkpoint.dir set")
-        checkpoint_location = base.rstrip("/") + "/stream-predictions"
+        checkpoint_location = shared_dir(spark).rstrip("/") + "/stream-predictions"
     preds = infer.predictions(prompts, prompt_col, engine_factory, keys, batch_size, stop)
     w = (preds.writeStream.format("parquet").option("path", out_path)
          .option("checkpointLocation", checkpoint_location).outputMode("append"))
