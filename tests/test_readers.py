@@ -31,14 +31,14 @@ def test_strict_reader_raises(spark, tmp):
 def test_prompt_reader(spark, tmp):
     p = tmp + "/p.jsonl"
     write_lines(p, ['["a b"]', '{"prompt": "p"}', "raw line  ", '"bare"', "  "])
-    got = [r.prompt for r in readers.read_prompts(spark, p).orderBy("ordinal").collect()]
+    got = [r.prompt for r in readers.read_prompts(spark, p)[0].orderBy("ordinal").collect()]
     assert got == ["a b", "p", "raw line", '"bare"']
 
 
 def test_score_reader(spark, tmp):
     p = tmp + "/h.jsonl"
     write_lines(p, ['[" t "]', '{"translation": "x"}', "{}", '"bare"', "plain ", '[""]'])
-    got = [r.text for r in readers.read_scored(spark, p).orderBy("ordinal").collect()]
+    got = [r.text for r in readers.read_scored(spark, p)[0].orderBy("ordinal").collect()]
     assert got == ["t", "x", "", "bare", "plain", ""]
 
 
@@ -79,7 +79,7 @@ def test_jsonl_sink_round_trip(spark, tmp):
     write_documents(df, out, ["subset", "pair"])
     for line in open(next(__import__("glob").iglob(out + "/subset=dev/pair=eng_hin/*.txt")), encoding="utf-8"):
         pass
-    back = readers.read_scored(spark, out + "/subset=dev/pair=eng_hin").collect()
+    back = readers.read_scored(spark, out + "/subset=dev/pair=eng_hin")[0].collect()
     assert sorted(r.text for r in back) == sorted(t.strip() for t in texts)
     enc = df.select(jsonl_line(F.col("text")).alias("j")).collect()
     for r, t in zip(enc, texts):
@@ -117,7 +117,7 @@ def test_random_texts_round_trip_through_all_readers(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     line = jsonl_line(F.col("t"))
     rows = df.select("i", line.alias("line"), parse_strict(line)["text"].alias("s"),
-                     parse_prompt(line).alias("p"), parse_score(line).alias("c")).collect()
+                     parse_prompt(line)["text"].alias("p"), parse_score(line)["text"].alias("c")).collect()
     for r in rows:
         t = texts[r.i]
         assert json.loads(r.line) == [t]
@@ -153,3 +153,16 @@ def test_building_queries_stores_nothing(spark):
     for name in ("fewshot_prompt", "chrf_by_direction", "jsonl_ingest_zip", "sft_text_pairs", "corpus_scan_counts", "stop_and_clean"):
         queries()[name](spark, SF001)
     assert set(os.listdir(shared)) == before
+
+
+def test_text_after_the_json_value_is_rejected(spark):
+    from versio.sources.readers import parse_prompt, parse_score, parse_strict, parse_text_object
+    bad = ['["a"] trailing', '["a"]["b"]', '"x" y', '"a","b"', '"a"] x', '"a"} x', '["a"]]', '{"text":"a"}{"text":"b"}', '["broken', '{"a":1}}', '"a","b":1']
+    good = ['["a"]', '"x"', ' ["a"] ', '["a",{"b":[1,"]}"]}]']
+    df = spark.createDataFrame([(x,) for x in bad + good], "line string")
+    v = F.col("line")
+    got = {r.line: r for r in df.select("line", parse_strict(v)["error"].alias("s"), parse_prompt(v)["error"].alias("p"),
+                                        parse_score(v)["error"].alias("c"), parse_text_object(v).alias("o")).collect()}
+    assert all(got[x].s == "not json" and got[x].o is None for x in bad) and all(got[x].s is None for x in good)
+    assert all(got[x].p == "not json" for x in bad if x[0] in "[{") and all(got[x].c == "not json" for x in bad)
+    assert df.where(parse_prompt(F.lit('{"nope":1}'))["error"].isNull()).count() == 0

@@ -71,8 +71,8 @@ def q_jsonl_encode_decode(spark, sf_dir):
     d = readers.drop_blank(d)
     return d.select("doc_id",
                     readers.parse_strict(F.col("value"))["text"].alias("strict_text"),
-                    readers.parse_prompt(F.col("value")).alias("prompt_text"),
-                    readers.parse_score(F.col("value")).alias("score_text"))
+                    readers.parse_prompt(F.col("value"))["text"].alias("prompt_text"),
+                    readers.parse_score(F.col("value"))["text"].alias("score_text"))
 
 
 def _dialect_lines(spark, sf_dir):
@@ -92,8 +92,8 @@ def q_reader_dialects(spark, sf_dir):
     d = readers.drop_blank(_dialect_lines(spark, sf_dir))
     s = readers.parse_strict(F.col("value"))
     return d.select("item_id", "form", s["text"].alias("strict_text"), s["error"].isNull().alias("strict_ok"),
-                    readers.parse_prompt(F.col("value")).alias("prompt_text"),
-                    readers.parse_score(F.col("value")).alias("score_text"))
+                    readers.parse_prompt(F.col("value"))["text"].alias("prompt_text"),
+                    readers.parse_score(F.col("value"))["text"].alias("score_text"))
 
 
 @register("strip_and_blank_filter")
@@ -159,6 +159,25 @@ def q_chrf_by_direction(spark, sf_dir):
     return score_directions(hyps, refs).select(*SCORE_COLS)
 
 
+@register("eval_status")
+def q_eval_status(spark, sf_dir):
+    """J3, J6, T3, A3, S8 over two models and two shot counts, with one hypothesis file cut short and one
+    missing: status, score, rank among the aligned ones of the run, and the run's tally."""
+    d = copy_source_directions(spark, sf_dir)
+    runs = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(k).alias("k")) for m in ("a", "b") for k in (0, 1)]))
+    short = (F.col("model") == "a") & (F.col("k") == 1) & (F.col("direction") == "eng_2_de") & (F.col("ordinal") < 10)
+    gone = (F.col("model") == "b") & (F.col("k") == 0) & (F.col("direction") == "fr_2_eng")
+    rows = d.select("pair", "src_lang", "tgt_lang", "direction", "ordinal", "src", "tgt", runs.alias("r")).select("*", "r.*").drop("r")
+    refs = rows.select("model", "pair", "src_lang", "tgt_lang", "direction", "k", "ordinal", F.col("tgt").alias("ref"))
+    hyps = rows.where(~short & ~gone).select("model", "pair", "src_lang", "tgt_lang", "direction", "k", "ordinal", F.col("src").alias("pred"))
+    groups = ["model", "pair", "src_lang", "tgt_lang", "direction", "k"]
+    scores = chrf_op.score_aligned(hyps, refs, [*groups, "ordinal"], groups)
+    ranks = report.rank_scores(scores).select("model", "k", "direction", "rank")
+    good = F.count_if(F.col("status") == "ok").over(Window.partitionBy("model", "k"))
+    return (scores.withColumn("run_ok", good).join(ranks, ["model", "k", "direction"], "left")
+            .select("model", "k", "pair", "direction", "n_ref", "n_hyp", "status", "chrf", "rank", "run_ok"))
+
+
 # --- few-shot selection, dialects, quick start ---------------------------------------
 
 
@@ -370,6 +389,24 @@ def q_score_ranking_top5(spark, sf_dir):
     return report.score_lines(top, 1).select("rank", "pair", "direction", "chrf", "hyp_file", "line")
 
 
+@register("reader_rejects")
+def q_reader_rejects(spark, sf_dir):
+    """S3-S6 on damaged lines made from every benchmark text: cut, glued, trailing, wrong type.
+
+    Per line and reader whether it is taken and why not; nothing unreadable becomes a text.
+    """
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.to_json(F.array("text")).alias("a"), F.to_json(F.struct("text")).alias("o"),
+                                                 F.to_json(F.struct(F.col("text").alias("prompt"))).alias("p"))
+    kinds = {"good": F.col("a"), "broken": F.expr("left(a, length(a) - 2)"), "glued": F.concat("a", "a"), "trailing": F.concat("a", F.lit(" tail")),
+             "number": F.lit("[1]"), "null": F.lit("[null]"), "empty": F.lit("[]"), "object": F.col("o"), "objects": F.concat("o", "o"), "prompt": F.col("p")}
+    lines = b.select("item_id", F.explode(F.map_from_arrays(F.array(*[F.lit(k) for k in kinds]), F.array(*kinds.values()))).alias("damage", "line"))
+    v = F.col("line")
+    s3, s4, s5 = readers.parse_strict(v), readers.parse_prompt(v), readers.parse_score(v)
+    return lines.select("item_id", "damage", s3["error"].alias("strict_error"), s4["error"].alias("prompt_error"), s5["error"].alias("score_error"),
+                        F.md5(F.coalesce(s3["text"], F.lit("-"))).alias("strict_md5"), F.md5(F.coalesce(s5["text"], F.lit("-"))).alias("score_md5"),
+                        readers.parse_text_object(v).isNotNull().alias("paired"))
+
+
 def _partners(spark, sf_dir):
     """The pairs of English with every other language, as a scalar subquery (one short array)."""
     other = table(spark, sf_dir, "documents").where(F.col("lang") != "en")

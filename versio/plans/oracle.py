@@ -532,3 +532,37 @@ ORACLE["sft_text_pairs"] = SFT_TEXT_PAIRS
 
 
 ORACLE["fewshot_prompt_parity"] = fewshot_prompt_sql(1, parity=True)
+
+# Damaged lines: what each reader must say is written by hand per kind of damage.
+ORACLE["reader_rejects"] = """
+WITH k(damage, s3, s4, s5) AS (VALUES
+  ('good', NULL, NULL, NULL), ('broken', 'not json', 'not json', 'not json'), ('glued', 'not json', 'not json', 'not json'),
+  ('trailing', 'not json', 'not json', 'not json'), ('number', 'first element not a string', NULL, NULL),
+  ('null', 'first element not a string', 'no text in the json value', 'no text in the json value'),
+  ('empty', 'empty array', 'no text in the json value', 'no text in the json value'),
+  ('object', 'line must be a string or a single-element list', 'no text in the json value', NULL),
+  ('objects', 'not json', 'not json', 'not json'), ('prompt', 'line must be a string or a single-element list', NULL, NULL))
+SELECT item_id, damage, s3 AS strict_error, s4 AS prompt_error, s5 AS score_error,
+  md5(CASE damage WHEN 'good' THEN trim(text) ELSE '-' END) AS strict_md5,
+  md5(CASE damage WHEN 'good' THEN trim(text) WHEN 'number' THEN '1' WHEN 'object' THEN '' WHEN 'prompt' THEN '' ELSE '-' END) AS score_md5,
+  damage = 'object' AS paired
+FROM benchmark, k
+"""
+
+# Two models and two shot counts; the cut and the missing file make those two directions fail.
+ORACLE["eval_status"] = f"""
+WITH s AS ({CHRF_BY_DIRECTION}),
+cut AS (SELECT count(*) AS n FROM (
+  SELECT row_number() OVER (ORDER BY doc_id) - 1 AS o FROM documents WHERE lang = 'de') x,
+  (SELECT count(*) AS e FROM documents WHERE lang = 'en') y WHERE o < e AND o < 10 AND o % 5 <> 0),
+r AS (
+  SELECT m AS model, CAST(k AS INTEGER) AS k, pair, direction, n_ref,
+    CASE WHEN m = 'a' AND k = 1 AND direction = 'eng_2_de' THEN n_hyp - (SELECT n FROM cut)
+         WHEN m = 'b' AND k = 0 AND direction = 'fr_2_eng' THEN 0 ELSE n_hyp END AS n_hyp, chrf
+  FROM s, (VALUES ('a'), ('b')) t(m), (VALUES (0), (1)) u(k)),
+t AS (SELECT *, CASE WHEN n_ref = n_hyp THEN 'ok' ELSE 'length mismatch' END AS status FROM r),
+g AS (SELECT model, k, direction, CAST(row_number() OVER (PARTITION BY model, k ORDER BY chrf DESC, direction) AS INTEGER) AS rank FROM t WHERE status = 'ok')
+SELECT t.model, t.k, pair, t.direction, n_ref, n_hyp, status, CASE WHEN status = 'ok' THEN chrf END AS chrf, rank,
+  count(*) FILTER (status = 'ok') OVER (PARTITION BY t.model, t.k) AS run_ok
+FROM t LEFT JOIN g ON t.model = g.model AND t.k = g.k AND t.direction = g.direction
+"""

@@ -44,13 +44,25 @@ def numbered_lines(spark: SparkSession, path: str, make_valid: bool = False) ->
     return line_ordinals(read_lines(spark, path, make_valid)).select("_file", "ordinal", "value")
 
 
+def whole_json(line: Column) -> Column:
+    """The line's JSON value as a variant, null unless the value is all there is.
+
+    ``try_parse_json`` stops after the first value, so the line is parsed once
+    inside an array and once inside an object: text after the value breaks at
+    least one of them (it would have to close both).
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), line, F.lit("]")))
+    named = F.try_parse_json(F.concat(F.lit('{"v":'), line, F.lit("}")))
+    return F.when(named.isNotNull(), F.try_variant_get(listed, "$[0]", "variant"))
+
+
 def _is_string(v: Column) -> Column:
     return F.schema_of_variant(v) == F.lit("STRING")
 
 
 def parse_strict(value: Column) -> Column:
     """S3 on one line: struct(text, error). ``error`` is null when the line is good."""
-    v = F.try_parse_json(value)
+    v = whole_json(value)
     kind = F.schema_of_variant(v)
     first = F.try_variant_get(v, "$[0]", "variant")
     text = (F.when(kind.startswith("ARRAY") & first.isNotNull() & _is_string(first),
@@ -63,28 +75,35 @@ def parse_strict(value: Column) -> Column:
     return F.struct(strip_ws(text).alias("text"), error.alias("error"))
 
 
+def _read(line: Column, v: Column, json_text: Column, is_json: Column, plain: Column) -> Column:
+    """struct(text, error) of a line that is JSON where ``is_json`` says so, else plain text."""
+    text = F.when(is_json, json_text).otherwise(plain)
+    error = F.when(is_json & v.isNull(), F.lit("not json")).when(text.isNull(), F.lit("no text in the json value"))
+    return F.struct(text.alias("text"), error.alias("error"))
+
+
 def parse_prompt(value: Column) -> Column:
-    """S4 on one line -> prompt string (null for an unreadable JSON line)."""
+    """S4 on one line: struct(text, error); an unreadable line is an error, never an empty prompt."""
     line = strip_ws(value)
-    return (F.when(line.startswith("{"), F.get_json_object(line, "$.prompt"))
-             .when(line.startswith("["), F.get_json_object(line, "$[0]"))
-             .otherwise(line))
+    v = whole_json(line)
+    text = (F.when(line.startswith("{"), F.try_variant_get(v, "$.prompt", "string"))
+             .otherwise(F.try_variant_get(v, "$[0]", "string")))
+    return _read(line, v, text, line.startswith("{") | line.startswith("["), line)
 
 
 def parse_score(value: Column) -> Column:
-    """S5 on one line -> hypothesis/reference text (stripped)."""
+    """S5 on one line: struct(text, error), the text stripped; an object without ``translation`` reads as ``""``."""
     line = strip_ws(value)
-    v = F.try_parse_json(value)
+    v = whole_json(line)
     text = (F.when(line.startswith("["), F.try_variant_get(v, "$[0]", "string"))
-             .when(line.startswith("{"), F.coalesce(F.try_variant_get(v, "$.translation", "string"), F.lit("")))
-             .when(line.startswith('"'), F.try_variant_get(v, "$", "string"))
-             .otherwise(value))
-    return strip_ws(text)
+             .when(line.startswith("{"), F.when(v.isNotNull(), F.coalesce(F.try_variant_get(v, "$.translation", "string"), F.lit(""))))
+             .otherwise(F.try_variant_get(v, "$", "string")))
+    return _read(line, v, strip_ws(text), line.startswith("[") | line.startswith("{") | line.startswith('"'), line)
 
 
 def parse_text_object(value: Column) -> Column:
     """S6 side: ``$.text`` when the line is an object whose ``text`` is a string."""
-    v = F.try_parse_json(value)
+    v = whole_json(value)
     t = F.try_variant_get(v, "$.text", "variant")
     return F.when(F.schema_of_variant(v).startswith("OBJECT") & t.isNotNull() & _is_string(t),
                   F.try_variant_get(v, "$.text", "string"))
@@ -95,35 +114,37 @@ def drop_blank(df: DataFrame, col: str = "value") -> DataFrame:
     return df.where(~is_blank(col))
 
 
-def read_documents(spark: SparkSession, path: str, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """S3 over files: (good rows ``_file, ordinal, text``, quarantine ``_file, ordinal, value, error``).
-
-    With ``strict`` a bad line raises instead of being quarantined.
-    """
-    lines = drop_blank(numbered_lines(spark, path))
-    parsed = lines.withColumn("_p", parse_strict(F.col("value")))
+def _split(spark: SparkSession, path: str, parse, name: str, strict: bool, what: str) -> tuple[DataFrame, DataFrame]:
+    """Good rows ``_file, ordinal, <name>`` and rejects ``_file, ordinal, value, error`` of a reader."""
+    parsed = drop_blank(numbered_lines(spark, path)).withColumn("_p", parse(F.col("value")))
     if strict:
         parsed = parsed.withColumn(
             "_p", F.when(F.col("_p.error").isNull(), F.col("_p"))
-                   .otherwise(F.raise_error(F.concat(F.lit("bad document line "), F.col("_file"), F.lit(":"),
+                   .otherwise(F.raise_error(F.concat(F.lit(f"bad {what} line "), F.col("_file"), F.lit(":"),
                                                      (F.col("ordinal") + 1).cast("string"), F.lit(": "),
                                                      F.col("_p.error")))))
-    good = parsed.where(F.col("_p.error").isNull()).select("_file", "ordinal", F.col("_p.text").alias("text"))
+    good = parsed.where(F.col("_p.error").isNull()).select("_file", "ordinal", F.col("_p.text").alias(name))
     bad = parsed.where(F.col("_p.error").isNotNull()).select("_file", "ordinal", "value",
                                                             F.col("_p.error").alias("error"))
     return good, bad
 
 
-def read_prompts(spark: SparkSession, path: str) -> DataFrame:
-    """S4 over files: ``_file, ordinal, prompt``."""
-    lines = drop_blank(numbered_lines(spark, path))
-    return lines.select("_file", "ordinal", parse_prompt(F.col("value")).alias("prompt"))
+def read_documents(spark: SparkSession, path: str, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """S3 over files: (good rows ``_file, ordinal, text``, quarantine ``_file, ordinal, value, error``).
+
+    With ``strict`` a bad line raises instead of being quarantined.
+    """
+    return _split(spark, path, parse_strict, "text", strict, "document")
+
+
+def read_prompts(spark: SparkSession, path: str, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """S4 over files: (``_file, ordinal, prompt``, rejects); ``strict`` raises on a bad line."""
+    return _split(spark, path, parse_prompt, "prompt", strict, "prompt")
 
 
-def read_scored(spark: SparkSession, path: str) -> DataFrame:
-    """S5 over files: ``_file, ordinal, text``."""
-    lines = drop_blank(numbered_lines(spark, path))
-    return lines.select("_file", "ordinal", parse_score(F.col("value")).alias("text"))
+def read_scored(spark: SparkSession, path: str, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """S5 over files: (``_file, ordinal, text``, rejects); ``strict`` raises on a bad line."""
+    return _split(spark, path, parse_score, "text", strict, "scored")
 
 
 def zip_text_objects(src: DataFrame, tgt: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
