@@ -1,5 +1,6 @@
 """End-to-end jobs with written outputs: E1 (predictions + scores), E2 (CSV), E3, S1 pruning."""
 import glob
+import json
 
 import pytest
 import sys
@@ -28,8 +29,8 @@ def test_translation_job_writes_and_scores(spark, tmp):
     assert set(scores) == {"eng_2_fr", "fr_2_eng", "eng_2_de", "de_2_eng", "eng_2_es", "es_2_eng"}
     assert all(r.status == "ok" and r.n_segments == r.n_ref > 0 for r in scores.values())
     assert glob.glob(tmp + "/predictions/pair=eng_fr/model=Some-Model_v1/shot=shot1/direction=eng_2_fr/*.parquet")
-    tsv = glob.glob(tmp + "/scores/*.csv")
-    assert tsv and open(tsv[0]).readline().strip().split("\t") == ["pair", "direction", "chrf"]
+    tsv = glob.glob(tmp + "/scores/model=Some-Model_v1/shot=shot1/*.csv")
+    assert tsv and open(tsv[0]).readline().strip().split("\t") == ["pair", "direction", "hyp_file", "n_docs", "status", "chrf"]
     cov = {r.direction: r.status for r in out["coverage"].collect()}
     assert cov["eng_2_hin"] == "missing_ref_and_hyp" and cov["eng_2_fr"] == "ok"
     t = out["tally"].first()
@@ -148,7 +149,7 @@ def test_score_run_files_matches_python_reader_and_chrf(spark, tmp):
     """Files in the evaluation layout -> scores equal to Python loading + Counter chrF."""
     import json
     import os
-    from versio.functions.chrf import py_chrf
+    from plain_chrf import py_chrf
     refs = {"hin": ['["ref one"]', "   ", '["second reference text"]', '["third"]'],
             "eng": ['{"translation": "an english line"}', '"quoted"', '["last one"]']}
     hyps = {"eng_2_hin": ['["ref  one"]', '["second text"]', "raw third line"],
@@ -195,3 +196,43 @@ def test_quickstart_falsy_n_means_every_document(spark):
     assert jobs.quickstart(corpus, qs, n=0, pair="eng_es").count() == n_dev
     assert jobs.quickstart(corpus, qs, n=None, pair="eng_es").count() == n_dev
     assert jobs.quickstart(corpus, qs, n=2, pair="eng_es").count() == min(2, n_dev)
+
+
+def test_score_tables_of_models_and_sweeps_stay_apart(spark, tmp):
+    corpus = fixture_corpus(spark, SF001)
+    for model in ("m1", "m2"):
+        cfg = jobs.JobConfig(ks=[0, 1], dialect="fewshot", chat="system_user", model=model)
+        out = jobs.run_translation_job(spark, corpus, COPY, cfg, out_root=tmp)
+    back = spark.read.option("sep", "\t").option("header", True).csv(tmp + "/scores")
+    keys = [(r.model, r.shot, r.direction, r.hyp_file) for r in back.collect()]
+    assert len(keys) == len(set(keys)) == 2 * 2 * 6
+    assert all(f.endswith(f".{s[4:]}.pred.jsonl") for _, s, _, f in keys)
+    assert out["tally"].first().n_expected == 12 and out["tally"].first().n_ok == 12
+
+
+def test_misaligned_directions_have_no_score_or_rank(spark):
+    from versio.operators import align, report
+    from versio.operators.chrf import score_aligned
+    refs = spark.createDataFrame([("a_2_b", 0, "x y"), ("a_2_b", 1, "z"), ("b_2_a", 0, "x")], "direction string, ordinal long, ref string")
+    hyps = spark.createDataFrame([("a_2_b", 0, "x y"), ("b_2_a", 0, "q")], "direction string, ordinal long, pred string")
+    scores = score_aligned(hyps, refs, ["direction", "ordinal"], ["direction"])
+    assert {r.direction: (r.status, r.chrf) for r in scores.collect()} == {"a_2_b": ("length mismatch", None), "b_2_a": ("ok", 0.0)}
+    assert [(r.direction, r.rank) for r in report.rank_scores(scores).collect()] == [("b_2_a", 1)]
+    exp = spark.createDataFrame([("a", "b"), ("b", "a")], "src_lang string, tgt_lang string")
+    t = report.tally(report.evaluated(align.coverage(exp, refs, hyps), scores)).first()
+    assert (t.n_ok, t.n_failed) == (1, 1)
+
+
+def test_jsonl_sink_keeps_key_order_over_many_files(spark, tmp):
+    import glob as g
+
+    from versio.sources import sinks
+    df = spark.range(20_000).selectExpr("if(id % 3 = 0, 'dev', 'test') AS subset", "id AS ordinal", "concat('t', id) AS text").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_documents(df, tmp + "/docs", ["subset"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    files = sorted(g.glob(tmp + "/docs/subset=test/part-*"))
+    lines = [json.loads(x)[0] for f in files for x in open(f)]
+    assert len(files) > 2 and lines == [f"t{i}" for i in range(20_000) if i % 3]

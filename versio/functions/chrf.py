@@ -151,21 +151,3 @@ def stat_names(order: int = CHAR_ORDER) -> list[str]:
     for n in range(1, order + 1):
         names += [f"hyp{n}", f"ref{n}", f"match{n}"]
     return names
-
-
-def py_chrf(hyps: list[str], refs: list[str]) -> float:
-    """Brute-force corpus chrF with Counters (test oracle only)."""
-    from collections import Counter
-    tot = [0] * (3 * CHAR_ORDER)
-    for hyp, ref in zip(hyps, refs):
-        h = "".join(hyp.split())
-        r = "".join(ref.split())
-        for n in range(1, CHAR_ORDER + 1):
-            hc = Counter(h[i:i + n] for i in range(len(h) - n + 1))
-            rc = Counter(r[i:i + n] for i in range(len(r) - n + 1))
-            nh, nr = sum(hc.values()), sum(rc.values())
-            m = sum((hc & rc).values())
-            tot[3 * (n - 1)] += nh if nr > 0 else 0
-            tot[3 * (n - 1) + 1] += nr
-            tot[3 * (n - 1) + 2] += m
-    return corpus_score(tot)

@@ -45,18 +45,19 @@ def truncating_counts(counts: DataFrame, n_pairs: DataFrame, on: list[str]) -> D
 
 
 def coverage(expected: DataFrame, refs: DataFrame, hyps: DataFrame) -> DataFrame:
-    """Status per expected direction (``src_lang, tgt_lang``).
+    """Status per expected direction (``src_lang, tgt_lang``), and per ``k`` where ``expected`` has one.
 
-    ``refs``/``hyps`` hold one row per present (direction, document); they are
-    reduced to present directions before the join.
+    ``refs``/``hyps`` hold one row per present (direction[, k], document); they
+    are reduced to present keys before the join.
     """
-    r = refs.select("direction").distinct().withColumn("_r", F.lit(True))
-    h = hyps.select("direction").distinct().withColumn("_h", F.lit(True))
-    e = expected.select("src_lang", "tgt_lang", F.concat("src_lang", F.lit("_2_"), "tgt_lang").alias("direction"))
-    j = e.join(r, "direction", "left").join(h, "direction", "left")
+    keys = ["direction", *(["k"] if "k" in expected.columns else [])]
+    r = refs.select(*[c for c in keys if c in refs.columns]).distinct().withColumn("_r", F.lit(True))
+    h = hyps.select(*keys).distinct().withColumn("_h", F.lit(True))
+    e = expected.withColumn("direction", F.concat("src_lang", F.lit("_2_"), "tgt_lang"))
+    j = e.join(r, [c for c in keys if c in refs.columns], "left").join(h, keys, "left")
     has_r = F.coalesce("_r", F.lit(False))
     has_h = F.coalesce("_h", F.lit(False))
     status = (F.when(has_r & has_h, F.lit("ok")).when(has_r, F.lit("missing_hyp"))
                .when(has_h, F.lit("missing_ref")).otherwise(F.lit("missing_ref_and_hyp")))
-    return j.select("direction", "src_lang", "tgt_lang",
+    return j.select(*keys, "src_lang", "tgt_lang",
                     pair_of(F.col("src_lang"), F.col("tgt_lang")).alias("pair"), status.alias("status"))

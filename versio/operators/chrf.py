@@ -6,10 +6,6 @@ Plan: whitespace is removed JVM-side; ``mapInPandas`` turns each segment into
 18 longs per group and task cross the shuffle -- a direction holding a third
 of the corpus costs the same shuffle as any other. The score is a closed-form
 Column expression over the sums.
-
-``native_segment_stats`` is an independent all-Spark form (exploded n-grams,
-two aggregations) kept as a test oracle; it shuffles every n-gram and is not
-meant for scale.
 """
 
 from __future__ import annotations
@@ -94,10 +90,11 @@ def align(hyps: DataFrame, refs: DataFrame, keys: list[str], group_cols: list[st
 
 
 def with_status(counts: DataFrame, scores: DataFrame, group_cols: list[str]) -> DataFrame:
-    """Join side counts with scores; ``status`` is ``ok`` when every row on both sides aligned."""
+    """Join side counts with scores; ``status`` is ``ok`` when every row on both sides aligned. A group
+    that did not align has no score."""
     j = counts.join(scores, group_cols, "left").withColumn("n_segments", F.coalesce("n_segments", F.lit(0)))
     ok = (F.col("n_ref") == F.col("n_hyp")) & (F.col("n_ref") == F.col("n_segments"))
-    return j.withColumn("status", F.when(ok, F.lit("ok")).otherwise(F.lit("length mismatch")))
+    return j.withColumn("status", F.when(ok, F.lit("ok")).otherwise(F.lit("length mismatch"))).withColumn("chrf", F.when(ok, F.col("chrf")))
 
 
 def score_aligned(hyps: DataFrame, refs: DataFrame, keys: list[str], group_cols: list[str],
@@ -113,30 +110,3 @@ def chrf_by(df: DataFrame, hyp_col: str, ref_col: str, group_cols: list[str],
     """Segment statistics + corpus score per group in one plan."""
     keys = list(dict.fromkeys(group_cols + (key_cols or [])))
     return corpus_chrf(segment_statistics(df, hyp_col, ref_col, keys), group_cols)
-
-
-def native_segment_stats(df: DataFrame, hyp_col: str, ref_col: str, key_cols: list[str]) -> DataFrame:
-    """All-Spark statistics (test oracle): explode n-grams, count, match."""
-    base = df.select(*key_cols, remove_ws(F.col(hyp_col)).alias("_h"), remove_ws(F.col(ref_col)).alias("_r"))
-    sides = base.select(*key_cols, F.explode(F.array(
-        F.struct(F.lit("h").alias("side"), F.col("_h").alias("s")),
-        F.struct(F.lit("r").alias("side"), F.col("_r").alias("s")))).alias("x")).select(*key_cols, "x.side", "x.s")
-    chars = sides.select(*key_cols, "side", F.when(F.length("s") > 0, F.split("s", "")).otherwise(
-        F.array().cast("array<string>")).alias("c"))
-    grams = chars.select(*key_cols, "side", F.explode(F.sequence(F.lit(1), F.lit(CHAR_ORDER))).alias("n"), "c")
-    grams = grams.select(*key_cols, "side", "n", F.explode(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size("c") - F.col("n") + 1, F.lit(0))),
-        lambda i: F.array_join(F.slice("c", i, F.col("n")), ""))).alias("g"))
-    counts = grams.groupBy(*key_cols, "n", "g").agg(
-        F.count(F.when(F.col("side") == "h", 1)).alias("ch"), F.count(F.when(F.col("side") == "r", 1)).alias("cr"))
-    per = counts.groupBy(*key_cols, "n").agg(F.sum("ch").alias("nh"), F.sum("cr").alias("nr"),
-                                             F.sum(F.least("ch", "cr")).alias("nm"))
-    per = per.withColumn("nh", F.when(F.col("nr") > 0, F.col("nh")).otherwise(F.lit(0)))
-    wide = per.groupBy(*key_cols).pivot("n", list(range(1, CHAR_ORDER + 1))).agg(
-        F.first("nh").alias("h"), F.first("nr").alias("r"), F.first("nm").alias("m"))
-    cols = []
-    for n in range(1, CHAR_ORDER + 1):
-        cols += [F.coalesce(F.col(f"{n}_h"), F.lit(0)).cast("bigint").alias(f"hyp{n}"),
-                 F.coalesce(F.col(f"{n}_r"), F.lit(0)).cast("bigint").alias(f"ref{n}"),
-                 F.coalesce(F.col(f"{n}_m"), F.lit(0)).cast("bigint").alias(f"match{n}")]
-    return wide.select(*key_cols, *cols)

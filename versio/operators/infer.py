@@ -95,10 +95,3 @@ class CopyBetween:
             return out
 
         return gen
-
-
-def sampling_config(max_new_tokens: int = 256, sampling: bool = False, temperature: float = 0.7,
-                    top_p: float = 0.9, batch_size: int = 4) -> dict:
-    """Run configuration (A10) with the reference's defaults."""
-    return dict(max_new_tokens=max_new_tokens, sampling=sampling, temperature=temperature,
-                top_p=top_p, batch_size=batch_size)

@@ -124,7 +124,9 @@ def run_translation_job(spark: SparkSession, corpus: DataFrame, engine_factory,
         preds = run_predictions(corpus, engine_factory, cfg, done)
         sinks.write_predictions(sinks.run_layout(preds, cfg.model), root,
                                 mode="append" if resuming else "overwrite")
-        preds = read_predictions(spark, root, cfg)
+        # Directions of an earlier, larger corpus may still lie there; they are no part of this run.
+        run = corpus.where(F.col("subset") == "test").select("pair").distinct()
+        preds = read_predictions(spark, root, cfg).join(run, "pair", "left_semi")
     else:
         preds = materialize(run_predictions(corpus, engine_factory, cfg))
     refs = references(corpus, cfg.ks)
@@ -132,7 +134,8 @@ def run_translation_job(spark: SparkSession, corpus: DataFrame, engine_factory,
     if out_root:
         scores = materialize(scores)
     ranked = report.rank_scores(scores)
-    cov = align_op.coverage(expected_directions(spark, corpus, cfg.expected_pairs), refs, preds)
+    expected = expected_directions(spark, corpus, cfg.expected_pairs).withColumn("k", F.explode(F.array(*[F.lit(k) for k in cfg.ks])))
+    cov = report.evaluated(align_op.coverage(expected, refs, preds), scores)
     out = {
         "predictions": preds,
         "scores": scores,
@@ -142,7 +145,8 @@ def run_translation_job(spark: SparkSession, corpus: DataFrame, engine_factory,
         "tally": report.tally(cov),
     }
     if out_root:
-        lines = report.score_lines(ranked, cfg.ks[0]).select("pair", "direction", "chrf")
+        lines = report.score_lines(sinks.run_layout(scores, cfg.model)).select(
+            "pair", "direction", "hyp_file", F.col("n_ref").alias("n_docs"), "status", "chrf", "model", "shot")
         sinks.write_scores(lines, f"{out_root}/scores")
     return out
 
@@ -182,7 +186,7 @@ def build_training_set(pairs: DataFrame, max_length: int = 512, tokenize=None,
 def _scored_positions(spark: SparkSession, pattern: str) -> DataFrame:
     """S5 over files: ``_file, pos, text`` with ``pos`` the 0-based position among
     the file's non-blank lines (the reader drops blank lines before zipping)."""
-    lines = read_scored(spark, pattern)
+    lines, _ = read_scored(spark, pattern, strict=True)
     ranks = rank_table(lines.select("_file", "ordinal"), ["_file"], ["ordinal"], out_col="pos")
     return join_ranks(lines, ranks, ["_file", "ordinal"]).select("_file", "pos", "text")
 
@@ -215,7 +219,7 @@ def score_run_files(spark: SparkSession, data_root: str, result_root: str, model
     scores = chrf_op.score_aligned(hyps, refs, groups + ["pos"], groups)
     scores = report.score_lines(scores, k)
     present = refs.select("pair").unionByName(hyps.select("pair"))
-    cov = align_op.coverage(expected_directions(spark, present, expected_pairs), refs, hyps)
+    cov = report.evaluated(align_op.coverage(expected_directions(spark, present, expected_pairs), refs, hyps), scores)
     return {"scores": scores, "coverage": cov, "tally": report.tally(cov)}
 
 

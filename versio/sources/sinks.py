@@ -21,8 +21,9 @@ def jsonl_line(text: Column) -> Column:
 
 def write_documents(df: DataFrame, path: str, partition_cols: list[str], text_col: str = "text",
                     order_col: str = "ordinal", mode: str = "overwrite") -> None:
-    """One JSONL line per document, partitioned directories, ordered by key inside files."""
-    (df.hint("rebalance", *partition_cols)
+    """One JSONL line per document, partitioned directories. Rows are dealt by ranges of the key, so
+    within a directory file-name order is key order, however many files there are."""
+    (df.repartitionByRange(*partition_cols, order_col)
        .sortWithinPartitions(*partition_cols, order_col)
        .select(*partition_cols, jsonl_line(F.col(text_col)).alias("value"))
        .write.mode(mode).partitionBy(*partition_cols).text(path))
@@ -53,8 +54,11 @@ def predictions_jsonl_view(df: DataFrame, pred_col: str = "pred") -> DataFrame:
 
 
 def write_scores(scores: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """The score table as TSV with a header (scores are a handful of rows)."""
-    (scores.coalesce(1).write.mode(mode).option("sep", "\t").option("header", True).csv(path))
+    """The score table as TSV with a header, a directory per model and shot count (a handful of rows
+    each); only the directories being written are replaced, so other models and sweeps stay."""
+    (scores.repartition("model", "shot").sortWithinPartitions("pair", "direction")
+       .write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("model", "shot")
+       .option("sep", "\t").option("header", True).csv(path))
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
