@@ -236,3 +236,41 @@ def test_jsonl_sink_keeps_key_order_over_many_files(spark, tmp):
     files = sorted(g.glob(tmp + "/docs/subset=test/part-*"))
     lines = [json.loads(x)[0] for f in files for x in open(f)]
     assert len(files) > 2 and lines == [f"t{i}" for i in range(20_000) if i % 3]
+
+
+class FailsOn:
+    """Copies like COPY but fails on one text; records what it was asked, one file per prompt."""
+
+    def __init__(self, folder, text):
+        self.folder, self.text = folder, text
+
+    def __call__(self):
+        import uuid
+        inner = COPY()
+
+        def gen(prompts, params):
+            assert params == {"max_new_tokens": 99, "sampling": True, "temperature": 0.5, "top_p": 0.8}
+            for p in prompts:
+                if self.text and self.text in p:
+                    raise RuntimeError("engine lost")
+                with open(f"{self.folder}/{uuid.uuid4().hex}", "w") as f:
+                    f.write(p)
+            return inner(prompts)
+
+        return gen
+
+
+def test_crash_keeps_committed_units_and_resume_sends_the_rest(spark, tmp):
+    import os
+    rows = [("test" if i % 5 else "dev", "eng_fr", i, f"source number {i} .", f"cible {i}") for i in range(60)]
+    corpus = spark.createDataFrame(rows, "subset string, pair string, ordinal long, src_txt string, tgt_txt string")
+    cfg = jobs.JobConfig(ks=[0], dialect="bare", chat="system_user", model="m", resume=True, commit_units=6,
+                         max_new_tokens=99, sampling=True, temperature=0.5, top_p=0.8)
+    for d in ("a", "b"):
+        os.makedirs(f"{tmp}/{d}")
+    with pytest.raises(Exception):
+        jobs.run_translation_job(spark, corpus, FailsOn(f"{tmp}/a", "source number 33 ."), cfg, out_root=tmp + "/run")
+    committed = spark.read.parquet(tmp + "/run/predictions").count()
+    out = jobs.run_translation_job(spark, corpus, FailsOn(f"{tmp}/b", None), cfg, out_root=tmp + "/run")
+    assert 0 < committed < 96 and len(os.listdir(f"{tmp}/b")) == 96 - committed
+    assert out["predictions"].count() == 96 and all(r.status == "ok" for r in out["scores"].collect())

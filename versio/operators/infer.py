@@ -16,6 +16,7 @@ prompts against predictions already written.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from inspect import signature
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,9 +25,19 @@ from pyspark.sql import functions as F
 from ..functions.text import clean_generation, stop_cut
 from ..functions.worker import resource, resource_key
 
+def run_parameters(max_new_tokens: int, sampling: bool, temperature: float, top_p: float) -> dict:
+    """P10 for one run: greedy unless sampling is on (temperature 0, top_p 1)."""
+    return {"max_new_tokens": max_new_tokens, "sampling": bool(sampling),
+            "temperature": float(temperature) if sampling else 0.0, "top_p": float(top_p) if sampling else 1.0}
+
+
 def generate(df: DataFrame, prompt_col: str, engine_factory, keys: list[str],
-             batch_size: int = 10, out_col: str = "output") -> DataFrame:
-    """``keys + [prompt_col, out_col]``; the prediction stays on its row."""
+             batch_size: int = 10, out_col: str = "output", params: dict | None = None) -> DataFrame:
+    """``keys + [prompt_col, out_col]``; the prediction stays on its row.
+
+    An engine that takes a second argument gets the run's ``params``. A row
+    without a prompt is not sent and has no output.
+    """
     base = df.select(*keys, prompt_col)
     fields = [f for f in base.schema.fields]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{out_col}` string"
@@ -34,31 +45,31 @@ def generate(df: DataFrame, prompt_col: str, engine_factory, keys: list[str],
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         gen = resource(engine_factory, key)
+        call = (lambda x: gen(x, params or {})) if len(signature(gen).parameters) > 1 else gen
         for pdf in batches:
-            prompts = pdf[prompt_col].fillna("").tolist()
-            outs: list[str] = []
-            for i in range(0, len(prompts), batch_size):
-                chunk = prompts[i:i + batch_size]
-                res = list(gen(chunk))
+            for i in range(0, len(pdf), batch_size):  # each model batch goes on as soon as it is done
+                out = pdf.iloc[i:i + batch_size].reset_index(drop=True)
+                asked = out[prompt_col].notna()
+                chunk = out.loc[asked, prompt_col].tolist()
+                res = list(call(chunk)) if chunk else []
                 if len(res) != len(chunk):
                     raise RuntimeError(f"engine returned {len(res)} outputs for {len(chunk)} prompts")
-                outs += res
-            out = pdf.reset_index(drop=True)
-            out[out_col] = pd.Series(outs, dtype="object")
-            yield out
+                out[out_col] = pd.Series(res, index=out.index[asked], dtype="object")
+                yield out
 
     return base.mapInPandas(run, schema)
 
 
 def predictions(df: DataFrame, prompt_col: str, engine_factory, keys: list[str],
-                batch_size: int = 10, stop: str | None = None, out_col: str = "pred") -> DataFrame:
+                batch_size: int = 10, stop: str | None = None, out_col: str = "pred",
+                params: dict | None = None) -> DataFrame:
     """X1 + F11 + F12: ``keys + [out_col]``.
 
     ``stop`` cuts each output at its first occurrence (the reference default
     path used ``"\\n\\n"``); the clean-up removes every occurrence of the prompt
     from prompt + output and strips, as the reference does.
     """
-    g = generate(df, prompt_col, engine_factory, keys, batch_size)
+    g = generate(df, prompt_col, engine_factory, keys, batch_size, params=params)
     cut = stop_cut(F.col("output"), stop)
     return g.select(*keys, clean_generation(F.concat(F.col(prompt_col), cut), F.col(prompt_col)).alias(out_col))
 
@@ -95,3 +106,14 @@ class CopyBetween:
             return out
 
         return gen
+
+
+class EchoParameters:
+    """Stand-in model: answers every prompt with the run parameters it was given."""
+
+    def __call__(self) -> Callable[[list[str], dict], list[str]]:
+        def gen(prompts: list[str], params: dict) -> list[str]:
+            said = "|".join(str(params[k]) for k in ("sampling", "temperature", "top_p", "max_new_tokens"))
+            return [said] * len(prompts)
+
+        return gen

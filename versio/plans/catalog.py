@@ -16,7 +16,7 @@ from ..functions.text import clean_generation, in_word_band, scrub, split_lines,
 from ..operators import align as align_op
 from ..operators import chrf as chrf_op
 from ..operators import fewshot, infer, report, sft
-from ..operators.directions import expand_directions, pair_langs, resolve_sampling, shot_sweep, with_labels
+from ..operators.directions import expand_directions, pair_langs, shot_sweep, with_labels
 from ..plans import jobs
 from ..sources import readers
 from ..sources.corpus import fixture_corpus, fixture_ranked_documents, table, zip_sides
@@ -259,18 +259,27 @@ def q_chat_messages_render(spark, sf_dir):
         P.render_chat(P.system_user_messages(F.col("src"), F.col("tgt_label"))).alias("system_chat"))
 
 
+SAMPLING_RUNS = (
+    ("greedy", dict(sampling=False, temperature=0.7, top_p=0.9, max_new_tokens=8000), 10),
+    ("sampled", dict(sampling=True, temperature=0.7, top_p=0.9, max_new_tokens=5000), 16),
+)
+
+
 @register("sampling_params")
 def q_sampling_params(spark, sf_dir):
-    """P10: effective decoding parameters per direction and run configuration."""
-    d = q_directions_with_labels(spark, sf_dir).select("pair", "direction")
-    runs = F.array(
-        F.struct(F.lit("greedy").alias("run"), F.lit(False).alias("sampling"), F.lit(0.7).alias("temperature"),
-                 F.lit(0.9).alias("top_p"), F.lit(8000).alias("max_new_tokens"), F.lit(10).alias("batch_size")),
-        F.struct(F.lit("sampled").alias("run"), F.lit(True).alias("sampling"), F.lit(0.7).alias("temperature"),
-                 F.lit(0.9).alias("top_p"), F.lit(5000).alias("max_new_tokens"), F.lit(16).alias("batch_size")))
-    cfg = d.select("pair", "direction", F.explode(runs).alias("r")).select("pair", "direction", "r.*")
-    return resolve_sampling(cfg).select("pair", "direction", "run", "sampling", "eff_temperature", "eff_top_p",
-                                        "max_new_tokens", "batch_size")
+    """The decoding parameters that reach the model, per direction and run configuration.
+
+    Every test document is sent in both runs to a stand-in that answers with what it was given.
+    """
+    prompts = fewshot.build_prompts(fixture_corpus(spark, sf_dir), [0], dialect="bare")
+    out = None
+    for run, given, batch in SAMPLING_RUNS:
+        g = infer.generate(prompts, "prompt", infer.EchoParameters(), ["pair", "direction"], batch, params=infer.run_parameters(**given))
+        said = F.split("output", r"\|")
+        g = g.select("pair", "direction", F.lit(run).alias("run"), (said[0] == "True").alias("sampling"), said[1].cast("double").alias("eff_temperature"),
+                     said[2].cast("double").alias("eff_top_p"), said[3].cast("int").alias("max_new_tokens"), F.lit(batch).alias("batch_size")).distinct()
+        out = g if out is None else out.unionByName(g)
+    return out
 
 
 @register("stop_and_clean")
@@ -350,9 +359,9 @@ E2E = jobs.JobConfig(ks=[1], dialect="bare", chat="system_user", model=DEMO_MODE
                           expected_pairs=P.TASK_PAIRS)
 
 
-def _e2e(spark, sf_dir):
+def _e2e(spark, sf_dir, cfg=E2E):
     corpus = fixture_corpus(spark, sf_dir)
-    return jobs.run_translation_job(spark, corpus, COPY_USER, E2E)
+    return jobs.run_translation_job(spark, corpus, COPY_USER, cfg)
 
 
 @register("end_to_end_scores")

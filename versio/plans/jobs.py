@@ -39,7 +39,12 @@ class JobConfig:
     parity: bool = False
     expected_pairs: list[str] | None = None
     top: int = 5
-    resume: bool = False               # skip prompts already predicted under out_root
+    resume: bool = False               # commit in units; skip prompts already predicted under out_root
+    commit_units: int = 8              # units of a resumable run, each committed by itself
+    max_new_tokens: int = 256          # P10, handed to the engine
+    sampling: bool = False
+    temperature: float = 0.7
+    top_p: float = 0.9
 
 
 def model_input(prompts: DataFrame, cfg: JobConfig) -> DataFrame:
@@ -54,17 +59,22 @@ def model_input(prompts: DataFrame, cfg: JobConfig) -> DataFrame:
     return prompts.withColumn("model_input", P.render_chat(msgs, cfg.chat_markup))
 
 
-def run_predictions(corpus: DataFrame, engine_factory, cfg: JobConfig, done: DataFrame | None = None) -> DataFrame:
+def run_predictions(corpus: DataFrame, engine_factory, cfg: JobConfig, done: DataFrame | None = None,
+                    unit: int | None = None) -> DataFrame:
     """Prompts -> model -> cleaned predictions keyed by ``KEYS``.
 
     ``done`` (keys of predictions already written) is anti-joined away first,
-    so a resumed run sends only the remaining prompts to the model.
+    so a resumed run sends only the remaining prompts to the model. ``unit``
+    takes one of ``cfg.commit_units`` shares of the keys, by hash.
     """
     prompts = fewshot.build_prompts(corpus, cfg.ks, cfg.dialect, cfg.parity)
+    if unit is not None:
+        prompts = prompts.where(F.pmod(F.xxhash64(*KEYS), F.lit(cfg.commit_units)) == unit)
     if done is not None:
         prompts = infer.pending(prompts, done, KEYS)
     mi = model_input(prompts, cfg)
-    return infer.predictions(mi, "model_input", engine_factory, KEYS, cfg.batch_size, cfg.stop)
+    params = infer.run_parameters(cfg.max_new_tokens, cfg.sampling, cfg.temperature, cfg.top_p)
+    return infer.predictions(mi, "model_input", engine_factory, KEYS, cfg.batch_size, cfg.stop, params=params)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -112,18 +122,20 @@ def run_translation_job(spark: SparkSession, corpus: DataFrame, engine_factory,
 
     With ``out_root`` predictions and the score table are written
     (``predictions/`` partitioned by pair, model, shot, direction; ``scores/``
-    TSV); otherwise predictions are checkpointed. With ``cfg.resume`` a run
-    over an existing ``out_root`` sends only prompts without a prediction to
-    the model and appends their predictions.
+    TSV); otherwise predictions are stored in the shared folder. With
+    ``cfg.resume`` predictions are committed in ``cfg.commit_units`` units, and a
+    run over an existing ``out_root`` sends only prompts without a committed
+    prediction to the model.
     """
     if out_root:
         root = f"{out_root}/predictions"
         resuming = cfg.resume and _exists(spark, root)
         # Keys already written, fixed before this run appends to the same folder.
         done = materialize(read_predictions(spark, root, cfg).select(*KEYS)) if resuming else None
-        preds = run_predictions(corpus, engine_factory, cfg, done)
-        sinks.write_predictions(sinks.run_layout(preds, cfg.model), root,
-                                mode="append" if resuming else "overwrite")
+        # A resumable run commits its units one by one: after a crash the finished ones stay.
+        for unit in range(cfg.commit_units) if cfg.resume else (None,):
+            preds = run_predictions(corpus, engine_factory, cfg, done, unit)
+            sinks.write_predictions(sinks.run_layout(preds, cfg.model), root, mode="append" if cfg.resume else "overwrite")
         # Directions of an earlier, larger corpus may still lie there; they are no part of this run.
         run = corpus.where(F.col("subset") == "test").select("pair").distinct()
         preds = read_predictions(spark, root, cfg).join(run, "pair", "left_semi")
