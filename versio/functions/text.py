@@ -139,10 +139,3 @@ def _col(c: Column | str) -> Column:
 
 
 # --- Python helpers with the same semantics (unit-test references) -----------------
-
-def py_word_count(s: str) -> int:
-    return len(s.split())
-
-
-def py_strip(s: str) -> str:
-    return s.strip()

@@ -108,6 +108,15 @@ class CopyBetween:
         return gen
 
 
+class CopyLastSource(CopyBetween):
+    """Stand-in model for few-shot prompts: finds the last message's last labelled source among its
+    example blocks and returns it."""
+
+    def __call__(self) -> Callable[[list[str]], list[str]]:
+        message = super().__call__()
+        return lambda prompts: [m.split("\n\n")[-2].split(": ", 1)[1] for m in message(prompts)]
+
+
 class EchoParameters:
     """Stand-in model: answers every prompt with the run parameters it was given."""
 

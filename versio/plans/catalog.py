@@ -183,7 +183,7 @@ def q_eval_status(spark, sf_dir):
 
 SWEEP_KS = [0, 1, 3, 8]
 QUICKSTART_N = 50
-SFT_LENGTH = 64
+SFT_LENGTH = 512
 CHAT_USER = P.DEFAULT_CHAT_MARKUP["open"].replace("{role}", "user")
 CHAT_END = P.DEFAULT_CHAT_MARKUP["close"]
 COPY_USER = infer.CopyBetween(CHAT_USER, CHAT_END)
@@ -284,11 +284,11 @@ def q_sampling_params(spark, sf_dir):
 
 @register("stop_and_clean")
 def q_stop_and_clean(spark, sf_dir):
-    """first line as prompt, the rest as model output cut at a blank line, echo removed."""
+    """first line as prompt, the lines after it as model output cut at a line end, echo removed."""
     d = table(spark, sf_dir, "documents").select("doc_id", strip_ws("text").alias("gen"))
     prompt = F.split_part(F.col("gen"), F.lit("\n"), F.lit(1))
-    output = F.substring(F.col("gen"), F.length(prompt) + 1, 1 << 30)
-    return d.select("doc_id", clean_generation(F.concat(prompt, stop_cut(output, "\n\n")), prompt).alias("pred"))
+    output = F.substring(F.col("gen"), F.length(prompt) + 2, 1 << 30)
+    return d.select("doc_id", clean_generation(F.concat(prompt, stop_cut(output, "\n")), prompt).alias("pred"))
 
 
 @register("batch_infer")
@@ -302,16 +302,35 @@ def q_batch_infer(spark, sf_dir):
 
 @register("scrub_text")
 def q_scrub_text(spark, sf_dir):
-    """invalid UTF-8 replaced; reports documents that changed."""
+    """every third text gets a byte that begins no character at its end, every other third a cut
+    character at its begin; undecodable bytes are replaced, good text stays."""
     d = table(spark, sf_dir, "documents")
-    s = scrub("text")
-    return d.select("doc_id", F.length(s).alias("n_chars"), F.is_valid_utf8("text").alias("was_valid"),
-                    (s == F.col("text")).alias("unchanged"))
+    damage = F.pmod("doc_id", F.lit(3))
+    raw = (F.when(damage == 1, F.concat(F.col("text").cast("binary"), F.unhex(F.lit("FF"))))
+            .when(damage == 2, F.concat(F.unhex(F.lit("C328")), F.col("text").cast("binary"))).otherwise(F.col("text").cast("binary")))
+    d = d.select("doc_id", raw.cast("string").alias("raw"))
+    s = scrub("raw")
+    return d.select("doc_id", F.length(s).alias("n_chars"), F.is_valid_utf8("raw").alias("was_valid"), F.md5(s).alias("scrubbed_md5"))
+
+
+class FourCharacters:
+    """Stand-in tokenizer: runs of four characters."""
+
+    def __call__(self):
+        return lambda text: [text[i:i + 4] for i in range(0, len(text), 4)]
+
+
+@register("user_tokenizer")
+def q_user_tokenizer(spark, sf_dir):
+    """A tokenizer of the caller's own, loaded once per Python worker, over whole documents."""
+    tok = sft.user_tokenizer(FourCharacters())
+    d = table(spark, sf_dir, "documents").select("doc_id", tok(F.col("text")).alias("t"))
+    return d.select("doc_id", F.size("t").alias("n_tokens"), F.md5(F.array_join("t", "|")).alias("tokens_md5"))
 
 
 @register("sft_dataset")
 def q_sft_dataset(spark, sf_dir):
-    """F6 prompt, whitespace tokens, truncate/pad to 64, both directions."""
+    """F6 prompt, whitespace tokens, truncate/pad to 512, both directions."""
     t = sft.training_table(fixture_corpus(spark, sf_dir), max_length=SFT_LENGTH)
     return t.select("pair", "direction", "ordinal",
                     F.size("input_ids").alias("input_len"),
@@ -371,6 +390,16 @@ def q_end_to_end_scores(spark, sf_dir):
     return out["ranked"].select("pair", "direction", "k", "n_ref", "n_hyp", "status", "n_segments", "chrf", "rank")
 
 
+E2E_FEWSHOT = jobs.JobConfig(ks=[1], dialect="fewshot", chat="user", model=DEMO_MODEL, expected_pairs=P.TASK_PAIRS)
+
+
+@register("end_to_end_fewshot")
+def q_end_to_end_fewshot(spark, sf_dir):
+    """E1 with T1, J4, F5: few-shot prompts -> user chat -> model (stand-in) -> clean -> align -> chrF -> rank."""
+    out = jobs.run_translation_job(spark, fixture_corpus(spark, sf_dir), infer.CopyLastSource(CHAT_USER, CHAT_END), E2E_FEWSHOT)
+    return out["ranked"].select("pair", "direction", "k", "n_ref", "n_hyp", "status", "n_segments", "chrf", "rank")
+
+
 @register("eval_coverage")
 def q_eval_coverage(spark, sf_dir):
     """Every expected direction (task pairs and corpus pairs) with its reference/hypothesis status."""

@@ -377,7 +377,7 @@ FROM d, runs
 STOP_AND_CLEAN = f"""
 WITH d AS (SELECT doc_id, {strip('text')} AS gen FROM documents),
 p AS (SELECT doc_id, gen, split_part(gen, chr(10), 1) AS prompt FROM d),
-o AS (SELECT doc_id, prompt, prompt || split_part(substr(gen, length(prompt) + 1), chr(10) || chr(10), 1) AS g FROM p)
+o AS (SELECT doc_id, prompt, prompt || split_part(substr(gen, length(prompt) + 2), chr(10), 1) AS g FROM p)
 SELECT doc_id, {strip("CASE WHEN prompt = '' THEN g ELSE replace(g, prompt, '') END")} AS pred FROM o
 """
 
@@ -387,7 +387,8 @@ SELECT pair, direction, ordinal, {strip('prompt')} AS pred FROM fp
 """
 
 SCRUB = """
-SELECT doc_id, CAST(length(text) AS INTEGER) AS n_chars, true AS was_valid, true AS unchanged FROM documents
+WITH d AS (SELECT doc_id, CASE doc_id % 3 WHEN 1 THEN text || chr(65533) WHEN 2 THEN chr(65533) || '(' || text ELSE text END AS t FROM documents)
+SELECT doc_id, CAST(length(t) AS INTEGER) AS n_chars, doc_id % 3 = 0 AS was_valid, md5(t) AS scrubbed_md5 FROM d
 """
 
 
@@ -404,10 +405,10 @@ t AS (
          regexp_extract_all(tgt, {q(NON_WS + '+')}) AS tt
   FROM ldirs
 )
-SELECT pair, direction, ordinal, 64 AS input_len, CAST(least(len(pt), 64) AS INTEGER) AS n_real,
-       CAST(least(len(tt), 64) AS INTEGER) AS n_label_real,
-       md5(array_to_string({_pad('pt', 64)}, ' ')) AS input_md5,
-       md5(array_to_string({_pad('tt', 64)}, ' ')) AS labels_md5
+SELECT pair, direction, ordinal, 512 AS input_len, CAST(least(len(pt), 512) AS INTEGER) AS n_real,
+       CAST(least(len(tt), 512) AS INTEGER) AS n_label_real,
+       md5(array_to_string({_pad('pt', 512)}, ' ')) AS input_md5,
+       md5(array_to_string({_pad('tt', 512)}, ' ')) AS labels_md5
 FROM t
 """
 
@@ -566,3 +567,9 @@ SELECT t.model, t.k, pair, t.direction, n_ref, n_hyp, status, CASE WHEN status =
   count(*) FILTER (status = 'ok') OVER (PARTITION BY t.model, t.k) AS run_ok
 FROM t LEFT JOIN g ON t.model = g.model AND t.k = g.k AND t.direction = g.direction
 """
+
+ORACLE["end_to_end_fewshot"] = END_TO_END_SQL
+ORACLE["user_tokenizer"] = """
+WITH t AS (SELECT doc_id, regexp_extract_all(text, '(?s).{1,4}') AS t FROM documents)
+SELECT doc_id, CAST(len(t) AS INTEGER) AS n_tokens, md5(array_to_string(t, '|')) AS tokens_md5 FROM t
+"""
