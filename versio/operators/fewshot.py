@@ -30,15 +30,20 @@ DIALECTS = ("fewshot", "fewshot_nl", "bare")
 
 def select_examples(dev: DataFrame, k_max: int, low: int = 100, high: int = 200,
                     eng_code: str = "eng") -> DataFrame:
-    """T1 on a corpus split: ``pair, rank, ordinal, src_txt, tgt_txt`` (rank 1..k_max)."""
+    """T1 on a corpus split: ``pair, rank, ordinal, src_txt, tgt_txt`` (rank 1..k_max).
+
+    Only keys are ranked and shuffled; the texts of the few chosen keys are
+    fetched by a join (at most k_max rows per pair).
+    """
     if k_max < 0:
         raise ValueError("few_shot must be >= 0")
     a, b = pair_langs("pair")
     eng = english_side(a, b, F.col("src_txt"), F.col("tgt_txt"), eng_code)
     cand = dev.where(eng.isNotNull() & in_word_band(word_count(eng), low, high))
     w = Window.partitionBy("pair").orderBy("ordinal")
-    return (cand.select("pair", "ordinal", "src_txt", "tgt_txt", F.row_number().over(w).alias("rank"))
-                .where(F.col("rank") <= F.lit(k_max)))
+    chosen = cand.select("pair", "ordinal", F.row_number().over(w).alias("rank")).where(F.col("rank") <= F.lit(k_max))
+    return (dev.select("pair", "ordinal", "src_txt", "tgt_txt").join(chosen, ["pair", "ordinal"])
+               .select("pair", "ordinal", "src_txt", "tgt_txt", "rank"))
 
 
 def example_blocks(selected: DataFrame, dialect: str = "fewshot", labels: dict | None = None,
