@@ -33,6 +33,8 @@ SPACE = "▁"
 UNIT = re.compile(" +[^ \n]*|\n|[^ \n]+")
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 TABLE_BITS = 21
+#: Text bytes whose lattices are held at once; they take about a hundred times as much memory.
+AT_ONCE = 1 << 20
 
 
 class Pieces:
@@ -239,7 +241,7 @@ def encode(docs: DataFrame, doc: str = "doc_id", text: str = "text", model: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = shared.value
         for batch in batches:
-            for rows, raw, at in chunks(batch, text):
+            for rows, raw, at in chunks(batch, text, AT_ONCE):
                 texts = [x or "" for x in rows.column(text).to_pylist()]
                 ids, cuts = pieces.sample(texts, rows.column("sp_seed").to_numpy().view(np.uint64))
                 back, ends = pieces.spell(ids, cuts)
