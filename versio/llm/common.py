@@ -38,7 +38,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
     # Once the rows are stored, the shuffle files behind them are of no use: they go when the write ends.
-    before = spark.conf.get(CLEAN_UP)
+    before = spark.conf.get(CLEAN_UP, "false")
     spark.conf.set(CLEAN_UP, "true")
     try:
         df.write.parquet(path)
