@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that a numpy pass works on at once (one longer text is a chunk of its own).
@@ -47,6 +49,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def share(spark: SparkSession, value: object) -> Broadcast:
+    """Broadcasts an object together with its class: executors need not have this package installed."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def taken(shared: Broadcast) -> object:
+    return pickle.loads(shared.value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from versio.llm.common import WORD_BYTES, bytes_of, chunks, stored
+from versio.llm.common import WORD_BYTES, bytes_of, chunks, share, stored, taken
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -148,14 +148,14 @@ def benchmark_windows(benchmark: DataFrame, item: str, text: str, window: int) -
 def scan(docs: DataFrame, patterns: Patterns, text: str) -> DataFrame:
     """Adds what one block of patterns finds to the columns ``_words``, ``_spans`` (from, to pairs of
     word positions, flattened and merged) and ``_items``."""
-    tables = docs.sparkSession.sparkContext.broadcast(patterns)
+    tables = share(docs.sparkSession, patterns)
     kept = [c for c in docs.columns if not c.startswith("_wm_")]
     again = "_wm_spans" in docs.columns
     fields = [f for f in docs.schema.fields if f.name in kept]
     schema = T.StructType([*fields, T.StructField("_wm_words", T.LongType()), T.StructField("_wm_spans", T.ArrayType(T.LongType())), T.StructField("_wm_items", T.ArrayType(T.StringType()))])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = tables.value
+        p = taken(tables)
         for batch in batches:
             for rows, raw, at in chunks(batch, text):
                 data, n, lines = raw.tobytes(), [], []

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from versio.llm.common import WORD_BYTES, chunks
+from versio.llm.common import WORD_BYTES, chunks, share, taken
 
 THRESHOLD = 0.8
 
@@ -108,14 +108,14 @@ def scan(docs: DataFrame, text: str = "text", templates: tuple[tuple[str, str],
     Null, empty and wordless texts have none. All rows and columns stay, but for one named ``lic_found``.
     A template of fewer than two words matches nothing.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Templates(templates, threshold))
+    shared = share(docs.sparkSession, Templates(templates, threshold))
     docs = docs.drop("lic_found")
     one = T.StructType([T.StructField("license", T.StringType()), T.StructField("dice", T.DoubleType()), T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())])
     kind = pa.list_(pa.struct([("license", pa.string()), ("dice", pa.float64()), ("first", pa.int32()), ("last", pa.int32())]))
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known = taken(shared)
         for batch in batches:
             for rows, raw, at in chunks(batch, text):
                 data = raw.tobytes()

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from versio.llm.common import chunks, mix64
+from versio.llm.common import chunks, mix64, share, taken
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA, SEED = 0.3, 1
@@ -233,13 +233,13 @@ def encode(docs: DataFrame, doc: str = "doc_id", text: str = "text", model: str
     A null text has null ids, an empty one an empty list. Rows with equal key and text, repeated rows
     among them, get equal ids; a null key is a key like others. Columns ``sp_*`` are replaced, all others stay.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Pieces(model, alpha))
+    shared = share(docs.sparkSession, Pieces(model, alpha))
     docs = docs.drop("sp_ids", "sp_lossless", "sp_seed")
     fields = [*docs.schema.fields, T.StructField("sp_ids", T.ArrayType(T.IntegerType(), False)), T.StructField("sp_lossless", T.BooleanType())]
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = shared.value
+        pieces = taken(shared)
         for batch in batches:
             for rows, raw, at in chunks(batch, text, AT_ONCE):
                 texts = [x or "" for x in rows.column(text).to_pylist()]
@@ -258,12 +258,12 @@ def encode(docs: DataFrame, doc: str = "doc_id", text: str = "text", model: str
 
 def decode(tokens: DataFrame, ids: str = "sp_ids", out: str = "decoded", model: str = MODEL) -> DataFrame:
     """``tokens`` with the text that the ids spell; null for null ids."""
-    shared = tokens.sparkSession.sparkContext.broadcast(Pieces(model, 1.0))
+    shared = share(tokens.sparkSession, Pieces(model, 1.0))
     tokens = tokens.drop(out)
     names = [*tokens.columns, out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = shared.value
+        pieces = taken(shared)
         for batch in batches:
             lists = batch.column(ids)
             values = [np.asarray(x if x is not None else [], np.int64) for x in lists.to_pylist()]

@@ -22,7 +22,6 @@ stored, and its shuffle files go at once.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from versio.functions.worker import resource
 from versio.llm.common import bytes_of, chunks, mix64, stored
 
 LENGTH, GRAM = 100, 36
@@ -43,9 +43,12 @@ BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03))
 LETTERS = tuple(mix64(np.arange(256, dtype=np.uint64) * np.uint64(k) + np.uint64(k)) for k in (0x632BE5AB, 0x85157AF5))
 
 
-@functools.cache
 def _powers(which: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number modulo 2**64, and of its inverse."""
+    """Powers of an odd number modulo 2**64, and of its inverse; made once in a Python worker."""
+    return resource(lambda: _make_powers(which), f"powers-{which}-{SEGMENT}")
+
+
+def _make_powers(which: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for b in (BASES[which], np.uint64(pow(int(BASES[which]), -1, 1 << 64))):
         p = np.full(SEGMENT + 1, b, np.uint64)

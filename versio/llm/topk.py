@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from versio.llm.common import stored
+from versio.llm.common import share, stored, taken
 
 K, EVERY, SCALE = 10, 100, 1024
 BLOCK, BINS, ENOUGH = 1024, 256, 4
@@ -81,7 +81,7 @@ def _histogram(rows: DataFrame, scorer, low: np.ndarray, high: np.ndarray) -> tu
     state = spark.sparkContext.broadcast((low, high, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, (lo, hi, w) = scorer.value, state.value
+        q, (lo, hi, w) = taken(scorer), state.value
         n = len(q.ids)
         total = np.zeros(n * BINS, np.int64)
         for _, s, counts in q.batches(batches):
@@ -128,7 +128,7 @@ def thresholds(rows: DataFrame, scorer, n: int, k: int) -> np.ndarray:
 
 def scorer_range(rows: DataFrame, scorer) -> np.ndarray:
     """For each query a bound on the size of its scores, from the largest component of any row."""
-    q = scorer.value
+    q = taken(scorer)
     top = rows.select(F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))).alias("top")).first()[0] or 0.0
     bound = np.abs(q.vectors.astype(np.float64)).sum(axis=1) * top * (1 + 1e-9) + 1
     return np.array([int(b) if b < 2**62 else 2**63 - 1 for b in bound], np.int64)
@@ -147,7 +147,7 @@ def _candidates(rows: DataFrame, scorer, least: np.ndarray, k: int) -> DataFrame
     floor_ = rows.sparkSession.sparkContext.broadcast(least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, low = scorer.value, floor_.value
+        q, low = taken(scorer), floor_.value
         own = [np.zeros(0, np.int64)] * 3
         for ids, s, counts in q.batches(batches):
             cand, query = np.nonzero(counts & (s >= low))
@@ -178,7 +178,7 @@ def top_k(vectors: DataFrame, vec: str = "vec_id", embedding: str = "embedding",
             continue
         lists = part.column("v").combine_chunks()
         width = int(max((len(x) for x in lists.to_pylist()), default=0))
-        scorer = rows.sparkSession.sparkContext.broadcast(Scorer(part.column("id").to_numpy(), matrix(lists, max(1, width))))
+        scorer = share(rows.sparkSession, Scorer(part.column("id").to_numpy(), matrix(lists, max(1, width))))
         least = thresholds(rows, scorer, part.num_rows, k) if part.num_rows else np.zeros(0, np.int64)
         found = _candidates(rows, scorer, least, k).withColumn("q", F.col("q") + b * (1 << 32))
         rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
