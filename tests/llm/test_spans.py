@@ -123,3 +123,41 @@ def test_gradients_are_those_of_the_loss():
         down = loss()
         net.p[name][at] = kept
         assert abs((up - down) / 2e-5 - g[name][at]) < 1e-4
+
+
+def planted(seed, n=400):
+    """Texts with assignments to learn from, bare secrets that no pattern takes, and harmless tokens."""
+    r = random.Random(seed)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    words = "the report describes international measurements and considerations of industrial development for responsibilities in every department".split()
+    prose = lambda k: " ".join(r.choice(words) for _ in range(k))
+    key = lambda: "Xk29" + "".join(r.choice(alphabet) for _ in range(r.randrange(20, 40)))
+    rows = []
+    for i in range(n):
+        if i % 4 == 0:
+            kind, token, text = "assign", key(), f"{r.choice(('password=', 'token: ', 'api_key = '))}%s"
+        elif i % 4 == 1:
+            kind, token, text = "bare", key(), r.choice(("pwd ", "use ", "login with ")) + "%s"
+        else:
+            kind, token, text = "harmless", r.choice((f"chapter_{i}_overview", f"2021-03-{i % 28 + 1:02d}-meeting", f"docs/{r.choice(words)}/page{i}", f"{r.choice(words)}-and-{r.choice(words)}-{i}")), "see %s"
+        left = prose(20) + " "
+        at = len(left) + text.index("%s")
+        rows.append((i, kind, left + text % token + " " + prose(20), at, at + len(token)))
+    return rows
+
+
+def test_secrets_outside_the_patterns_are_found(spark):
+    rows = planted(5)
+    out = {r["doc_id"]: r for r in sec.secrets(spark.createDataFrame([(i, t) for i, _, t, _, _ in rows], "doc_id long, text string")).collect()}
+    assert all(out[i]["n_assign"] == 1 for i, kind, *_ in rows if kind == "assign")
+    bare = [f"model:{s}:{e}" in out[i]["spans"] for i, kind, _, s, e in rows if kind == "bare"]
+    harmless = ["model" in out[i]["spans"] for i, kind, *_ in rows if kind == "harmless"]
+    assert np.mean(bare) >= 0.9 and np.mean(harmless) <= 0.1
+
+
+def test_assignments_are_learnt_by_their_value(spark):
+    docs = spark.createDataFrame([(1, "so token: Xk29abcdEFGH0123 it is a reasonable Qw83abcdEFGH0123 considerations")], "doc long, text string")
+    spans = {x["kind"]: x for x in sec.found(docs, F.lit(True)).first()["spans"]}
+    assert spans[0]["body"] == "Xk29abcdEFGH0123" and spans[0]["left"].endswith("token: ") and (spans[0]["s"], spans[0]["e"]) == (3, 26)
+    assert spans[3]["body"] == "Qw83abcdEFGH0123" and sec.fit(sec.found(docs, F.lit(True))) is None
+    assert {x["kind"] for x in sec.found(docs, F.lit(True)).first()["spans"]} == {0, 3, sec.NOT_A_SECRET, sec.MADE}
