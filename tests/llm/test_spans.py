@@ -161,3 +161,23 @@ def test_assignments_are_learnt_by_their_value(spark):
     assert spans[0]["body"] == "Xk29abcdEFGH0123" and spans[0]["left"].endswith("token: ") and (spans[0]["s"], spans[0]["e"]) == (3, 26)
     assert spans[3]["body"] == "Qw83abcdEFGH0123" and sec.fit(sec.found(docs, F.lit(True))) is None
     assert {x["kind"] for x in sec.found(docs, F.lit(True)).first()["spans"]} == {0, 3, sec.NOT_A_SECRET, sec.MADE}
+
+
+def test_frames_hold_the_whole_candidate():
+    r = random.Random(8)
+    for n in (12, sec.BODY, sec.BODY + 1, 71, 72, 73, 300):
+        left, body, right = "".join(r.choice("abc") for _ in range(sec.LEFT)), "".join(r.choice("wxyz") for _ in range(n)), "tailtail"
+        whole, got = left + body + right, list(sec.frames(left, body, right))
+        assert all("".join(x) in whole and len(x[0]) == sec.LEFT and len(x[2]) == sec.RIGHT for x in got)
+        assert all(any(body[i : i + sec.STEP] in x[1] for x in got) for i in range(n)) and (n > sec.BODY or got == [(left, body, right)])
+        assert tuple(sec.framed(left, body, right).values()) in got
+
+
+def test_a_secret_late_in_a_long_candidate_is_found(spark):
+    rows = [(i, t) for i, _, t, _, _ in planted(6)]
+    path = "data/reports/department/industrial/development/considerations/measurements/"
+    tails = [(10_000 + i, f"see {path}{t[s:e]}{end} for the report") for i, (_, kind, t, s, e) in enumerate(planted(7)) for end in (f"/{path}page1",) if kind == "bare"]
+    plain = [(20_000 + i, f"see {path}page{i}/{path}part{i} for the report") for i in range(50)]
+    out = {r["doc_id"]: r for r in sec.secrets(spark.createDataFrame(rows + tails + plain, "doc_id long, text string")).collect()}
+    assert len(path) > sec.BODY and np.mean([f"model:4:{len(t) - 15}" in out[i]["spans"] for i, t in tails]) >= 0.9
+    assert np.mean([out[i]["spans"] != "" for i, _ in plain]) <= 0.1
