@@ -181,3 +181,15 @@ def test_a_secret_late_in_a_long_candidate_is_found(spark):
     out = {r["doc_id"]: r for r in sec.secrets(spark.createDataFrame(rows + tails + plain, "doc_id long, text string")).collect()}
     assert len(path) > sec.BODY and np.mean([f"model:4:{len(t) - 15}" in out[i]["spans"] for i, t in tails]) >= 0.9
     assert np.mean([out[i]["spans"] != "" for i, _ in plain]) <= 0.1
+
+
+def test_recall_holds_where_its_threshold_is_under_a_half():
+    net = sec.Network()
+    x, y = findings(2000, 9)
+    rare = np.flatnonzero(y > 0)[:60]
+    pick = np.concatenate([np.flatnonzero(y == 0), rare])
+    x, y = x[pick], y[pick]
+    net.calibrate(x, y, 0.95)  # untrained, so that scores overlap, and findings are rare
+    own = np.sort(net.scores(x[y > 0]))
+    assert net.threshold < 0.5 and (own >= net.threshold).mean() >= 0.95
+    assert (own > net.threshold).mean() < 0.95  # none higher keeps the recall
