@@ -61,3 +61,20 @@ def test_repeated_rows_empty_table_and_other_columns(spark):
     got = sorted((r["doc_id"], len(r["sd_kept"]), r["sd_bytes"]) for r in sd.dedup_substrings(df).collect())
     assert got[0] == got[1] and got[2] == (2, 0, 150)
     assert sd.dedup_substrings(df.limit(0)).count() == 0
+
+
+def test_passages_at_a_cut_of_a_later_long_text(spark):
+    r = random.Random(11)
+    text = lambda n: "".join(r.choices("abcdefgh ", k=n))
+    cut, places = sd.SEGMENT - sd.LENGTH + 1, [-464, -430, -400, -370, -336, -64, -40, -20, -5, 0, 5, 20, 40, 64]
+    rows, want = [], {}
+    for i, at in enumerate(places):
+        p = text(400)
+        rows += [(i, p), (100 + i, text(cut + at) + p + text(500))]
+        want |= {i: 0, 100 + i: 400}
+    rows += rows[1::2][:5]  # repeated rows: none is earlier than the other
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = sd.dedup_substrings(df).select("doc_id", "sd_removed").collect()
+    at = {x["doc_id"]: [(y["a"], y["z"]) for y in x["sd_removed"]] for x in out}
+    assert len(out) == len(rows) and {d: sum(z - a for a, z in x) for d, x in at.items()} == want
+    assert all(at[100 + i] == [(cut + k, cut + k + 400)] for i, k in enumerate(places))

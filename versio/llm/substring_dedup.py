@@ -128,14 +128,15 @@ def anchors(raw: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = G
 
 def _chunk_anchors(rows: pa.RecordBatch, raw: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple:
     """The anchors of a chunk of rows, and which of them repeat the gram and cover of an earlier one of the
-    chunk; a repeated input row's anchors repeat nothing but drop out (None of both)."""
+    chunk; a repeated input row's anchors repeat nothing but drop out (None of both). An anchor that a
+    segment's end cuts in two is two anchors of the same place, told apart by their first windows."""
     text, place, first, last, g, e = anchors(raw, at, length, gram)
     rank = pc.rank(rows.column("doc"), sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy()[text]
-    order = np.lexsort((place, rank, e, g))
+    order = np.lexsort((first, place, rank, e, g))
     a, b = order[1:], order[:-1]
     again, twice = np.zeros(len(g), bool), np.zeros(len(g), bool)
     again[a] = (g[a] == g[b]) & (e[a] == e[b])
-    twice[a] = again[a] & (rank[a] == rank[b]) & (place[a] == place[b])
+    twice[a] = again[a] & (rank[a] == rank[b]) & (place[a] == place[b]) & (first[a] == first[b])
     return text, place, first, last, g, e, ~again, again & ~twice
 
 
@@ -204,27 +205,28 @@ def _named(column: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def _within(groups: DataFrame, length: int) -> DataFrame:
-    """(doc, a, z): repeated windows of rows sorted by (g, doc, place), united where they adjoin. A group
+    """(doc, a, z): repeated windows of rows sorted by (g, doc, place, begin), united where they adjoin. A group
     has ``HOT`` rows at most, so its windows are sorted at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: pa.RecordBatch) -> pa.RecordBatch:
-            doc, place, g = rows.column("doc"), rows.column("place").to_numpy(), rows.column("g").to_numpy()
+            doc, g = rows.column("doc"), rows.column("g").to_numpy()
+            place, begin = rows.column("place").to_numpy(), rows.column("begin").to_numpy()
             row, number, u, v = _named(rows.column("bytes"), length)
             order = np.lexsort((row, v, u, g[row]))
             a, b = order[1:], order[:-1]
             again = np.zeros(len(row), bool)
             again[a] = (g[row[a]] == g[row[b]]) & (u[a] == u[b]) & (v[a] == v[b])
-            # A repeated input row gives the same place again, which is no later one.
+            # A repeated input row gives the same place and begin again, which are no later ones; the two
+            # halves of an anchor that a segment's end cuts share their place only.
             twice = np.zeros(rows.num_rows, bool)
             if rows.num_rows > 1:
                 alike = pc.or_(pc.fill_null(pc.equal(doc.slice(1), doc.slice(0, rows.num_rows - 1)), False), pc.and_(pc.is_null(doc.slice(1)), pc.is_null(doc.slice(0, rows.num_rows - 1))))
-                twice[1:] = alike.to_numpy(zero_copy_only=False) & (place[1:] == place[:-1]) & (g[1:] == g[:-1])
+                twice[1:] = alike.to_numpy(zero_copy_only=False) & (place[1:] == place[:-1]) & (begin[1:] == begin[:-1]) & (g[1:] == g[:-1])
             at = np.flatnonzero(again & ~twice[row])
             head = np.concatenate([[True], (row[at][1:] != row[at][:-1]) | (number[at][1:] != number[at][:-1] + 1)]) if len(at) else np.zeros(0, bool)
             first = at[head]
             last = at[np.append(np.flatnonzero(head)[1:], len(at)) - 1] if len(at) else first
-            begin = rows.column("begin").to_numpy()
             return pa.RecordBatch.from_arrays(
                 [doc.take(pa.array(row[first])), pa.array((begin[row[first]] + number[first]).astype(np.int32)), pa.array((begin[row[last]] + number[last] + length).astype(np.int32))], ["doc", "a", "z"])
 
@@ -281,7 +283,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
         F.collect_list(F.struct("g", (F.col("n") > HOT).alias("hot"), "place", begin.alias("first"), (begin + F.col("more") + length).alias("end"))).alias("parts"))
     asked = docs.join(parts.withColumnRenamed("doc", "d"), F.col("doc").eqNullSafe(F.col("d"))).select("doc", "text", "parts")
     contexts = stored(_contexts(asked), "contexts")
-    within = _within(contexts.where("not hot").repartition("g").sortWithinPartitions("g", "doc", "place"), length)
+    within = _within(contexts.where("not hot").repartition("g").sortWithinPartitions("g", "doc", "place", "begin"), length)
     # A group of more members is spread over all tasks, a row for each window.
     windows = _windows(contexts.where("hot"), length)
     start = F.struct("doc", "start")
