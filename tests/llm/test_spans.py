@@ -193,3 +193,10 @@ def test_recall_holds_where_its_threshold_is_under_a_half():
     own = np.sort(net.scores(x[y > 0]))
     assert net.threshold < 0.5 and (own >= net.threshold).mean() >= 0.95
     assert (own > net.threshold).mean() < 0.95  # none higher keeps the recall
+
+
+def test_phones_without_neighbouring_digits(spark):
+    texts = ["+1.2.3.4.5.6.7.8.9", "call +1 (2) 3 (4) 5 (6) 7 (8) 9 now", "+1--2--3--4--5--6--7--8--9", "+ 1.2.3", "1+2", "+1.2.3.4.5.6.7"]
+    out = {r["doc_id"]: r for r in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), rounds=2).collect()}
+    assert [out[i]["n_phone"] for i in range(6)] == [1, 1, 1, 0, 0, 0]
+    assert [out[i]["base"] for i in range(6)] == [base_pii(t) for t in texts]

@@ -103,7 +103,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
     number = t.rlike(r"[0-9][\x20-]?[0-9]")
     found = docs.select(
         "doc", "text", located(t, EMAIL, F.contains(t, F.lit("@"))).alias("email"), located(t, IP, t.rlike(r"[0-9]\.[0-9]")).alias("ip"),
-        located(t, CARD, number).alias("card"), located(t, PHONE, F.contains(t, F.lit("+")) & number).alias("phone"),
+        located(t, CARD, number).alias("card"), located(t, PHONE, t.rlike(r"\+[0-9]")).alias("phone"),
     )
     return found.select(
         "doc", "text", "email", F.filter("ip", lambda x: is_ip(x["m"])).alias("ip"),
