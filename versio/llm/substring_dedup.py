@@ -1,10 +1,10 @@
-"""Removal of repeated byte strings: a distributed suffix array by prefix doubling, on sampled positions.
+"""Removal of repeated byte strings by winnowing and joins on hash names.
 
-Every byte covered by a string of ``LENGTH`` bytes that also starts earlier goes. Prefix doubling gives
-positions ranks by the first h bytes that follow, sorts pairs of ranks at distance h into ranks by 2h
-bytes, and drops positions once they are unique. Here a rank is a name, a 64-bit hash, with the first
-place that has it; Spark groups and sorts them by shuffles. Dense rounds would shuffle every byte's
-position several times, so the first rounds work on a sample that loses nothing:
+Every byte covered by a string of ``LENGTH`` bytes that also starts earlier goes. The query is named for a
+suffix array, but none is built and there are no prefix-doubling rounds (ranks by 2h bytes from pairs of
+ranks at distance h, until unique): over all positions, each would shuffle every byte's position. Names,
+64-bit hashes taken from the bytes themselves, stand in for ranks, on a sample of positions that loses
+nothing; Spark groups and joins them by shuffles:
 
 1. ``GRAM`` bytes. Each window of ``LENGTH`` bytes has an anchor, the leftmost of its GRAM-byte strings with
    the least name (about one byte in 30 is an anchor). Equal windows have equal anchors at equal places,
@@ -12,8 +12,7 @@ position several times, so the first rounds work on a sample that loses nothing:
 2. An anchor and all that its windows cover, about twice ``LENGTH``. Pairs (gram, cover) that occurred
    before make all windows of the anchor repeats. The first anchor of a cover repeats at most in part.
 3. ``LENGTH`` bytes. Only where a gram has several covers, the single windows of each cover's first
-   anchor are ranked, by the pair of names of their halves, at distance ``LENGTH`` / 2. A pair that
-   occurred before is a repeat.
+   anchor are compared, by the pair of names of their halves. A pair that occurred before is a repeat.
 
 A class's first place is a partial minimum, so hot strings send one row a task; joins on names give
 every member its class's first place, and hot classes are split by adaptive execution. Every round is
