@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from versio.llm import decontaminate as dc
+from versio.llm import fill_middle as fm
 from versio.llm import licenses as lic
 from versio.llm import line_dedup as ld
 from versio.llm import pieces as sp
 from versio.llm import pii
 from versio.llm import secret_scan
 from versio.llm import simhash as sh
+from versio.llm import spelling
 from versio.llm import substring_dedup as sd
+from versio.llm import token_counts as tc
 from versio.llm import topk
 from versio.llm import toxicity as tox
 from versio.llm.common import table
@@ -67,6 +70,18 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp.digest(sp.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm.digest(fm.restore(fm.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tc.digest(tc.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.digest(spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 OP1_SQL = r"""
 WITH low AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -169,6 +184,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_license_scan": op9_license_scan,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
+        "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_token_counts": op12_token_counts,
+        "op13_spelling_variants": op13_spelling_variants,
         "pipeline": corpus_pipeline.run,
     }
 
