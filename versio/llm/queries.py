@@ -140,6 +140,49 @@ SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_
 FROM (SELECT doc_id FROM documents) LEFT JOIN per USING (doc_id)
 """
 
+OP11_SQL = r"""
+WITH s AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || doc_id) AS x FROM documents),
+h AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+    [CAST('0x' || substr(x, 8 * k + 1, 8) AS BIGINT) for k in range(4)] AS h FROM s),
+c AS (
+  SELECT doc_id, t, u, len(u) AS n, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS a, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS b,
+    CASE WHEN t = '' OR regexp_matches(t, '<[PSM]>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:], '') AS suf FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
+
+# crc32 is written out: its table from the polynomial, then a fold over the bytes of each distinct key and run.
+OP13_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT [list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) for b in range(256)] AS t),
+runs AS (
+  SELECT doc_id, r, count(*) AS c FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+')) AS r
+    FROM documents) GROUP BY doc_id, r),
+hx AS (SELECT r, c, hex(doc_id || ':' || r) AS x FROM runs),
+bt AS (
+  SELECT r, c, [(instr('0123456789ABCDEF', substr(x, 2 * i + 1, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(x, 2 * i + 2, 1)) - 1 for i in range(length(x) // 2)] AS y FROM hx),
+hs AS (SELECT r, c, xor(list_reduce(list_prepend(4294967295, y), lambda a, b: xor(a >> 8, t[1 + (xor(a, b) & 255)])), 4294967295) AS h FROM bt, crc),
+ws AS (SELECT CASE WHEN h % 97 = 0 THEN left(r, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word, c FROM hs),
+v AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM ws WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+d AS (SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS k FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+e AS (
+  SELECT a.word AS x, b.word AS y FROM d a JOIN d b ON a.k = b.k AND a.i = b.i AND a.word <> b.word
+  UNION SELECT d.word, v.word FROM d JOIN v ON d.k = v.word
+  UNION SELECT v.word, d.word FROM d JOIN v ON d.k = v.word),
+g AS (SELECT x AS word, count(*) AS n_near, first({'w': y, 'n': v.n} ORDER BY v.n DESC, y) AS best FROM e JOIN v ON v.word = e.y GROUP BY x),
+f AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= 2 * v.n THEN best.w END AS form, CASE WHEN best.n >= 2 * v.n THEN best.n END AS form_n
+  FROM v LEFT JOIN g ON g.word = v.word),
+w AS (SELECT word, word AS tip FROM f UNION ALL SELECT w.word, f.form FROM w JOIN f ON f.word = w.tip WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, w.tip AS root, f.n, f.n_near, f.form_n
+FROM f JOIN w ON w.word = f.word JOIN f l ON l.word = w.tip WHERE l.form IS NULL
+"""
+
 #: The templates as rows: a name, and its text quoted for SQL.
 NOTICES = ", ".join("({}, '{}', '{}')".format(k, name, text.replace("'", "''")) for k, (name, text) in enumerate(lic.TEMPLATES))
 
@@ -197,4 +240,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_exact_top_k": OP5_SQL,
         "op8_line_dedup": OP8_SQL,
         "op9_license_scan": OP9_SQL,
+        "op11_fill_in_middle": OP11_SQL,
+        "op13_spelling_variants": OP13_SQL,
     }
