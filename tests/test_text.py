@@ -72,6 +72,6 @@ def test_chat_label_tables(spark):
     from versio.functions import prompts as P
     df = spark.createDataFrame([("ori",), ("tel",), ("eng",), ("xx",)], "c string")
     got = [r.l for r in df.select(P.label_of(F.col("c"), labels=P.chat_labels()).alias("l")).collect()]
-    assert got == ["Odiya", "Telugu", "English", "xx"]
+    assert got == ["Odia", "Telugu", "English", "xx"]
     par = [r.l for r in df.select(P.label_of(F.col("c"), labels=P.chat_labels(parity=True)).alias("l")).collect()]
     assert par == ["Odiya", "tel", "eng", "xx"]

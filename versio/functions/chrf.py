@@ -16,6 +16,7 @@ a dense alphabet of the segment pair; every position's 6-gram is packed into
 one int64 and the two sides are sorted together once -- shorter orders are
 prefixes, contiguous in that order. Alphabets too large to pack fall back to
 one sort per order (raw-byte comparison when even one gram cannot be packed).
+``batch_stats`` does the same for many segments with a single sort.
 """
 
 from __future__ import annotations
@@ -127,6 +128,81 @@ def _stats_per_order(hi: np.ndarray, ri: np.ndarray, alphabet: int, order: int)
     return out
 
 
+def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts end to end, a 0 after each, and the lengths without it."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    points = np.frombuffer(("\0".join(texts) + "\0").encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    return points, sizes
+
+
+def _digits(points: np.ndarray, gap: np.ndarray, segment: np.ndarray, room: int) -> tuple[np.ndarray, int] | None:
+    """Every character as a digit 1..2**bits - 1 (0 in the gaps), and ``bits``; from one alphabet for all segments if
+    ``room`` bits hold ``CHAR_ORDER`` such digits, else from one per segment; None if those do not fit either."""
+    present = np.zeros(0x110000, bool)
+    present[points[~gap]] = True
+    code = np.cumsum(present, dtype=np.int64)
+    bits = int(code[-1]).bit_length()
+    if bits * CHAR_ORDER <= room:
+        return np.where(gap, 0, code[points]), bits
+    own = segment << 21 | code[points]
+    ranked = np.unique(own[~gap])
+    first = np.searchsorted(ranked, segment << 21)
+    bits = int(np.diff(np.append(np.unique(first), len(ranked))).max()).bit_length()
+    if bits * CHAR_ORDER > room:
+        return None
+    return np.where(gap, 0, np.searchsorted(ranked, own) - first + 1), bits
+
+
+def batch_stats(hyps: list[str], refs: list[str], order: int = CHAR_ORDER) -> np.ndarray:
+    """``segment_stats`` of many segments at once: a row of ``3 * order`` integers for each (hypothesis, reference).
+
+    All sides of all segments are laid end to end; every position's ``order``-gram is packed into one int64 with
+    its segment in the high bits and its side in the lowest, and one sort of these keys puts each segment's grams
+    of every order together: shorter grams are prefixes, contiguous in that order. Segments whose alphabets are
+    too large to pack are counted one by one.
+    """
+    n = len(hyps)
+    out = np.zeros((n, order, 3), np.int64)
+    if not n:
+        return out.reshape(0, 3 * order)
+    points, sizes = _points([x for pair in zip(hyps, refs, strict=True) for x in pair])
+    text = np.repeat(np.arange(2 * n), sizes + 1)
+    gap = np.zeros(len(points), bool)
+    gap[np.cumsum(sizes + 1) - 1] = True
+    lengths = sizes.reshape(n, 2)
+    grams = np.maximum(lengths[:, :, None] - np.arange(order)[None, None, :], 0)
+    out[:, :, 1] = grams[:, 1]
+    out[:, :, 0] = np.where(grams[:, 1] > 0, grams[:, 0], 0)
+    segment = text >> 1
+    made = _digits(points, gap, segment, 62 - (n - 1).bit_length()) if not gap.all() else None
+    if made is None:
+        if not gap.all():
+            out[:] = np.array([segment_stats(h, r, order) for h, r in zip(hyps, refs, strict=True)]).reshape(n, order, 3)
+        return out.reshape(n, 3 * order)
+    digit, bits = made
+    digit = digit.astype(np.int64)
+    key, alive = digit.copy(), ~gap
+    for j in range(1, order):
+        after = np.append(digit[j:], np.zeros(min(j, len(digit)), np.int64))
+        alive &= after != 0
+        key = key << bits | np.where(alive, after, 0)
+    key = (segment << bits * order | key) << 1 | (text & 1)
+    key = np.sort(key[~gap])
+    side, full = key & 1, key >> 1
+    mask = (1 << bits) - 1
+    for k in range(order):
+        prefix = full >> bits * (order - 1 - k)
+        whole = (prefix & mask) != 0
+        p, in_ref = prefix[whole], side[whole]
+        if not len(p):
+            break
+        starts = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+        ref = np.add.reduceat(in_ref, starts)
+        both = np.minimum(np.diff(np.append(starts, len(p))) - ref, ref)
+        out[:, k, 2] = np.bincount(p[starts] >> bits * (k + 1), both, n).astype(np.int64)
+    return out.reshape(n, 3 * order)
+
+
 def corpus_score(stats: list[int], order: int = CHAR_ORDER, beta: float = BETA) -> float:
     """Score from summed statistics (Python reference for the Column form)."""
     sp = sr = 0.0

@@ -21,7 +21,7 @@ LANG_LABELS = {
     "mar": "Marathi", "ori": "Odia", "pan": "Punjabi",
     "tam": "Tamil", "tel": "Telugu", "urd": "Urdu",
 }
-# Target-language spelling used by the system+user chat dialect.
+# Second spelling, of the system+user chat dialect (F9); used for parity only.
 CHAT_LABELS = {
     "ben": "Bengali", "guj": "Gujarati", "hin": "Hindi", "kan": "Kannada",
     "mal": "Malayalam", "mar": "Marathi", "ori": "Odiya", "pan": "Punjabi",
@@ -82,12 +82,9 @@ def between(template: str, before: str, after: str | None) -> str:
 
 
 def chat_labels(parity: bool = False) -> dict[str, str]:
-    """F9 label table. Default: the chat spelling plus English. ``parity`` keeps
-    the reference's gaps (D7): no English entry, and ``tel`` unmatched, so both
-    fall back to the code."""
-    if parity:
-        return {k: v for k, v in CHAT_LABELS.items() if k != "tel"}
-    return {**CHAT_LABELS, "eng": LANG_LABELS["eng"]}
+    """F9 label table: the one table of P1. ``parity`` takes the second spelling and keeps its gaps (D7): no English
+    entry, and ``tel`` unmatched, so both fall back to the code."""
+    return {k: v for k, v in CHAT_LABELS.items() if k != "tel"} if parity else LANG_LABELS
 
 
 def label_map(labels: dict[str, str] | None = None) -> Column:

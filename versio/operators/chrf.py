@@ -12,31 +12,43 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.chrf import BETA, CHAR_ORDER, segment_stats, stat_names
+from ..functions.chrf import BETA, CHAR_ORDER, batch_stats, stat_names
 from ..functions.text import remove_ws
+from ..sources.keyed import KEY, co_partitioned
+from .directions import pair_langs
 
 STATS = stat_names()
 
 
+#: Characters of both sides that one segmented sort takes (a longer segment is a sort of its own).
+SORT_CHARS = 1 << 21
+
+
 def segment_statistics(df: DataFrame, hyp_col: str, ref_col: str, key_cols: list[str]) -> DataFrame:
-    """Per row: ``key_cols`` + 18 bigint statistics (``hyp1, ref1, match1, ...``)."""
+    """Per row: ``key_cols`` + 18 bigint statistics (``hyp1, ref1, match1, ...``).
+
+    A batch is counted in runs of rows of about ``SORT_CHARS`` characters, each by one sort.
+    """
     prepared = df.select(*key_cols, remove_ws(F.coalesce(F.col(hyp_col), F.lit(""))).alias("_h"),
                          remove_ws(F.coalesce(F.col(ref_col), F.lit(""))).alias("_r"))
-    key_fields = [f for f in prepared.schema.fields if f.name in key_cols]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in key_fields)
-    schema += ", " + ", ".join(f"{s} bigint" for s in STATS)
+    schema = T.StructType([*(prepared.schema[c] for c in key_cols), *(T.StructField(s, T.LongType()) for s in STATS)])
 
     def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [segment_stats(h, r) for h, r in zip(pdf["_h"], pdf["_r"])]
-            stats = pd.DataFrame(rows, columns=STATS, dtype="int64") if rows else \
-                pd.DataFrame({s: pd.Series(dtype="int64") for s in STATS})
-            out = pdf[key_cols].reset_index(drop=True)
-            yield pd.concat([out, stats], axis=1)
+            hyps, refs = pdf["_h"].tolist(), pdf["_r"].tolist()
+            ends = np.cumsum([len(h) + len(r) for h, r in zip(hyps, refs)])
+            a = 0
+            while a < len(pdf):
+                z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SORT_CHARS, "right")))
+                out = pdf[key_cols].iloc[a:z].reset_index(drop=True)
+                yield pd.concat([out, pd.DataFrame(batch_stats(hyps[a:z], refs[a:z]), columns=STATS)], axis=1)
+                a = z
 
     return prepared.mapInPandas(per_batch, schema)
 
@@ -110,3 +122,40 @@ def chrf_by(df: DataFrame, hyp_col: str, ref_col: str, group_cols: list[str],
     """Segment statistics + corpus score per group in one plan."""
     keys = list(dict.fromkeys(group_cols + (key_cols or [])))
     return corpus_chrf(segment_statistics(df, hyp_col, ref_col, keys), group_cols)
+
+
+def score_runs(preds: DataFrame, corpus: DataFrame, runs: list[tuple], run_cols: list[str], subset: str = "test") -> DataFrame:
+    """J3 + A1 for many runs over one keyed corpus: ``pair, src_lang, tgt_lang, direction, <run_cols>, n_ref, n_hyp,
+    n_segments, chrf, status`` for every direction of the corpus and every run, predicted or not.
+
+    ``preds``: ``doc_key, direction, <run_cols>, pred``; ``runs`` names the runs (values of ``run_cols``).
+    References are the corpus rows themselves, one for both directions and all runs. Predictions meet them on
+    ``doc_key``: where both are clustered tables (or projections of them) neither side is exchanged. Runs that
+    give a document the same text are counted once and the statistics joined to each.
+    """
+    refs = corpus.where(F.col("subset") == subset)
+    number = F.lit(None).cast("int")
+    for i, run in enumerate(runs):
+        same = F.lit(True)
+        for c, v in zip(run_cols, run, strict=True):
+            same = same & (F.col(c) == F.lit(v))
+        number = F.when(same, F.lit(i)).otherwise(number)
+    mine = preds.select(KEY, "direction", number.alias("_run"), F.col("pred")).where(F.col("_run").isNotNull())
+    distinct = mine.groupBy(KEY, "direction", "pred").agg(F.collect_list("_run").alias("_runs"))
+    met = co_partitioned(distinct, refs.select(KEY, "pair", "src_txt", "tgt_txt"))
+    a, b = pair_langs("pair")
+    forward = F.col("direction") == F.concat(a, F.lit("_2_"), b)
+    met = met.where(forward | (F.col("direction") == F.concat(b, F.lit("_2_"), a)))
+    met = met.withColumn("_ref", F.when(forward, F.col("tgt_txt")).otherwise(F.col("src_txt")))
+    stats = segment_statistics(met, "pred", "_ref", ["pair", "direction", "_runs"])
+    stats = stats.withColumn("_run", F.explode("_runs")).drop("_runs")
+    scores = corpus_chrf(stats, ["pair", "direction", "_run"]).select("pair", "direction", "_run", "n_segments", "chrf")
+    n_hyp = mine.groupBy(F.split_part(KEY, F.lit("/"), F.lit(1)).alias("pair"), "direction", "_run").agg(F.count(F.lit(1)).alias("n_hyp"))
+    per_pair = refs.groupBy("pair").agg(F.count(F.lit(1)).alias("n_ref"))
+    sides = F.array(F.struct(a.alias("src_lang"), b.alias("tgt_lang")), F.struct(b.alias("src_lang"), a.alias("tgt_lang")))
+    listed = F.array(*[F.struct(F.lit(i).alias("_run"), *[F.lit(v).alias(c) for c, v in zip(run_cols, run, strict=True)]) for i, run in enumerate(runs)])
+    every = per_pair.select("pair", "n_ref", F.explode(sides).alias("d")).select("pair", "n_ref", "d.*", F.explode(listed).alias("r")).select("pair", "n_ref", "src_lang", "tgt_lang", "r.*")
+    every = every.withColumn("direction", F.concat("src_lang", F.lit("_2_"), "tgt_lang"))
+    groups = ["pair", "direction", "_run"]
+    counts = every.join(n_hyp, groups, "left").withColumn("n_hyp", F.coalesce("n_hyp", F.lit(0)))
+    return with_status(counts, scores, groups).drop("_run")

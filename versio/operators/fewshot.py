@@ -14,11 +14,13 @@ Plan shape, for every direction in one job:
   left join keeps documents of a direction with no examples.
 * P3: the k sweep reuses the max-k selection and slices it, so the corpus is
   scanned once for every k.
+* F5 in normal form: ``example_sets`` and the requests that name them can be
+  stored apart; ``render_prompts`` puts them together where the model runs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import prompts as P
@@ -57,6 +59,43 @@ def example_blocks(selected: DataFrame, dialect: str = "fewshot", labels: dict |
     return per_dir.select("pair", "direction", F.transform("_ex", lambda e: e["b"]).alias("blocks"))
 
 
+def example_sets(corpus: DataFrame, ks: list[int], dialect: str = "fewshot", labels: dict | None = None,
+                 src_label: str | None = None, tgt_label: str | None = None, example_subset: str = "dev") -> DataFrame:
+    """``example_set_id, blocks``: the rendered examples of every direction and shot count, at most ``k`` blocks a row.
+
+    With the requests that name them this is a run's prompts in normal form:
+    no example is stored once per document.
+    """
+    sel = select_examples(corpus.where(F.col("subset") == example_subset), max(ks))
+    blocks = example_blocks(sel, dialect, labels, src_label, tgt_label)
+    return shot_sweep(blocks, [k for k in ks if k > 0]).select(
+        example_set_id(F.col("pair"), F.col("direction"), F.col("k")).alias("example_set_id"), F.slice("blocks", 1, F.col("k")).alias("blocks"))
+
+
+def example_set_id(pair: Column, direction: Column, k: Column) -> Column:
+    return F.concat_ws("/", pair, direction, k.cast("string"))
+
+
+def render_prompts(requests: DataFrame, sets: DataFrame | None, dialect: str = "fewshot", parity: bool = False,
+                   labels: dict | None = None, src_label: str | None = None, tgt_label: str | None = None) -> DataFrame:
+    """``requests`` (``pair, src_lang, tgt_lang, direction, k, src, ...``) with ``prompt``; J4: the example sets are
+    broadcast (one row per direction and shot count, at most k blocks each), a request without one keeps none."""
+    if dialect not in DIALECTS:
+        raise ValueError(f"unknown dialect {dialect!r}")
+    asked = with_labels(requests, src_label, tgt_label, labels)
+    final = P.final_block(F.col("src"), F.col("src_label"), F.col("tgt_label"), bare=(dialect == "bare"))
+    if dialect == "bare":
+        prompt = final
+    else:
+        blocks = F.lit(None)
+        if sets is not None:
+            asked = asked.withColumn("example_set_id", example_set_id(F.col("pair"), F.col("direction"), F.col("k")))
+            asked = asked.join(F.broadcast(sets), "example_set_id", "left")
+            blocks = F.col("blocks")
+        prompt = P.fewshot_prompt(blocks, final, P.instruction(F.col("tgt_label"), parity))
+    return asked.withColumn("prompt", prompt).drop("example_set_id", "blocks")
+
+
 def build_prompts(corpus: DataFrame, ks: list[int] | int = 1, dialect: str = "fewshot",
                   parity: bool = False, labels: dict | None = None,
                   src_label: str | None = None, tgt_label: str | None = None,
@@ -65,28 +104,13 @@ def build_prompts(corpus: DataFrame, ks: list[int] | int = 1, dialect: str = "fe
 
     Output: ``pair, src_lang, tgt_lang, direction, k, ordinal, src, tgt, prompt``.
     """
-    if dialect not in DIALECTS:
-        raise ValueError(f"unknown dialect {dialect!r}")
     ks = [ks] if isinstance(ks, int) else list(ks)
-    tests = with_labels(expand_directions(corpus.where(F.col("subset") == test_subset)),
-                        src_label, tgt_label, labels)
-    tests = shot_sweep(tests, ks)
-    final = P.final_block(F.col("src"), F.col("src_label"), F.col("tgt_label"), bare=(dialect == "bare"))
-    k_max = max(ks)
-    if dialect == "bare" or k_max == 0:
-        return tests.select("pair", "src_lang", "tgt_lang", "direction", "k", "ordinal", "src", "tgt",
-                            (final if dialect == "bare" else
-                             P.fewshot_prompt(F.lit(None), final, P.instruction(F.col("tgt_label"), parity))
-                             ).alias("prompt"))
-    sel = select_examples(corpus.where(F.col("subset") == example_subset), k_max)
-    blocks = example_blocks(sel, dialect, labels, src_label, tgt_label)
-    # Bounded broadcast: one row per direction, at most k_max blocks each.
-    joined = tests.join(F.broadcast(blocks), ["pair", "direction"], "left")
-    mine = F.slice(F.coalesce(F.col("blocks"), F.array().cast("array<string>")), 1, F.col("k"))
-    mine = F.when(F.col("k") > 0, mine).otherwise(F.array().cast("array<string>"))
-    prompt = P.fewshot_prompt(mine, final, P.instruction(F.col("tgt_label"), parity))
-    return joined.select("pair", "src_lang", "tgt_lang", "direction", "k", "ordinal", "src", "tgt",
-                         prompt.alias("prompt"))
+    tests = shot_sweep(expand_directions(corpus.where(F.col("subset") == test_subset)), ks)
+    sets = None
+    if dialect != "bare" and max(ks) > 0:
+        sets = example_sets(corpus, ks, dialect, labels, src_label, tgt_label, example_subset)
+    return render_prompts(tests, sets, dialect, parity, labels, src_label, tgt_label).select(
+        "pair", "src_lang", "tgt_lang", "direction", "k", "ordinal", "src", "tgt", "prompt")
 
 
 def shortfall_report(corpus: DataFrame, ks: list[int], example_subset: str = "dev") -> DataFrame:

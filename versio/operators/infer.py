@@ -31,6 +31,32 @@ def run_parameters(max_new_tokens: int, sampling: bool, temperature: float, top_
             "temperature": float(temperature) if sampling else 0.0, "top_p": float(top_p) if sampling else 1.0}
 
 
+#: Bins of the cost histogram for each doubling of the cost.
+BINS = 16
+
+
+def balanced(df: DataFrame, cost: str, keys: list[str], tasks: int) -> DataFrame:
+    """``df`` dealt into ``tasks`` partitions of about equal total ``cost``, each sorted by cost, longest first.
+
+    A histogram of the costs (a few hundred bins, whatever the input) gives the running cost before each bin; a row's
+    place on that axis is its bin's begin plus a share of the bin drawn from its keys, and the axis is cut into
+    equal parts. So a split or a direction that holds most of the work is spread over all tasks, a task's prompts
+    are of similar length (the model pads a batch to its longest), and every row keeps its keys.
+    """
+    bin_of = F.floor(F.log2(F.greatest(F.col(cost), F.lit(1)).cast("double")) * BINS).cast("int")
+    bins = df.select(bin_of.alias("bin"), F.greatest(F.col(cost), F.lit(1)).alias("c")).groupBy("bin").agg(F.sum("c").cast("double").alias("c")).orderBy("bin").collect()
+    total, before, places = sum(r.c for r in bins), 0.0, []
+    for r in bins:
+        places += [F.lit(r.bin), F.struct(F.lit(before / total).alias("at"), F.lit(r.c / total).alias("of"))]
+        before += r.c
+    if not places:
+        return df
+    place = F.element_at(F.create_map(*places), bin_of)
+    share = F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    task = F.least(F.floor((place["at"] + place["of"] * share) * tasks), F.lit(tasks - 1)).cast("int")
+    return df.withColumn("_task", task).repartitionById(tasks, "_task").drop("_task").sortWithinPartitions(F.desc(cost))
+
+
 def generate(df: DataFrame, prompt_col: str, engine_factory, keys: list[str],
              batch_size: int = 10, out_col: str = "output", params: dict | None = None) -> DataFrame:
     """``keys + [prompt_col, out_col]``; the prediction stays on its row.

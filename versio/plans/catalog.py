@@ -2,13 +2,15 @@
 
 Every query reads the driver's tables (or frames Spark derives from them) in
 full; none runs on made-up input alone. Column names match ``oracle.py``.
+Queries whose point is a stored layout (the keyed corpus, prediction files, the
+ledger) ingest the fixture first, as a deployment has done before.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import prompts as P
@@ -18,8 +20,9 @@ from ..operators import chrf as chrf_op
 from ..operators import fewshot, infer, report, sft
 from ..operators.directions import expand_directions, pair_langs, shot_sweep, with_labels
 from ..plans import jobs
-from ..sources import readers
-from ..sources.corpus import fixture_corpus, fixture_ranked_documents, table, zip_sides
+from ..session import stored_path
+from ..sources import readers, sinks
+from ..sources.corpus import first_documents, fixture_corpus, fixture_ranked_documents, keyed_fixture_corpus, table, zip_sides
 from ..sources.sinks import jsonl_line
 
 PROMPT_COLS = ["pair", "src_lang", "tgt_lang", "direction", "k", "ordinal", "prompt"]
@@ -159,25 +162,45 @@ def q_chrf_by_direction(spark, sf_dir):
     return score_directions(hyps, refs).select(*SCORE_COLS)
 
 
+STATUS_RUNS = [(m, k) for m in ("a", "b") for k in (0, 1)]
+
+
 @register("eval_status")
 def q_eval_status(spark, sf_dir):
     """J3, J6, T3, A3, S8 over two models and two shot counts, with one hypothesis file cut short and one
-    missing: status, score, rank among the aligned ones of the run, and the run's tally."""
-    d = copy_source_directions(spark, sf_dir)
-    runs = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(k).alias("k")) for m in ("a", "b") for k in (0, 1)]))
+    missing: status, score, rank among the aligned ones of the run, and the run's tally.
+
+    The corpus is a keyed table: hypotheses meet their references bucket by
+    bucket, and a text that several runs gave is counted once.
+    """
+    corpus = keyed_fixture_corpus(spark, sf_dir)
+    d = expand_directions(corpus.where(F.col("subset") == "test"))
+    runs = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(k).alias("k")) for m, k in STATUS_RUNS]))
     short = (F.col("model") == "a") & (F.col("k") == 1) & (F.col("direction") == "eng_2_de") & (F.col("ordinal") < 10)
     gone = (F.col("model") == "b") & (F.col("k") == 0) & (F.col("direction") == "fr_2_eng")
-    rows = d.select("pair", "src_lang", "tgt_lang", "direction", "ordinal", "src", "tgt", runs.alias("r")).select("*", "r.*").drop("r")
-    refs = rows.select("model", "pair", "src_lang", "tgt_lang", "direction", "k", "ordinal", F.col("tgt").alias("ref"))
-    hyps = rows.where(~short & ~gone).select("model", "pair", "src_lang", "tgt_lang", "direction", "k", "ordinal", F.col("src").alias("pred"))
-    groups = ["model", "pair", "src_lang", "tgt_lang", "direction", "k"]
-    scores = chrf_op.score_aligned(hyps, refs, [*groups, "ordinal"], groups)
+    hyps = d.select("doc_key", "direction", "ordinal", F.col("src").alias("pred"), runs.alias("r")).select("*", "r.*").where(~short & ~gone)
+    scores = chrf_op.score_runs(hyps, corpus, STATUS_RUNS, ["model", "k"])
     ranks = report.rank_scores(scores).select("model", "k", "direction", "rank")
     good = F.count_if(F.col("status") == "ok").over(Window.partitionBy("model", "k"))
     return (scores.withColumn("run_ok", good).join(ranks, ["model", "k", "direction"], "left")
             .select("model", "k", "pair", "direction", "n_ref", "n_hyp", "status", "chrf", "rank", "run_ok"))
 
 
+FILES_MODEL = "Demo-Files"
+
+
+@register("prediction_files_scored")
+def q_prediction_files_scored(spark, sf_dir):
+    """S2, S7, S5, J3, A1 over files: the corpus and the copy-source predictions are written as JSONL files (a
+    directory of parts each), numbered and read back by the library's own readers, and scored."""
+    corpus = fixture_corpus(spark, sf_dir).where(F.col("subset") == "test")
+    data, result = stored_path(spark, "corpus-files"), stored_path(spark, "prediction-files")
+    sinks.write_corpus_jsonl(corpus, data)
+    preds = expand_directions(corpus).select("pair", "direction", "ordinal", F.lit(1).alias("k"), F.col("src").alias("pred"))
+    sinks.write_predictions_jsonl(sinks.run_layout(preds, FILES_MODEL), result)
+    return jobs.score_run_files(spark, data, result, FILES_MODEL, 1)["scores"].select(*SCORE_COLS)
+
+
 # --- few-shot selection, dialects, quick start ---------------------------------------
 
 
@@ -225,22 +248,17 @@ def q_fewshot_prompt_k3(spark, sf_dir):
     return fewshot.build_prompts(fixture_corpus(spark, sf_dir), [3]).select(*PROMPT_COLS)
 
 
-def _first_n(corpus, n):
-    w = Window.partitionBy("subset", "pair").orderBy("ordinal")
-    return corpus.withColumn("row", F.row_number().over(w)).where(F.col("row") <= n)
-
-
 @register("first_n_slice")
 def q_first_n_slice(spark, sf_dir):
-    """The first N documents of every split and pair, in key order."""
-    return _first_n(fixture_corpus(spark, sf_dir), QUICKSTART_N).select(
-        "subset", "pair", "ordinal", "row", F.length("src_txt").alias("src_chars"))
+    """The first N documents of every split and pair, by a filter on the stored dense position."""
+    first = first_documents(keyed_fixture_corpus(spark, sf_dir), QUICKSTART_N)
+    return first.select("subset", "pair", "ordinal", (F.col("position") + 1).cast("int").alias("row"), F.length("src_txt").alias("src_chars"))
 
 
 @register("quickstart_prompt")
 def q_quickstart_prompt(spark, sf_dir):
     """First N dev documents of each pair -> F7 chat markup -> X1 -> table with pred_txt."""
-    c = _first_n(fixture_corpus(spark, sf_dir).where(F.col("subset") == "dev"), QUICKSTART_N)
+    c = first_documents(keyed_fixture_corpus(spark, sf_dir).where(F.col("subset") == "dev"), QUICKSTART_N)
     a, b = pair_langs("pair")
     c = c.withColumn("prompt", P.quickstart_prompt(F.col("src_txt"), a, b))
     g = infer.generate(c, "prompt", COPY_QUICKSTART, ["subset", "pair", "ordinal"], batch_size=10)
@@ -248,6 +266,14 @@ def q_quickstart_prompt(spark, sf_dir):
     return out
 
 
+@register("quickstart_csv")
+def q_quickstart_csv(spark, sf_dir):
+    """The quick start's CSV, written and read back: both texts and the prediction."""
+    path = stored_path(spark, "quickstart")
+    jobs.quickstart(keyed_fixture_corpus(spark, sf_dir), COPY_QUICKSTART, QUICKSTART_N, out_csv=path)
+    return sinks.read_csv(spark, path, jobs.QUICKSTART_CSV)
+
+
 @register("chat_messages_render")
 def q_chat_messages_render(spark, sf_dir):
     """Single-user and system+user message lists rendered with chat markup."""
@@ -379,7 +405,7 @@ E2E = jobs.JobConfig(ks=[1], dialect="bare", chat="system_user", model=DEMO_MODE
 
 
 def _e2e(spark, sf_dir, cfg=E2E):
-    corpus = fixture_corpus(spark, sf_dir)
+    corpus = keyed_fixture_corpus(spark, sf_dir)
     return jobs.run_translation_job(spark, corpus, COPY_USER, cfg)
 
 
@@ -396,7 +422,7 @@ E2E_FEWSHOT = jobs.JobConfig(ks=[1], dialect="fewshot", chat="user", model=DEMO_
 @register("end_to_end_fewshot")
 def q_end_to_end_fewshot(spark, sf_dir):
     """E1 with T1, J4, F5: few-shot prompts -> user chat -> model (stand-in) -> clean -> align -> chrF -> rank."""
-    out = jobs.run_translation_job(spark, fixture_corpus(spark, sf_dir), infer.CopyLastSource(CHAT_USER, CHAT_END), E2E_FEWSHOT)
+    out = jobs.run_translation_job(spark, keyed_fixture_corpus(spark, sf_dir), infer.CopyLastSource(CHAT_USER, CHAT_END), E2E_FEWSHOT)
     return out["ranked"].select("pair", "direction", "k", "n_ref", "n_hyp", "status", "n_segments", "chrf", "rank")
 
 
@@ -412,6 +438,33 @@ def q_eval_coverage(spark, sf_dir):
     return align_op.coverage(exp, refs, hyps)
 
 
+@register("coverage_of_run")
+def q_coverage_of_run(spark, sf_dir):
+    """J6, S7 over stored outputs: predictions of a run without one direction are written and read back; the
+    references of one pair are missing."""
+    corpus = fixture_corpus(spark, sf_dir)
+    preds = expand_directions(corpus.where(F.col("subset") == "test")).where(F.col("direction") != "fr_2_eng")
+    root = stored_path(spark, "predictions")
+    sinks.write_predictions(sinks.run_layout(preds.select("pair", "direction", "ordinal", F.lit(1).alias("k"), F.col("src").alias("pred")), DEMO_MODEL), root)
+    hyps = jobs.read_predictions(spark, root, E2E)
+    refs = jobs.references(corpus.where(F.col("pair") != "eng_de"), [1])
+    exp = jobs.expected_directions(spark, hyps.select("pair").unionByName(refs.select("pair")), P.TASK_PAIRS)
+    return align_op.coverage(exp, refs, hyps)
+
+
+LEDGER_RUN = jobs.JobConfig(ks=[0, 1], dialect="bare", chat="user", model=DEMO_MODEL, resume=True, commit_units=4, unit_rows=10_000)
+
+
+@register("run_ledger")
+def q_run_ledger(spark, sf_dir):
+    """E1, S7 as a resumable run: what its ledger says of the committed units, and the predictions each holds."""
+    root = stored_path(spark, "run")
+    jobs.run_translation_job(spark, keyed_fixture_corpus(spark, sf_dir), COPY_USER, LEDGER_RUN, root)
+    ledger = spark.read.schema(jobs.LEDGER).parquet(f"{root}/ledger")
+    held = jobs.committed(spark, f"{root}/predictions", f"{root}/ledger").groupBy("unit_id").agg(F.count(F.lit(1)).alias("n_predictions"))
+    return ledger.join(held, "unit_id", "left").select("unit", "model", "ks", "first_key", "last_key", "n_rows", "n_predictions")
+
+
 @register("eval_tally")
 def q_eval_tally(spark, sf_dir):
     """A3: successful and failed evaluations over the coverage table."""
@@ -510,3 +563,25 @@ def q_sft_text_pairs(spark, sf_dir):
 def q_fewshot_prompt_parity(spark, sf_dir):
     """D1 parity: the instruction keeps its literal ``{tgt_lbl}`` placeholder, as the reference wrote it."""
     return fewshot.build_prompts(fixture_corpus(spark, sf_dir), [1], parity=True).select(*PROMPT_COLS)
+
+
+def _damaged(text: Column, ordinal: Column, cut: int, listed: int, number: int) -> Column:
+    """A ``{"text"}`` line; every 7th, 11th and 13th from the given places is cut, a list or holds a number."""
+    line = F.to_json(F.struct(text.alias("text")))
+    return (F.when(F.pmod(ordinal, F.lit(7)) == cut, F.expr("left(_line, length(_line) - 2)"))
+             .when(F.pmod(ordinal, F.lit(11)) == listed, F.concat(F.lit("["), line, F.lit("]")))
+             .when(F.pmod(ordinal, F.lit(13)) == number, F.lit('{"text": 3}')).otherwise(line))
+
+
+@register("paired_rejects")
+def q_paired_rejects(spark, sf_dir):
+    """S6, J2, F13 over files: every document as a ``{"text"}`` line of its training file, some lines damaged; all
+    pairs are read in one pass, and each skipped pair comes with its 1-based line and the reason."""
+    both = expand_directions(fixture_corpus(spark, sf_dir)).withColumn("_line", F.to_json(F.struct(F.col("src").alias("text"))))
+    eng = F.col("src_lang") == "eng"
+    value = F.when(eng, _damaged(F.col("src"), F.col("ordinal"), 3, 4, 5)).otherwise(_damaged(F.col("src"), F.col("ordinal"), 1, 4, 2))
+    # One file per pair and language, its lines in key order; the pair's lines lie at the same places.
+    lines = both.select("pair", F.col("src_lang").alias("lang"), "ordinal", value.alias("value"))
+    root = stored_path(spark, "training-files")
+    sinks.write_lines(lines, root, ["pair", "lang"])
+    return readers.read_text_pair_tree(spark, root)[1]

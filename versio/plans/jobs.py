@@ -3,14 +3,20 @@
 One Spark job covers every pair, direction and shot count; the reference ran
 one process per direction and reloaded the model for each. Stages hand over
 DataFrames keyed by ``(pair, direction, k, ordinal)``; predictions are written
-(or checkpointed) before scoring so the model runs exactly once per prompt.
+before scoring so the model runs exactly once per prompt.
+
+A run reads the corpus once: its requests (key, source text, cost) and its
+example sets are stored, cut into units of bounded size by key range, and the
+prompts are rendered where the model runs. A resumable run commits unit by
+unit; the ledger, one row per committed unit, says which predictions count.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import prompts as P
@@ -18,13 +24,16 @@ from ..functions.text import strip_ws
 from ..operators import align as align_op
 from ..operators import chrf as chrf_op
 from ..operators import fewshot, infer, report, sft
-from ..operators.directions import expand_directions, pair_langs, pair_of
-from ..session import materialize
+from ..operators.directions import expand_directions, pair_langs, pair_of, shot_sweep
+from ..session import materialize, stored_path
 from ..sources import sinks
-from ..sources.ordinals import join_ranks, rank_table
+from ..sources.corpus import LAYOUT_RE, first_documents
+from ..sources.keyed import doc_key, layout, read_keyed
+from ..sources.ordinals import dense_positions, join_ranks, rank_table
 from ..sources.readers import read_scored
 
 KEYS = ["pair", "src_lang", "tgt_lang", "direction", "k", "ordinal"]
+LEDGER = "unit_id string, unit long, model string, ks string, first_key string, last_key string, n_rows long"
 
 
 @dataclass
@@ -40,7 +49,9 @@ class JobConfig:
     expected_pairs: list[str] | None = None
     top: int = 5
     resume: bool = False               # commit in units; skip prompts already predicted under out_root
-    commit_units: int = 8              # units of a resumable run, each committed by itself
+    commit_units: int = 8              # a resumable run has at least so many units, each committed by itself,
+    unit_rows: int = 10_000            # and none of more than so many requests (document and direction)
+    tasks: int | None = None           # tasks of equal cost that run the model (default: shuffle partitions)
     max_new_tokens: int = 256          # P10, handed to the engine
     sampling: bool = False
     temperature: float = 0.7
@@ -59,39 +70,108 @@ def model_input(prompts: DataFrame, cfg: JobConfig) -> DataFrame:
     return prompts.withColumn("model_input", P.render_chat(msgs, cfg.chat_markup))
 
 
-def run_predictions(corpus: DataFrame, engine_factory, cfg: JobConfig, done: DataFrame | None = None,
-                    unit: int | None = None) -> DataFrame:
-    """Prompts -> model -> cleaned predictions keyed by ``KEYS``.
-
-    ``done`` (keys of predictions already written) is anti-joined away first,
-    so a resumed run sends only the remaining prompts to the model. ``unit``
-    takes one of ``cfg.commit_units`` shares of the keys, by hash.
-    """
-    prompts = fewshot.build_prompts(corpus, cfg.ks, cfg.dialect, cfg.parity)
-    if unit is not None:
-        prompts = prompts.where(F.pmod(F.xxhash64(*KEYS), F.lit(cfg.commit_units)) == unit)
-    if done is not None:
-        prompts = infer.pending(prompts, done, KEYS)
-    mi = model_input(prompts, cfg)
+@dataclass
+class Requests:
+    """A run's stored prompts in normal form: ``documents`` (one row per document and direction, with its source
+    text, its length and its unit) and ``sets`` (the example sets they name); None where no k needs examples."""
+    documents: DataFrame
+    sets: DataFrame | None
+    units: list
+
+
+def store_requests(corpus: DataFrame, cfg: JobConfig) -> Requests:
+    """The requests of a run, stored once. Units are ranges of the key (pair, direction, position): of
+    ``unit_rows`` requests at most, and at least ``commit_units`` of them."""
+    tests = corpus.where(F.col("subset") == "test")
+    if "position" not in tests.columns:
+        tests = dense_positions(tests, ["subset", "pair"], "ordinal")
+    # Rows per direction are those of its pair; their running sum numbers all requests (one row per direction).
+    dirs = expected_directions(corpus.sparkSession, tests, None).withColumn("pair", pair_of(F.col("src_lang"), F.col("tgt_lang")))
+    sizes = dirs.withColumn("direction", P.direction_name(F.col("src_lang"), F.col("tgt_lang"))).join(
+        tests.groupBy("pair").agg(F.count(F.lit(1)).alias("_n")), "pair")
+    before = Window.orderBy("pair", "direction").rowsBetween(Window.unboundedPreceding, -1)
+    total = F.sum("_n").over(Window.partitionBy())
+    rows = F.least(F.lit(cfg.unit_rows), F.greatest(F.lit(1), F.ceil(total / cfg.commit_units)))
+    sizes = materialize(sizes.select("pair", "direction", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), rows.cast("long").alias("_rows")))
+    unit = F.floor((F.col("_before") + F.col("position")) / F.col("_rows")).cast("long")
+    requests = expand_directions(tests).join(F.broadcast(sizes), ["pair", "direction"])  # bounded: one row per direction
+    requests = requests.select("pair", "src_lang", "tgt_lang", "direction", "ordinal", "src", F.length("src").alias("chars"), unit.alias("unit"))
+    path = stored_path(corpus.sparkSession, "requests")
+    requests.hint("rebalance", "unit").write.partitionBy("unit").parquet(path)
+    documents = corpus.sparkSession.read.schema(requests.schema).parquet(path)
+    key = F.struct("pair", "direction", "ordinal")
+    units = documents.groupBy("unit").agg(F.min(key).alias("first"), F.max(key).alias("last"), F.count(F.lit(1)).alias("n")).orderBy("unit").collect()
+    sets = materialize(fewshot.example_sets(corpus, cfg.ks, cfg.dialect)) if cfg.dialect != "bare" and max(cfg.ks) > 0 else None
+    return Requests(documents, sets, units)
+
+
+def predict(requests: DataFrame, sets: DataFrame | None, engine_factory, cfg: JobConfig) -> DataFrame:
+    """Requests (with ``k``) -> tasks of equal cost -> prompts -> model -> cleaned predictions keyed by ``KEYS``."""
+    cost = F.col("chars")
+    if sets is not None:
+        extra = sets.select("example_set_id", F.length(F.array_join("blocks", P.BLOCK_SEP)).alias("_extra"))
+        named = requests.withColumn("example_set_id", fewshot.example_set_id(F.col("pair"), F.col("direction"), F.col("k")))
+        requests = named.join(F.broadcast(extra), "example_set_id", "left")  # bounded: one number per direction and k
+        cost = cost + F.coalesce("_extra", F.lit(0))
+    tasks = cfg.tasks or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = infer.balanced(requests.select(*KEYS, "src", cost.cast("long").alias("cost")), "cost", KEYS, tasks)
+    mi = model_input(fewshot.render_prompts(dealt, sets, cfg.dialect, cfg.parity), cfg)
     params = infer.run_parameters(cfg.max_new_tokens, cfg.sampling, cfg.temperature, cfg.top_p)
     return infer.predictions(mi, "model_input", engine_factory, KEYS, cfg.batch_size, cfg.stop, params=params)
 
 
+def run_predictions(corpus: DataFrame, engine_factory, cfg: JobConfig) -> DataFrame:
+    """Prompts -> model -> cleaned predictions keyed by ``KEYS``, for a whole corpus at once."""
+    made = store_requests(corpus, cfg)
+    return predict(shot_sweep(made.documents, cfg.ks), made.sets, engine_factory, cfg)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def read_predictions(spark: SparkSession, root: str, cfg: JobConfig) -> DataFrame:
-    """Predictions of this model and these shots from the run layout, keyed by ``KEYS``."""
-    return (spark.read.parquet(root)
+def committed(spark: SparkSession, root: str, ledger: str | None) -> DataFrame:
+    """Stored predictions that count: those of runs that are no units, and of units that the ledger names. What a
+    crashed unit has left behind is in neither."""
+    preds = read_keyed(spark, root)
+    ids = spark.createDataFrame([("",)], "unit_id string")
+    if ledger and _exists(spark, ledger):
+        ids = ids.unionByName(spark.read.schema(LEDGER).parquet(ledger).select("unit_id"))
+    return preds.join(F.broadcast(ids), "unit_id", "left_semi")  # bounded: one short id per unit
+
+
+def read_predictions(spark: SparkSession, root: str, cfg: JobConfig, ledger: str | None = None) -> DataFrame:
+    """Predictions of this model and these shots from the run layout: ``doc_key``, ``KEYS``, ``pred``."""
+    return (committed(spark, root, ledger)
             .where((F.col("model") == P.model_dir_name(F.lit(cfg.model)))
                    & F.col("shot").isin([f"shot{k}" for k in cfg.ks]))
             .withColumn("k", F.regexp_extract("shot", r"^shot(\d+)$", 1).cast("int"))
             .withColumn("src_lang", F.split_part("direction", F.lit("_2_"), F.lit(1)))
             .withColumn("tgt_lang", F.split_part("direction", F.lit("_2_"), F.lit(2)))
-            .select(*KEYS, "pred"))
+            .select("doc_key", *KEYS, "pred"))
+
+
+def commit_units(spark: SparkSession, made: Requests, engine_factory, cfg: JobConfig, root: str, ledger: str) -> None:
+    """The resumable run: unit by unit, predictions are written and then named in the ledger, one row each. Units
+    read their own rows of the stored requests; prompts with a committed prediction are not sent again."""
+    done = None
+    if layout(spark, root) is not None:  # keys only, fixed before this run appends
+        done = materialize(read_predictions(spark, root, cfg, ledger).select(*KEYS))
+    model = cfg.model.split("/")[-1]
+    for u in made.units:
+        asked = shot_sweep(made.documents.where(F.col("unit") == u.unit), cfg.ks)
+        if done is not None:
+            asked = infer.pending(asked, done, KEYS)
+            if asked.isEmpty():
+                continue
+        unit_id = uuid.uuid4().hex
+        preds = predict(asked, made.sets, engine_factory, cfg).withColumn("unit_id", F.lit(unit_id))
+        sinks.write_predictions(sinks.run_layout(preds, cfg.model), root, mode="append")
+        key = ["/".join(map(str, (x.pair, x.direction, x.ordinal))) for x in (u.first, u.last)]
+        row = (unit_id, u.unit, model, ",".join(map(str, cfg.ks)), *key, u.n)
+        spark.createDataFrame([row], LEDGER).coalesce(1).write.mode("append").parquet(ledger)
 
 
 def references(corpus: DataFrame, ks: list[int]) -> DataFrame:
@@ -122,32 +202,31 @@ def run_translation_job(spark: SparkSession, corpus: DataFrame, engine_factory,
 
     With ``out_root`` predictions and the score table are written
     (``predictions/`` partitioned by pair, model, shot, direction; ``scores/``
-    TSV); otherwise predictions are stored in the shared folder. With
-    ``cfg.resume`` predictions are committed in ``cfg.commit_units`` units, and a
-    run over an existing ``out_root`` sends only prompts without a committed
-    prediction to the model.
+    TSV; ``ledger/`` of a resumable run); otherwise predictions are stored in
+    the shared folder. With ``cfg.resume`` predictions are committed in units, and
+    a run over an existing ``out_root`` sends only prompts without a committed
+    prediction to the model. Over a keyed corpus (``corpus.write_keyed_corpus``)
+    scoring exchanges no text.
     """
-    if out_root:
-        root = f"{out_root}/predictions"
-        resuming = cfg.resume and _exists(spark, root)
-        # Keys already written, fixed before this run appends to the same folder.
-        done = materialize(read_predictions(spark, root, cfg).select(*KEYS)) if resuming else None
-        # A resumable run commits its units one by one: after a crash the finished ones stay.
-        for unit in range(cfg.commit_units) if cfg.resume else (None,):
-            preds = run_predictions(corpus, engine_factory, cfg, done, unit)
-            sinks.write_predictions(sinks.run_layout(preds, cfg.model), root, mode="append" if cfg.resume else "overwrite")
-        # Directions of an earlier, larger corpus may still lie there; they are no part of this run.
-        run = corpus.where(F.col("subset") == "test").select("pair").distinct()
-        preds = read_predictions(spark, root, cfg).join(run, "pair", "left_semi")
+    root = f"{out_root}/predictions" if out_root else stored_path(spark, "predictions")
+    ledger = f"{out_root}/ledger" if out_root else None
+    made = store_requests(corpus, cfg)
+    if out_root and cfg.resume:
+        commit_units(spark, made, engine_factory, cfg, root, ledger)
     else:
-        preds = materialize(run_predictions(corpus, engine_factory, cfg))
-    refs = references(corpus, cfg.ks)
-    scores = score(preds, refs)
+        preds = predict(shot_sweep(made.documents, cfg.ks), made.sets, engine_factory, cfg)
+        sinks.write_predictions(sinks.run_layout(preds, cfg.model), root, mode="overwrite")
+    # Directions of an earlier, larger corpus may still lie there; they are no part of this run.
+    run = corpus.where(F.col("subset") == "test").select("pair").distinct()
+    preds = read_predictions(spark, root, cfg, ledger)
+    keyed = corpus if "doc_key" in corpus.columns else corpus.withColumn("doc_key", doc_key())
+    scores = chrf_op.score_runs(preds, keyed, [(k,) for k in cfg.ks], ["k"])
+    preds = preds.select(*KEYS, "pred").join(F.broadcast(run), "pair", "left_semi")  # bounded: one row per pair
     if out_root:
         scores = materialize(scores)
     ranked = report.rank_scores(scores)
     expected = expected_directions(spark, corpus, cfg.expected_pairs).withColumn("k", F.explode(F.array(*[F.lit(k) for k in cfg.ks])))
-    cov = report.evaluated(align_op.coverage(expected, refs, preds), scores)
+    cov = report.evaluated(align_op.coverage(expected, references(corpus, cfg.ks), preds), scores)
     out = {
         "predictions": preds,
         "scores": scores,
@@ -163,16 +242,20 @@ def run_translation_job(spark: SparkSession, corpus: DataFrame, engine_factory,
     return out
 
 
+QUICKSTART_CSV = "subset string, pair string, src_txt string, tgt_txt string, pred_txt string"
+
+
 def quickstart(corpus: DataFrame, engine_factory, n: int = 50, subset: str = "dev",
                pair: str | None = None, batch_size: int = 10, out_csv: str | None = None) -> DataFrame:
-    """First ``n`` documents (per pair) -> F7 prompt -> model -> ``pred_txt`` (-> CSV)."""
-    from pyspark.sql import Window
+    """First ``n`` documents (per pair) -> F7 prompt -> model -> ``pred_txt`` (-> CSV).
+
+    Over a keyed corpus the first ``n`` are a pushed filter; else positions are ranked on keys first.
+    """
     c = corpus.where(F.col("subset") == subset)
     if pair:
         c = c.where(F.col("pair") == pair)
     if n:                                   # falsy n = every document (P9)
-        c = c.withColumn("_row", F.row_number().over(Window.partitionBy("subset", "pair").orderBy("ordinal")))
-        c = c.where(F.col("_row") <= n).drop("_row")
+        c = first_documents(c if "position" in c.columns else dense_positions(c, ["subset", "pair"], "ordinal"), n)
     a, b = pair_langs("pair")
     c = c.withColumn("prompt", P.quickstart_prompt(F.col("src_txt"), a, b))
     g = infer.generate(c, "prompt", engine_factory, ["subset", "pair", "ordinal", "src_txt", "tgt_txt"], batch_size)
@@ -194,11 +277,10 @@ def build_training_set(pairs: DataFrame, max_length: int = 512, tokenize=None,
 
 
 
-
-def _scored_positions(spark: SparkSession, pattern: str) -> DataFrame:
+def _scored_positions(spark: SparkSession, root: str, matching: str) -> DataFrame:
     """S5 over files: ``_file, pos, text`` with ``pos`` the 0-based position among
     the file's non-blank lines (the reader drops blank lines before zipping)."""
-    lines, _ = read_scored(spark, pattern, strict=True)
+    lines, _ = read_scored(spark, root, strict=True, matching=matching)
     ranks = rank_table(lines.select("_file", "ordinal"), ["_file"], ["ordinal"], out_col="pos")
     return join_ranks(lines, ranks, ["_file", "ordinal"]).select("_file", "pos", "text")
 
@@ -208,20 +290,22 @@ def score_run_files(spark: SparkSession, data_root: str, result_root: str, model
     """Score an existing run laid out as files (the evaluation script's layout).
 
     References: ``<data_root>/<split>/<pair>/doc.<lang>.jsonl``; hypotheses:
-    ``<result_root>/<pair>/<model>/shot<k>/<src>_2_<tgt>/doc.<src>_2_<tgt>.<k>.pred.jsonl``.
-    Lines are read with the score dialect (S5) and aligned by position among
-    non-blank lines, per direction (J3). Returns ``scores`` (with the TSV
-    ``line``), ``coverage`` (J6) and ``tally`` (A3).
+    ``<result_root>/<pair>/<model>/shot<k>/<src>_2_<tgt>/doc.<src>_2_<tgt>.<k>.pred.jsonl``;
+    or the directories of parts that ``sinks.write_corpus_jsonl`` and
+    ``sinks.write_predictions_jsonl`` write. Lines are read with the score
+    dialect (S5) and aligned by position among non-blank lines, per direction
+    (J3). Returns ``scores`` (with the TSV ``line``), ``coverage`` (J6) and
+    ``tally`` (A3).
     """
-    base = F.element_at(F.split(F.col("_file"), "/"), -1)
-    h = _scored_positions(spark, f"{result_root.rstrip('/')}/*/{model}/shot{k}/*/doc.*.{k}.pred.jsonl")
-    meta = P.parse_file_name(base)
-    hyps = h.select(meta["src_lang"].alias("src_lang"), meta["tgt_lang"].alias("tgt_lang"), "pos",
+    f = F.col("_file")
+    run = rf"/(?:model=)?\Q{model}\E/(?:shot=)?shot{int(k)}/(?:direction=)?([^/]+?)_2_([^/.]+)(?:/doc\.[^/]+\.{int(k)}\.pred\.jsonl)?$"
+    h = _scored_positions(spark, result_root, run)
+    hyps = h.select(F.regexp_extract(f, run, 1).alias("src_lang"), F.regexp_extract(f, run, 2).alias("tgt_lang"), "pos",
                     F.col("text").alias("pred"))
     hyps = hyps.withColumn("pair", pair_of(F.col("src_lang"), F.col("tgt_lang")))
-    r = _scored_positions(spark, f"{data_root.rstrip('/')}/{split}/*/doc.*.jsonl")
-    pair = F.element_at(F.split(F.col("_file"), "/"), -2)
-    lang = F.regexp_extract(base, r"^doc\.([^.]+)\.jsonl$", 1)
+    r = _scored_positions(spark, data_root, LAYOUT_RE.replace("(?:subset=)?([^/]+)", rf"(?:subset=)?(\Q{split}\E)", 1))
+    pair = F.regexp_extract(f, LAYOUT_RE, 2)
+    lang = F.concat(F.regexp_extract(f, LAYOUT_RE, 3), F.regexp_extract(f, LAYOUT_RE, 4))
     a, b = pair_langs(pair)
     refs = r.select(pair.alias("pair"), F.when(lang == b, a).otherwise(b).alias("src_lang"),
                     lang.alias("tgt_lang"), "pos", F.col("text").alias("ref"))

@@ -8,10 +8,33 @@ Java regex both accept the ``\\x{..}`` form).
 
 from __future__ import annotations
 
-from ..functions.prompts import (BLOCK_SEP, CHAT_SYSTEM_TEMPLATE, DEFAULT_CHAT_MARKUP, EXAMPLE_BLOCK,
-                                 FEWSHOT_INSTRUCTION, FINAL_BLOCK, LANG_LABELS, QUICKSTART_SYSTEM,
-                                 QUICKSTART_TEMPLATE, SFT_TEMPLATE, TASK_PAIRS, template_pieces)
-from ..functions.text import NON_WS, STRIP_RE, WS
+import re
+
+# Written out by hand, not taken from the code under test: labels, task pairs, templates, chat markup and the
+# code points that Python's str.isspace() accepts.
+LANG_LABELS = {
+    "eng": "English", "ben": "Bengali", "guj": "Gujarati", "hin": "Hindi", "kan": "Kannada", "mal": "Malayalam",
+    "mar": "Marathi", "ori": "Odia", "pan": "Punjabi", "tam": "Tamil", "tel": "Telugu", "urd": "Urdu",
+}
+TASK_PAIRS = ["eng_ben", "eng_guj", "eng_hin", "eng_kan", "eng_mal", "eng_mar", "eng_ori", "eng_pan", "eng_tam", "eng_tel", "eng_urd"]
+BLOCK_SEP = "\n\n"
+FEWSHOT_INSTRUCTION = "Translate the given input document to {tgt_lbl} language. Generate only the translation. Do not generate any other tokens."
+EXAMPLE_BLOCK = "{src_lbl}: {src}\n\n{tgt_lbl}: {tgt}"
+FINAL_BLOCK = "{src_lbl}: {src}\n\n{tgt_lbl}:"
+CHAT_SYSTEM_TEMPLATE = "Translate the text below to {label}."
+QUICKSTART_SYSTEM = "You are a professional translator. Translate the user message precisely from {src} to {tgt}, preserving meaning, tone, and any markup."
+QUICKSTART_TEMPLATE = "<|begin_of_text|><|system|>\n{system}\n<|user|>\n{text}\n<|assistant|>"
+SFT_TEMPLATE = "Translate from {src_lang} to {tgt_lang}:\n\n{src}\n\nTranslation:"
+DEFAULT_CHAT_MARKUP = {"open": "<|{role}|>\n", "close": "<|end|>\n", "generation_cue": "<|assistant|>\n"}
+SPACES = r"\x09-\x0d\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+WS, NON_WS = f"[{SPACES}]", f"[^{SPACES}]"
+STRIP_RE = f"^{WS}+|{WS}+$"
+
+
+def template_pieces(template: str) -> list[tuple[str, str | None]]:
+    """(text, name of the placeholder after it) for each piece of a template."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return [(parts[i], parts[i + 1] if i + 1 < len(parts) else None) for i in range(0, len(parts), 2)]
 
 
 def q(s: str) -> str:
@@ -569,6 +592,47 @@ FROM t LEFT JOIN g ON t.model = g.model AND t.k = g.k AND t.direction = g.direct
 """
 
 ORACLE["end_to_end_fewshot"] = END_TO_END_SQL
+ORACLE["prediction_files_scored"] = CHRF_BY_DIRECTION
+ORACLE["quickstart_csv"] = f"""
+WITH {CORPUS_CTE}
+SELECT subset, pair, src_txt, tgt_txt, {strip('src_txt')} AS pred_txt
+FROM (SELECT *, row_number() OVER (PARTITION BY subset, pair ORDER BY ordinal) AS row FROM parallel WHERE subset = 'dev')
+WHERE row <= 50
+"""
+ORACLE["coverage_of_run"] = f"""
+WITH {CORPUS_CTE},
+pairs AS (SELECT DISTINCT pair FROM parallel WHERE subset = 'test' UNION SELECT pair FROM (VALUES {_TASK_VALUES}) t(pair)),
+e AS (
+  SELECT pair, split_part(pair, '_', 1) AS src_lang, split_part(pair, '_', 2) AS tgt_lang FROM pairs
+  UNION ALL SELECT pair, split_part(pair, '_', 2), split_part(pair, '_', 1) FROM pairs
+),
+there AS (SELECT DISTINCT pair FROM parallel WHERE subset = 'test')
+SELECT src_lang || '_2_' || tgt_lang AS direction, src_lang, tgt_lang, pair,
+       CASE WHEN pair NOT IN (SELECT pair FROM there) THEN 'missing_ref_and_hyp'
+            WHEN pair = 'eng_de' THEN 'missing_ref'
+            WHEN src_lang = 'fr' THEN 'missing_hyp' ELSE 'ok' END AS status
+FROM e
+"""
+ORACLE["run_ledger"] = f"""
+WITH {CORPUS_CTE},
+r AS (
+  SELECT pair, src_lang || '_2_' || tgt_lang AS direction, ordinal, count(*) OVER () AS total,
+         row_number() OVER (ORDER BY pair, src_lang || '_2_' || tgt_lang, ordinal) - 1 AS i
+  FROM dirs WHERE subset = 'test'
+),
+u AS (SELECT *, i // least(10000, greatest(1, CAST(ceil(total / 4.0) AS BIGINT))) AS unit FROM r)
+SELECT unit, 'Demo-Model:v1' AS model, '0,1' AS ks,
+       first(pair || '/' || direction || '/' || ordinal ORDER BY i) AS first_key,
+       last(pair || '/' || direction || '/' || ordinal ORDER BY i) AS last_key,
+       count(*) AS n_rows, 2 * count(*) AS n_predictions
+FROM u GROUP BY unit
+"""
+ORACLE["paired_rejects"] = f"""
+WITH {CORPUS_CTE},
+p AS (SELECT pair, row_number() OVER (PARTITION BY pair ORDER BY ordinal) AS line, ordinal AS o FROM parallel)
+SELECT pair, line, CASE WHEN o % 7 = 3 OR o % 11 = 4 OR o % 13 = 5 THEN 'source not a {{text}} object' ELSE 'target not a {{text}} object' END AS reason
+FROM p WHERE o % 7 IN (3, 1) OR o % 11 = 4 OR o % 13 IN (5, 2)
+"""
 ORACLE["user_tokenizer"] = """
 WITH t AS (SELECT doc_id, regexp_extract_all(text, '(?s).{1,4}') AS t FROM documents)
 SELECT doc_id, CAST(len(t) AS INTEGER) AS n_tokens, md5(array_to_string(t, '|')) AS tokens_md5 FROM t

@@ -46,13 +46,34 @@ def shared_dir(spark: SparkSession) -> str:
     return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/versio-shared"
 
 
+#: Paths that this process has stored under a shared folder, for ``discard``.
+_STORED: list[str] = []
+
+
+def stored_path(spark: SparkSession, what: str = "stored") -> str:
+    """A new path in the shared folder."""
+    path = f"{shared_dir(spark).rstrip('/')}/versio-{what}-{uuid.uuid4().hex}"
+    _STORED.append(path)
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Store a DataFrame whose values must not be computed twice, and read it back.
 
     A parquet table in the shared folder: a later reader takes the columns it
     needs, and a lost executor does not run the stage (or the model) again.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/versio-stored-{uuid.uuid4().hex}"
+    path = stored_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession) -> int:
+    """Delete what this process has stored in the shared folder; how many tables went. To be called when no
+    DataFrame over them is used any more (at a job's end)."""
+    gone = 0
+    while _STORED:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        gone += bool(fs.exists(path) and fs.delete(path, True))
+    return gone

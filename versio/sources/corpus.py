@@ -2,7 +2,10 @@
 
 The corpus table is ``parallel(subset, pair, ordinal, src_txt, tgt_txt)``,
 stored partitioned by ``subset, pair`` so S1 is partition pruning. ``pair`` is
-``eng_<x>``; ``src_txt`` is the English side.
+``eng_<x>``; ``src_txt`` is the English side. ``write_keyed_corpus`` also
+stores ``position``, the dense rank of a document in its split and pair, and
+clusters rows by ``doc_key`` (see ``keyed``): the first N documents are a pushed
+filter, and scoring joins need no exchange.
 
 The driver's ``documents`` table holds no parallel text, so the fixture pairs
 documents by rank (they are not translations): inside each language,
@@ -17,7 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_ws
-from .ordinals import rank_integers
+from ..session import stored_path
+from . import keyed
+from .ordinals import dense_positions, join_ranks, rank_integers
 
 PARALLEL_SCHEMA = "subset string, pair string, ordinal bigint, src_txt string, tgt_txt string"
 
@@ -47,9 +52,35 @@ def write_parallel(df: DataFrame, root: str, mode: str = "overwrite") -> None:
        .write.mode(mode).partitionBy("subset", "pair").parquet(root))
 
 
+KEYED_COLUMNS = ["doc_key", "ordinal", "position", "src_txt", "tgt_txt", "subset", "pair"]
+
+
+def write_keyed_corpus(corpus: DataFrame, path: str, buckets: int | None = None) -> None:
+    """Ingest, called explicitly: store a corpus clustered by ``doc_key`` and sorted by ``position``."""
+    if "position" not in corpus.columns:
+        corpus = dense_positions(corpus, ["subset", "pair"], "ordinal")
+    keyed.write_keyed(corpus.withColumn("doc_key", keyed.doc_key()).select(*KEYED_COLUMNS), path, ["subset", "pair"], ["position"], buckets, overwrite=True)
+
+
+def first_documents(corpus: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` documents of every split and pair of a keyed corpus, by a filter on ``position``."""
+    return corpus.where(F.col("position") < n)
+
+
+def document_keys(documents: DataFrame, english: str = "en", eng_code: str = "eng", dev_every: int = 5) -> DataFrame:
+    """Keys of the fixture: ``lang, doc_id, ordinal`` and, where a document has a partner (English itself aside),
+    ``subset, pair, position``."""
+    ranks = rank_integers(documents.select("lang", "doc_id"), "lang", "doc_id")
+    subset = F.when(F.pmod(F.col("ordinal"), F.lit(dev_every)) == 0, F.lit("dev")).otherwise(F.lit("test"))
+    other = ranks.where(F.col("lang") != english).join(ranks.where(F.col("lang") == english).select("ordinal"), "ordinal", "left_semi")
+    other = other.select("doc_id", "ordinal", subset.alias("subset"), F.concat(F.lit(eng_code + "_"), F.col("lang")).alias("pair"))
+    return rank_integers(other, ["subset", "pair"], "ordinal", "position")
+
+
 def ranked_documents(documents: DataFrame) -> DataFrame:
-    """``lang, doc_id, text`` + ``ordinal`` = rank by ``doc_id`` inside ``lang`` (0-based)."""
-    return rank_integers(documents.select("lang", "doc_id", "text"), "lang", "doc_id")
+    """``lang, doc_id, text`` + ``ordinal`` = rank by ``doc_id`` inside ``lang`` (0-based). Only keys are ranked."""
+    docs = documents.select("lang", "doc_id", "text")
+    return join_ranks(docs, rank_integers(docs.select("lang", "doc_id"), "lang", "doc_id"), ["lang", "doc_id"])
 
 
 def fixture_ranked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,11 +104,29 @@ def pair_documents(documents: DataFrame, english: str = "en", eng_code: str = "e
     )
 
 
+def pair_documents_with_positions(documents: DataFrame, english: str = "en", eng_code: str = "eng", dev_every: int = 5) -> DataFrame:
+    """As ``pair_documents``, with ``position``: ranked on keys before any text is attached."""
+    docs = documents.select("lang", "doc_id", strip_ws("text").alias("text"))
+    keys = document_keys(documents, english, eng_code, dev_every)
+    other = docs.where(F.col("lang") != english).join(keys, "doc_id").select("subset", "pair", "ordinal", "position", F.col("text").alias("tgt_txt"))
+    en = docs.where(F.col("lang") == english)
+    ranks = rank_integers(en.select("lang", "doc_id"), "lang", "doc_id")
+    en = join_ranks(en, ranks, ["lang", "doc_id"]).select("ordinal", F.col("text").alias("src_txt"))
+    return en.join(other, "ordinal")
+
+
 def fixture_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fixture ``parallel`` rows, derived from ``documents`` whenever they are read."""
     return pair_documents(table(spark, sf_dir, "documents"))
 
 
+def keyed_fixture_corpus(spark: SparkSession, sf_dir: str, path: str | None = None, buckets: int | None = None) -> DataFrame:
+    """The fixture corpus ingested as a keyed table (in the shared folder unless a path is named) and read back."""
+    path = path or stored_path(spark, "corpus")
+    write_keyed_corpus(pair_documents_with_positions(table(spark, sf_dir, "documents")), path, buckets)
+    return keyed.read_keyed(spark, path)
+
+
 def ingest_fixture_corpus(spark: SparkSession, sf_dir: str, path: str) -> str:
     """Ingest, called explicitly: store the fixture corpus under ``path`` as a deployment stores its own
     (S1: partition and column pruning), and return the path for ``scan_parallel``."""
@@ -87,22 +136,24 @@ def ingest_fixture_corpus(spark: SparkSession, sf_dir: str, path: str) -> str:
 
 # --- JSONL corpus ingest (the per-language document-file layout) -------------------
 
-LAYOUT_RE = r"/([^/]+)/([^/]+)/doc\.([^/.]+)\.jsonl$"
+#: ``<root>/<subset>/<pair>/doc.<lang>.jsonl``, or the partition directories that ``sinks.write_corpus_jsonl`` writes.
+LAYOUT_RE = r"/(?:subset=)?([^/]+)/(?:pair=)?([^/]+)/(?:doc\.([^/.]+)\.jsonl|lang=([^/]+))$"
 
 
 def jsonl_lines(spark: SparkSession, root: str) -> DataFrame:
-    """Lines of ``<root>/<subset>/<pair>/doc.<lang>.jsonl`` with keys from the path.
+    """Lines of ``<root>/<subset>/<pair>/doc.<lang>.jsonl`` with keys from the path; a file may be a directory of
+    parts, as this library's own sinks write it.
 
     Output: ``subset, pair, lang, ordinal, value`` (ordinal = 0-based line
     position in its file, blank lines included so positions never shift).
     """
     from .readers import numbered_lines
-    lines = numbered_lines(spark, f"{root.rstrip('/')}/*/*/doc.*.jsonl")
     f = F.col("_file")
+    lines = numbered_lines(spark, root, matching=LAYOUT_RE)
+    lang = F.concat(F.regexp_extract(f, LAYOUT_RE, 3), F.regexp_extract(f, LAYOUT_RE, 4))
     return lines.select(F.regexp_extract(f, LAYOUT_RE, 1).alias("subset"),
                         F.regexp_extract(f, LAYOUT_RE, 2).alias("pair"),
-                        F.regexp_extract(f, LAYOUT_RE, 3).alias("lang"),
-                        "ordinal", "value")
+                        lang.alias("lang"), "ordinal", "value")
 
 
 def zip_sides(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -13,11 +13,12 @@ spread over many range partitions. Plan:
 
 ``rank_integers`` ranks unique integer keys without storing anything: ranks
 inside buckets of neighbouring integers plus the counts of the buckets before.
+``dense_positions`` attaches such ranks to rows with texts, which are never sorted.
 
 Joins carry no hints: adaptive execution broadcasts what is small.
 
 ``line_ordinals`` numbers the lines of text files (ingest): the order is file
-order, blocks of one file are ordered by their start offset.
+order, parts of one file by their number, blocks by their start offset.
 """
 
 from __future__ import annotations
@@ -73,42 +74,48 @@ def rank_within(df: DataFrame, group_cols: list[str], order_cols: list[str],
     return join_ranks(df, ranks, group_cols + order_cols)
 
 
-def rank_integers(df: DataFrame, group: str, key: str, out_col: str = "ordinal") -> DataFrame:
+def rank_integers(df: DataFrame, group: str | list[str], key: str, out_col: str = "ordinal") -> DataFrame:
     """``df`` with ``out_col`` = ``row_number() over (partition by group order by key) - 1``.
 
-    For unique integer keys. A bucket holds ``BUCKET`` neighbouring integers at
-    most, so no window grows with the group; the counts of all buckets before
-    are a running sum over one row per bucket. Nothing is stored or collected.
+    For unique integer keys; a repeated key raises. A bucket holds ``BUCKET``
+    neighbouring integers at most, so no window grows with the group; the
+    counts of all buckets before are a running sum over one row per bucket.
+    Nothing is stored or collected. Give it keys only and attach the ranks to
+    the texts afterwards (``join_ranks``): then no text is sorted.
     """
+    groups = [group] if isinstance(group, str) else group
     bucket = F.floor(F.col(key) / BUCKET).cast("long")
     rows = df.withColumn("_bucket", bucket)
-    inside = Window.partitionBy(group, "_bucket").orderBy(key)
-    before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.select(group, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    ranked = rows.withColumn("_inside", F.row_number().over(inside) - 1).join(counts, [group, "_bucket"])
+    inside = Window.partitionBy(*groups, "_bucket").orderBy(key)
+    before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.select(*groups, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    again = F.lag(key).over(inside) == F.col(key)
+    row = F.when(again, F.raise_error(F.concat(F.lit(f"repeated {key} "), F.col(key).cast("string"))).cast("int")).otherwise(F.row_number().over(inside))
+    ranked = rows.withColumn("_inside", row - 1).join(counts, [*groups, "_bucket"])
     return ranked.withColumn(out_col, F.col("_before") + F.col("_inside")).drop("_bucket", "_inside", "_before")
 
 
+def dense_positions(df: DataFrame, group_cols: list[str], key: str, out_col: str = "position") -> DataFrame:
+    """``df`` with ``out_col`` = the dense 0-based rank of the integer ``key`` in its group (P9). Only keys are ranked."""
+    ranks = rank_integers(df.select(*group_cols, key), group_cols, key, out_col)
+    return join_ranks(df, ranks, [*group_cols, key])
+
+
 def line_ordinals(lines: DataFrame, out_col: str = "ordinal") -> DataFrame:
     """Number lines of each file 0.. in file order (lines from ``spark.read.text``).
 
-    Expects columns ``value``, ``_file`` (file path) and ``_block`` (split start
-    offset) -- see ``readers.read_lines``. Each split is read by one task in
-    order, so ``monotonically_increasing_id`` is contiguous inside a split; the
-    per-split counts are prefix-summed per file in block order. File splits
-    are planned from the file listing alone, so both scans of the plan see the
-    same splits and the same ids; the text itself is never materialized.
+    Expects ``value``, ``_file`` (the logical file), ``_part`` (place of a
+    physical file in it) and ``_block`` (split start offset) -- see
+    ``readers.read_lines``. Each split is read by one task in order, so
+    ``monotonically_increasing_id`` is contiguous inside a split. The text is
+    read once: tagged lines are stored, the line counts of the splits come from
+    the key columns of that table, and their running sums per file (one row per
+    split) are joined back.
     """
-    tagged = lines.withColumn("_seq", F.monotonically_increasing_id())
-    stats = tagged.groupBy("_file", "_block").agg(
-        F.min("_seq").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    stats = stats.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    stats = stats.select("_file", "_block", "_first", "_offset", "_n")
-    # Ids of a split are contiguous and both scans give it the same ones; a line outside its split's
-    # range would mean that the two scans saw different splits.
-    within = F.col("_seq") - F.col("_first")
-    checked = F.when((within >= 0) & (within < F.col("_n")), F.col("_offset") + within).otherwise(
-        F.raise_error(F.concat(F.lit("line numbering: scans disagree on "), F.col("_file"))).cast("long"))
-    return tagged.join(stats, ["_file", "_block"]).withColumn(out_col, checked).drop("_seq", "_first", "_offset", "_n")
+    block = ["_file", "_part", "_block"]
+    tagged = materialize(lines.withColumn("_seq", F.monotonically_increasing_id()))
+    stats = tagged.groupBy(*block).agg(F.min("_seq").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_file").orderBy("_part", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    stats = stats.select(*block, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    return tagged.join(stats, block).withColumn(out_col, F.col("_offset") + F.col("_seq") - F.col("_first")).drop("_seq", "_first", "_offset")

@@ -13,6 +13,9 @@ lenient ones. Each parser takes the raw line column (``value`` from
   (default ``""``) / the string; else the raw line; then strip.
 * S6 paired ``{"text": ...}``: a pair is dropped when either side fails, and
   reported with its 1-based line number.
+
+Readers of files store what they read once: the numbered lines, and the
+parsed rows in two partitions, taken and rejected.
 """
 
 from __future__ import annotations
@@ -21,27 +24,41 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import drop_lone_surrogate_escapes, is_blank, scrub, strip_ws
+from ..session import stored_path
 from .ordinals import line_ordinals
 
 
-def read_lines(spark: SparkSession, path: str, make_valid: bool = False) -> DataFrame:
-    """Lines of text files with the file path and split offset (for ordinals).
+#: A part file of a directory that Spark wrote; the directory is the logical file, the number the part's place.
+PART_RE = r"/part-(\d+)[^/]*$"
+
+
+def read_lines(spark: SparkSession, path: str, make_valid: bool = False, matching: str | None = None) -> DataFrame:
+    """Lines of text files with the logical file, the place of the part in it and the split offset (for ordinals).
 
+    A directory of ``part-*`` files, as Spark's writers leave it, is one
+    logical file; its parts follow each other by number. With ``matching`` all
+    files below ``path`` are read whose logical file matches that pattern.
     ``make_valid`` applies F13 (undecodable bytes -> U+FFFD).
     """
-    df = spark.read.text(path).select(
+    reader = spark.read.option("recursiveFileLookup", True) if matching else spark.read
+    at = F.col("_metadata.file_path")
+    df = reader.text(path).select(
         "value",
-        F.col("_metadata.file_path").alias("_file"),
+        F.regexp_replace(at, PART_RE, "").alias("_file"),
+        F.concat(F.lpad(F.regexp_extract(at, PART_RE, 1), 10, "0"), F.element_at(F.split(at, "/"), -1)).alias("_part"),
         F.col("_metadata.file_block_start").alias("_block"),
     )
+    if matching:
+        df = df.where(F.col("_file").rlike(matching))
     if make_valid:
         df = df.withColumn("value", scrub("value"))
     return df
 
 
-def numbered_lines(spark: SparkSession, path: str, make_valid: bool = False) -> DataFrame:
-    """``_file, ordinal, value``: every raw line with its 0-based position in its file."""
-    return line_ordinals(read_lines(spark, path, make_valid)).select("_file", "ordinal", "value")
+def numbered_lines(spark: SparkSession, path: str, make_valid: bool = False, matching: str | None = None) -> DataFrame:
+    """``_file, ordinal, value``: every raw line with its 0-based position in its (logical) file. The text is read
+    once, and stored for the numbering."""
+    return line_ordinals(read_lines(spark, path, make_valid, matching)).select("_file", "ordinal", "value")
 
 
 def whole_json(line: Column) -> Column:
@@ -114,19 +131,28 @@ def drop_blank(df: DataFrame, col: str = "value") -> DataFrame:
     return df.where(~is_blank(col))
 
 
-def _split(spark: SparkSession, path: str, parse, name: str, strict: bool, what: str) -> tuple[DataFrame, DataFrame]:
+def quarantined(parsed: DataFrame, error: Column) -> tuple[DataFrame, DataFrame]:
+    """(good rows, rejected rows) of a parsed frame, both with ``error``: one write, partitioned by whether a row
+    was taken, so that nothing is read or parsed twice."""
+    path = stored_path(parsed.sparkSession, "quarantine")
+    marked = parsed.withColumn("error", error).withColumn("taken", F.col("error").isNull())
+    marked.write.partitionBy("taken").parquet(path)
+    back = parsed.sparkSession.read.schema(marked.schema).parquet(path)
+    return back.where(F.col("taken")).drop("taken"), back.where(~F.col("taken")).drop("taken")
+
+
+def _split(spark: SparkSession, path: str, parse, name: str, strict: bool, what: str, matching: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Good rows ``_file, ordinal, <name>`` and rejects ``_file, ordinal, value, error`` of a reader."""
-    parsed = drop_blank(numbered_lines(spark, path)).withColumn("_p", parse(F.col("value")))
-    if strict:
-        parsed = parsed.withColumn(
-            "_p", F.when(F.col("_p.error").isNull(), F.col("_p"))
-                   .otherwise(F.raise_error(F.concat(F.lit(f"bad {what} line "), F.col("_file"), F.lit(":"),
-                                                     (F.col("ordinal") + 1).cast("string"), F.lit(": "),
-                                                     F.col("_p.error")))))
-    good = parsed.where(F.col("_p.error").isNull()).select("_file", "ordinal", F.col("_p.text").alias(name))
-    bad = parsed.where(F.col("_p.error").isNotNull()).select("_file", "ordinal", "value",
-                                                            F.col("_p.error").alias("error"))
-    return good, bad
+    parsed = drop_blank(numbered_lines(spark, path, matching=matching)).withColumn("_p", parse(F.col("value")))
+    error = F.col("_p.error")
+    if strict:  # nothing to quarantine: the first bad line ends the job
+        stop = F.raise_error(F.concat(F.lit(f"bad {what} line "), F.col("_file"), F.lit(":"),
+                                      (F.col("ordinal") + 1).cast("string"), F.lit(": "), error))
+        text = F.when(error.isNull(), F.col("_p.text")).otherwise(stop.cast("string"))
+        return parsed.select("_file", "ordinal", text.alias(name)), parsed.where(F.lit(False)).select("_file", "ordinal", "value", error.alias("error"))
+    row = parsed.select("_file", "ordinal", F.when(error.isNotNull(), F.col("value")).alias("value"), F.col("_p.text").alias(name), error.alias("_error"))
+    good, bad = quarantined(row, F.col("_error"))
+    return good.select("_file", "ordinal", name), bad.select("_file", "ordinal", "value", "error")
 
 
 def read_documents(spark: SparkSession, path: str, strict: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -142,9 +168,19 @@ def read_prompts(spark: SparkSession, path: str, strict: bool = False) -> tuple[
     return _split(spark, path, parse_prompt, "prompt", strict, "prompt")
 
 
-def read_scored(spark: SparkSession, path: str, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """S5 over files: (``_file, ordinal, text``, rejects); ``strict`` raises on a bad line."""
-    return _split(spark, path, parse_score, "text", strict, "scored")
+def read_scored(spark: SparkSession, path: str, strict: bool = False, matching: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """S5 over files: (``_file, ordinal, text``, rejects); ``strict`` raises on a bad line. ``matching``: all logical
+    files below ``path`` that match this pattern."""
+    return _split(spark, path, parse_score, "text", strict, "scored", matching)
+
+
+def _both_sides(src: DataFrame, tgt: DataFrame, keys: list[str]) -> tuple[DataFrame, Column]:
+    """Keyed lines that meet on ``keys``, parsed to ``src, tgt``, and why a pair is rejected (null: it is not).
+    Lone surrogate escapes are dropped before parsing (F13)."""
+    s = src.select(*keys, parse_text_object(drop_lone_surrogate_escapes("value")).alias("src"))
+    t = tgt.select(*keys, parse_text_object(drop_lone_surrogate_escapes("value")).alias("tgt"))
+    reason = F.when(F.col("src").isNull(), F.lit("source not a {text} object")).when(F.col("tgt").isNull(), F.lit("target not a {text} object"))
+    return s.join(t, keys), reason
 
 
 def zip_text_objects(src: DataFrame, tgt: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -152,28 +188,40 @@ def zip_text_objects(src: DataFrame, tgt: DataFrame, keys: list[str]) -> tuple[D
 
     Lines meet on ``keys`` (truncating: a key on one side only is not a pair);
     a key where either side fails to parse is rejected, as the reference skips
-    the whole pair. Lone surrogate escapes are dropped before parsing (F13).
-    Returns ``(pairs: keys + src, tgt; rejects: keys + reason)``.
+    the whole pair. Returns ``(pairs: keys + src, tgt; rejects: keys + reason)``,
+    both computed when read; ``read_text_pairs`` stores them in one pass.
     """
-    s = src.select(*keys, parse_text_object(drop_lone_surrogate_escapes("value")).alias("src"))
-    t = tgt.select(*keys, parse_text_object(drop_lone_surrogate_escapes("value")).alias("tgt"))
-    z = s.join(t, keys)
-    good = z.where(F.col("src").isNotNull() & F.col("tgt").isNotNull())
-    rejects = z.where(F.col("src").isNull() | F.col("tgt").isNull()).select(
-        *keys, F.when(F.col("src").isNull(), F.lit("source not a {text} object"))
-                .otherwise(F.lit("target not a {text} object")).alias("reason"))
-    return good, rejects
+    z, reason = _both_sides(src, tgt, keys)
+    return z.where(reason.isNull()), z.where(reason.isNotNull()).select(*keys, reason.alias("reason"))
 
 
 def read_text_pairs(spark: SparkSession, src_path: str, tgt_path: str,
                     src_lang: str, tgt_lang: str) -> tuple[DataFrame, DataFrame]:
-    """S6 + J2 + F13 over two ``{"text"}`` files: ``(pairs, rejects)``.
+    """S6 + J2 + F13 over two ``{"text"}`` files: ``(pairs, rejects)``, parsed and stored in one pass.
 
     pairs: ``ordinal, src, tgt, src_lang, tgt_lang``; rejects: ``line`` (1-based), ``reason``.
     Undecodable bytes become U+FFFD on read.
     """
     s = numbered_lines(spark, src_path, make_valid=True).select("ordinal", "value")
     t = numbered_lines(spark, tgt_path, make_valid=True).select("ordinal", "value")
-    good, rejects = zip_text_objects(s, t, ["ordinal"])
+    good, bad = quarantined(*_both_sides(s, t, ["ordinal"]))
     return (good.select("ordinal", "src", "tgt", F.lit(src_lang).alias("src_lang"), F.lit(tgt_lang).alias("tgt_lang")),
-            rejects.select((F.col("ordinal") + 1).alias("line"), "reason"))
+            bad.select((F.col("ordinal") + 1).alias("line"), F.col("error").alias("reason")))
+
+
+#: ``<root>/<pair>/doc.<lang>[.cleaned].jsonl``, or partition directories of parts.
+PAIR_FILES_RE = r"/(?:pair=)?([^/]+)/(?:doc\.([^/.]+)(?:\.cleaned)?\.jsonl|lang=([^/]+))$"
+
+
+def read_text_pair_tree(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """S6 over the training files of all pairs at once: ``(pairs, rejects)``, parsed and stored in one pass.
+
+    pairs: ``pair, ordinal, src, tgt``; rejects: ``pair, line`` (1-based, in both files of the pair), ``reason``.
+    """
+    f = F.col("_file")
+    lines = numbered_lines(spark, root, make_valid=True, matching=PAIR_FILES_RE)
+    lines = lines.select(F.regexp_extract(f, PAIR_FILES_RE, 1).alias("pair"), "ordinal", "value",
+                         F.concat(F.regexp_extract(f, PAIR_FILES_RE, 2), F.regexp_extract(f, PAIR_FILES_RE, 3)).alias("lang"))
+    side = lambda k: lines.where(F.col("lang") == F.split_part("pair", F.lit("_"), F.lit(k))).select("pair", "ordinal", "value")
+    good, bad = quarantined(*_both_sides(side(1), side(2), ["pair", "ordinal"]))
+    return good.select("pair", "ordinal", "src", "tgt"), bad.select("pair", (F.col("ordinal") + 1).alias("line"), F.col("error").alias("reason"))
