@@ -138,7 +138,7 @@ def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def _digits(points: np.ndarray, gap: np.ndarray, segment: np.ndarray, room: int) -> tuple[np.ndarray, int] | None:
     """Every character as a digit 1..2**bits - 1 (0 in the gaps), and ``bits``; from one alphabet for all segments if
     ``room`` bits hold ``CHAR_ORDER`` such digits, else from one per segment; None if those do not fit either."""
-    present = np.zeros(0x110000, bool)
+    present = np.zeros(int(points.max()) + 1, bool)
     present[points[~gap]] = True
     code = np.cumsum(present, dtype=np.int64)
     bits = int(code[-1]).bit_length()
@@ -163,8 +163,8 @@ def batch_stats(hyps: list[str], refs: list[str], order: int = CHAR_ORDER) -> np
     """
     n = len(hyps)
     out = np.zeros((n, order, 3), np.int64)
-    if not n:
-        return out.reshape(0, 3 * order)
+    if n < 2:  # nothing to share a sort with
+        return np.array([segment_stats(h, r, order) for h, r in zip(hyps, refs, strict=True)], np.int64).reshape(n, 3 * order)
     points, sizes = _points([x for pair in zip(hyps, refs, strict=True) for x in pair])
     text = np.repeat(np.arange(2 * n), sizes + 1)
     gap = np.zeros(len(points), bool)

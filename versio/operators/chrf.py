@@ -26,8 +26,9 @@ from .directions import pair_langs
 STATS = stat_names()
 
 
-#: Characters of both sides that one segmented sort takes (a longer segment is a sort of its own).
-SORT_CHARS = 1 << 21
+#: Characters of both sides that one segmented sort takes, so that its keys stay in a core's cache (a longer
+#: segment is a sort of its own).
+SORT_CHARS = 1 << 14
 
 
 def segment_statistics(df: DataFrame, hyp_col: str, ref_col: str, key_cols: list[str]) -> DataFrame:
