@@ -70,6 +70,26 @@ def test_allocation_is_the_cheapest():
         assert abs(got - want) < 1e-9 and sum(ts) == total
 
 
+def test_close_fingerprints_do_not_make_the_search_send_more_rows(spark):
+    """One large group of near copies: its candidates are links that cost little, so the plan stays that of a table
+    without it, a row a partition."""
+    r = random.Random(4)
+    center = r.getrandbits(64)
+    close = {center ^ sum(1 << b for b in r.sample(range(64), r.randrange(0, 4))) for _ in range(6000)}
+    for fps in (close | {r.getrandbits(64) for _ in range(6000)}, {r.getrandbits(64) for _ in range(12000)}):
+        df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in sorted(fps)], "fp long")
+        assert [t for _, t in sh.plan(df, 3)] == [0, 0, 0, 0]
+
+
+def test_halves_of_the_flips_meet(spark):
+    bits, r = list(range(10, 30)), random.Random(2)
+    for t in range(6):
+        a = r.getrandbits(64)
+        b = a ^ sum(1 << x for x in r.sample(bits, t))
+        rows = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in (a, b)], "fp long").select(sh.near(bits, t).alias("v")).collect()
+        assert set(rows[0]["v"]) & set(rows[1]["v"])
+
+
 def test_correlated_bits_share_a_partition():
     bits = np.random.default_rng(1).integers(0, 2, (500, 64))
     bits[:, 40:56] = bits[:, 40:41]

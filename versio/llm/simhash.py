@@ -8,8 +8,10 @@ component.
 Search: the 64 bits are cut into m partitions, and partition i gets a threshold t_i, with
 sum(t_i) = DISTANCE - m + 1. Two linked fingerprints then differ in at most t_i bits of some partition
 i (t_i = -1: the partition is not searched). Correlated bits share a partition, so that the others
-tell fingerprints apart; a dynamic programme gives each partition the threshold that makes the fewest
-candidates, for each m, and the cheapest m is taken. The counts behind that cover all fingerprints.
+tell fingerprints apart; a dynamic programme gives each partition the threshold that costs least, in rows
+to shuffle and candidates to compare, for each m, and the cheapest m is taken. The counts behind that cover
+all fingerprints. Both sides of a pair flip half of t_i bits, rounded up: within t_i they meet at a value
+between them, so a row is sent for each value near by, not for all within t_i.
 
 Equal fingerprints are one row from the start. A bucket (partition, value) of more than ``BLOCK``
 fingerprints is cut into blocks, and each pair of blocks is a group of its own, so no task gets a
@@ -34,6 +36,9 @@ from versio.llm.common import bytes_of, stored
 
 SHINGLE, DISTANCE, SEED = 3, 3, 42
 BLOCK = 4096
+#: What comparing two fingerprints of a bucket costs against sending and sorting a row: nanoseconds in numpy
+#: against microseconds.
+PAIR = 1 / 500
 #: Hashes whose bits are counted at once.
 AT_ONCE = 1 << 17
 
@@ -114,13 +119,17 @@ def projected(bits: list[int]) -> Column:
 
 
 def near(bits: list[int], t: int) -> Column:
-    """All values within ``t`` flips of ``fp``'s projection on the bits."""
-    flips = [sum(1 << b for b in c) for k in range(t + 1) for c in combinations(bits, k)]
+    """The values where ``fp`` meets all fingerprints within ``t`` flips on the bits: those within half as many."""
+    flips = [sum(1 << b for b in c) for k in range(half(t) + 1) for c in combinations(bits, k)]
     flips = [x - (1 << 64) if x >> 63 else x for x in flips]
     value = projected(bits)
     return F.transform(F.lit(flips).cast("array<bigint>"), lambda x: value.bitwiseXOR(x))
 
 
+def half(t: int) -> int:
+    return (t + 1) // 2
+
+
 def allocate(cost: list[list[float]], total: int) -> tuple[float, list[int]]:
     """Thresholds, -1 or more for each partition, with the given sum and the least cost;
     cost[i][t + 1] is that of partition i at threshold t."""
@@ -136,10 +145,10 @@ def allocate(cost: list[list[float]], total: int) -> tuple[float, list[int]]:
 
 
 def plan(fps: DataFrame, distance: int) -> list[tuple[list[int], int]]:
-    """(bits, threshold) of the partitions to search, by the estimated number of candidates.
+    """(bits, threshold) of the partitions to search, by the estimated cost of rows and candidates.
 
     At threshold 0 a partition's candidates are counted exactly, over all fingerprints; at t they are
-    taken to grow as the chance that two fingerprints differ in at most t of its bits does.
+    taken to grow as the chance that two fingerprints meet, their flips taken together, does.
     """
     n, both = bit_counts(fps)
     cuts = {m: partitions(n, both, m) for m in range(2, distance + 2)} if distance else {1: [list(range(64))]}
@@ -154,10 +163,10 @@ def plan(fps: DataFrame, distance: int) -> list[tuple[list[int], int]]:
         for b in bits:
             q = 2 * p[b] * (1 - p[b])
             differ = np.convolve(differ, [1 - q, q])
-        row, probes = [0.0], 0
+        row = [0.0]
         for t in range(distance + 1):
-            probes += math.comb(len(bits), t)
-            row.append(n * probes + pairs.get(k, 0) * differ[: t + 1].sum() / max(differ[0], 1e-12))
+            rows = n * sum(math.comb(len(bits), j) for j in range(half(t) + 1))
+            row.append(rows + PAIR * pairs.get(k, 0) * differ[: 2 * half(t) + 1].sum() / max(differ[0], 1e-12))
         costs.setdefault(m, []).append(row)
     _, m, ts = min((*allocate(c, distance - m + 1)[:1], m, allocate(c, distance - m + 1)[1]) for m, c in costs.items())
     return [(bits, t) for bits, t in zip(cuts[m], ts, strict=True) if t >= 0]
