@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -67,6 +68,26 @@ def test_weak_supervision_adds_what_the_labelers_support(spark):
     assert all(out[1000 + i]["spans"] == "" for i in range(200))
 
 
+def test_a_text_of_many_matches_takes_time_in_proportion(spark):
+    r = random.Random(6)
+    ip = lambda: ".".join(str(r.randrange(300)) for _ in range(4))
+    text = "\n".join(ip() if i % 50 else f"client x{i}@y.org {r.choice(('030 5512 100', 'mail a at b', '+49 30 123456 78'))}" for i in range(20_000))
+    t0 = time.time()
+    out = pii.personal_data(spark.createDataFrame([(1, text), (2, "x " + ip())], "doc_id long, text string"), rounds=2).where("doc_id = 1").first()
+    assert time.time() - t0 < 240 and out["base"] == base_pii(text) and out["n_email"] == 400
+
+
+def test_free_spans_overlap_no_base_span(spark):
+    r = random.Random(9)
+    span = lambda s: (s, s + r.randrange(1, 9), "m", "b", "a")
+    rows = []
+    for i in range(60):
+        rows.append((i, [span(r.randrange(0, 400)) for _ in range(r.randrange(0, 40))], [span(r.randrange(0, 400)) for _ in range(r.randrange(0, 9))], [span(r.randrange(0, 400)) for _ in range(r.randrange(0, 700) if i % 10 == 0 else r.randrange(0, 9))]))
+    df = spark.createDataFrame(rows, f"i int, x array<{pii.SPAN}>, a array<{pii.SPAN}>, b array<{pii.SPAN}>")
+    for row, (_, x, a, b) in zip(pii.free(df, ["x"], ["a", "b"]).orderBy("i").collect(), rows):
+        assert [(s["s"], s["e"]) for s in row["x"]] == sorted((s, e) for s, e, *_ in x if not any(s < f and d < e for d, f, *_ in a + b))
+
+
 def test_personal_data_plan_has_no_python(spark):
     df = spark.createDataFrame([(1, "a@b.c 1.2.3.4")], "doc_id long, text string")
     plan = pii.digest(pii.personal_data(df))._jdf.queryExecution().toString()

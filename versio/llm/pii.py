@@ -14,7 +14,8 @@ labels; the posteriors then train the final span classifier, naive Bayes over vo
 Base spans always stay; a looser candidate is added where the classifier gives it ``ACCEPT`` or more.
 
 Positions are code points. ``regexp_extract_all`` gives the matches and ``split`` the text between
-them, so their lengths add up to positions. The patterns are the plain ones in a form that Java
+them, so their lengths add up to positions, and the pieces give each match its context; a long text with
+many matches costs in proportion to both. The patterns are the plain ones in a form that Java
 matches in linear time: a possessive quantifier where giving back cannot help, and a start at a run's
 begin or at the last match's end, as every other start in the run ends the same.
 """
@@ -22,6 +23,7 @@ begin or at the last match's end, as every other start in the run ends the same.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,19 +53,56 @@ VOTES, FORMS = ("regex", "gazetteer", "context", "form"), ("parts", "long")
 ROUNDS, ACCEPT = 12, 0.9
 
 
-def located(text: Column, pattern: str, where: Column) -> Column:
-    """All matches, leftmost and non-overlapping, as an array of (s, e, m); text is not null."""
-    none = F.expr("cast(array() as array<struct<s:int,e:int,m:string>>)")
-    matches, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    both = F.arrays_zip(F.slice(between, 1, F.greatest(F.size(between) - 1, F.lit(0))).alias("p"), matches.alias("m"))
+#: Items that a fold appends to one array before it starts the next: appending copies the array.
+RUN = 256
+SPAN = "struct<s:int,e:int,m:string,before:string,after:string>"
 
-    def add(seen: Column, x: Column) -> Column:
-        s = seen["at"] + F.char_length(x["p"])
+
+def scanned(items: str, state: Column, step: Callable[[Column, Column], tuple[Column, Column]], out: str) -> Column:
+    """What ``step(state, item) -> (state, output)`` gives for each item of an array column, in order; ``out`` is the
+    outputs' type. Arrays grow in runs of ``RUN``, so a text with many matches costs little more than in proportion."""
+    none = F.expr(f"cast(array() as array<{out}>)")
+
+    def one(seen: Column, x: Column) -> Column:
+        after, made = step(seen["state"], x)
+        return F.struct(after.alias("state"), F.concat(seen["out"], F.array(made)).alias("out"))
+
+    def run(seen: Column, part: Column) -> Column:
+        start = F.struct(seen["state"].alias("state"), none.alias("out"))
+        return F.aggregate(part, start, one, lambda x: F.struct(x["state"].alias("state"), F.concat(seen["out"], x["out"]).alias("out")))
+
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / RUN).cast("int")), lambda i: F.slice(items, i * RUN + 1, F.lit(RUN)))
+    return F.when(F.size(items) > 0, F.aggregate(runs, F.struct(state.alias("state"), none.alias("out")), run, lambda x: x["out"])).otherwise(none)
+
+
+def located(docs: DataFrame, found: dict[str, tuple[str, Column]]) -> DataFrame:
+    """``docs`` with an array of ``SPAN`` for each name: all matches of its pattern in the text (not null), leftmost and
+    non-overlapping, with the ``BEFORE`` characters before and the one after; none where the condition is false.
+
+    Positions and contexts come from the pieces between the matches, so the text is gone through once a pattern.
+    """
+    t, none = F.col("text"), F.expr("cast(array() as array<string>)")
+    names = list(found)
+    docs = docs.withColumns({f"_{x}_{k}": F.when(where, c).otherwise(none) for k, (pattern, where) in found.items()
+                             for x, c in (("m", F.regexp_extract_all(t, F.lit(pattern), F.lit(0))), ("b", F.split(t, pattern, -1)))})
+
+    def pieces(k: str) -> Column:
+        m, b, n = f"_m_{k}", f"_b_{k}", F.size(f"_m_{k}")
+        return F.arrays_zip(F.slice(b, F.lit(1), n).alias("p"), F.col(m).alias("m"), F.slice(b, F.lit(2), n).alias("q"), F.slice(m, F.lit(2), n).alias("r"))
+
+    docs = docs.withColumns({f"_z_{k}": pieces(k) for k in names})
+
+    def step(state: Column, x: Column) -> tuple[Column, Column]:
+        s = state["at"] + F.char_length(x["p"])
         e = s + F.char_length(x["m"])
-        return F.struct(e.alias("at"), F.concat(seen["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))).alias("out"))
+        after = F.when(x["q"] != "", F.left(x["q"], F.lit(1))).otherwise(F.coalesce(F.left(x["r"], F.lit(1)), F.lit("")))
+        before = F.right(F.concat(state["tail"], x["p"]), F.lit(BEFORE))
+        made = F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"), before.alias("before"), after.alias("after"))
+        return F.struct(e.alias("at"), F.right(F.concat(state["tail"], x["p"], x["m"]), F.lit(BEFORE)).alias("tail")), made
 
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    return F.when(where, F.aggregate(both, start, add, lambda x: x["out"])).otherwise(none)
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"))
+    docs = docs.withColumns({k: scanned(f"_z_{k}", start, step, SPAN) for k in names})
+    return docs.drop(*[f"_{x}_{k}" for k in names for x in "mbz"])
 
 
 def digits(m: Column) -> Column:
@@ -98,36 +137,51 @@ def is_phone(m: Column) -> Column:
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """(doc, text) with one array of (s, e, m) for each kind of base span."""
+    """(doc, text) with one array of spans for each kind of base span."""
     t = F.col("text")
     number = t.rlike(r"[0-9][\x20-]?[0-9]")
-    found = docs.select(
-        "doc", "text", located(t, EMAIL, F.contains(t, F.lit("@"))).alias("email"), located(t, IP, t.rlike(r"[0-9]\.[0-9]")).alias("ip"),
-        located(t, CARD, number).alias("card"), located(t, PHONE, t.rlike(r"\+[0-9]")).alias("phone"),
-    )
+    found = located(docs.select("doc", "text"), {
+        "email": (EMAIL, F.contains(t, F.lit("@"))), "ip": (IP, t.rlike(r"[0-9]\.[0-9]")), "card": (CARD, number), "phone": (PHONE, t.rlike(r"\+[0-9]"))})
     return found.select(
         "doc", "text", "email", F.filter("ip", lambda x: is_ip(x["m"])).alias("ip"),
         F.filter("card", lambda x: is_card(x["m"])).alias("card"), F.filter("phone", lambda x: is_phone(x["m"])).alias("phone"),
     )
 
 
+def free(docs: DataFrame, names: list[str], taken: list[str]) -> DataFrame:
+    """``docs`` whose arrays ``names`` keep the spans that overlap none of the arrays ``taken``: all are sorted together
+    by start, and each span is held against the furthest end before it and the next start after it."""
+    tagged = "struct<s:int,t:int,e:int,m:string,before:string,after:string>"
+
+    def tag(k: str, t: int) -> Column:
+        return F.transform(k, lambda x: F.struct(x["s"].alias("s"), F.lit(t).alias("t"), x["e"].alias("e"), x["m"].alias("m"), x["before"].alias("before"), x["after"].alias("after")))
+
+    def ahead(reach: Column, x: Column) -> tuple[Column, Column]:
+        good = (x["t"] == 1) & (reach <= x["s"])
+        return F.when(x["t"] == 0, F.greatest(reach, x["e"])).otherwise(reach), x.withField("t", F.when(x["t"] == 0, 0).when(good, 1).otherwise(2))
+
+    def back(start: Column, x: Column) -> tuple[Column, Column]:
+        good = (x["t"] == 1) & (start >= x["e"])
+        return F.when(x["t"] == 0, x["s"]).otherwise(start), x.withField("t", F.when(good, 1).otherwise(0))
+
+    docs = docs.withColumns({f"_all_{k}": F.array_sort(F.concat(*[tag(x, 0) for x in taken], tag(k, 1))) for k in names})
+    docs = docs.withColumns({f"_all_{k}": F.reverse(scanned(f"_all_{k}", F.lit(0), ahead, tagged)) for k in names})
+    docs = docs.withColumns({f"_all_{k}": scanned(f"_all_{k}", F.lit(2**31 - 1), back, tagged) for k in names})
+    left = {k: F.transform(F.reverse(F.filter(f"_all_{k}", lambda x: x["t"] == 1)), lambda x: F.struct(*[x[c].alias(c) for c in ("s", "e", "m", "before", "after")])) for k in names}
+    return docs.withColumns(left).drop(*[f"_all_{k}" for k in names])
+
+
 def candidates(base: DataFrame) -> DataFrame:
     """Adds ``found``: all candidates with their votes and forms, base spans first."""
     t = F.col("text")
-    loose_email = located(t, LOOSE_EMAIL, t.rlike(r"@|\([Aa][Tt]\)|\[[Aa][Tt]\]"))
-    loose_phone = F.filter(located(t, LOOSE_PHONE, t.rlike(r"[0-9]\)?[\x20./-]\(?[0-9]")), lambda x: is_phone(x["m"]))
-    taken = F.concat(*KINDS)
-    rows = base.withColumns({"_email": loose_email, "_phone": loose_phone, "_taken": taken})
-
-    def free(spans: str) -> Column:
-        return F.filter(spans, lambda x: ~F.exists("_taken", lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"])))
+    rows = located(base, {"_email": (LOOSE_EMAIL, t.rlike(r"@|\([Aa][Tt]\)|\[[Aa][Tt]\]")), "_phone": (LOOSE_PHONE, t.rlike(r"[0-9]\)?[\x20./-]\(?[0-9]"))})
+    rows = rows.withColumn("_phone", F.filter("_phone", lambda x: is_phone(x["m"])))
+    rows = free(rows, ["_email", "_phone"], list(KINDS))
 
     def voted(spans: Column, kind: str, strict: int) -> Column:
         def vote(x: Column) -> Column:
             m, d = x["m"], digits(x["m"])
-            before = F.lower(F.substring(t, F.greatest(x["s"] - BEFORE + 1, F.lit(1)), F.least(x["s"], F.lit(BEFORE))))
-            next_ = F.substring(t, x["e"] + 1, F.lit(1))
-            last = F.substring(t, F.greatest(x["s"], F.lit(1)), F.when(x["s"] > 0, 1).otherwise(0))
+            before, next_, last = F.lower(x["before"]), x["after"], F.right(x["before"], F.lit(1))
             gazetteer = {
                 "email": F.lower(F.substring_index(m, ".", -1)).isin(*DOMAINS),
                 "ip": ~m.rlike(r"^(?:0|255|22[4-9]|23[0-9])\."),
@@ -143,7 +197,7 @@ def candidates(base: DataFrame) -> DataFrame:
 
         return F.transform(spans, vote)
 
-    every = [voted(F.col(k), k, 1) for k in KINDS] + [voted(free("_email"), "email", 0), voted(free("_phone"), "phone", 0)]
+    every = [voted(F.col(k), k, 1) for k in KINDS] + [voted(F.col("_email"), "email", 0), voted(F.col("_phone"), "phone", 0)]
     return rows.select("doc", *KINDS, F.concat(*every).alias("found"))
 
 
@@ -185,7 +239,9 @@ def _pair(x: float | tuple[float, float]) -> tuple[float, float]:
 def fit(found: DataFrame, rounds: int = ROUNDS) -> dict:
     """EM over the vote patterns, then the span classifier; both see every candidate."""
     keys = ("kind", *VOTES, *FORMS)
-    patterns = stored(found.select(F.explode("found").alias("x")).select("x.*").groupBy(*keys).agg(F.count("*").cast("double").alias("n")).coalesce(1), "pii-patterns")
+    # explode() would first ask for the array's size, and that question be pushed down with all that makes the array.
+    rows = found.select(F.explode_outer("found").alias("x")).select("x.*").where(F.col("kind").isNotNull())
+    patterns = stored(rows.groupBy(*keys).agg(F.count("*").cast("double").alias("n")).coalesce(1), "pii-patterns")
     belief: dict = {k: 0.5 for k in range(len(KINDS))}
     belief |= {(k, c): {"regex": (0.9, 0.1), "gazetteer": (0.8, 0.3), "context": (0.8, 0.2), "form": (0.9, 0.4)}[c] for k in range(len(KINDS)) for c in VOTES}
     weights = belief
