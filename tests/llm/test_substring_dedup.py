@@ -39,13 +39,29 @@ def test_matches_brute_force(spark):
     assert sorted((tuple(r) for r in sd.digest(sd.dedup_substrings(df)).collect()), key=repr) == brute(rows, 100)
 
 
-def test_hot_groups_take_the_spread_way(spark, monkeypatch):
-    monkeypatch.setattr(sd, "HOT", 2)
+def test_stretches_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(sd, "PIECE", 7)
     rows = sample()[:40]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((tuple(r) for r in sd.digest(sd.dedup_substrings(df)).collect()), key=repr) == brute(rows, 100)
 
 
+def test_doubling_names_equal_windows_equally(spark):
+    r = random.Random(5)
+    for length in (7, 10, 16):
+        texts = [bytes(r.choice(b"ab") for _ in range(r.randrange(0, 60))) for _ in range(30)]
+        df = spark.createDataFrame(list(enumerate(texts)), "number long, bytes binary")
+        got, seen = {}, {}
+        for x in sd.doubled(df, length).collect():
+            got.setdefault((x["x"], x["y"]), []).append((x["number"], x["at"]))
+        for k, t in enumerate(texts):
+            for i in range(len(t) - length + 1):
+                seen.setdefault(t[i : i + length], []).append((k, i))
+        named = sorted(sorted(x) for x in got.values())
+        assert all(len({texts[k][i : i + length] for k, i in x}) == 1 for x in named)
+        assert [x for x in named if len(x) > 1] == sorted(x for x in seen.values() if len(x) > 1)
+
+
 def test_long_text_in_segments(spark):
     r = random.Random(9)
     word = "".join(r.choice("abcdefgh ") for _ in range(400))

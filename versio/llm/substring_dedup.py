@@ -1,22 +1,23 @@
-"""Removal of repeated byte strings by winnowing and joins on hash names.
+"""Removal of repeated byte strings by prefix doubling over the positions that a sampled gram step leaves.
 
-Every byte covered by a string of ``LENGTH`` bytes that also starts earlier goes. The query is named for a
-suffix array, but none is built and there are no prefix-doubling rounds (ranks by 2h bytes from pairs of
-ranks at distance h, until unique): over all positions, each would shuffle every byte's position. Names,
-64-bit hashes taken from the bytes themselves, stand in for ranks, on a sample of positions that loses
-nothing; Spark groups and joins them by shuffles:
+Every byte covered by a string of ``LENGTH`` bytes that also starts earlier goes. Doubling over all
+positions would shuffle a row for each byte of the corpus in each round, so positions that are settled
+without it go first; the rest are ranked by doubling, exactly:
 
 1. ``GRAM`` bytes. Each window of ``LENGTH`` bytes has an anchor, the leftmost of its GRAM-byte strings with
-   the least name (about one byte in 30 is an anchor). Equal windows have equal anchors at equal places,
-   so a window whose anchor's name is unique is unique: most positions end here.
+   the least name, a 64-bit hash (about one byte in 30 is an anchor). Equal windows have equal anchors
+   at equal places, so a window whose anchor's name is unique is unique: most positions end here.
 2. An anchor and all that its windows cover, about twice ``LENGTH``. Pairs (gram, cover) that occurred
    before make all windows of the anchor repeats. The first anchor of a cover repeats at most in part.
-3. ``LENGTH`` bytes. Only where a gram has several covers, the single windows of each cover's first
-   anchor are compared, by the pair of names of their halves. A pair that occurred before is a repeat.
-
-A class's first place is a partial minimum, so hot strings send one row a task; joins on names give
-every member its class's first place, and hot classes are split by adaptive execution. Every round is
-stored, and its shuffle files go at once.
+3. Prefix doubling. Left are the positions of first covers whose gram has several covers. Spark sorts
+   their strings of LENGTH / 4 bytes and ranks them; then it sorts the pairs (rank at p, rank at p + h) for
+   h of LENGTH / 4 and LENGTH / 2. Each round drops the positions whose key is unique: no window that
+   begins with, or needs, a unique string repeats. A position is one row a round. Windows with the same
+   last pair are equal, all but the first of a class repeat.
+
+A class's first place is a partial minimum, and only distinct keys are sorted, so hot strings send one row
+a task; joins on keys give every member its class's rank or first place, and hot classes are split by
+adaptive execution. Every round is stored, and its shuffle files go at once.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ from versio.functions.worker import resource
 from versio.llm.common import bytes_of, chunks, mix64, stored
 
 LENGTH, GRAM = 100, 36
-#: Covers of one gram that one task compares; more are spread over all tasks.
-HOT = 1000
+#: Windows of a stretch; longer runs of positions are cut into stretches that overlap by less than LENGTH.
+PIECE = 512
 #: Bytes that are named at once; places within them take the low bits of a sort key.
 SEGMENT = 1 << 20
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03))
@@ -173,96 +174,89 @@ def _repeated_at_once(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([T.StructField("doc", docs.schema["doc"].dataType), T.StructField("a", T.IntegerType()), T.StructField("z", T.IntegerType())]))
 
 
-def _contexts(docs: DataFrame) -> DataFrame:
-    """(g, hot, doc, place, begin, bytes): what the windows of the anchors listed in ``parts`` cover."""
+def _stretches(docs: DataFrame, length: int) -> DataFrame:
+    """(doc, begin, bytes): what the windows listed in ``parts`` cover, those near each other together, in
+    pieces of at most ``PIECE`` windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, at = bytes_of(batch.column("text"))
-            parts = batch.column("parts")
-            own = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(parts.offsets)))
-            flat = parts.flatten()
-            first, end = np.asarray(flat.field("first")) + at[own], np.minimum(np.asarray(flat.field("end")) + at[own], at[own + 1])
-            data = raw.tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [flat.field("g"), flat.field("hot"), batch.column("doc").take(pa.array(own)), flat.field("place"), flat.field("first"), pa.array([data[a:z] for a, z in zip(first.tolist(), end.tolist(), strict=True)], pa.binary())],
-                ["g", "hot", "doc", "place", "begin", "bytes"])
-
-    kind = docs.schema["doc"].dataType
-    return docs.mapInArrow(run, T.StructType([T.StructField("g", T.LongType()), T.StructField("hot", T.BooleanType()), T.StructField("doc", kind), *(T.StructField(c, T.IntegerType()) for c in ("place", "begin")), T.StructField("bytes", T.BinaryType())]))
-
+            data, own, begin, out = raw.tobytes(), [], [], []
+            offsets, flat = np.asarray(batch.column("parts").offsets), batch.column("parts").flatten()
+            first, last = (np.asarray(flat.field(c)) for c in ("first", "last"))
+            for k in range(batch.num_rows):
+                part = slice(offsets[k] - offsets[0], offsets[k + 1] - offsets[0])
+                # Rows that share a doc_id may hold shorter texts.
+                a, z = _union(first[part], last[part] + length)
+                for s, e in zip(a.tolist(), np.minimum(z, at[k + 1] - at[k]).tolist(), strict=True):
+                    for i in range(s, e - length + 1, PIECE):
+                        own.append(k)
+                        begin.append(i)
+                        out.append(data[at[k] + i : at[k] + min(e, i + PIECE + length - 1)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(own, pa.int64())), pa.array(begin, pa.int32()), pa.array(out, pa.binary())], ["doc", "begin", "bytes"])
 
-def _named(column: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, number in its row, names of both halves) of every window of the given bytes."""
-    raw, at = bytes_of(column)
-    many = np.maximum(np.diff(at) - length + 1, 0)
-    row = np.repeat(np.arange(len(many)), many)
-    number = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-    start, half = at[row] + number, length // 2
-    u, v = Names(raw, 0).of(start, start + half), Names(raw, 1).of(start + half, start + length)
-    return row, number, u, v
+    return docs.mapInArrow(run, T.StructType([T.StructField("doc", docs.schema["doc"].dataType), T.StructField("begin", T.IntegerType()), T.StructField("bytes", T.BinaryType())]))
 
 
-def _within(groups: DataFrame, length: int) -> DataFrame:
-    """(doc, a, z): repeated windows of rows sorted by (g, doc, place, begin), united where they adjoin. A group
-    has ``HOT`` rows at most, so its windows are sorted at once."""
+def _strings(stretches: DataFrame, size: int) -> DataFrame:
+    """(number, at, x): the string of ``size`` bytes at every position of every stretch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(rows: pa.RecordBatch) -> pa.RecordBatch:
-            doc, g = rows.column("doc"), rows.column("g").to_numpy()
-            place, begin = rows.column("place").to_numpy(), rows.column("begin").to_numpy()
-            row, number, u, v = _named(rows.column("bytes"), length)
-            order = np.lexsort((row, v, u, g[row]))
-            a, b = order[1:], order[:-1]
-            again = np.zeros(len(row), bool)
-            again[a] = (g[row[a]] == g[row[b]]) & (u[a] == u[b]) & (v[a] == v[b])
-            # A repeated input row gives the same place and begin again, which are no later ones; the two
-            # halves of an anchor that a segment's end cuts share their place only.
-            twice = np.zeros(rows.num_rows, bool)
-            if rows.num_rows > 1:
-                alike = pc.or_(pc.fill_null(pc.equal(doc.slice(1), doc.slice(0, rows.num_rows - 1)), False), pc.and_(pc.is_null(doc.slice(1)), pc.is_null(doc.slice(0, rows.num_rows - 1))))
-                twice[1:] = alike.to_numpy(zero_copy_only=False) & (place[1:] == place[:-1]) & (begin[1:] == begin[:-1]) & (g[1:] == g[:-1])
-            at = np.flatnonzero(again & ~twice[row])
-            head = np.concatenate([[True], (row[at][1:] != row[at][:-1]) | (number[at][1:] != number[at][:-1] + 1)]) if len(at) else np.zeros(0, bool)
-            first = at[head]
-            last = at[np.append(np.flatnonzero(head)[1:], len(at)) - 1] if len(at) else first
-            return pa.RecordBatch.from_arrays(
-                [doc.take(pa.array(row[first])), pa.array((begin[row[first]] + number[first]).astype(np.int32)), pa.array((begin[row[last]] + number[last] + length).astype(np.int32))], ["doc", "a", "z"])
-
-        held = None
         for batch in batches:
-            if held is not None:
-                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0] if batch.num_rows else held
-            if not batch.num_rows:
-                continue
-            g = batch.column("g").to_numpy()
-            size = np.diff(bytes_of(batch.column("bytes"))[1])
-            ends = np.append(np.flatnonzero(g[1:] != g[:-1]) + 1, len(g))  # the last group may go on
-            total, i = np.concatenate([[0], np.cumsum(size)]), 0
-            while i < ends[-2] if len(ends) > 1 else False:
-                fits = ends[:-1][(ends[:-1] > i) & (total[ends[:-1]] - total[i] <= SEGMENT)]
-                j = int(fits[-1]) if len(fits) else int(ends[np.searchsorted(ends, i, "right")])
-                yield out(batch.slice(i, j - i))
-                i = j
-            held = batch.slice(i)
-        if held is not None and held.num_rows:
-            yield out(held)
-
-    return groups.mapInArrow(run, T.StructType([T.StructField("doc", groups.schema["doc"].dataType), T.StructField("a", T.IntegerType()), T.StructField("z", T.IntegerType())]))
-
-
-def _windows(contexts: DataFrame, length: int) -> DataFrame:
-    """(u, v, doc, start): every window as a row, with the names of its halves."""
+            for rows, raw, at in chunks(batch, "bytes", SEGMENT):
+                many = np.maximum(np.diff(at) - size + 1, 0)
+                row = np.repeat(np.arange(len(many)), many)
+                place = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                x = np.lib.stride_tricks.sliding_window_view(raw, size)[at[row] + place] if len(row) else raw[:0]
+                ends = pa.py_buffer(np.arange(0, (len(row) + 1) * size, size, dtype=np.int32)[: len(row) + 1])
+                strings = pa.Array.from_buffers(pa.binary(), len(row), [None, ends, pa.py_buffer(x.tobytes())])
+                yield pa.RecordBatch.from_arrays([rows.column("number").take(pa.array(row)), pa.array(place.astype(np.int32)), strings], ["number", "at", "x"])
+
+    return stretches.select("number", "bytes").mapInArrow(run, T.StructType([T.StructField("number", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("x", T.BinaryType())]))
+
+
+def _ranked(positions: DataFrame, keys: list[str]) -> DataFrame:
+    """(number, at, rank): positions whose keys occur more than once, ranked by the keys' order. Only distinct
+    keys are sorted, after partial counts; a frequent key's positions meet its rank in a join, which
+    adaptive execution splits."""
+    shared = positions.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    ranks = stored(shared.orderBy(*keys).select(*keys, F.monotonically_increasing_id().alias("rank")), "ranks")
+    return positions.join(ranks, keys).select("number", "at", "rank")
+
+
+def _pairs(ranked: DataFrame, offset: int) -> DataFrame:
+    """(number, at, x, y): the ranks at a position and ``offset`` bytes behind it, where both are left. A
+    stretch is a group, of at most PIECE positions and those behind them that a window covers."""
+    groups = ranked.groupBy("number").agg(F.collect_list("at").alias("at"), F.collect_list("rank").alias("rank"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, *_ in chunks(batch, "bytes", SEGMENT):
-                row, number, u, v = _named(rows.column("bytes"), length)
-                start = rows.column("begin").to_numpy()[row] + number
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64)), rows.column("doc").take(pa.array(row)), pa.array(start.astype(np.int32))], ["u", "v", "doc", "start"])
+            ends = np.asarray(batch.column("at").offsets)
+            at, rank = (batch.column(c).flatten().to_numpy() for c in ("at", "rank"))
+            row = np.repeat(np.arange(batch.num_rows, dtype=np.int64), np.diff(ends))
+            key = row << 32 | at
+            order = np.argsort(key)
+            key, rank = key[order], rank[order]
+            ahead = np.minimum(np.searchsorted(key, key + offset), max(len(key) - 1, 0))
+            both = np.flatnonzero(key[ahead] == key + offset)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("number").take(pa.array(key[both] >> 32)), pa.array((key[both] & 0xFFFFFFFF).astype(np.int32)), pa.array(rank[both]), pa.array(rank[ahead[both]])],
+                ["number", "at", "x", "y"])
+
+    return groups.mapInArrow(run, T.StructType([T.StructField("number", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("x", T.LongType()), T.StructField("y", T.LongType())]))
+
 
-    kind = contexts.schema["doc"].dataType
-    return contexts.mapInArrow(run, T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType()), T.StructField("doc", kind), T.StructField("start", T.IntegerType())]))
+def doubled(stretches: DataFrame, length: int) -> DataFrame:
+    """(number, at, x, y): windows of ``length`` bytes of (number, bytes), named by a pair of ranks: equal
+    windows, and no others, have equal pairs. Windows that a round finds unique are left out."""
+    size = -(-length // 4)
+    positions, keys = _strings(stretches, size), ["x"]
+    while True:
+        offset = min(size, length - size)
+        positions, keys = stored(_pairs(_ranked(positions, keys), offset), "rank-pairs"), ["x", "y"]
+        size += offset
+        if size == length:
+            return positions
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -277,18 +271,15 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     first = classes.select("g", "e", F.struct("doc", "place").alias("first"))
     begin = F.col("place") - F.col("ahead")
     whole = kept.join(first, ["g", "e"]).where(place > F.col("first")).select("doc", begin.alias("a"), (begin + F.col("more") + length).alias("z"))
-    several = classes.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
-    parts = classes.join(several, "g").groupBy("doc").agg(
-        F.collect_list(F.struct("g", (F.col("n") > HOT).alias("hot"), "place", begin.alias("first"), (begin + F.col("more") + length).alias("end"))).alias("parts"))
+    several = classes.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    parts = classes.join(several, "g", "left_semi").groupBy("doc").agg(F.collect_list(F.struct(begin.alias("first"), (begin + F.col("more")).alias("last"))).alias("parts"))
     asked = docs.join(parts.withColumnRenamed("doc", "d"), F.col("doc").eqNullSafe(F.col("d"))).select("doc", "text", "parts")
-    contexts = stored(_contexts(asked), "contexts")
-    within = _within(contexts.where("not hot").repartition("g").sortWithinPartitions("g", "doc", "place", "begin"), length)
-    # A group of more members is spread over all tasks, a row for each window.
-    windows = _windows(contexts.where("hot"), length)
+    stretches = stored(_stretches(asked, length).distinct().withColumn("number", F.monotonically_increasing_id()), "stretches")
+    windows = doubled(stretches, length).join(stretches.select("number", "doc", "begin"), "number").select("x", "y", "doc", (F.col("begin") + F.col("at")).alias("start"))
     start = F.struct("doc", "start")
-    early = windows.groupBy("u", "v").agg(F.min(start).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    single = windows.join(early, ["u", "v"]).where(start > F.col("first")).select("doc", F.col("start").alias("a"), (F.col("start") + length).alias("z"))
-    return stored(whole.unionByName(within).unionByName(single).unionByName(_repeated_at_once(docs, length, gram)), "repeats")
+    early = windows.groupBy("x", "y").agg(F.min(start).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    single = windows.join(early, ["x", "y"]).where(start > F.col("first")).select("doc", F.col("start").alias("a"), (F.col("start") + length).alias("z"))
+    return stored(whole.unionByName(single).unionByName(_repeated_at_once(docs, length, gram)), "repeats")
 
 
 def _union(a: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
