@@ -39,11 +39,15 @@ def test_matches_brute_force(spark):
     assert sorted((tuple(r) for r in sd.digest(sd.dedup_substrings(df)).collect()), key=repr) == brute(rows, 100)
 
 
-def test_stretches_in_pieces(spark, monkeypatch):
-    monkeypatch.setattr(sd, "PIECE", 7)
+def test_units_of_any_size_give_the_same_result(spark):
     rows = sample()[:40]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted((tuple(r) for r in sd.digest(sd.dedup_substrings(df)).collect()), key=repr) == brute(rows, 100)
+    df = spark.createDataFrame(rows, "doc long, text string")
+    want = {d: n for d, _, n, *_ in brute(rows, 100)}
+    for unit in (1, 5, 60):
+        got = {d: set() for d in want}
+        for x in sd.repeats(df, unit=unit).collect():
+            got[x["doc"]] |= set(range(x["a"], x["z"]))
+        assert {d: len(x) for d, x in got.items()} == want
 
 
 def test_doubling_names_equal_windows_equally(spark):
@@ -52,7 +56,7 @@ def test_doubling_names_equal_windows_equally(spark):
         texts = [bytes(r.choice(b"ab") for _ in range(r.randrange(0, 60))) for _ in range(30)]
         df = spark.createDataFrame(list(enumerate(texts)), "number long, bytes binary")
         got, seen = {}, {}
-        for x in sd.doubled(df, length).collect():
+        for x in sd.doubled(df, length, 60).collect():
             got.setdefault((x["x"], x["y"]), []).append((x["number"], x["at"]))
         for k, t in enumerate(texts):
             for i in range(len(t) - length + 1):

@@ -9,11 +9,13 @@ without it go first; the rest are ranked by doubling, exactly:
    at equal places, so a window whose anchor's name is unique is unique: most positions end here.
 2. An anchor and all that its windows cover, about twice ``LENGTH``. Pairs (gram, cover) that occurred
    before make all windows of the anchor repeats. The first anchor of a cover repeats at most in part.
-3. Prefix doubling. Left are the positions of first covers whose gram has several covers. Spark sorts
-   their strings of LENGTH / 4 bytes and ranks them; then it sorts the pairs (rank at p, rank at p + h) for
-   h of LENGTH / 4 and LENGTH / 2. Each round drops the positions whose key is unique: no window that
-   begins with, or needs, a unique string repeats. A position is one row a round. Windows with the same
-   last pair are equal, all but the first of a class repeat.
+3. Up to ``UNIT`` neighbouring windows of a cover whose gram has several covers, on a grid from the anchor.
+   Units that occurred before are repeats; of the first ones those are unique, with all their windows,
+   whose common bytes are in no other first unit. What is left lies at the edges of differences.
+4. Prefix doubling over the positions that are left. Spark sorts their strings of LENGTH / 4 bytes and ranks
+   them; then it sorts the pairs (rank at p, rank at p + h) for h of LENGTH / 4 and LENGTH / 2. Each round
+   drops the positions whose key is unique: no window that needs a unique string repeats. A position
+   is one row a round. Windows with the same last pair are equal, all but the first of a class repeat.
 
 A class's first place is a partial minimum, and only distinct keys are sorted, so hot strings send one row
 a task; joins on keys give every member its class's rank or first place, and hot classes are split by
@@ -35,8 +37,8 @@ from versio.functions.worker import resource
 from versio.llm.common import bytes_of, chunks, mix64, stored
 
 LENGTH, GRAM = 100, 36
-#: Windows of a stretch; longer runs of positions are cut into stretches that overlap by less than LENGTH.
-PIECE = 512
+#: Windows that are settled at once before the doubling; any number under LENGTH gives the same result.
+UNIT = 8
 #: Bytes that are named at once; places within them take the low bits of a sort key.
 SEGMENT = 1 << 20
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03))
@@ -174,42 +176,89 @@ def _repeated_at_once(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([T.StructField("doc", docs.schema["doc"].dataType), T.StructField("a", T.IntegerType()), T.StructField("z", T.IntegerType())]))
 
 
-def _stretches(docs: DataFrame, length: int) -> DataFrame:
-    """(doc, begin, bytes): what the windows listed in ``parts`` cover, those near each other together, in
-    pieces of at most ``PIECE`` windows."""
+def _contexts(docs: DataFrame) -> DataFrame:
+    """(g, doc, place, begin, bytes): what the windows of the anchors listed in ``parts`` cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, at = bytes_of(batch.column("text"))
-            data, own, begin, out = raw.tobytes(), [], [], []
-            offsets, flat = np.asarray(batch.column("parts").offsets), batch.column("parts").flatten()
-            first, last = (np.asarray(flat.field(c)) for c in ("first", "last"))
-            for k in range(batch.num_rows):
-                part = slice(offsets[k] - offsets[0], offsets[k + 1] - offsets[0])
-                # Rows that share a doc_id may hold shorter texts.
-                a, z = _union(first[part], last[part] + length)
-                for s, e in zip(a.tolist(), np.minimum(z, at[k + 1] - at[k]).tolist(), strict=True):
-                    for i in range(s, e - length + 1, PIECE):
-                        own.append(k)
-                        begin.append(i)
-                        out.append(data[at[k] + i : at[k] + min(e, i + PIECE + length - 1)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(own, pa.int64())), pa.array(begin, pa.int32()), pa.array(out, pa.binary())], ["doc", "begin", "bytes"])
+            parts = batch.column("parts")
+            own = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(parts.offsets)))
+            flat = parts.flatten()
+            first, end = np.asarray(flat.field("first")) + at[own], np.minimum(np.asarray(flat.field("end")) + at[own], at[own + 1])
+            data = raw.tobytes()
+            yield pa.RecordBatch.from_arrays(
+                [flat.field("g"), batch.column("doc").take(pa.array(own)), flat.field("place"), flat.field("first"), pa.array([data[a:z] for a, z in zip(first.tolist(), end.tolist(), strict=True)], pa.binary())],
+                ["g", "doc", "place", "begin", "bytes"])
+
+    kind = docs.schema["doc"].dataType
+    return docs.mapInArrow(run, T.StructType([T.StructField("g", T.LongType()), T.StructField("doc", kind), *(T.StructField(c, T.IntegerType()) for c in ("place", "begin")), T.StructField("bytes", T.BinaryType())]))
+
+
+def _units(contexts: DataFrame, length: int, unit: int) -> DataFrame:
+    """(g, e, c, number, at, many, doc, start): the windows of each context in units of up to ``unit``
+    neighbours, on a grid that the anchor's place fixes. ``e`` names all bytes of a unit and where it lies from
+    its anchor; ``c`` names the bytes that all windows of the grid's cell share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, raw, at in chunks(batch, "bytes", SEGMENT):
+                many = np.maximum(np.diff(at) - length + 1, 0)
+                row = np.repeat(np.arange(len(many)), many)
+                number = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                begin = rows.column("begin").to_numpy()
+                behind = rows.column("place").to_numpy()[row] - begin[row] - number  # from window to anchor
+                cell = behind // unit
+                head = np.concatenate([[True], (row[1:] != row[:-1]) | (cell[1:] != cell[:-1])])[: len(row)]
+                head = np.flatnonzero(head)
+                count = np.diff(np.append(head, len(row)))
+                row, first, cell, behind = row[head], number[head], cell[head], behind[head]
+                low = at[row] + first
+                e = mix64(Names(raw, 1).of(low, low + count - 1 + length) + behind.astype(np.uint64) * BASES[1])
+                core = low + behind - cell * unit  # the cell's last window begins here, its first one unit - 1 before
+                c = mix64(Names(raw, 0).of(core, core + length - unit + 1) + cell.astype(np.uint64) * BASES[1])
+                of = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("g").take(of), pa.array(e.view(np.int64)), pa.array(c.view(np.int64)), rows.column("number").take(of), *(pa.array(x.astype(np.int32)) for x in (first, count)), rows.column("doc").take(of), pa.array((begin[row] + first).astype(np.int32))],
+                    ["g", "e", "c", "number", "at", "many", "doc", "start"])
+
+    kind = contexts.schema["doc"].dataType
+    names = [*((c, T.LongType()) for c in ("g", "e", "c", "number")), *((c, T.IntegerType()) for c in ("at", "many")), ("doc", kind), ("start", T.IntegerType())]
+    return contexts.mapInArrow(run, T.StructType([T.StructField(c, t) for c, t in names]))
+
 
-    return docs.mapInArrow(run, T.StructType([T.StructField("doc", docs.schema["doc"].dataType), T.StructField("begin", T.IntegerType()), T.StructField("bytes", T.BinaryType())]))
+def _offsets(length: int) -> list[tuple[int, int, list[int]]]:
+    """The rounds: (size of the strings that have ranks, offset of the pairs, where in a window pairs are
+    needed); the last round's pairs, at 0 only, are of ``length`` bytes."""
+    sizes, rounds = [-(-length // 4)], []
+    while sizes[-1] < length:
+        sizes.append(min(2 * sizes[-1], length))
+    needed = [0]
+    for size, whole in reversed(list(zip(sizes, sizes[1:], strict=False))):
+        rounds.append((size, whole - size, needed))
+        needed = sorted({x + y for x in needed for y in (0, whole - size)})
+    return rounds[::-1]
 
 
-def _strings(stretches: DataFrame, size: int) -> DataFrame:
-    """(number, at, x): the string of ``size`` bytes at every position of every stretch."""
+def _strings(stretches: DataFrame, length: int, size: int, needed: list[int]) -> DataFrame:
+    """(number, at, x): strings of ``size`` bytes at the needed places of every window of every stretch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, raw, at in chunks(batch, "bytes", SEGMENT):
+                windows = np.maximum(np.diff(at) - length + 1, 0)
                 many = np.maximum(np.diff(at) - size + 1, 0)
                 row = np.repeat(np.arange(len(many)), many)
                 place = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-                x = np.lib.stride_tricks.sliding_window_view(raw, size)[at[row] + place] if len(row) else raw[:0]
-                ends = pa.py_buffer(np.arange(0, (len(row) + 1) * size, size, dtype=np.int32)[: len(row) + 1])
-                strings = pa.Array.from_buffers(pa.binary(), len(row), [None, ends, pa.py_buffer(x.tobytes())])
+                used = np.zeros(len(row), bool)
+                for x in needed:
+                    used |= (place >= x) & (place < x + windows[row])
+                row, place = row[used], place[used]
+                if not len(row):
+                    continue
+                data = np.lib.stride_tricks.sliding_window_view(raw, size)[at[row] + place].tobytes()
+                ends = np.arange(0, len(data) + 1, size, dtype=np.int32)
+                strings = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays([rows.column("number").take(pa.array(row)), pa.array(place.astype(np.int32)), strings], ["number", "at", "x"])
 
     return stretches.select("number", "bytes").mapInArrow(run, T.StructType([T.StructField("number", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("x", T.BinaryType())]))
@@ -224,9 +273,9 @@ def _ranked(positions: DataFrame, keys: list[str]) -> DataFrame:
     return positions.join(ranks, keys).select("number", "at", "rank")
 
 
-def _pairs(ranked: DataFrame, offset: int) -> DataFrame:
-    """(number, at, x, y): the ranks at a position and ``offset`` bytes behind it, where both are left. A
-    stretch is a group, of at most PIECE positions and those behind them that a window covers."""
+def _pairs(ranked: DataFrame, offset: int, needed: list[int], unit: int) -> DataFrame:
+    """(number, at, x, y): the ranks at a needed position and ``offset`` bytes behind it, where both are left. A
+    stretch is a group, of four positions a window at most."""
     groups = ranked.groupBy("number").agg(F.collect_list("at").alias("at"), F.collect_list("rank").alias("rank"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,50 +285,60 @@ def _pairs(ranked: DataFrame, offset: int) -> DataFrame:
             row = np.repeat(np.arange(batch.num_rows, dtype=np.int64), np.diff(ends))
             key = row << 32 | at
             order = np.argsort(key)
-            key, rank = key[order], rank[order]
+            key, rank, at = key[order], rank[order], at[order]
             ahead = np.minimum(np.searchsorted(key, key + offset), max(len(key) - 1, 0))
-            both = np.flatnonzero(key[ahead] == key + offset)
+            used = np.zeros(len(key), bool)
+            for x in needed:
+                used |= (at >= x) & (at < x + unit)
+            both = np.flatnonzero(used & (key[ahead] == key + offset))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("number").take(pa.array(key[both] >> 32)), pa.array((key[both] & 0xFFFFFFFF).astype(np.int32)), pa.array(rank[both]), pa.array(rank[ahead[both]])],
+                [batch.column("number").take(pa.array(key[both] >> 32)), pa.array(at[both].astype(np.int32)), pa.array(rank[both]), pa.array(rank[ahead[both]])],
                 ["number", "at", "x", "y"])
 
     return groups.mapInArrow(run, T.StructType([T.StructField("number", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("x", T.LongType()), T.StructField("y", T.LongType())]))
 
 
-def doubled(stretches: DataFrame, length: int) -> DataFrame:
-    """(number, at, x, y): windows of ``length`` bytes of (number, bytes), named by a pair of ranks: equal
-    windows, and no others, have equal pairs. Windows that a round finds unique are left out."""
-    size = -(-length // 4)
-    positions, keys = _strings(stretches, size), ["x"]
-    while True:
-        offset = min(size, length - size)
-        positions, keys = stored(_pairs(_ranked(positions, keys), offset), "rank-pairs"), ["x", "y"]
-        size += offset
-        if size == length:
-            return positions
+def doubled(stretches: DataFrame, length: int, unit: int) -> DataFrame:
+    """(number, at, x, y): windows of ``length`` bytes of (number, bytes), ``unit`` a stretch at most, named by a
+    pair of ranks: equal windows, and no others, have equal pairs. Windows that a round finds unique are
+    left out."""
+    rounds = _offsets(length)
+    size, offset, needed = rounds[0]
+    positions, keys = _strings(stretches, length, size, sorted({x + y for x in needed for y in (0, offset)})), ["x"]
+    for _, offset, needed in rounds:
+        positions, keys = stored(_pairs(_ranked(positions, keys), offset, needed, unit), "rank-pairs"), ["x", "y"]
+    return positions
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, unit: int = UNIT) -> DataFrame:
     """(doc, a, z): stretches of (doc, text), in bytes, that strings of ``length`` bytes with an earlier
     start cover; they may overlap."""
     every = _anchors(docs, length, gram)
     shared = stored(every.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "shared-grams")
     kept = stored(every.join(shared, "g", "left_semi"), "anchors")
-    place = F.struct("doc", "place")
+    place, start = F.struct("doc", "place"), F.struct("doc", "start")
     classes = stored(
         kept.groupBy("g", "e").agg(F.min(F.struct("doc", "place", "ahead", "more")).alias("first")).select("g", "e", "first.*"), "covers")
     first = classes.select("g", "e", F.struct("doc", "place").alias("first"))
     begin = F.col("place") - F.col("ahead")
     whole = kept.join(first, ["g", "e"]).where(place > F.col("first")).select("doc", begin.alias("a"), (begin + F.col("more") + length).alias("z"))
     several = classes.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
-    parts = classes.join(several, "g", "left_semi").groupBy("doc").agg(F.collect_list(F.struct(begin.alias("first"), (begin + F.col("more")).alias("last"))).alias("parts"))
+    parts = classes.join(several, "g", "left_semi").groupBy("doc").agg(
+        F.collect_list(F.struct("g", "place", begin.alias("first"), (begin + F.col("more") + length).alias("end"))).alias("parts"))
     asked = docs.join(parts.withColumnRenamed("doc", "d"), F.col("doc").eqNullSafe(F.col("d"))).select("doc", "text", "parts")
-    stretches = stored(_stretches(asked, length).distinct().withColumn("number", F.monotonically_increasing_id()), "stretches")
-    windows = doubled(stretches, length).join(stretches.select("number", "doc", "begin"), "number").select("x", "y", "doc", (F.col("begin") + F.col("at")).alias("start"))
-    start = F.struct("doc", "start")
+    contexts = stored(_contexts(asked).withColumn("number", F.monotonically_increasing_id()), "contexts")
+    units = stored(_units(contexts, length, unit), "units")
+    firsts = stored(
+        units.groupBy("g", "e").agg(F.min(F.struct("doc", "start", "number", "at", "many", "c")).alias("first"), F.count("*").alias("n")).select("g", "e", "n", "first.*"), "first-units")
+    early = firsts.where("n > 1").select("g", "e", F.struct("doc", "start").alias("first"))
+    settled = units.join(early, ["g", "e"]).where(start > F.col("first")).select("doc", F.col("start").alias("a"), (F.col("start") + F.col("many") - 1 + length).alias("z"))
+    cores = firsts.groupBy("g", "c").agg(F.count("*").alias("n")).where("n > 1").select("g", "c")
+    left = firsts.join(cores, ["g", "c"], "left_semi").select("doc", "start", "number", "at", "many").join(contexts.select("number", "bytes"), "number")
+    stretches = stored(left.select("doc", "start", F.substring("bytes", F.col("at") + 1, F.col("many") - 1 + length).alias("bytes"), F.monotonically_increasing_id().alias("number")), "stretches")
+    windows = doubled(stretches, length, unit).join(stretches.select("number", "doc", F.col("start").alias("begin")), "number").select("x", "y", "doc", (F.col("begin") + F.col("at")).alias("start"))
     early = windows.groupBy("x", "y").agg(F.min(start).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     single = windows.join(early, ["x", "y"]).where(start > F.col("first")).select("doc", F.col("start").alias("a"), (F.col("start") + length).alias("z"))
-    return stored(whole.unionByName(single).unionByName(_repeated_at_once(docs, length, gram)), "repeats")
+    return stored(whole.unionByName(settled).unionByName(single).unionByName(_repeated_at_once(docs, length, gram)), "repeats")
 
 
 def _union(a: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
