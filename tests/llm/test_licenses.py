@@ -13,20 +13,21 @@ def words(t):
 
 
 def brute(text, t=lic.THRESHOLD):
-    lines = [words(x) for x in (text or "").split("\n")]
+    w = [(x, k) for k, line in enumerate((text or "").split("\n")) for x in words(line)]
     best = {}
-    for i in range(len(lines)):
-        for j in range(i, len(lines)):
-            if lines[i] and lines[j]:
-                w = [x for line in lines[i : j + 1] for x in line]
-                bag = Counter(zip(w, w[1:]))
-                for name, body in lic.TEMPLATES:
-                    b = words(body)
-                    own = Counter(zip(b, b[1:]))
-                    d = 2 * sum((bag & own).values()) / max(1, len(w) - 1 + len(b) - 1)
-                    if d >= t and d > best.get(name, (0,))[0]:
-                        best[name] = (d, i, j)
-    return [(n, *best[n]) for n in sorted(best)]
+    for name, body in lic.TEMPLATES:
+        b = words(body)
+        own = Counter(zip(b, b[1:]))
+        for i in range(len(w) - 1):
+            bag, common = Counter(), 0
+            for j in range(i + 1, len(w)):
+                g = (w[j - 1][0], w[j][0])
+                bag[g] += 1
+                common += bag[g] <= own[g]
+                d = 2 * common / (j - i + len(b) - 1)
+                if d >= t and (-d, i, j) < best.get(name, (0, 0, 0)):
+                    best[name] = (-d, i, j)
+    return [(n, -best[n][0], w[best[n][1]][1], w[best[n][2]][1]) for n in sorted(best)]
 
 
 def test_matches_brute_force(spark):
@@ -47,3 +48,12 @@ def test_matches_brute_force(spark):
     got = sorted(((r_["doc_id"], r_["text"], [tuple(x) for x in r_["lic_found"]]) for r_ in found.collect()), key=repr)
     assert got == sorted(((d, t, brute(t) if len(t or "") < 20_000 else []) for d, t in rows), key=repr)
     assert lic.digest(found).count() == len(rows) and lic.scan(found.limit(0)).count() == 0
+
+
+def test_notices_inside_lines_and_single_lines(spark):
+    plain = "words of some other kind " * 30
+    rows = [
+        (1, "This project is released under the MIT License."), (2, "Copyright (c) 2020 Acme. Released under the MIT License. All is well."),
+        (3, f"{plain}{lic.TEMPLATES[9][1]} {plain}"), (4, f"{plain}\n{plain}Released\nunder the MIT\nLicense, {plain}"), (5, plain), (6, "the MIT bus")]
+    got = {r["doc_id"]: (r["licenses"], r["best_dice"], r["best_first"], r["best_last"]) for r in lic.digest(lic.scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert got == {1: ("MIT", 1.0, 0, 0), 2: ("MIT", 1.0, 0, 0), 3: ("ISC", 1.0, 0, 0), 4: ("MIT", 1.0, 1, 3), 5: ("", None, None, None), 6: ("", None, None, None)}

@@ -1,19 +1,21 @@
-"""License scans: runs of lines compared with license templates by the Dice coefficient.
+"""License scans: runs of words compared with license templates by the Dice coefficient.
 
 Texts and templates are normalised to lower-case words (A-Z lowered; letters, digits and all
-non-ASCII characters count). A window is a run of consecutive lines that begins and ends with lines
-that have words; its bigrams are its neighbouring words, across line ends too, repeats included.
+non-ASCII characters count). A window is a run of two or more consecutive words, wherever in a line it
+begins or ends; its bigrams are its neighbouring words, across line ends too, repeats included.
 
     dice(window, template) = 2 * |common bigrams| / (|window| + |template|)
 
 A dice of ``THRESHOLD`` t or more needs |window| between t / (2 - t) and (2 - t) / t times |template|, so
-each window meets only the templates of its size, and a window longer than the longest template
-allows is not built. Such a window also holds template bigrams at t / (2 - t) of its places or
-more, which is counted first. Texts are read where they lie; nothing is shuffled.
+each template meets only windows of its size, and t / (2 - t) of the template's size is the least number of
+its bigrams that such a window holds, which is counted first. A window of greatest dice begins and ends
+with bigrams of the template (without another one at an end its dice is greater), so only those are
+compared, by counts that grow with the window. Texts are read where they lie; nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -47,63 +49,66 @@ TEMPLATES = (
 
 
 class Templates:
-    """Templates as bigram counts, and which words and bigrams occur in any of them."""
+    """Templates as counts of numbered bigrams."""
 
     def __init__(self, templates: tuple[tuple[str, str], ...], threshold: float):
         self.t, self.all = threshold, []
+        self.share = threshold / (2 - threshold) - 1e-9
         words: dict[bytes, int] = {}
+        pairs: dict[tuple[int, int], int] = {}
+        bags = []
         for name, text in templates:
-            w = text.encode().translate(WORD_BYTES).split()
-            if len(w) > 1:
-                ids = [words.setdefault(x, len(words) + 1) for x in w]
-                self.all.append((name, Counter(zip(ids, ids[1:], strict=False)), len(w) - 1))
+            ids = [words.setdefault(x, len(words) + 1) for x in text.encode().translate(WORD_BYTES).split()]
+            if len(ids) > 1:
+                bags.append((name, Counter(pairs.setdefault(x, len(pairs) + 1) for x in zip(ids, ids[1:], strict=False)), len(ids) - 1))
         self.words = words
-        self.known = np.zeros((len(words) + 1, len(words) + 1), bool)
-        for _, bag, _ in self.all:
-            for a, b in bag:
-                self.known[a, b] = True
-        self.share = threshold / (2 - threshold) - 1e-9
-        self.longest = int(max((n for _, _, n in self.all), default=0) / self.share) + 1
+        self.pair = np.zeros((len(words) + 1, len(words) + 1), np.int32)
+        for (x, y), k in pairs.items():
+            self.pair[x, y] = k
+        for name, bag, size in bags:
+            counts = np.zeros(len(pairs) + 1, np.int64)
+            counts[list(bag)] = list(bag.values())
+            self.all.append((name, counts, size))
 
     def best(self, text: bytes) -> dict[str, tuple[float, int, int]]:
-        """Each licence's best (dice, first line, last line) of at least the threshold; of equal ones the
-        first window, and of those that begin together the shortest."""
-        get, lines, first, ids = self.words.get, [], [0], []
-        for k, line in enumerate(text.split(b"\n")):
-            w = line.translate(WORD_BYTES).split()
-            if w:
-                lines.append(k)
-                ids += [get(x, 0) for x in w]
-                first.append(len(ids))
-        out: dict[str, tuple[float, int, int]] = {}
-        if len(ids) < 2:
-            return out
-        x = np.array(ids)
-        hits = np.concatenate([[0], np.cumsum(self.known[x[:-1], x[1:]])])
-        if not hits[-1]:
-            return out
-        at = hits.tolist()
-        for i, k in enumerate(lines):
-            a = first[i]
-            for j in range(i, len(lines)):
-                n = first[j + 1] - a - 1
-                if n > self.longest:
-                    break
-                if n < 1 or at[first[j + 1] - 1] - at[a] < self.share * n:
-                    continue
-                own = ids[a : a + n + 1]
-                bag = Counter(zip(own, own[1:], strict=False))
-                for name, template, size in self.all:
-                    if self.share * size <= n and self.share * n <= size:
-                        dice = 2 * sum(min(c, bag[g]) for g, c in template.items()) / (n + size)
-                        if dice >= self.t and dice > out.get(name, (0.0,))[0]:
-                            out[name] = (dice, k, lines[j])
-        return out
+        """Each licence's best (dice, line of its first word, line of its last word) of at least the threshold;
+        of equal ones the first window, and of those that begin together the shortest."""
+        get, line, ids = self.words.get, [], []
+        for k, x in enumerate(text.split(b"\n")):
+            w = [get(y, 0) for y in x.translate(WORD_BYTES).split()]
+            ids += w
+            line += [k] * len(w)
+        x = np.array(ids, np.int64)
+        pair = self.pair[x[:-1], x[1:]]
+        places = np.flatnonzero(pair)
+        pair = pair[places]
+        found: dict[str, tuple[float, int, int]] = {}
+        for name, counts, size in self.all if len(places) else ():
+            own = counts[pair] > 0
+            at, least = places[own], math.ceil(self.share * size - 1e-6)
+            if len(at) < least:
+                continue
+            end = np.searchsorted(at, at + int(size / self.share))  # windows hold fewer bigrams than this is ahead
+            starts = np.flatnonzero(end - np.arange(len(at)) >= least)
+            if not len(starts):
+                continue
+            at, kind, most = at.tolist(), pair[own].tolist(), counts.tolist()
+            for i in starts.tolist():
+                seen: dict[int, int] = {}
+                common = 0
+                for j in range(i, int(end[i])):
+                    g = kind[j]
+                    seen[g] = seen.get(g, 0) + 1
+                    common += seen[g] <= most[g]
+                    dice = 2 * common / (at[j] - at[i] + 1 + size)
+                    if dice >= self.t and (-dice, at[i], at[j]) < found.get(name, (0.0, 0, 0)):
+                        found[name] = (-dice, at[i], at[j])
+        return {n: (-d, line[i], line[j + 1]) for n, (d, i, j) in found.items()}
 
 
 def scan(docs: DataFrame, text: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with ``lic_found``: an array of (license, dice, first, last), one for each licence found,
-    by name; first and last number the lines of its best window, from 0.
+    by name; first and last number the lines that its best window begins and ends in, from 0.
 
     Null, empty and wordless texts have none. All rows and columns stay, but for one named ``lic_found``.
     A template of fewer than two words matches nothing.

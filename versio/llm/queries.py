@@ -195,17 +195,19 @@ tb AS (SELECT k, name, b, count(*) AS c, any_value(n) AS n FROM (
 ln AS (
   SELECT doc_id, i, regexp_extract_all(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents)),
-ok AS (SELECT doc_id, i, w, sum(len(w)) OVER (PARTITION BY doc_id ORDER BY i) AS z FROM ln WHERE len(w) > 0),
+wd AS (
+  SELECT doc_id, i, x, row_number() OVER (PARTITION BY doc_id ORDER BY i, p) AS q
+  FROM (SELECT doc_id, i, unnest(w) AS x, unnest(range(0, len(w))) AS p FROM ln)),
+bg AS (
+  SELECT doc_id, i AS f, lead(i) OVER o AS l, q, x || ' ' || lead(x) OVER o AS b FROM wd WINDOW o AS (PARTITION BY doc_id ORDER BY q)),
+hit AS (SELECT doc_id, k, name, f, l, q, b, c, n FROM bg JOIN tb USING (b)),
 win AS (
-  SELECT a.doc_id, a.i AS f, b.i AS l, flatten(list(c.w ORDER BY c.i)) AS w
-  FROM ok a JOIN ok b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.z - a.z + len(a.w) <= 1 + (SELECT 1.5001 * max(n) FROM tb) + 1
-  JOIN ok c ON c.doc_id = a.doc_id AND c.i BETWEEN a.i AND b.i GROUP BY a.doc_id, a.i, b.i),
-wb AS (SELECT doc_id, f, l, b, count(*) AS c, any_value(n) AS n FROM (
-  SELECT doc_id, f, l, len(w) - 1 AS n, w[i] || ' ' || w[i + 1] AS b FROM (SELECT *, unnest(range(1, len(w))) AS i FROM win)) GROUP BY doc_id, f, l, b),
+  SELECT a.doc_id, a.k, a.name, a.n, a.f, a.q AS s, z.l, z.q AS e,
+    CASE WHEN row_number() OVER (PARTITION BY a.doc_id, a.k, a.q, z.b ORDER BY z.q) <= z.c THEN 1 ELSE 0 END AS one
+  FROM hit a JOIN hit z ON a.doc_id = z.doc_id AND a.k = z.k AND z.q BETWEEN a.q AND a.q + 1.5001 * a.n),
 dice AS (
-  SELECT doc_id, name, f, l, CAST(2 * sum(least(wb.c, tb.c)) AS DOUBLE) / (any_value(wb.n) + any_value(tb.n)) AS dice
-  FROM wb JOIN tb USING (b) GROUP BY doc_id, name, k, f, l),
-best AS (SELECT * FROM dice WHERE dice >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id, name ORDER BY dice DESC, f, l) = 1),
+  SELECT doc_id, name, f, l, s, e, CAST(2 * sum(one) OVER (PARTITION BY doc_id, k, s ORDER BY e) AS DOUBLE) / (e - s + 1 + n) AS dice FROM win),
+best AS (SELECT * FROM dice WHERE dice >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id, name ORDER BY dice DESC, s, e) = 1),
 per AS (
   SELECT doc_id, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names,
     first({'a': name, 'b': dice, 'c': f, 'd': l} ORDER BY dice DESC, name) AS x FROM best GROUP BY doc_id)
