@@ -38,3 +38,18 @@ def test_wide_range_and_few_rows(spark):
 
 def test_empty_and_without_queries(spark):
     assert run(spark, []) == [] and run(spark, [(3, [1.0], 0)]) == []
+
+
+def test_sql_has_the_same_rule_for_repeated_rows(spark, tmp_path):
+    import duckdb
+
+    from versio.llm import queries
+
+    r = random.Random(8)
+    rows = [(i, [r.randrange(-64, 64) / 64 for _ in range(4)], 0) for i in range(250)]
+    rows += [rows[100], rows[7], (200, [1.0, 0.5, 0.25, 0.0], 0), (201, None, 0)]  # a query again, a candidate again, another query of one id
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = queries.op5_exact_top_k(spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert sorted(tuple(x) for x in got) == sorted(con.execute(queries.OP5_SQL).fetchall()) and len(got) == 40
