@@ -21,6 +21,8 @@ def brute(text, t=lic.THRESHOLD):
         for i in range(len(w) - 1):
             bag, common = Counter(), 0
             for j in range(i + 1, len(w)):
+                if j - i > 2 * len(b):
+                    break  # too long for any dice of the threshold
                 g = (w[j - 1][0], w[j][0])
                 bag[g] += 1
                 common += bag[g] <= own[g]
@@ -36,7 +38,7 @@ def test_matches_brute_force(spark):
     for _ in range(40):
         lines = []
         for _ in range(r.randrange(0, 6)):
-            w = r.choice(lic.TEMPLATES)[1].split()
+            w = r.choice(lic.NOTICES)[1].split()
             if r.random() < 0.5 and len(w) > 4:
                 w[r.randrange(len(w))] = "other"
             cut = r.randrange(len(w))
@@ -57,3 +59,27 @@ def test_notices_inside_lines_and_single_lines(spark):
         (3, f"{plain}{lic.TEMPLATES[9][1]} {plain}"), (4, f"{plain}\n{plain}Released\nunder the MIT\nLicense, {plain}"), (5, plain), (6, "the MIT bus")]
     got = {r["doc_id"]: (r["licenses"], r["best_dice"], r["best_first"], r["best_last"]) for r in lic.digest(lic.scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
     assert got == {1: ("MIT", 1.0, 0, 0), 2: ("MIT", 1.0, 0, 0), 3: ("ISC", 1.0, 0, 0), 4: ("MIT", 1.0, 1, 3), 5: ("", None, None, None), 6: ("", None, None, None)}
+
+
+def test_full_texts_inside_other_words(spark):
+    plain = "words of some other kind "
+    rows = []
+    for k, (_, text) in enumerate(lic.FULL_TEXTS):
+        w = text.split()
+        rows.append((k, f"{plain * 9}{' '.join(w[: len(w) // 2])}\n{' '.join(w[len(w) // 2 :])} {plain * 9}"))
+    found = {r["doc_id"]: {x["license"]: x["dice"] for x in r["lic_found"]} for r in lic.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (name, _) in enumerate(lic.FULL_TEXTS):
+        assert found[k][name] == 1.0 and found[k] == {n: d for n, d, *_ in brute(rows[k][1])}
+
+
+def test_common_bigrams_of_the_longest_windows():
+    import numpy as np
+
+    r = random.Random(6)
+    for _ in range(200):
+        n = r.randrange(1, 30)
+        kind, counts = np.array([r.randrange(4) for _ in range(n)]), np.array([r.randrange(1, 4) for _ in range(4)])
+        end = np.sort([r.randrange(n + 1) for _ in range(n)])
+        end = np.minimum(np.maximum(end, np.arange(n) + 1), n)
+        want = [sum(min(int(counts[k]), int((kind[i : end[i]] == k).sum())) for k in range(4)) for i in range(n)]
+        assert lic._most_common(kind, counts, end).tolist() == want
