@@ -95,3 +95,45 @@ def test_hot_direction_moves_only_partial_sums(spark):
           if n.nodeName() == "Exchange" and first_real(n.children().apply(0)).nodeName() == "HashAggregate"]
     written = ex[0].metrics().apply("shuffleRecordsWritten").value()
     assert 0 < written <= 8 * 2      # tasks x directions, not 3000 segments
+
+
+def test_both_directions_of_a_text_pair_are_sorted_once(monkeypatch):
+    """A pair of texts that comes again, either way round, costs no second sort, and every row has its own numbers."""
+    from versio.functions.chrf import batch_stats, segment_stats
+    from versio.operators import chrf as op
+    sides = [("thecatsat", "acatsat"), ("", "abc"), ("abcd", ""), ("", ""), ("aé漢😀" * 9, "é漢x" * 5), ("x" * 20_000, "xy" * 30)]
+    rows = sides + [(r, h) for h, r in sides] + sides[:2]
+    seen = []
+    monkeypatch.setattr(op, "batch_stats", lambda h, r: seen.append(len(h)) or batch_stats(h, r))
+    got = op.counted(*map(list, zip(*rows)))
+    assert got.tolist() == [segment_stats(h, r) for h, r in rows]
+    assert sum(seen) == len(sides)
+
+
+def test_statistics_leave_a_task_in_the_batches_they_came_in(spark):
+    """One frame for each sort of two or three documents cost more than the counting."""
+    from pyspark.sql import functions as F
+    from versio.functions.chrf import segment_stats
+    from versio.operators import chrf as op
+    rows = [(i, "abcdefgh " * (900 + i), "abxdefgh " * 1200) for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, h string, r string").coalesce(1)
+    frames = []
+
+    class Seen:
+        """Stands for the prepared rows: runs the task's function here and keeps the frames it yields."""
+
+        def __init__(self, prepared):
+            self.prepared, self.schema = prepared, prepared.schema
+
+        def mapInPandas(self, fn, schema):  # noqa: N802
+            frames.extend(fn(iter([self.prepared.toPandas()])))
+            return spark.createDataFrame(frames[0], schema)
+
+    class Rows:
+        select = staticmethod(lambda *c: Seen(df.select(*c)))
+
+    want = {i: segment_stats(h.replace(" ", ""), r.replace(" ", "")) for i, h, r in rows}
+    for out in (op.segment_statistics(Rows, "h", "r", ["id"]), op.segment_statistics(df, "h", "r", ["id"])):
+        assert {r.id: list(r)[1:] for r in out.collect()} == want
+    assert [len(x) for x in frames] == [40]
+    assert op.segment_statistics(df.where(F.lit(False)), "h", "r", ["id"]).count() == 0
