@@ -138,3 +138,19 @@ def test_predictions_export_view(spark):
     df = spark.createDataFrame([("eng_2_hin", 0, 'say "hi"\n')], "direction string, ordinal long, pred string")
     r = predictions_jsonl_view(df).first()
     assert (r.direction, r.ordinal) == ("eng_2_hin", 0) and json.loads(r.value) == ['say "hi"\n']
+
+
+def test_user_tokenizer_holds_the_tokens_of_a_few_texts(spark):
+    """The tokens of a batch are not held together; rows, order, nulls and long texts come back whole."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+    texts = [None, "", "ab c", "x" * 3_000_000, "tail", None, "y z"] + ["word " * 4000] * 200
+    cut = list(sft.pieces(pd.Series(texts, dtype=object)))
+    assert [x for s in cut for x in s] == texts
+    assert all(len(s) == 1 or sum(len(x or "") for x in s) <= sft.TOKEN_CHARS for s in cut) and len(cut) > 8
+    assert list(sft.pieces(pd.Series([], dtype=object))) == []
+
+    tok = sft.user_tokenizer(lambda: str.split)
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    got = {r.id: r.n for r in df.select("id", F.size(tok(F.col("text"))).alias("n")).collect()}
+    assert got == {i: (None if t is None else len(t.split())) for i, t in enumerate(texts)}

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,16 +30,35 @@ def whitespace_tokens(c: Column) -> Column:
     return F.when(F.length(t) == 0, F.array().cast("array<string>")).otherwise(F.split(t, WS + "+", -1))
 
 
+#: Characters of the texts whose tokens a worker holds at once (a longer text is held alone): a token is an object of
+#: its own, some twenty times the size of its characters.
+TOKEN_CHARS = 1 << 19
+
+
+def pieces(texts: pd.Series, limit: int = TOKEN_CHARS) -> Iterator[pd.Series]:
+    """``texts`` in order, cut into runs of about ``limit`` characters, one text at least."""
+    ends = np.cumsum([0 if x is None else len(x) for x in texts])
+    a = 0
+    while a < len(texts):
+        z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + limit, "right")))
+        yield texts.iloc[a:z]
+        a = z
+
+
 def user_tokenizer(factory: Callable[[], Callable[[str], list]], element: str = "string") -> Callable:
-    """Wrap ``factory() -> tokenize(str) -> list`` as an Iterator pandas UDF."""
+    """Wrap ``factory() -> tokenize(str) -> list`` as an Iterator pandas UDF.
+
+    A batch of rows goes back in pieces of about ``TOKEN_CHARS`` characters, so a worker's memory does not
+    follow the rows that Spark puts into a batch."""
     rtype = T.ArrayType(T.StringType() if element == "string" else T.LongType())
     key = resource_key(factory)
 
     @F.pandas_udf(rtype)
     def tok(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         fn = resource(factory, key)      # loaded once per Python worker
-        for s in batches:
-            yield s.map(lambda x: list(fn(x)) if x is not None else None)
+        for batch in batches:
+            for s in pieces(batch):
+                yield s.map(lambda x: list(fn(x)) if x is not None else None)
 
     return tok
 
