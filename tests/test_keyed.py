@@ -305,3 +305,22 @@ def test_sentences_are_counted_in_batches_much_faster():
     single = np.array([segment_stats(h, r) for h, r in zip(hyps[:20_000], refs[:20_000])])
     t2 = time.process_time()
     assert (batched[:20_000] == single).all() and 3 * (t1 - t0) < 5 * (t2 - t1)
+
+
+def test_writes_of_a_run_do_not_multiply_with_its_units(spark, tmp, monkeypatch):
+    """Units are committed in waves, each no larger than what is committed before it; every unit has its own ledger
+    row, and names exactly its own predictions."""
+    assert [len(w) for w in jobs.waves(list(range(200)))] == [1, 1, 2, 4, 8, 16, 32, 32, 32, 32, 32, 8]
+    assert [x for w in jobs.waves(list(range(77))) for x in w] == list(range(77)) and jobs.waves([]) == []
+    writes, write = [], sinks.write_predictions
+    monkeypatch.setattr(jobs.sinks, "write_predictions", lambda *a, **b: writes.append(1) or write(*a, **b))
+    cfg = jobs.JobConfig(ks=[0, 1], dialect="bare", model="org/m", resume=True, commit_units=10)
+    made = jobs.store_requests(parallel(spark, 100), cfg)
+    jobs.commit_units(spark, made, COPY, cfg, tmp + "/predictions", tmp + "/ledger")
+    assert len(made.units) == 10 and len(writes) == 5
+    rows = {r.unit_id: r for r in spark.read.parquet(tmp + "/ledger").collect()}
+    assert sorted(r.unit for r in rows.values()) == list(range(10))
+    held = jobs.committed(spark, tmp + "/predictions", tmp + "/ledger").select("unit_id", "pair", "direction", "ordinal").collect()
+    assert len(held) == 2 * sum(r.n_rows for r in rows.values()) and {r.unit_id for r in held} == set(rows)
+    units = {(d.pair, d.direction, d.ordinal): d.unit for d in made.documents.select("pair", "direction", "ordinal", "unit").collect()}
+    assert all(units[r.pair, r.direction, r.ordinal] == rows[r.unit_id].unit for r in held)

@@ -7,8 +7,8 @@ before scoring so the model runs exactly once per prompt.
 
 A run reads the corpus once: its requests (key, source text, cost) and its
 example sets are stored, cut into units of bounded size by key range, and the
-prompts are rendered where the model runs. A resumable run commits unit by
-unit; the ledger, one row per committed unit, says which predictions count.
+prompts are rendered where the model runs. A resumable run commits waves of
+units; the ledger, one row per committed unit, says which predictions count.
 """
 
 from __future__ import annotations
@@ -49,7 +49,7 @@ class JobConfig:
     expected_pairs: list[str] | None = None
     top: int = 5
     resume: bool = False               # commit in units; skip prompts already predicted under out_root
-    commit_units: int = 8              # a resumable run has at least so many units, each committed by itself,
+    commit_units: int = 8              # a resumable run has at least so many units, committed in ``waves``,
     unit_rows: int = 10_000            # and none of more than so many requests (document and direction)
     tasks: int | None = None           # tasks of equal cost that run the model (default: shuffle partitions)
     max_new_tokens: int = 256          # P10, handed to the engine
@@ -105,8 +105,9 @@ def store_requests(corpus: DataFrame, cfg: JobConfig) -> Requests:
     return Requests(documents, sets, units)
 
 
-def predict(requests: DataFrame, sets: DataFrame | None, engine_factory, cfg: JobConfig) -> DataFrame:
-    """Requests (with ``k``) -> tasks of equal cost -> prompts -> model -> cleaned predictions keyed by ``KEYS``."""
+def predict(requests: DataFrame, sets: DataFrame | None, engine_factory, cfg: JobConfig, carried: tuple = ()) -> DataFrame:
+    """Requests (with ``k``) -> tasks of equal cost -> prompts -> model -> cleaned predictions keyed by ``KEYS``, each
+    with the ``carried`` columns of its request."""
     cost = F.col("chars")
     if sets is not None:
         extra = sets.select("example_set_id", F.length(F.array_join("blocks", P.BLOCK_SEP)).alias("_extra"))
@@ -114,10 +115,10 @@ def predict(requests: DataFrame, sets: DataFrame | None, engine_factory, cfg: Jo
         requests = named.join(F.broadcast(extra), "example_set_id", "left")  # bounded: one number per direction and k
         cost = cost + F.coalesce("_extra", F.lit(0))
     tasks = cfg.tasks or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = infer.balanced(requests.select(*KEYS, "src", cost.cast("long").alias("cost")), "cost", KEYS, tasks)
+    dealt = infer.balanced(requests.select(*KEYS, *carried, "src", cost.cast("long").alias("cost")), "cost", KEYS, tasks)
     mi = model_input(fewshot.render_prompts(dealt, sets, cfg.dialect, cfg.parity), cfg)
     params = infer.run_parameters(cfg.max_new_tokens, cfg.sampling, cfg.temperature, cfg.top_p)
-    return infer.predictions(mi, "model_input", engine_factory, KEYS, cfg.batch_size, cfg.stop, params=params)
+    return infer.predictions(mi, "model_input", engine_factory, [*KEYS, *carried], cfg.batch_size, cfg.stop, params=params)
 
 
 def run_predictions(corpus: DataFrame, engine_factory, cfg: JobConfig) -> DataFrame:
@@ -153,25 +154,46 @@ def read_predictions(spark: SparkSession, root: str, cfg: JobConfig, ledger: str
             .select("doc_key", *KEYS, "pred"))
 
 
+#: Units that one write takes at most.
+WAVE_UNITS = 32
+
+
+def waves(units: list, most: int = WAVE_UNITS) -> list[list]:
+    """``units`` in order, in waves of 1, 1, 2, 4, ... up to ``most``: each as large as all before it."""
+    out, a = [], 0
+    while a < len(units):
+        out.append(units[a : a + min(most, max(1, a))])
+        a += len(out[-1])
+    return out
+
+
 def commit_units(spark: SparkSession, made: Requests, engine_factory, cfg: JobConfig, root: str, ledger: str) -> None:
-    """The resumable run: unit by unit, predictions are written and then named in the ledger, one row each. Units
-    read their own rows of the stored requests; prompts with a committed prediction are not sent again."""
-    done = None
+    """The resumable run: predictions are written and then their units named in the ledger, one row each. Units
+    read their own rows of the stored requests; prompts with a committed prediction are not sent again.
+
+    A write takes a wave of units, so that its jobs and files do not multiply with the units: a crash loses the wave
+    that runs, which is never more than is committed already, nor more than ``WAVE_UNITS`` units."""
+    todo, done = made.units, None
     if layout(spark, root) is not None:  # keys only, fixed before this run appends
         done = materialize(read_predictions(spark, root, cfg, ledger).select(*KEYS))
+        open_units = infer.pending(shot_sweep(made.documents, cfg.ks), done, KEYS).select("unit").distinct()
+        left = {r.unit for r in open_units.collect()}  # bounded: one number per unit
+        todo = [u for u in todo if u.unit in left]
     model = cfg.model.split("/")[-1]
-    for u in made.units:
-        asked = shot_sweep(made.documents.where(F.col("unit") == u.unit), cfg.ks)
+    for wave in waves(todo):
+        asked = shot_sweep(made.documents.where(F.col("unit").isin([u.unit for u in wave])), cfg.ks)
         if done is not None:
             asked = infer.pending(asked, done, KEYS)
-            if asked.isEmpty():
-                continue
-        unit_id = uuid.uuid4().hex
-        preds = predict(asked, made.sets, engine_factory, cfg).withColumn("unit_id", F.lit(unit_id))
+        ids = {u.unit: uuid.uuid4().hex for u in wave}
+        names = F.create_map(*[x for u, name in ids.items() for x in (F.lit(u).cast("long"), F.lit(name))])
+        preds = predict(asked, made.sets, engine_factory, cfg, ("unit",))
+        preds = preds.withColumn("unit_id", F.element_at(names, F.col("unit"))).drop("unit")
         sinks.write_predictions(sinks.run_layout(preds, cfg.model), root, mode="append")
-        key = ["/".join(map(str, (x.pair, x.direction, x.ordinal))) for x in (u.first, u.last)]
-        row = (unit_id, u.unit, model, ",".join(map(str, cfg.ks)), *key, u.n)
-        spark.createDataFrame([row], LEDGER).coalesce(1).write.mode("append").parquet(ledger)
+        rows = []
+        for u in wave:
+            key = ["/".join(map(str, (x.pair, x.direction, x.ordinal))) for x in (u.first, u.last)]
+            rows.append((ids[u.unit], u.unit, model, ",".join(map(str, cfg.ks)), *key, u.n))
+        spark.createDataFrame(rows, LEDGER).coalesce(1).write.mode("append").parquet(ledger)
 
 
 def references(corpus: DataFrame, ks: list[int]) -> DataFrame:
