@@ -48,7 +48,7 @@ KEYS = (b"passw", b"secret", b"token", b"api", b"AKIA")
 LEFT, BODY, RIGHT = 16, 48, 8
 STEP, FRAMES = BODY // 2, 4096  # between frames; frames scored at once
 RECALL, HELD = 0.95, 4
-SHARD, ROUNDS, EPOCHS = 8192, 3, 6  # rows that train together; rounds of several shards; passes over each row
+SHARD, ROUNDS, EPOCHS = 8192, 3, 6  # rows that train together; rounds of several shards, a pass each; passes of a single one
 FILTERS, WIDTH, DIM = 32, 5, 8
 NOT_A_SECRET, MADE = -1, -2  # an ordinary word, and a token made of ordinary words; for training only
 ASCII_WORD = re.compile(r"(?<![^\W_])[A-Za-z]{2,20}(?![^\W_])")
@@ -188,11 +188,16 @@ class Network:
         e = self.p["embed"][x]
         e[x == 0] = 0
         places = x.shape[1] - WIDTH + 1
-        cols = np.concatenate([e[:, k : k + places] for k in range(WIDTH)], axis=2)
-        h = np.maximum(cols @ self.p["conv"] + self.p["bias"], 0)
-        a, b = np.flatnonzero(self.inside), np.flatnonzero(~self.inside)
-        ia, ib = a[h[:, a].argmax(axis=1)], b[h[:, b].argmax(axis=1)]
+        cols = np.lib.stride_tricks.sliding_window_view(e.reshape(len(x), -1), WIDTH * DIM, axis=1)[:, ::DIM].reshape(-1, WIDTH * DIM)
+        h = np.maximum(cols @ self.p["conv"] + self.p["bias"], 0).reshape(len(x), places, FILTERS)
+        cols = cols.reshape(len(x), places, WIDTH * DIM)
+        by = np.ascontiguousarray(h.transpose(0, 2, 1))  # places side by side, for the maxima
+        z = np.flatnonzero(self.inside)[-1] + 1
+        a = z - int(self.inside.sum())
+        ia = by[:, :, a:z].argmax(axis=2) + a
+        left, right = by[:, :, :a].argmax(axis=2), by[:, :, z:].argmax(axis=2) + z
         n, f = np.arange(len(x))[:, None], np.arange(FILTERS)[None, :]
+        ib = np.where(h[n, right, f] > h[n, left, f], right, left)
         pooled = np.concatenate([h[n, ia, f], h[n, ib, f]], axis=1)
         return pooled @ self.p["out"] + self.p["last"][0], pooled, cols, ia, ib
 
@@ -259,11 +264,11 @@ class Network:
             while True:
                 to = a - step * da, b - step * db
                 at = sums(*to)
-                if step <= 1e-6 or at[0] + 5e-4 * to[0] ** 2 <= here:
+                if step <= 1e-3 or at[0] + 5e-4 * to[0] ** 2 <= here + 1e-9 * abs(here):  # equal but for rounding
                     break
                 step /= 2
             a, b = to
-            if abs(da) + abs(db) < 1e-8:
+            if abs(da) + abs(db) < 1e-6 * (1 + abs(a) + abs(b)):
                 break
         self.slope, self.offset = float(a) / size, float(b)
 
@@ -319,7 +324,7 @@ def fit(spans: DataFrame, recall: float = RECALL) -> Network | None:
     sharded = [_sharded(rows.where(F.col("held") == h), n[h, False] + n[h, True]) for h in (False, True)]
     net, rounds = Network(), ROUNDS if sharded[0][1] > 1 else 1
     for k in range(rounds):
-        net.put(_trained(sharded[0][0], net, EPOCHS // rounds, 7 + k))
+        net.put(_trained(sharded[0][0], net, 1 if rounds > 1 else EPOCHS, 7 + k))
     _calibrated(net, sharded[1][0], recall)
     return net
 
