@@ -124,3 +124,14 @@ def test_statistics_leave_a_task_in_the_batches_they_came_in(spark):
         assert {r.id: list(r)[1:] for r in out.collect()} == want
     assert [len(x) for x in frames] == [40]
     assert op.segment_statistics(df.where(F.lit(False)), "h", "r", ["id"]).count() == 0
+
+
+def test_batches_drop_whitespace_and_grams_end_with_their_side():
+    """Whitespace went in an expression of its own before; sides that continue each other share no gram over their ends."""
+    from versio.functions.chrf import batch_stats
+    pairs = [("a b　c", "a\x1cbc \n"), ("ab", "abcd"), ("cdab", "ab"), ("", " "), ("  ", "ab"), ("ab", ""), ("\0a\0", "\0 a"),
+             ("😀a😀b", "😀 a😀"), ("aaaaaaaa", "aaaaaaaaaaaa")]
+    want = [segment_stats("".join(h.split()), "".join(r.split())) for h, r in pairs]
+    assert batch_stats([h for h, _ in pairs], [r for _, r in pairs]).tolist() == want
+    big = "".join(chr(0x4E00 + i) for i in range(3000))  # too many letters to pack
+    assert batch_stats([big + " x"], ["x " + big]).tolist() == [segment_stats(big + "x", "x" + big)]

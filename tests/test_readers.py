@@ -1,6 +1,7 @@
 """Reader dialects S3/S4/S5, ordinals over files, paired reader S6, sink S2 round trip."""
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import write_lines
@@ -166,3 +167,45 @@ def test_text_after_the_json_value_is_rejected(spark):
     assert all(got[x].s == "not json" and got[x].o is None for x in bad) and all(got[x].s is None for x in good)
     assert all(got[x].p == "not json" for x in bad if x[0] in "[{") and all(got[x].c == "not json" for x in bad)
     assert df.where(parse_prompt(F.lit('{"nope":1}'))["error"].isNull()).count() == 0
+
+
+def test_positions_among_the_lines_left_over_parts_splits_and_chunks(spark, tmp, monkeypatch):
+    import os
+    import random
+    from versio.sources import ordinals
+    from versio.sources.readers import read_scored
+    monkeypatch.setattr(ordinals, "CHUNK", 8)
+    rng = random.Random(3)
+    want = []
+    for f in range(2):
+        d = f"{tmp}/in/direction=x{f}_2_eng"
+        os.makedirs(d)
+        lines = [[rng.choice(["", "  ", "　"]) if rng.random() < share else f'["{f} {part} {i}"]' for i in range(400)]
+                 for part, share in enumerate((0.0, 0.3, 1.0, 0.9))]
+        for part, x in enumerate(lines):
+            write_lines(f"{d}/part-{part:05d}-a.c000.txt", x)
+        numbered = [(i, x) for i, x in enumerate(sum(lines, [])) if x.strip()]
+        want += [(f"x{f}", i, pos, x[2:-2]) for pos, (i, x) in enumerate(numbered)]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        good, _ = read_scored(spark, f"{tmp}/in", strict=True, matching=r"direction=[^/]+_2_eng$", positions=True)
+        got = [(r._file.split("direction=")[1][:2], r.ordinal, r.pos, r.text) for r in good.collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted(got) == sorted(want) and len(want) > 500
+
+
+def test_positions_move_no_text_and_a_line_is_parsed_once(spark, tmp):
+    """Positions came from a sort of all keys, which the texts then met in an exchange; a line was parsed for each use."""
+    from versio.sources.readers import read_scored
+    write_lines(f"{tmp}/x.jsonl", ['["a"]', "", "plain"])
+    good, _ = read_scored(spark, f"{tmp}/x.jsonl", strict=True, positions=True)
+    plan = good._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    optimized = good._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized.lower().count("parse_json") + optimized.count("parseJson") == 2  # once in an array, once in an object
+    assert sorted((r.ordinal, r.pos, r.text) for r in good.collect()) == [(0, 0, "a"), (2, 1, "plain")]
+    write_lines(f"{tmp}/bad.jsonl", ['["a"]', "", "[1"])
+    with pytest.raises(Exception, match=r"bad scored line .*bad\.jsonl:3: not json"):
+        read_scored(spark, f"{tmp}/bad.jsonl", strict=True, positions=True)[0].collect()

@@ -302,9 +302,8 @@ def build_training_set(pairs: DataFrame, max_length: int = 512, tokenize=None,
 def _scored_positions(spark: SparkSession, root: str, matching: str) -> DataFrame:
     """S5 over files: ``_file, pos, text`` with ``pos`` the 0-based position among
     the file's non-blank lines (the reader drops blank lines before zipping)."""
-    lines, _ = read_scored(spark, root, strict=True, matching=matching)
-    ranks = rank_table(lines.select("_file", "ordinal"), ["_file"], ["ordinal"], out_col="pos")
-    return join_ranks(lines, ranks, ["_file", "ordinal"]).select("_file", "pos", "text")
+    lines, _ = read_scored(spark, root, strict=True, matching=matching, positions=True)
+    return lines.select("_file", "pos", "text")
 
 
 def score_run_files(spark: SparkSession, data_root: str, result_root: str, model: str, k: int = 1,

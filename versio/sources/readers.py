@@ -20,12 +20,14 @@ parsed rows in two partitions, taken and rejected.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import drop_lone_surrogate_escapes, is_blank, scrub, strip_ws
 from ..session import stored_path
-from .ordinals import line_ordinals
+from .ordinals import line_ordinals, line_positions
 
 
 #: A part file of a directory that Spark wrote; the directory is the logical file, the number the part's place.
@@ -61,6 +63,12 @@ def numbered_lines(spark: SparkSession, path: str, make_valid: bool = False, mat
     return line_ordinals(read_lines(spark, path, make_valid, matching)).select("_file", "ordinal", "value")
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often it is used (a plain expression would be copied to
+    every place, and a line parsed as often)."""
+    return F.transform(F.array(value), use)[0]
+
+
 def whole_json(line: Column) -> Column:
     """The line's JSON value as a variant, null unless the value is all there is.
 
@@ -94,9 +102,11 @@ def parse_strict(value: Column) -> Column:
 
 def _read(line: Column, v: Column, json_text: Column, is_json: Column, plain: Column) -> Column:
     """struct(text, error) of a line that is JSON where ``is_json`` says so, else plain text."""
-    text = F.when(is_json, json_text).otherwise(plain)
-    error = F.when(is_json & v.isNull(), F.lit("not json")).when(text.isNull(), F.lit("no text in the json value"))
-    return F.struct(text.alias("text"), error.alias("error"))
+    def checked(text: Column) -> Column:
+        error = F.when(is_json & v.isNull(), F.lit("not json")).when(text.isNull(), F.lit("no text in the json value"))
+        return F.struct(text.alias("text"), error.alias("error"))
+
+    return _once(F.when(is_json, json_text).otherwise(plain), checked)
 
 
 def parse_prompt(value: Column) -> Column:
@@ -110,12 +120,18 @@ def parse_prompt(value: Column) -> Column:
 
 def parse_score(value: Column) -> Column:
     """S5 on one line: struct(text, error), the text stripped; an object without ``translation`` reads as ``""``."""
-    line = strip_ws(value)
-    v = whole_json(line)
-    text = (F.when(line.startswith("["), F.try_variant_get(v, "$[0]", "string"))
-             .when(line.startswith("{"), F.when(v.isNotNull(), F.coalesce(F.try_variant_get(v, "$.translation", "string"), F.lit(""))))
-             .otherwise(F.try_variant_get(v, "$", "string")))
-    return _read(line, v, strip_ws(text), line.startswith("[") | line.startswith("{") | line.startswith('"'), line)
+    def read(line: Column) -> Column:
+        is_json = line.startswith("[") | line.startswith("{") | line.startswith('"')
+
+        def taken(v: Column) -> Column:
+            text = (F.when(line.startswith("["), F.try_variant_get(v, "$[0]", "string"))
+                     .when(line.startswith("{"), F.when(v.isNotNull(), F.coalesce(F.try_variant_get(v, "$.translation", "string"), F.lit(""))))
+                     .otherwise(F.try_variant_get(v, "$", "string")))
+            return _read(line, v, strip_ws(text), is_json, line)
+
+        return _once(F.when(is_json, whole_json(line)), taken)
+
+    return _once(strip_ws(value), read)
 
 
 def parse_text_object(value: Column) -> Column:
@@ -141,18 +157,24 @@ def quarantined(parsed: DataFrame, error: Column) -> tuple[DataFrame, DataFrame]
     return back.where(F.col("taken")).drop("taken"), back.where(~F.col("taken")).drop("taken")
 
 
-def _split(spark: SparkSession, path: str, parse, name: str, strict: bool, what: str, matching: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Good rows ``_file, ordinal, <name>`` and rejects ``_file, ordinal, value, error`` of a reader."""
-    parsed = drop_blank(numbered_lines(spark, path, matching=matching)).withColumn("_p", parse(F.col("value")))
+def _split(spark: SparkSession, path: str, parse, name: str, strict: bool, what: str, matching: str | None = None, positions: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Good rows ``_file, ordinal, <name>`` and rejects ``_file, ordinal, value, error`` of a reader; with ``positions``
+    the good rows have ``pos``, the position among the file's non-blank lines."""
+    if positions:
+        lines = line_positions(read_lines(spark, path, matching=matching), is_blank("value")).select("_file", "ordinal", "pos", "value")
+    else:
+        lines = drop_blank(numbered_lines(spark, path, matching=matching))
+    keys = ["_file", "ordinal", *(["pos"] if positions else [])]
+    parsed = lines.withColumn("_p", parse(F.col("value")))
     error = F.col("_p.error")
     if strict:  # nothing to quarantine: the first bad line ends the job
         stop = F.raise_error(F.concat(F.lit(f"bad {what} line "), F.col("_file"), F.lit(":"),
                                       (F.col("ordinal") + 1).cast("string"), F.lit(": "), error))
         text = F.when(error.isNull(), F.col("_p.text")).otherwise(stop.cast("string"))
-        return parsed.select("_file", "ordinal", text.alias(name)), parsed.where(F.lit(False)).select("_file", "ordinal", "value", error.alias("error"))
-    row = parsed.select("_file", "ordinal", F.when(error.isNotNull(), F.col("value")).alias("value"), F.col("_p.text").alias(name), error.alias("_error"))
+        return parsed.select(*keys, text.alias(name)), parsed.where(F.lit(False)).select("_file", "ordinal", "value", error.alias("error"))
+    row = parsed.select(*keys, F.when(error.isNotNull(), F.col("value")).alias("value"), F.col("_p.text").alias(name), error.alias("_error"))
     good, bad = quarantined(row, F.col("_error"))
-    return good.select("_file", "ordinal", name), bad.select("_file", "ordinal", "value", "error")
+    return good.select(*keys, name), bad.select("_file", "ordinal", "value", "error")
 
 
 def read_documents(spark: SparkSession, path: str, strict: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -168,10 +190,10 @@ def read_prompts(spark: SparkSession, path: str, strict: bool = False) -> tuple[
     return _split(spark, path, parse_prompt, "prompt", strict, "prompt")
 
 
-def read_scored(spark: SparkSession, path: str, strict: bool = False, matching: str | None = None) -> tuple[DataFrame, DataFrame]:
+def read_scored(spark: SparkSession, path: str, strict: bool = False, matching: str | None = None, positions: bool = False) -> tuple[DataFrame, DataFrame]:
     """S5 over files: (``_file, ordinal, text``, rejects); ``strict`` raises on a bad line. ``matching``: all logical
-    files below ``path`` that match this pattern."""
-    return _split(spark, path, parse_score, "text", strict, "scored", matching)
+    files below ``path`` that match this pattern. ``positions``: with ``pos`` among the non-blank lines of a file."""
+    return _split(spark, path, parse_score, "text", strict, "scored", matching, positions)
 
 
 def _both_sides(src: DataFrame, tgt: DataFrame, keys: list[str]) -> tuple[DataFrame, Column]:
