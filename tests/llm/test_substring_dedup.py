@@ -1,7 +1,10 @@
 import hashlib
+import os
 import random
+import uuid
 
 from versio.llm import substring_dedup as sd
+from versio.llm.common import shared_dir
 
 
 def brute(rows, length):
@@ -98,3 +101,21 @@ def test_passages_at_a_cut_of_a_later_long_text(spark):
     at = {x["doc_id"]: [(y["a"], y["z"]) for y in x["sd_removed"]] for x in out}
     assert len(out) == len(rows) and {d: sum(z - a for a, z in x) for d, x in at.items()} == want
     assert all(at[100 + i] == [(cut + k, cut + k + 400)] for i, k in enumerate(places))
+
+
+def test_texts_are_named_once_and_the_rows_of_all_anchors_go(spark, tmp_path):
+    rows, seen = [(i, "the same hundred bytes and more " * 5 + str(i) * 200) for i in range(40)], str(tmp_path)
+
+    def count(batches):
+        for batch in batches:
+            with open(f"{seen}/{uuid.uuid4().hex}", "w") as f:
+                f.write(str(batch.num_rows))
+            yield batch
+
+    docs = spark.createDataFrame(rows, "doc long, text string").mapInArrow(count, "doc long, text string")
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    assert sd.repeats(docs).count()
+    # Once for the anchors, and once more for what the anchors left cover.
+    assert sum(int((tmp_path / x).read_text()) for x in os.listdir(seen)) <= 2 * len(rows)
+    assert not [x for x in set(os.listdir(folder)) - before if "all-anchors" in x]

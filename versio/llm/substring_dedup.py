@@ -34,13 +34,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from versio.functions.worker import resource
-from versio.llm.common import bytes_of, chunks, mix64, stored
+from versio.llm.common import bytes_of, chunks, discard, mix64, stored, stored_path
 
 LENGTH, GRAM = 100, 36
 #: Windows that are settled at once before the doubling; any number under LENGTH gives the same result.
 UNIT = 8
-#: Bytes that are named at once; places within them take the low bits of a sort key.
-SEGMENT = 1 << 20
+#: Bytes that are named at once, so that their names stay in a core's cache; places within them take the low
+#: bits of a sort key.
+SEGMENT = 1 << 18
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03))
 LETTERS = tuple(mix64(np.arange(256, dtype=np.uint64) * np.uint64(k) + np.uint64(k)) for k in (0x632BE5AB, 0x85157AF5))
 
@@ -134,7 +135,10 @@ def _chunk_anchors(rows: pa.RecordBatch, raw: np.ndarray, at: np.ndarray, length
     segment's end cuts in two is two anchors of the same place, told apart by their first windows."""
     text, place, first, last, g, e = anchors(raw, at, length, gram)
     rank = pc.rank(rows.column("doc"), sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy()[text]
-    order = np.lexsort((first, place, rank, e, g))
+    by = np.argsort(g)
+    same = g[by[1:]] == g[by[:-1]]
+    some = np.union1d(by[1:][same], by[:-1][same])  # most grams occur once: only the others are put in order
+    order = some[np.lexsort((first[some], place[some], rank[some], e[some], g[some]))]
     a, b = order[1:], order[:-1]
     again, twice = np.zeros(len(g), bool), np.zeros(len(g), bool)
     again[a] = (g[a] == g[b]) & (e[a] == e[b])
@@ -144,38 +148,27 @@ def _chunk_anchors(rows: pa.RecordBatch, raw: np.ndarray, at: np.ndarray, length
 
 def _anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """(g, e, doc, place, ahead, more): the anchors; windows begin at place - ahead, and ``more`` follow. Of
-    equal ones in a chunk of rows only the first is sent on; see ``_repeated_at_once``."""
+    equal ones in a chunk of rows only the first is an anchor; what the others cover comes as rows without
+    names, so a group of copies sends one row a chunk to the shuffles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, raw, at in chunks(batch, "text"):
-                *arrays, new, _ = _chunk_anchors(rows, raw, at, length, gram)
+                *arrays, new, old = _chunk_anchors(rows, raw, at, length, gram)
                 text, place, first, last, g, e = (x[new] for x in arrays)
+                apart = at + np.arange(len(at))  # a place between texts, so that theirs never touch
+                a, z = _union(apart[arrays[0][old]] + arrays[2][old], apart[arrays[0][old]] + arrays[3][old] + length)
+                own = np.searchsorted(apart, a, "right") - 1
+                nameless = pa.nulls(len(a), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(g.view(np.int64)), pa.array(e.view(np.int64)), rows.column("doc").take(pa.array(text)), *(pa.array(x.astype(np.int32)) for x in (place, place - first, last - first))],
+                    [*(pa.concat_arrays([pa.array(x.view(np.int64)), nameless]) for x in (g, e)), rows.column("doc").take(pa.array(np.concatenate([text, own]))),
+                     *(pa.array(np.concatenate(x).astype(np.int32)) for x in ((place, a - apart[own]), (place - first, np.zeros(len(a), np.int64)), (last - first, z - a - length)))],
                     ["g", "e", "doc", "place", "ahead", "more"])
 
     kind = docs.schema["doc"].dataType
     return docs.mapInArrow(run, T.StructType([T.StructField("g", T.LongType()), T.StructField("e", T.LongType()), T.StructField("doc", kind), *(T.StructField(c, T.IntegerType()) for c in ("place", "ahead", "more"))]))
 
 
-def _repeated_at_once(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(doc, a, z): what anchors cover that come earlier in their own chunk of rows; a group of copies sends
-    one row a chunk to the shuffles that way."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, raw, at in chunks(batch, "text"):
-                *arrays, _, old = _chunk_anchors(rows, raw, at, length, gram)
-                text, _, first, last, *_ = (x[old] for x in arrays)
-                apart = at + np.arange(len(at))  # a place between texts, so that theirs never touch
-                a, z = _union(apart[text] + first, apart[text] + last + length)
-                own = np.searchsorted(apart, a, "right") - 1
-                yield pa.RecordBatch.from_arrays([rows.column("doc").take(pa.array(own)), *(pa.array((x - apart[own]).astype(np.int32)) for x in (a, z))], ["doc", "a", "z"])
-
-    return docs.mapInArrow(run, T.StructType([T.StructField("doc", docs.schema["doc"].dataType), T.StructField("a", T.IntegerType()), T.StructField("z", T.IntegerType())]))
-
-
 def _contexts(docs: DataFrame) -> DataFrame:
     """(g, doc, place, begin, bytes): what the windows of the anchors listed in ``parts`` cover."""
 
@@ -264,38 +257,55 @@ def _strings(stretches: DataFrame, length: int, size: int, needed: list[int]) ->
     return stretches.select("number", "bytes").mapInArrow(run, T.StructType([T.StructField("number", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("x", T.BinaryType())]))
 
 
+def _built(keyed: DataFrame) -> DataFrame:
+    """``keyed``, of distinct keys, as the side of a join that a task holds as a hash table: its partition is
+    as small as the shuffle makes it whatever keys are hot, and neither side is sorted."""
+    return keyed.hint("shuffle_hash")
+
+
 def _ranked(positions: DataFrame, keys: list[str]) -> DataFrame:
     """(number, at, rank): positions whose keys occur more than once, ranked by the keys' order. Only distinct
-    keys are sorted, after partial counts; a frequent key's positions meet its rank in a join, which
-    adaptive execution splits."""
-    shared = positions.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    keys are sorted, after partial counts, and stored before, as Spark reads what it sorts twice; a frequent
+    key's positions meet its rank in a join, which adaptive execution splits."""
+    path = stored_path(positions.sparkSession, "shared-keys")
+    shared = stored(positions.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "shared-keys", path)
     ranks = stored(shared.orderBy(*keys).select(*keys, F.monotonically_increasing_id().alias("rank")), "ranks")
-    return positions.join(ranks, keys).select("number", "at", "rank")
+    discard(positions.sparkSession, path)
+    return positions.join(_built(ranks), keys).select("number", "at", "rank")
 
 
 def _pairs(ranked: DataFrame, offset: int, needed: list[int], unit: int) -> DataFrame:
-    """(number, at, x, y): the ranks at a needed position and ``offset`` bytes behind it, where both are left. A
-    stretch is a group, of four positions a window at most."""
-    groups = ranked.groupBy("number").agg(F.collect_list("at").alias("at"), F.collect_list("rank").alias("rank"))
+    """(number, at, x, y): the ranks at a needed position and ``offset`` bytes behind it, where both are left. The
+    positions of a stretch, four a window at most, follow each other in a partition."""
+
+    def pairs(rows: pa.Table) -> pa.RecordBatch:
+        number, at, rank = (rows.column(c).to_numpy() for c in ("number", "at", "rank"))
+        row = np.cumsum(np.append(0, number[1:] != number[:-1]))[: len(number)]
+        key = row << 32 | at
+        order = np.argsort(key)
+        key, rank, at, number = key[order], rank[order], at[order], number[order]
+        ahead = np.minimum(np.searchsorted(key, key + offset), max(len(key) - 1, 0))
+        used = np.zeros(len(key), bool)
+        for x in needed:
+            used |= (at >= x) & (at < x + unit)
+        both = np.flatnonzero(used & (key[ahead] == key + offset))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (number[both], at[both].astype(np.int32), rank[both], rank[ahead[both]])], ["number", "at", "x", "y"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last stretch of a batch goes on in the next one
         for batch in batches:
-            ends = np.asarray(batch.column("at").offsets)
-            at, rank = (batch.column(c).flatten().to_numpy() for c in ("at", "rank"))
-            row = np.repeat(np.arange(batch.num_rows, dtype=np.int64), np.diff(ends))
-            key = row << 32 | at
-            order = np.argsort(key)
-            key, rank, at = key[order], rank[order], at[order]
-            ahead = np.minimum(np.searchsorted(key, key + offset), max(len(key) - 1, 0))
-            used = np.zeros(len(key), bool)
-            for x in needed:
-                used |= (at >= x) & (at < x + unit)
-            both = np.flatnonzero(used & (key[ahead] == key + offset))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("number").take(pa.array(key[both] >> 32)), pa.array(at[both].astype(np.int32)), pa.array(rank[both]), pa.array(rank[ahead[both]])],
-                ["number", "at", "x", "y"])
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([held, rows]) if held is not None else rows
+            if not len(rows):
+                continue
+            cut = int(np.searchsorted(rows.column("number").to_numpy(), rows.column("number")[-1].as_py()))
+            yield pairs(rows.slice(0, cut))
+            held = rows.slice(cut)
+        if held is not None:
+            yield pairs(held)
 
-    return groups.mapInArrow(run, T.StructType([T.StructField("number", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("x", T.LongType()), T.StructField("y", T.LongType())]))
+    together = ranked.repartition("number").sortWithinPartitions("number")
+    return together.mapInArrow(run, T.StructType([T.StructField("number", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("x", T.LongType()), T.StructField("y", T.LongType())]))
 
 
 def doubled(stretches: DataFrame, length: int, unit: int) -> DataFrame:
@@ -313,17 +323,23 @@ def doubled(stretches: DataFrame, length: int, unit: int) -> DataFrame:
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, unit: int = UNIT) -> DataFrame:
     """(doc, a, z): stretches of (doc, text), in bytes, that strings of ``length`` bytes with an earlier
     start cover; they may overlap."""
-    every = _anchors(docs, length, gram)
+    spark = docs.sparkSession
+    place, start, begin = F.struct("doc", "place"), F.struct("doc", "start"), F.col("place") - F.col("ahead")
+    covered = ["doc", begin.alias("a"), (begin + F.col("more") + length).alias("z")]
+    # The texts are named in one pass; its rows, most of them unique, stay only until those left are known.
+    path = stored_path(spark, "all-anchors")
+    every = stored(_anchors(docs, length, gram), "all-anchors", path)
+    at_once = stored(every.where("g is null").select(*covered), "repeated-at-once")
+    every = every.where("g is not null")
     shared = stored(every.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "shared-grams")
-    kept = stored(every.join(shared, "g", "left_semi"), "anchors")
-    place, start = F.struct("doc", "place"), F.struct("doc", "start")
+    kept = stored(every.join(_built(shared), "g", "left_semi"), "anchors")
+    discard(spark, path)
     classes = stored(
-        kept.groupBy("g", "e").agg(F.min(F.struct("doc", "place", "ahead", "more")).alias("first")).select("g", "e", "first.*"), "covers")
-    first = classes.select("g", "e", F.struct("doc", "place").alias("first"))
-    begin = F.col("place") - F.col("ahead")
-    whole = kept.join(first, ["g", "e"]).where(place > F.col("first")).select("doc", begin.alias("a"), (begin + F.col("more") + length).alias("z"))
-    several = classes.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
-    parts = classes.join(several, "g", "left_semi").groupBy("doc").agg(
+        kept.groupBy("g", "e").agg(F.min(F.struct("doc", "place", "ahead", "more")).alias("first"), F.count("*").alias("n")).select("g", "e", "n", "first.*"), "covers")
+    first = classes.where("n > 1").select("g", "e", F.struct("doc", "place").alias("first"))
+    whole = kept.join(_built(first), ["g", "e"]).where(place > F.col("first")).select(*covered)
+    several = stored(classes.drop("n").groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "several")  # so that adaptive execution can split the join
+    parts = classes.join(_built(several), "g", "left_semi").groupBy("doc").agg(
         F.collect_list(F.struct("g", "place", begin.alias("first"), (begin + F.col("more") + length).alias("end"))).alias("parts"))
     asked = docs.join(parts.withColumnRenamed("doc", "d"), F.col("doc").eqNullSafe(F.col("d"))).select("doc", "text", "parts")
     contexts = stored(_contexts(asked).withColumn("number", F.monotonically_increasing_id()), "contexts")
@@ -331,14 +347,14 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, unit: int =
     firsts = stored(
         units.groupBy("g", "e").agg(F.min(F.struct("doc", "start", "number", "at", "many", "c")).alias("first"), F.count("*").alias("n")).select("g", "e", "n", "first.*"), "first-units")
     early = firsts.where("n > 1").select("g", "e", F.struct("doc", "start").alias("first"))
-    settled = units.join(early, ["g", "e"]).where(start > F.col("first")).select("doc", F.col("start").alias("a"), (F.col("start") + F.col("many") - 1 + length).alias("z"))
+    settled = units.join(_built(early), ["g", "e"]).where(start > F.col("first")).select("doc", F.col("start").alias("a"), (F.col("start") + F.col("many") - 1 + length).alias("z"))
     cores = firsts.groupBy("g", "c").agg(F.count("*").alias("n")).where("n > 1").select("g", "c")
-    left = firsts.join(cores, ["g", "c"], "left_semi").select("doc", "start", "number", "at", "many").join(contexts.select("number", "bytes"), "number")
+    left = firsts.join(_built(cores), ["g", "c"], "left_semi").select("doc", "start", "number", "at", "many").join(contexts.select("number", "bytes"), "number")
     stretches = stored(left.select("doc", "start", F.substring("bytes", F.col("at") + 1, F.col("many") - 1 + length).alias("bytes"), F.monotonically_increasing_id().alias("number")), "stretches")
     windows = doubled(stretches, length, unit).join(stretches.select("number", "doc", F.col("start").alias("begin")), "number").select("x", "y", "doc", (F.col("begin") + F.col("at")).alias("start"))
     early = windows.groupBy("x", "y").agg(F.min(start).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    single = windows.join(early, ["x", "y"]).where(start > F.col("first")).select("doc", F.col("start").alias("a"), (F.col("start") + length).alias("z"))
-    return stored(whole.unionByName(settled).unionByName(single).unionByName(_repeated_at_once(docs, length, gram)), "repeats")
+    single = windows.join(_built(early), ["x", "y"]).where(start > F.col("first")).select("doc", F.col("start").alias("a"), (F.col("start") + length).alias("z"))
+    return stored(whole.unionByName(settled).unionByName(single).unionByName(at_once), "repeats")
 
 
 def _union(a: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
