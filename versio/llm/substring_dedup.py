@@ -25,6 +25,7 @@ adaptive execution. Every round is stored, and its shuffle files go at once.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,9 @@ from versio.functions.worker import resource
 from versio.llm.common import bytes_of, chunks, discard, mix64, stored, stored_path
 
 LENGTH, GRAM = 100, 36
-#: Windows that are settled at once before the doubling; any number under LENGTH gives the same result.
-UNIT = 8
+#: Windows that are settled at once before the doubling, and then of what is left; any numbers under LENGTH give
+#: the same result.
+UNIT, FINER = 16, (2,)
 #: Bytes that are named at once, so that their names stay in a core's cache; places within them take the low
 #: bits of a sort key.
 SEGMENT = 1 << 18
@@ -220,6 +222,21 @@ def _units(contexts: DataFrame, length: int, unit: int) -> DataFrame:
     return contexts.mapInArrow(run, T.StructType([T.StructField(c, t) for c, t in names]))
 
 
+def _settled(contexts: DataFrame, length: int, unit: int) -> tuple[DataFrame, DataFrame]:
+    """The windows of contexts in units: (doc, a, z), what units cover that occurred before, and the first units
+    that share bytes with others, again as contexts."""
+    units = stored(_units(contexts, length, unit), "units")
+    start = F.struct("doc", "start")
+    firsts = stored(
+        units.groupBy("g", "e").agg(F.min(F.struct("doc", "start", "number", "at", "many", "c")).alias("first"), F.count("*").alias("n")).select("g", "e", "n", "first.*"), "first-units")
+    early = firsts.where("n > 1").select("g", "e", start.alias("first"))
+    spans = units.join(_built(early), ["g", "e"]).where(start > F.col("first")).select("doc", F.col("start").alias("a"), (F.col("start") + F.col("many") - 1 + length).alias("z"))
+    cores = firsts.groupBy("g", "c").agg(F.count("*").alias("n")).where("n > 1").select("g", "c")
+    left = firsts.join(_built(cores), ["g", "c"], "left_semi").select("g", "doc", "start", "number", "at", "many").join(contexts.select("number", "place", "bytes"), "number")
+    return spans, stored(
+        left.select("g", "doc", "place", F.col("start").alias("begin"), F.substring("bytes", F.col("at") + 1, F.col("many") - 1 + length).alias("bytes"), F.monotonically_increasing_id().alias("number")), "stretches")
+
+
 def _offsets(length: int) -> list[tuple[int, int, list[int]]]:
     """The rounds: (size of the strings that have ranks, offset of the pairs, where in a window pairs are
     needed); the last round's pairs, at 0 only, are of ``length`` bytes."""
@@ -342,19 +359,16 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, unit: int =
     parts = classes.join(_built(several), "g", "left_semi").groupBy("doc").agg(
         F.collect_list(F.struct("g", "place", begin.alias("first"), (begin + F.col("more") + length).alias("end"))).alias("parts"))
     asked = docs.join(parts.withColumnRenamed("doc", "d"), F.col("doc").eqNullSafe(F.col("d"))).select("doc", "text", "parts")
-    contexts = stored(_contexts(asked).withColumn("number", F.monotonically_increasing_id()), "contexts")
-    units = stored(_units(contexts, length, unit), "units")
-    firsts = stored(
-        units.groupBy("g", "e").agg(F.min(F.struct("doc", "start", "number", "at", "many", "c")).alias("first"), F.count("*").alias("n")).select("g", "e", "n", "first.*"), "first-units")
-    early = firsts.where("n > 1").select("g", "e", F.struct("doc", "start").alias("first"))
-    settled = units.join(_built(early), ["g", "e"]).where(start > F.col("first")).select("doc", F.col("start").alias("a"), (F.col("start") + F.col("many") - 1 + length).alias("z"))
-    cores = firsts.groupBy("g", "c").agg(F.count("*").alias("n")).where("n > 1").select("g", "c")
-    left = firsts.join(_built(cores), ["g", "c"], "left_semi").select("doc", "start", "number", "at", "many").join(contexts.select("number", "bytes"), "number")
-    stretches = stored(left.select("doc", "start", F.substring("bytes", F.col("at") + 1, F.col("many") - 1 + length).alias("bytes"), F.monotonically_increasing_id().alias("number")), "stretches")
-    windows = doubled(stretches, length, unit).join(stretches.select("number", "doc", F.col("start").alias("begin")), "number").select("x", "y", "doc", (F.col("begin") + F.col("at")).alias("start"))
+    left = stored(_contexts(asked).withColumn("number", F.monotonically_increasing_id()), "contexts")
+    sizes, settled = [unit, *(u for u in FINER if u < unit)], []
+    for u in sizes:
+        spans, left = _settled(left, length, u)
+        settled.append(spans)
+    stretches = left.select("doc", F.col("begin").alias("start"), "bytes", "number")
+    windows = doubled(stretches, length, sizes[-1]).join(stretches.select("number", "doc", F.col("start").alias("begin")), "number").select("x", "y", "doc", (F.col("begin") + F.col("at")).alias("start"))
     early = windows.groupBy("x", "y").agg(F.min(start).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     single = windows.join(_built(early), ["x", "y"]).where(start > F.col("first")).select("doc", F.col("start").alias("a"), (F.col("start") + length).alias("z"))
-    return stored(whole.unionByName(settled).unionByName(single).unionByName(at_once), "repeats")
+    return stored(reduce(DataFrame.unionByName, [whole, *settled, single, at_once]), "repeats")
 
 
 def _union(a: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
