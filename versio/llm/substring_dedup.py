@@ -11,7 +11,8 @@ without it go first; the rest are ranked by doubling, exactly:
    before make all windows of the anchor repeats. The first anchor of a cover repeats at most in part.
 3. Up to ``UNIT`` neighbouring windows of a cover whose gram has several covers, on a grid from the anchor.
    Units that occurred before are repeats; of the first ones those are unique, with all their windows,
-   whose common bytes are in no other first unit. What is left lies at the edges of differences.
+   whose common bytes are in no other first unit. What is left goes the same way in units of FINER
+   windows; what is left then lies at the edges of differences.
 4. Prefix doubling over the positions that are left. Spark sorts their strings of LENGTH / 4 bytes and ranks
    them; then it sorts the pairs (rank at p, rank at p + h) for h of LENGTH / 4 and LENGTH / 2. Each round
    drops the positions whose key is unique: no window that needs a unique string repeats. A position
